@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import packed_ids, packing
+from . import language, packed_ids, packing, quality, rules, secrets, urls
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_best_fit": packing.op3_best_fit,
+    "op4_language": language.op4_language,
+    "op6_rules": rules.op6_rules,
     "op8_token_files": packed_ids.op8_token_files,
+    "op9_urls": urls.op9_urls,
+    "op10_secrets": secrets.op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_rules": rules.ORACLE_SQL,
+    "op9_urls": urls.ORACLE_SQL,
+}
