@@ -9,13 +9,23 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
-#: Pieces that a worker remembers; when full, it starts again.
-MAX_REMEMBERED = 400_000
+import numpy as np
+
+#: Pieces that a worker remembers; when full, those met again move to a new dictionary and the rest go.
+MAX_REMEMBERED = 350_000
 #: Longer pieces are encoded each time.
 MAX_PIECE = 48
+#: Texts whose new pieces are looked up together, and pieces of one call.
+CALL_TEXTS = 64
+CALL_PIECES = 1000
+#: Stands between pieces of one call; pieces that have it are encoded alone.
+MARK = "^"
+#: Marks that may end a word.
+TAIL = ".,;:!?%$#&*"
 
 
 def spaced_pieces(text: str) -> list[str] | None:
@@ -45,33 +55,70 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.pieces = pieces
         self.known: dict[str, bytes] = {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            pieces = self.pieces(text) if text else []
-            if pieces is None:
-                out += self._ids([text])
-                continue
-            if len(self.known) > MAX_REMEMBERED:
-                self.known = {"": b""}
-            known = self.known
-            new = [p for p in set(pieces) if p not in known]
-            if not new:
-                out.append(b"".join(map(known.__getitem__, pieces)))
-                continue
-            short = [p for p in new if len(p) <= MAX_PIECE]
-            known.update(zip(short, self._ids(short)))
-            if len(short) == len(new):
-                out.append(b"".join(map(known.__getitem__, pieces)))
+        self.before: dict[str, bytes] = {}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 and pieces is bare_pieces else None
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _ids(self, pieces: list[str]) -> Iterator[bytes]:
+        """Ids of pieces, many in one call.
+
+        Where white space is dropped, a mark between the pieces tells their ids
+        apart; else ``word_ids`` tells whose each id is.
+        """
+        for i in range(0, len(pieces), CALL_PIECES):
+            group = pieces[i : i + CALL_PIECES]
+            if self.mark is not None:
+                ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+                at = np.nonzero(ids == self.mark)[0]
+                starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(ids)]
+            else:
+                e = self.tokenizer.encode(group, is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(e.ids, "<u4")
+                ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(group)))).tolist()
+                starts = [0, *ends]
+            flat = ids.tobytes()
+            yield from [flat[a:b] for a, b in zip(starts, ends)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember new pieces. Both vocabularies part letters from the marks after
+        them, so ``word.`` has the ids of ``word`` and of ``.``."""
+        known, cut, need = self.known, {}, set()
+        for p in new:
+            word = p.rstrip(TAIL)
+            if len(word) < len(p) and word and word[-1].isalpha():
+                cut[p] = word, p[len(word) :]
+                need.update(cut[p])
             else:
-                long = [p for p in new if len(p) > MAX_PIECE]
-                here = dict(zip(long, self._ids(long)))
-                out.append(b"".join([here[p] if p in here else known[p] for p in pieces]))
-        return out
+                need.add(p)
+        fresh = list(need.difference(known))
+        plain = [p for p in fresh if MARK not in p] if self.mark is not None else fresh
+        known.update(zip(plain, self._ids(plain)))
+        if len(plain) < len(fresh):
+            known.update((p, self._whole(p)) for p in fresh if MARK in p)
+        known.update([(p, known[word] + known[tail]) for p, (word, tail) in cut.items()])
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        texts = iter(texts)
+        while some := list(islice(texts, CALL_TEXTS)):
+            cut = [self.pieces(t) if t else [] for t in some]
+            if len(self.known) > MAX_REMEMBERED:
+                self.before, self.known = self.known, {"": b""}
+            new = list(set().union(*[p for p in cut if p]).difference(self.known))
+            if self.before:
+                self.known.update([(p, self.before[p]) for p in new if p in self.before])
+                new = [p for p in new if p not in self.known]
+            self._learn([p for p in new if len(p) <= MAX_PIECE])
+            here = {p: self._whole(p) for p in new if len(p) > MAX_PIECE}
+            for text, pieces in zip(some, cut):
+                if pieces is None:
+                    yield self._whole(text)
+                elif here and not here.keys().isdisjoint(pieces):
+                    yield b"".join([here[p] if p in here else self.known[p] for p in pieces])
+                else:
+                    yield b"".join(map(self.known.__getitem__, pieces))
 
 
 @lru_cache(maxsize=4)
