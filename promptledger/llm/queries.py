@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from . import language, packed_ids, packing, quality, rules, secrets, urls
+from . import decontaminate, language, near_dups, packed_ids, packing, passages, quality, rules, secrets, urls
 
 QUERIES = {
+    "op1_passages": passages.op1_passages,
     "op2_quality": quality.op2_quality,
     "op3_best_fit": packing.op3_best_fit,
     "op4_language": language.op4_language,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_rules": rules.op6_rules,
+    "op7_near_duplicates": near_dups.op7_near_duplicates,
     "op8_token_files": packed_ids.op8_token_files,
     "op9_urls": urls.op9_urls,
     "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLE_SQL = {
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op6_rules": rules.ORACLE_SQL,
     "op9_urls": urls.ORACLE_SQL,
 }
