@@ -126,8 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     return fit_rows([(i, x, q, share[q] ** 0.5) for i, x, q in rows])
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with ``score``: the probability of label 1 of every whole text.
+def score(docs: DataFrame, model: QualityModel, into: str = "score") -> DataFrame:
+    """``docs`` with ``into`` (``score``): the probability of label 1 of every whole text.
 
     A text without words has the score of the outputs' bias alone.
     """
@@ -164,7 +164,12 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 out.append((total + same * again) / (len(words) + same) + bias)
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -500, 500))))
 
-    return docs.withColumn("score", F.pandas_udf(scored, "double")(F.col("text").cast("string")))
+    return docs.withColumn(into, F.pandas_udf(scored, "double")(F.col("text").cast("string")))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with their own columns; the model learns from the labelled ones."""
+    return score(docs, fit(docs, labels), "_quality").where("_quality >= 0.5").select(docs.columns)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -106,13 +106,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets replaced in ``text``; every row stays."""
+    """``docs`` with secrets replaced in ``text`` (and ``n_chars`` counted again); every row stays."""
 
     def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([redacted(t, s) if t and (s := find_secrets(t)) else t for t in texts])
 
-    return docs.withColumn("text", F.pandas_udf(replaced, "string")(F.col("text").cast("string")))
+    out = docs.withColumn("text", F.pandas_udf(replaced, "string")(F.col("text").cast("string")))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
