@@ -1,0 +1,125 @@
+"""Queries over files and streams: Spark writes them from the tables, then reads them as the sources do."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import blocks, report
+from ..sources import fixtures, otlp, sinks, storage, transcripts
+from ..streaming import live
+from .oracle import NOW, sql
+
+
+def write_transcripts(spark: SparkSession, sf_dir: str) -> str:
+    """Conversations as transcript lines, one folder for each project."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    pid = F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn")
+    human = F.col("role") == "user"
+    usage = F.struct(F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens"))
+    line = F.to_json(F.struct(
+        F.when(human, "user").otherwise("assistant").alias("type"), F.when(human, F.struct(F.lit("human").alias("kind"))).alias("origin"), F.when(human, pid).alias("promptId"),
+        F.concat(F.lit("2024-01-01T00:00:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit("Z")).alias("timestamp"), F.when(~human, pid).alias("requestId"),
+        F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content"), F.when(~human, usage).alias("usage"), F.when(~human, "m-opus-4-5").alias("model")).alias("message"),
+    ))
+    path = storage.fresh_path(spark, "transcripts")
+    rows = c.select(F.concat(F.lit("proj"), F.col("conv_id") % 7).alias("project"), "conv_id", "turn", line.alias("value"))
+    rows.repartition("project").sortWithinPartitions("project", "conv_id", "turn").select("project", "value").write.partitionBy("project").text(path)
+    return path
+
+
+def transcript_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests found in the files, with the prompt above them."""
+    rows = transcripts.attributed(transcripts.scan(spark, write_transcripts(spark, sf_dir), "*.txt"))
+    return transcripts.requests(rows).select("request_id", "prompt_id", "model", "input_tokens", "output_tokens")
+
+
+def transcript_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = transcripts.attributed(transcripts.scan(spark, write_transcripts(spark, sf_dir), "*.txt"))
+    return transcripts.prompts(rows).select("prompt_id", "text")
+
+
+def _attribute(key: str, value, kind: str = "stringValue"):
+    v = {k: F.lit(None).cast("string") for k in ("stringValue", "intValue")} | {"doubleValue": F.lit(None).cast("double"), "boolValue": F.lit(None).cast("boolean")}
+    return F.struct(F.lit(key).alias("key"), F.struct(*[(value if k == kind else x).alias(k) for k, x in v.items()]).alias("value"))
+
+
+def write_payloads(spark: SparkSession, sf_dir: str) -> str:
+    """Events as log payloads, one record each."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    body = F.concat(F.lit("x."), F.when(F.col("event_type") == "signup", "user_prompt").when(F.col("event_type").isin("view", "click"), "api_request").when(F.col("event_type") == "purchase", "tool_result").otherwise("other"))
+    eid, k = F.col("event_id").cast("string"), F.regexp_extract("props", "([0-9]+)", 1)
+    attrs = F.array(
+        _attribute("event.timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), _attribute("session.id", F.concat(F.lit("s"), "user_id")), _attribute("prompt.id", F.concat(F.lit("p"), eid)),
+        _attribute("request_id", F.concat(F.lit("r"), eid)), _attribute("tool_use_id", F.concat(F.lit("t"), eid)), _attribute("input_tokens", k, "intValue"), _attribute("cost_usd", F.col("value"), "doubleValue"),
+        _attribute("prompt", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("  <system-reminder> "), k)).otherwise(k)),
+    )
+    record = F.struct(F.struct(body.alias("stringValue")).alias("body"), attrs.alias("attributes"))
+    payload = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
+    path = storage.fresh_path(spark, "payloads")
+    e.select(payload.alias("value")).write.text(path, compression="gzip")
+    return path
+
+
+def otlp_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = otlp.log_records(spark.read.text(write_payloads(spark, sf_dir)))
+    return otlp.requests(records).select("request_id", "prompt_id", "session_id", "ts", "model", "input_tokens", "output_tokens", "cost_usd")
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads through the stream; the tables it leaves, counted by session."""
+    root = storage.fresh_path(spark, "live")
+    query = live.ingest(live.payload_stream(spark, write_payloads(spark, sf_dir), 2), root, f"{root}-checkpoint", availableNow=True)
+    query.awaitTermination()
+    parts = [live.table(spark, root, t).groupBy("session_id").agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "session_id", "n") for t in live.TABLES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Injected prompts folded as they arrive, all in one batch: equal to the batch form."""
+    path = storage.fresh_path(spark, "prompts")
+    fx = fixtures.ledger(spark, sf_dir).prompts.select("session_id", "ts", "injected", "prompt_id")
+    fx.write.parquet(path)
+    out = storage.fresh_path(spark, "folded")
+    stream = live.asof_stream(spark.readStream.schema(fx.schema).parquet(path))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("prompt_id", "session_id", "canonical_id")
+
+
+def payload_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, path = fixtures.ledger(spark, sf_dir), storage.fresh_path(spark, "payload")
+    sinks.write_payload(x.usage(), blocks.current_block(x.costed, F.lit(NOW).cast("timestamp_ntz")), path, NOW)
+    return spark.read.json(f"{path}/rows").select("id", "project", "cost", "api_calls")
+
+
+def digest_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two digests of one week: the second is suffixed."""
+    x, root = fixtures.ledger(spark, sf_dir), storage.fresh_path(spark, "digests")
+    week = report.by_day(report.trailing_days(x.usage(), F.lit(NOW).cast("timestamp_ntz")))
+    first = sinks.write_digest(week, root, "2024-W05", "235900")
+    sinks.write_digest(spark.read.parquet(first), root, "2024-W05", "235901")
+    return sinks.digest_index(spark, root)
+
+
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = storage.fresh_path(spark, "csv")
+    sinks.write_csv(fixtures.ledger(spark, sf_dir).usage(), path)
+    return spark.read.option("header", "true").csv(path).select("id", F.col("cost").cast("double").alias("cost"), F.col("c_read").cast("double").alias("c_read"))
+
+
+QUERIES = {f.__name__: f for f in (transcript_scan, transcript_prompts, otlp_scan, stream_ingest, stream_asof, payload_sink, digest_sink, csv_export)}
+
+_LAST = "last_value(case when role = 'user' then concat('c', conv_id, '-', turn) end ignore nulls) over (partition by conv_id % 7 order by conv_id, turn rows between unbounded preceding and current row)"
+ORACLE_SQL = {
+    "transcript_scan": f"""select concat('c', conv_id, '-', turn) as request_id, prompt_id, 'm-opus-4-5' as model, cast(length(text) as bigint) as input_tokens, turn as output_tokens
+from (select *, {_LAST} as prompt_id from conversations) where role <> 'user' and prompt_id is not null""",
+    "transcript_prompts": "select concat('c', conv_id, '-', turn) as prompt_id, text from conversations where role = 'user'",
+    "otlp_scan": """select concat('r', event_id) as request_id, concat('p', event_id) as prompt_id, concat('s', user_id) as session_id, ts, '?' as model,
+  cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as input_tokens, cast(0 as bigint) as output_tokens, value as cost_usd from events where event_type in ('view', 'click')""",
+    "stream_ingest": """select case when event_type = 'signup' then 'prompts' when event_type = 'purchase' then 'tool_calls' else 'api_requests' end as table_name,
+  concat('s', user_id) as session_id, count(*) as n from events where event_type <> 'error' group by all""",
+    "stream_asof": sql("select prompt_id, session_id, canonical_id from prompts where injected = 1 and session_id is not null"),
+    "payload_sink": sql("select id, project, cost, api_calls from usage"),
+    "digest_sink": "select unnest(['2024-W05', '2024-W05-235901']) as digest",
+    "csv_export": sql("select id, cost, c_read from usage"),
+}
