@@ -30,6 +30,8 @@ RADIUS = BLOCKS * (BLOCK_FLIPS + 1) - 1
 WIDTH = BITS // BLOCKS
 #: The benchmark's shingles are broadcast up to this many, else joined by shuffle.
 BROADCAST_SHINGLES = 1_000_000
+#: So are up to this many keys of documents; beyond, texts are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -80,6 +82,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """``keys`` (a read table's), to be broadcast if they are counted as few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The best window of every contaminated document and item: key, doc_id, item_id,
     start, n_words, similarity, distance. Null or empty texts on either side match nothing."""
@@ -99,7 +106,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     enough = enough.where(F.col("shared") >= SIMILARITY / (1 + SIMILARITY) * (F.col("m") + held)).select("key", "item_id")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("size")))
     starts = hits.join(enough, ["key", "item_id"], "left_semi").select("key", "size", start.alias("start")).distinct()
-    texts = with_shingles(keyed.join(starts.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])).select("key", "doc_id", "shingles")
+    starts = written(starts, "benchmark-starts")
+    texts = with_shingles(keyed.join(_small(starts.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])).select("key", "doc_id", "shingles")
     length = F.greatest(F.lit(1), F.col("size") - SHINGLE_WORDS + 1)
     windows = starts.join(texts, "key").select("key", "doc_id", "size", "start", F.slice("shingles", F.col("start") + 1, length).alias("window"))
     windows = windows.withColumn("fingerprint", simhash(F.col("window")))
@@ -122,7 +130,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark."""
     keys = written(contaminations(docs, benchmark).select("key").distinct(), "contaminated")
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(keys.select(F.col("key").alias("_key")), "_key", "left_anti").select(docs.columns)
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(_small(keys.select(F.col("key").alias("_key"))), "_key", "left_anti").select(docs.columns)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
