@@ -54,7 +54,8 @@ def prompt_text() -> Column:
     """String content as it is; a list's text blocks joined by one space; else empty."""
     texts = F.filter(F.transform(blocks(), lambda b: F.when(F.try_variant_get(b, F.lit("$.type"), "string") == "text", F.coalesce(F.try_variant_get(b, F.lit("$.text"), "string"), F.lit("")))), lambda t: t.isNotNull())
     listed = _get("$.message.content", "array<variant>").isNotNull()
-    return F.when(listed, F.array_join(texts, " ")).otherwise(F.coalesce(_get("$.message.content"), F.lit("")))
+    said = F.schema_of_variant(_get("$.message.content", "variant")) == "STRING"
+    return F.when(listed, F.array_join(texts, " ")).when(said, _get("$.message.content")).otherwise("")
 
 
 def attributed(entries: DataFrame) -> DataFrame:
