@@ -1,6 +1,6 @@
 """Substring dedup: recurring passages found by sharded Aho-Corasick automata.
 
-A window is 20 consecutive words. Its seed is the smallest hash of its eight-word
+A window is 20 consecutive words. Its seed is the smallest hash of its six-word
 runs (the leftmost of equals), so equal windows have equal seeds.
 
 1. Every document gives its seeds; seeds with one occurrence in all documents
@@ -14,7 +14,8 @@ runs (the leftmost of equals), so equal windows have equal seeds.
 4. Every document drops its marked words.
 
 No automaton sees text that cannot hold one of its passages, so work grows with
-the corpus, not with shards times corpus.
+the corpus, not with shards times corpus. Rows of equal id and text are judged as
+one; those of equal id and different texts by a hash of both.
 """
 
 from __future__ import annotations
@@ -32,13 +33,15 @@ from pyspark.sql import functions as F
 from .shared import ascii_words, table, written
 
 WINDOW = 20
-SEED_WORDS = 8
+SEED_WORDS = 6
 SPAN = WINDOW - SEED_WORDS + 1  # seed places of one window
 MAX_REMEMBERED = 500_000
 #: Words of the passages that one automaton holds about.
 SHARD_WORDS = 200_000
 #: Units of one seed beyond which it is no longer held but streamed.
 HELD_UNITS = 2_000
+#: What a step has found for each document is broadcast up to this size, else joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 _MIX = (np.random.default_rng(20).integers(1, 1 << 63, SEED_WORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -77,7 +80,7 @@ def seeds_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h += codes[k : k + m] * _MIX[k]
     h = mixed(h)
     best, at, width = h, np.arange(m), 1
-    while width < SPAN:  # least of runs of 1, 2, 4, 8 and 13 places, leftmost of equals
+    while width < SPAN:  # least of runs of 1, 2, 4, 8 and SPAN places, leftmost of equals
         step = min(width, SPAN - width)
         left, right = best[:-step], best[step:]
         take = right < left
@@ -87,41 +90,42 @@ def seeds_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """``row, seeds``: the seeds of every document in order; ``docs(row, text)``."""
+    """``row, doc_id, n_words, sha256, seeds`` of every row of ``docs(row, doc_id, text)``: its digest as it is, its seeds."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for pdf in batches:
-            own = [seeds_of(hashes.of(ascii_words(t)))[0] for t in pdf["text"]]
-            some = [len(x) > 0 for x in own]
-            yield pd.DataFrame({"row": pdf["row"][some], "seeds": [x for x in own if len(x)]})
+            words = [ascii_words(t) for t in pdf["text"]]
+            yield pd.DataFrame({
+                "row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "n_words": [len(w) for w in words],
+                "sha256": [sha256(b" ".join(w)).hexdigest() for w in words], "seeds": [seeds_of(hashes.of(w))[0] for w in words],
+            })
 
-    return docs.mapInPandas(found, "row long, seeds array<long>")
+    return docs.mapInPandas(found, "row long, doc_id long, n_words long, sha256 string, seeds array<long>")
 
 
 UNIT = "seed long, doc_id long, row long, at int, words string"
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Units at the recurring seeds of ``docs(row, doc_id, text, places)``; places number the document's seeds."""
+    """Units at the recurring seeds ``seeds`` of ``docs(row, doc_id, text, seeds)``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for pdf in batches:
             seed, doc, row, at, words = [], [], [], [], []
-            for doc_id, r, text, places in pdf[["doc_id", "row", "text", "places"]].itertuples(index=False):
+            for doc_id, r, text, often in zip(pdf["doc_id"].astype("Int64"), pdf["row"], pdf["text"], pdf["seeds"]):
                 w = ascii_words(text)
                 h, first = seeds_of(hashes.of(w))
                 edge = np.append(first, len(w) - WINDOW + 1)
-                places = np.sort(places)
-                a, b = edge[places], edge[places + 1]
-                seed.append(h[places])
-                doc.append(np.full(len(places), doc_id))
-                row.append(np.full(len(places), r))
-                at.append(a)
-                words += [b" ".join(w[i : j + WINDOW - 1]).decode("utf-8", "surrogatepass") for i, j in zip(a.tolist(), b.tolist())]
-            if seed:
-                yield pd.DataFrame({"seed": np.concatenate(seed), "doc_id": np.concatenate(doc).astype(np.int64), "row": np.concatenate(row), "at": np.concatenate(at).astype(np.int32), "words": words})
+                for k in np.nonzero(np.isin(h, often))[0].tolist():
+                    a, b = int(edge[k]), int(edge[k + 1])
+                    seed.append(int(h[k]))
+                    doc.append(doc_id)
+                    row.append(r)
+                    at.append(a)
+                    words.append(b" ".join(w[a : b + WINDOW - 1]).decode("utf-8", "surrogatepass"))
+            yield pd.DataFrame({"seed": np.array(seed, np.int64), "doc_id": pd.array(doc, "Int64"), "row": np.array(row, np.int64), "at": np.array(at, np.int32), "words": words})
 
     return docs.mapInPandas(cut, UNIT)
 
@@ -180,23 +184,26 @@ class Shard:
 
 
 def repeated_windows(dealt: DataFrame) -> DataFrame:
-    """``row, windows``: places of windows that an earlier one equals, from units dealt and sorted by seed and place.
+    """``row, at, n``: runs of n windows from window ``at`` on that earlier ones equal, from units dealt and sorted by seed and place.
 
     A seed with very many units is streamed: only its distinct windows are held.
     """
 
     def frame(found: list[tuple[int, int]]) -> pd.DataFrame:
-        by_row: dict[int, list[int]] = {}
-        for row, window in found:
-            by_row.setdefault(row, []).append(window)
-        return pd.DataFrame({"row": list(by_row), "windows": list(by_row.values())})
+        rows = np.array(sorted(found), np.int64).reshape(-1, 2)
+        new = np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1] + 1)])
+        begin = np.nonzero(new)[0]
+        return pd.DataFrame({"row": rows[begin, 0], "at": rows[begin, 1].astype(np.int32), "n": np.diff(np.append(begin, len(rows))).astype(np.int32)})
 
     def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, seed, held = Shard(), None, 0
+        shard, seed, held, last = Shard(), None, 0, None
         streamed: set[tuple[str, ...]] | None = None
         for pdf in batches:
             late: list[tuple[int, int]] = []
             for s, row, at, words in zip(pdf["seed"].tolist(), pdf["row"].tolist(), pdf["at"].tolist(), pdf["words"].tolist()):
+                if (s, row, at) == last:  # a row that the table has twice
+                    continue
+                last = s, row, at
                 if s != seed:
                     if shard.words >= SHARD_WORDS:
                         late += shard.repeats()
@@ -222,20 +229,43 @@ def repeated_windows(dealt: DataFrame) -> DataFrame:
         if rest := shard.repeats():
             yield frame(rest)
 
-    return dealt.mapInPandas(located, "row long, windows array<int>")
+    return dealt.mapInPandas(located, "row long, at int, n int")
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """``row, spans``: each row's word spans (start, end, start, end, ...) of touching runs joined."""
 
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for runs_of in pdf["runs"]:
+                spans: list[int] = []
+                for at, n in sorted((r["at"], r["n"]) for r in runs_of):
+                    if spans and at <= spans[-1]:
+                        spans[-1] = max(spans[-1], at + n + WINDOW - 1)
+                    else:
+                        spans += [at, at + n + WINDOW - 1]
+                out.append(spans)
+            yield pd.DataFrame({"row": pdf["row"], "spans": out})
 
-def removals(docs: DataFrame) -> DataFrame:
-    """``row, windows`` of every row of ``docs(row, doc_id, text)`` that has a repeated window."""
-    numbered = written(seeds(docs.select("row", "text")), "seeds").select("row", F.posexplode("seeds").alias("place", "seed"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = numbered.repartition(n, "seed")
+    return runs.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("runs")).mapInPandas(joined, "row long, spans array<int>")
+
+
+def small(found: DataFrame, numbers: str) -> DataFrame:
+    """``found`` (a read table of ``row`` and an array column), to be broadcast if it is measured to be small."""
+    rows, cells = found.agg(F.count("*"), F.coalesce(F.sum(F.size(numbers)), F.lit(0))).first()
+    return F.broadcast(found) if 48 * rows + 8 * cells <= BROADCAST_BYTES else found
+
+
+def removals(rows: DataFrame, seeded: DataFrame) -> DataFrame:
+    """``row, spans`` of the words to remove in every row of ``rows(row, doc_id, text)`` that has some; ``seeded`` is its ``seeds``, written."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = seeded.select("row", F.explode("seeds").alias("seed")).repartition(n, "seed")
     often = dealt.groupBy("seed").agg(F.count("*").alias("times")).where("times > 1").select("seed")
-    places = dealt.join(often, "seed").groupBy("row").agg(F.collect_list("place").alias("places"))
-    found = written(units(docs.join(places, "row")), "units")
+    recurring = written(dealt.join(often, "seed").groupBy("row").agg(F.collect_set("seed").alias("seeds")), "recurring-seeds")
+    found = written(units(rows.join(small(recurring, "seeds"), "row")), "units")
     ordered = found.repartition(n, "seed").sortWithinPartitions("seed", F.col("doc_id").asc_nulls_first(), "row", "at")
-    windows = repeated_windows(ordered)
-    return written(windows, "repeated-windows").groupBy("row").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    return written(merged_runs(written(repeated_windows(ordered), "repeated-windows")), "removals")
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
@@ -243,42 +273,46 @@ def with_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, on demand, kept_text of every row of ``docs(doc_id, text)``.
+def without(rows: DataFrame) -> DataFrame:
+    """``row, doc_id, n_words, n_removed, kept_text`` of ``rows(row, doc_id, text, spans)``."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n_words, gone, kept = [], [], []
+            for text, spans in zip(pdf["text"], pdf["spans"]):
+                w, left, at = ascii_words(text), [], 0
+                for a, b in zip(spans[::2], spans[1::2]) if spans is not None else ():
+                    left += w[at:a]
+                    at = b
+                left += w[at:]
+                n_words.append(len(w))
+                gone.append(len(w) - len(left))
+                kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "n_words": n_words, "n_removed": gone, "kept_text": kept})
+
+    return rows.select("row", "doc_id", "text", "spans").mapInPandas(cut, "row long, doc_id long, n_words long, n_removed long, kept_text string")
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (words joined by one space) of every row of ``docs(doc_id, text)``.
 
     A word goes if a 20-word window over it also starts earlier: in a smaller
-    doc_id, or earlier in the document. Rows of equal id and text get equal
-    results; the repeats within them are judged as in one of them.
+    doc_id, or earlier in the document.
     """
     rows = with_rows(docs)
-    joined = rows.join(removals(rows.dropDuplicates(["row"]) if _repeats(docs) else rows), "row", "left")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
+    gone = removals(rows, written(seeds(rows), "seeds"))
+    return without(rows.join(small(gone, "spans"), "row", "left")).drop("row")
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc_id, text, windows in pdf[["doc_id", "text", "windows"]].itertuples(index=False):
-                w = ascii_words(text)
-                n = len(w)
-                if windows is not None and len(windows):
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, windows, 1)
-                    np.add.at(edge, np.asarray(windows) + WINDOW, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    w = [x for x, g in zip(w, gone.tolist()) if not g]
-                left = b" ".join(w)
-                out.append((doc_id, n, n - len(w), sha256(left).hexdigest(), left.decode("utf-8", "surrogatepass"))[: 5 if keep_text else 4])
-            done = pd.DataFrame(out, columns=[c.split(" ")[0] for c in schema.split(", ")])
-            done["doc_id"] = done["doc_id"].astype("Int64")
-            yield done
-
-    return joined.select("doc_id", "text", "windows").mapInPandas(kept, schema)
 
-
-def _repeats(docs: DataFrame) -> bool:
-    """True if some doc_id occurs twice: only then can two rows have one name."""
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+def passage_digests(docs: DataFrame) -> DataFrame:
+    """As ``dedup_passages`` with kept_sha256 in place of the text: only changed documents are read again."""
+    rows = with_rows(docs)
+    seeded = written(seeds(rows), "seeds")
+    gone = removals(rows, seeded)
+    changed = without(rows.join(small(gone, "spans"), "row")).select("row", "n_removed", F.sha2("kept_text", 256).alias("kept")).dropDuplicates(["row"])
+    both = seeded.select("row", "doc_id", "n_words", "sha256").join(changed, "row", "left")
+    return both.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "sha256").alias("kept_sha256"))
 
 
 def op1_passages(spark, sf_dir: str) -> DataFrame:
-    return dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return passage_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
