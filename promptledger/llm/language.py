@@ -138,7 +138,7 @@ def fit_chains(chains: list[tuple[list[str], str]], seed: int = 11) -> LanguageM
     lexicon = frozenset(w for w, n in seen.items() if n >= LEXICON_LEAST and len(w) <= MAX_WORD)
     distinct = {w: k for k, w in enumerate(seen)}
     of_word = [word_features(w, lexicon) for w in distinct]
-    sizes = np.array([len(x) for x in of_word])
+    sizes = np.array([len(x) for x in of_word], np.int64)
     flat = np.concatenate(of_word) if of_word else np.zeros(0, int)
     owner = np.repeat(np.arange(len(of_word)), sizes)
     weights = np.zeros((BUCKETS, states))
