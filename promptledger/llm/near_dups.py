@@ -7,10 +7,10 @@ and each signature coordinate keeps its earliest dart. Documents with the same
 words are one node. Nodes that share a band are compared exactly: weighted
 Jaccard similarity of 0.8 or more makes a link, linked nodes a class.
 
-No pairs are listed within a bucket of copies: every bucket's members are
-compared with one centre (a star); only members that stars leave in another
-class are then joined with their bucket, where a length bound and a bound on
-differing 4-bit sketches hold inside the join.
+No pairs are listed within a bucket of copies: for some rounds every bucket's
+members are compared with one centre (a star); only members that are then still
+in different classes are joined within their bucket, where a length bound and a
+bound on differing 4-bit sketches hold inside the join.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import joined_roots
 from .shared import table, written
 
 SHINGLE_WORDS = 5
@@ -37,9 +37,12 @@ SKETCH_BITS = 4
 #: Pairs at 0.8 differ in 18 of 96 sketch cells on average (deviation 3.8).
 MOST_DIFFERENT = 37
 STAR_ROUNDS = 2
+#: Elements whose darts are thrown at once.
+BATCH_ELEMENTS = 40_000
 MAX_REMEMBERED = 500_000
 
 WORD = re.compile(r"\w+")
+MASK = (1 << 64) - 1
 _BASE = -7  # the first rank band is [0, 2**_BASE), each further one doubles the edge
 _MIX = (np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -67,40 +70,47 @@ def dart_counts(mean: float) -> np.ndarray:
     return np.array(out)
 
 
-def dart_signature(elements: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """Earliest dart of every coordinate; ``elements`` are 64-bit hashes, weights positive (1 each if None)."""
-    if weights is None:
-        cells, left = elements, None
-    else:
-        slices = np.ceil(weights).astype(np.int64)
-        at = np.repeat(np.arange(len(elements)), slices)
+def dart_signatures(arrays: list[np.ndarray], weights: list[np.ndarray] | None = None) -> np.ndarray:
+    """Earliest dart of every coordinate for each document of a batch.
+
+    ``arrays`` are 64-bit element hashes, none empty; weights are positive (1 each if None).
+    """
+    sizes = np.array([len(a) for a in arrays])
+    cells, doc, left = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), sizes), None
+    if weights is not None:
+        w = np.concatenate(weights)
+        slices = np.ceil(w).astype(np.int64)
+        at = np.repeat(np.arange(len(cells)), slices)
         number = np.arange(len(at)) - np.repeat(np.cumsum(slices) - slices, slices)
-        cells, left = mixed(elements[at] + number.astype(np.uint64) * _MIX[0]), weights[at] - number
-    signature = np.zeros(COORDINATES, np.uint64)
-    empty = np.ones(COORDINATES, bool)
+        cells, doc, left = mixed(cells[at] + number.astype(np.uint64) * _MIX[0]), doc[at], w[at] - number
+    signature = np.zeros(len(arrays) * COORDINATES, np.uint64)
+    empty = np.ones(len(arrays) * COORDINATES, bool)
     band = 0
-    while empty.any():
+    while len(cells):
         low, high = (0.0 if band == 0 else 2.0 ** (_BASE + band - 1)), 2.0 ** (_BASE + band)
         cdf = dart_counts(high - low)
-        u = uniform(mixed(cells + np.uint64(band + 1) * _MIX[1]))
+        shift = np.uint64((band + 1) * int(_MIX[1]) & MASK)
+        u = uniform(mixed(cells + shift))
         hit = np.nonzero(u >= cdf[0])[0]
-        if len(hit):
-            many = np.searchsorted(cdf, u[hit], "right")
-            own = np.repeat(hit, many)
-            order = (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)).astype(np.uint64)
-            dart = mixed(mixed(cells[own] + order * _MIX[2]) + np.uint64(band + 1) * _MIX[3])
-            if left is not None:
-                inside = uniform(mixed(dart + _MIX[4])) < left[own]
-                dart = dart[inside]
-            rank = mixed(dart + _MIX[5])
-            coordinate = (mixed(dart + _MIX[6]) % np.uint64(COORDINATES)).astype(np.int64)
-            wanted = empty[coordinate]
-            dart, rank, coordinate = dart[wanted], rank[wanted], coordinate[wanted]
-            last_first = np.argsort(rank)[::-1]
-            signature[coordinate[last_first]] = dart[last_first]
-            empty[coordinate] = False
+        many = np.searchsorted(cdf, u[hit], "right")
+        own = np.repeat(hit, many)
+        order = (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)).astype(np.uint64)
+        dart = mixed(cells[own] + shift + (order + np.uint64(1)) * _MIX[2])
+        if left is not None:
+            inside = uniform(mixed(dart + _MIX[4])) < left[own]
+            dart, own = dart[inside], own[inside]
+        slot = doc[own] * COORDINATES + (dart % np.uint64(COORDINATES)).astype(np.int64)
+        wanted = empty[slot]
+        dart, slot = dart[wanted], slot[wanted]
+        last_first = np.argsort(mixed(dart + _MIX[5]))[::-1]  # the darts' ranks within the band
+        signature[slot[last_first]] = dart[last_first]
+        empty[slot] = False
+        open_ = empty.reshape(-1, COORDINATES).any(1)
+        if not open_.all():
+            keep = open_[doc]
+            cells, doc, left = cells[keep], doc[keep], None if left is None else left[keep]
         band += 1
-    return signature
+    return signature.reshape(-1, COORDINATES)
 
 
 class Shingler:
@@ -157,34 +167,44 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Shingler()
+
+        def frame(ids: list, keys: list[bytes], elements: list[np.ndarray]) -> pd.DataFrame:
+            none = np.zeros(0, np.int64)
+            some = [e for e in elements if len(e)]
+            found = iter(dart_signatures(some) if some else ())
+            rows = [(band_hashes(x), sketch(x)) if len(e) and (x := next(found)) is not None else (none, none) for e in elements]
+            return pd.DataFrame({"doc_id": ids, "key": keys, "n": [len(e) for e in elements], "bands": [a for a, _ in rows], "sketch": [b for _, b in rows]})
+
         for pdf in batches:
-            keys, ns, bands, sketches = [], [], [], []
-            for text in pdf["text"]:
+            ids, keys, elements, held = [], [], [], 0
+            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
                 words = s.words(text)
-                e = s.elements(words)
+                ids.append(doc_id)
                 keys.append(word_key(words))
-                ns.append(len(e))
-                sig = dart_signature(e) if len(e) else None
-                bands.append(np.zeros(0, np.int64) if sig is None else band_hashes(sig))
-                sketches.append(np.zeros(0, np.int64) if sig is None else sketch(sig))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "n": ns, "bands": bands, "sketch": sketches})
+                elements.append(s.elements(words))
+                held += len(elements[-1])
+                if held > BATCH_ELEMENTS:
+                    yield frame(ids, keys, elements)
+                    ids, keys, elements, held = [], [], [], 0
+            if ids:
+                yield frame(ids, keys, elements)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     return rows.mapInPandas(signed, "doc_id long, key binary, n long, bands array<long>, sketch array<long>")
 
 
 def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key, elements`` of the nodes ``wanted(key, doc_id)``, from their documents' texts."""
+    """``node, elements`` of the nodes ``wanted(node, key, doc_id)``, from their documents' texts."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Shingler()
         for pdf in batches:
             words = [s.words(t) for t in pdf["text"]]
             own = [bytes(k) == word_key(w) for k, w in zip(pdf["key"], words)]  # a repeated id may have another text
-            yield pd.DataFrame({"key": pdf["key"][own], "elements": [s.elements(w).astype(np.int64) for w, ok in zip(words, own) if ok]})
+            yield pd.DataFrame({"node": pdf["node"][own], "elements": [s.elements(w).astype(np.int64) for w, ok in zip(words, own) if ok]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
-    return texts.mapInPandas(listed, "key binary, elements array<long>").dropDuplicates(["key"])
+    return texts.mapInPandas(listed, "node long, elements array<long>").dropDuplicates(["node"])
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -193,11 +213,11 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     Elements are unique within a document, so the multisets' overlap is the size of an array intersection.
     """
     pairs = written(pairs, "near-pairs")
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = nodes.join(ends, "key").select("key", "doc_id")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node").select("node", "key", "doc_id")
     shingles = written(elements_of(docs, wanted), "near-elements")
-    a = shingles.select(F.col("key").alias("a"), F.col("elements").alias("ea"))
-    b = shingles.select(F.col("key").alias("b"), F.col("elements").alias("eb"))
+    a = shingles.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
+    b = shingles.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
     close = both >= SIMILARITY * (F.size("ea") + F.size("eb") - both)
     return pairs.join(a, "a").join(b, "b").where(close).select("a", "b")
@@ -208,61 +228,61 @@ def _long_enough(n: str, m: str):
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id (the least doc_id of its class) of every row of ``docs(doc_id, text)``.
+    """doc_id and class_id (the least doc_id of its class) of every row of ``docs(doc_id, text)`` that has an id.
 
-    Texts without words are one class. Rows without a doc_id are returned with a
-    null class: nothing can name them.
+    Texts without words are one class. Each round compares every bucket's members
+    with a centre, the member that shares most buckets with most others (a text
+    that many copies were made from), then takes the centre out: it has met all.
+    Buckets whose members are all in one class by then are done.
     """
     signed = written(signatures(docs), "near-signatures")
-    nodes = written(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-nodes")
-    members = nodes.select("key", "n", F.explode("bands").alias("h"))
-    shared = members.groupBy("h").agg(F.count("*").alias("size"), F.min("key").alias("centre")).where("size > 1")
-    members = written(members.join(shared.select("h", "centre"), "h"), "near-members")
-    size = nodes.select(F.col("key").alias("centre"), F.col("n").alias("m"))
-
-    def star(rows: DataFrame) -> DataFrame:
-        """Distinct (member, centre) pairs of similar length."""
-        pairs = rows.where("key <> centre").select("key", "centre", "n").distinct().join(size, "centre")
-        return pairs.where(_long_enough("n", "m")).select(F.col("key").alias("a"), F.col("centre").alias("b"))
-
-    def rooted(links: DataFrame) -> DataFrame:
-        roots = components(links, "near-roots").select(F.col("node").alias("key"), "root")
-        return written(members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "near-rooted")
-
-    links = written(verified(docs, nodes, star(members)), "near-links")
-    for k in range(STAR_ROUNDS):
-        # members that their bucket's centre has not drawn in
-        now = rooted(links)
-        centre = now.where("key = centre").select("h", F.col("root").alias("centre_root")).distinct()
-        apart = written(now.join(centre, "h").where("root <> centre_root").drop("centre_root"), "near-apart")
-        if apart.isEmpty():
+    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    sizes = nodes.select("node", "n")
+    members = nodes.select("node", F.explode("bands").alias("h"))
+    roots = None
+    for k in range(STAR_ROUNDS + 1):
+        if roots is None:
+            busy = members.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+            members = members.withColumn("root", F.col("node"))
+        else:
+            members = members.select("node", "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            busy = members.groupBy("h").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        members = written(members.join(busy.select("h", "size"), "h"), "near-members")
+        if members.isEmpty():
             break
-        if k + 1 < STAR_ROUNDS:
-            again = apart.groupBy("h").agg(F.min_by("key", F.struct("key")).alias("other"), F.min_by("root", F.struct("key")).alias("other_root"))
-            pairs = star(now.join(again, "h").where("root <> other_root").select("key", "n", F.col("other").alias("centre")))
+        if k < STAR_ROUNDS:
+            met = members.join(members.groupBy("node").agg(F.sum("size").alias("met")), "node")
+            centres = met.groupBy("h").agg(F.max(F.struct("met", "node", "root")).alias("c")).select("h", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
+            members = written(members.join(centres, "h").where("node <> centre"), "near-members")
+            pairs = members.where("root <> centre_root").select("node", "centre").distinct().join(sizes, "node").join(sizes.select(F.col("node").alias("centre"), F.col("n").alias("m")), "centre")
+            pairs = pairs.where(_long_enough("n", "m")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
         else:
-            pairs = across(apart, now, nodes)
-        links = written(links.union(verified(docs, nodes, pairs)), "near-links")
-    roots = components(links, "near-roots").select(F.col("node").alias("key"), "root")
-    classed = signed.select("doc_id", "key").join(roots, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
+            pairs = across(members, nodes)
+        links = written(verified(docs, nodes, pairs), "near-links")
+        if not links.isEmpty():
+            roots = joined_roots(roots, links, "near-roots")
+    classed = signed.select("doc_id", "key").join(nodes.select("key", "node"), "key")
+    if roots is not None:
+        classed = classed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        classed = classed.withColumn("root", F.col("node"))
     names = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return classed.join(names, "root").select("doc_id", "class_id")
 
 
-def across(apart: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of one bucket and two classes, one of them left apart, whose lengths and sketches allow a link."""
-    cells = nodes.select("key", "sketch")
-    a = apart.join(cells, "key").select("h", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = members.join(cells, "key").select("h", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of one bucket and two classes whose lengths and sketches allow a link."""
+    cells = members.select("h", "node", "root").join(nodes.select("node", "n", "sketch"), "node")
+    a, b = (cells.select("h", *[F.col(c).alias(c + x) for c in ("node", "root", "n", "sketch")]) for x in "ab")
     lanes = 0x1111111111111111
     different = F.lit(0)
     for k in range(COORDINATES * SKETCH_BITS // 64):
-        x = F.col("sa")[k].bitwiseXOR(F.col("sb")[k])
+        x = F.col("sketcha")[k].bitwiseXOR(F.col("sketchb")[k])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         different = different + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(lanes)))
-    near = (F.col("ra") != F.col("rb")) & _long_enough("na", "nb") & (different <= MOST_DIFFERENT)
-    found = a.join(b, (a["h"] == b["h"]) & near)
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _long_enough("na", "nb") & (different <= MOST_DIFFERENT)
+    return a.join(b, (a["h"] == b["h"]) & near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
