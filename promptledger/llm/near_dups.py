@@ -7,10 +7,10 @@ and each signature coordinate keeps its earliest dart. Documents with the same
 words are one node. Nodes that share a band are compared exactly: weighted
 Jaccard similarity of 0.8 or more makes a link, linked nodes a class.
 
-No pairs are listed within a bucket of copies: for some rounds every bucket's
-members are compared with one centre (a star); only members that are then still
-in different classes are joined within their bucket, where a length bound and a
-bound on differing 4-bit sketches hold inside the join.
+No pairs are listed within a bucket of copies: every bucket's members are compared
+with one centre (a star); only members that are then still in different classes
+are joined within their bucket, where bounds on lengths, on differing 4-bit
+sketches and on what they share beside the centre hold inside the join.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ BAND_ROWS = 4  # 24 bands: a pair at 0.8 shares none with probability 3e-6
 SKETCH_BITS = 4
 #: Pairs at 0.8 differ in 18 of 96 sketch cells on average (deviation 3.8).
 MOST_DIFFERENT = 37
-STAR_ROUNDS = 2
+#: 64-bit words of the bitmap of elements that a member does not share with its centre.
+REST_WORDS = 16
 #: Elements whose darts are thrown at once.
 BATCH_ELEMENTS = 40_000
 MAX_REMEMBERED = 500_000
@@ -207,20 +208,24 @@ def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInPandas(listed, "node long, elements array<long>").dropDuplicates(["node"])
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` whose exact weighted Jaccard similarity is SIMILARITY or more.
+def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with ``both``, the size of the multisets' overlap, ``close`` (a link) and
+    ``rest``, a bitmap of the elements that only ``a`` has.
 
-    Elements are unique within a document, so the multisets' overlap is the size of an array intersection.
+    Elements are unique within a document, so the overlap is the size of an array intersection.
     """
     pairs = written(pairs, "near-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     wanted = nodes.join(ends, "node").select("node", "key", "doc_id")
     shingles = written(elements_of(docs, wanted), "near-elements")
     a = shingles.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     b = shingles.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-    both = F.size(F.array_intersect("ea", "eb"))
-    close = both >= SIMILARITY * (F.size("ea") + F.size("eb") - both)
-    return pairs.join(a, "a").join(b, "b").where(close).select("a", "b")
+    met = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("ea", "eb")))
+    close = F.col("both") >= SIMILARITY * (F.size("ea") + F.size("eb") - F.col("both"))
+    one = F.lit(1).cast("long")
+    own = lambda w: F.filter(F.array_except("ea", "eb"), lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(REST_WORDS - 1)) == w)
+    bits = F.transform(F.sequence(F.lit(0), F.lit(REST_WORDS - 1)), lambda w: F.aggregate(own(w), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))))
+    return written(met.select("a", "b", "both", close.alias("close"), bits.alias("rest")), "near-met")
 
 
 def _long_enough(n: str, m: str):
@@ -230,58 +235,60 @@ def _long_enough(n: str, m: str):
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of every row of ``docs(doc_id, text)`` that has an id.
 
-    Texts without words are one class. Each round compares every bucket's members
-    with a centre, the member that shares most buckets with most others (a text
-    that many copies were made from), then takes the centre out: it has met all.
-    Buckets whose members are all in one class by then are done.
+    Texts without words are one class. First every bucket's members are compared
+    with a centre, the member that shares most buckets with most others (a text that
+    many copies were made from); it has met all of its bucket then and leaves it.
+    Buckets whose members are in one class by then are done, the others go ``across``.
     """
     signed = written(signatures(docs), "near-signatures")
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     sizes = nodes.select("node", "n")
     members = nodes.select("node", F.explode("bands").alias("h"))
-    roots = None
-    for k in range(STAR_ROUNDS + 1):
-        if roots is None:
-            busy = members.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-            members = members.withColumn("root", F.col("node"))
-        else:
-            members = members.select("node", "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            busy = members.groupBy("h").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        members = written(members.join(busy.select("h", "size"), "h"), "near-members")
-        if members.isEmpty():
-            break
-        if k < STAR_ROUNDS:
-            met = members.join(members.groupBy("node").agg(F.sum("size").alias("met")), "node")
-            centres = met.groupBy("h").agg(F.max(F.struct("met", "node", "root")).alias("c")).select("h", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
-            members = written(members.join(centres, "h").where("node <> centre"), "near-members")
-            pairs = members.where("root <> centre_root").select("node", "centre").distinct().join(sizes, "node").join(sizes.select(F.col("node").alias("centre"), F.col("n").alias("m")), "centre")
-            pairs = pairs.where(_long_enough("n", "m")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
-        else:
-            pairs = across(members, nodes)
-        links = written(verified(docs, nodes, pairs), "near-links")
-        if not links.isEmpty():
-            roots = joined_roots(roots, links, "near-roots")
-    classed = signed.select("doc_id", "key").join(nodes.select("key", "node"), "key")
-    if roots is not None:
-        classed = classed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        classed = classed.withColumn("root", F.col("node"))
+    busy = members.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(members.join(busy, "h"), "near-members")
+    met = members.join(members.groupBy("node").agg(F.sum("size").alias("met")), "node")
+    centres = met.groupBy("h").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
+    members = written(members.join(centres, "h").where("node <> centre").select("h", "node", "centre"), "near-members")
+    pairs = members.select("node", "centre").distinct().join(sizes, "node").join(sizes.select(F.col("node").alias("centre"), F.col("n").alias("m")), "centre")
+    star = compared(docs, nodes, pairs.where(_long_enough("n", "m")).select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    roots = joined_roots(None, star.where("close").select("a", "b"), "near-roots")
+    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = members.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    members = written(members.join(apart, "h"), "near-members")
+    if not members.isEmpty():
+        rest = compared(docs, nodes, across(members, nodes, star)).where("close").select("a", "b")
+        roots = joined_roots(roots, rest, "near-roots")
+    classed = signed.select("doc_id", "key").join(nodes.select("key", "node"), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return classed.join(names, "root").select("doc_id", "class_id")
 
 
-def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of one bucket and two classes whose lengths and sketches allow a link."""
-    cells = members.select("h", "node", "root").join(nodes.select("node", "n", "sketch"), "node")
-    a, b = (cells.select("h", *[F.col(c).alias(c + x) for c in ("node", "root", "n", "sketch")]) for x in "ab")
+def across(members: DataFrame, nodes: DataFrame, star: DataFrame) -> DataFrame:
+    """Pairs of one bucket and two classes that may be links; ``star`` is how members met the centre.
+
+    Beside length and sketch there is a bound from the centre c: x and y share at most
+    min(|x and c|, |y and c|) elements of c, so a link needs the missing ones among those
+    that neither shares with c. Copies with edits of their own have none such in
+    common, so their pairs end inside the join. Bitmaps stand for these elements;
+    the wanted count allows for elements that share a bit.
+    """
+    met = star.select(F.col("a").alias("node"), F.col("b").alias("centre"), "both", "rest")
+    cells = members.select("h", "node", "root", "centre").join(nodes.select("node", "n", "sketch"), "node").join(met, ["node", "centre"], "left")
+    a, b = (cells.select("h", *[F.col(c).alias(c + x) for c in ("node", "root", "n", "sketch", "both", "rest")]) for x in "ab")
     lanes = 0x1111111111111111
     different = F.lit(0)
     for k in range(COORDINATES * SKETCH_BITS // 64):
         x = F.col("sketcha")[k].bitwiseXOR(F.col("sketchb")[k])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         different = different + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(lanes)))
-    near = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _long_enough("na", "nb") & (different <= MOST_DIFFERENT)
+    need = SIMILARITY / (1 + SIMILARITY) * (F.col("na") + F.col("nb")) - F.least("botha", "bothb")
+    bits = 64 * REST_WORDS
+    common = F.lit(0)
+    for k in range(REST_WORDS):
+        common = common + F.bit_count(F.col("resta")[k].bitwiseAND(F.col("restb")[k]))
+    enough = F.col("resta").isNull() | F.col("restb").isNull() | (need <= 0) | (common >= bits * (1 - F.exp(-need / bits)) - 2 - 0.09 * need)
+    near = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _long_enough("na", "nb") & (different <= MOST_DIFFERENT) & enough
     return a.join(b, (a["h"] == b["h"]) & near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
 
 
