@@ -16,14 +16,12 @@ from itertools import islice
 import numpy as np
 
 #: Pieces that a worker remembers; when full, those met again move to a new dictionary and the rest go.
-MAX_REMEMBERED = 350_000
+MAX_REMEMBERED = 600_000
 #: Longer pieces are encoded each time.
 MAX_PIECE = 48
 #: Texts whose new pieces are looked up together, and pieces of one call.
 CALL_TEXTS = 64
 CALL_PIECES = 1000
-#: Stands between pieces of one call; pieces that have it are encoded alone.
-MARK = "^"
 #: Marks that may end a word.
 TAIL = ".,;:!?%$#&*"
 
@@ -50,37 +48,31 @@ class Encoder:
     def __init__(self, path: str, pieces: Callable[[str], list[str] | None]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = pieces
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 and pieces is bare_pieces else None
+        if pieces is bare_pieces:  # white space parts the pieces
+            self.quick, self.separator, self.joins = self.tokenizer, " ^ ", lambda p: "^" not in p
+        else:  # a run of letters is one word whole, so its own pattern need not run
+            self.quick, self.separator, self.joins = Tokenizer.from_file(path), "\n", lambda p: p.removeprefix(" ").isalpha()
+            self.quick.pre_tokenizer = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.mark = self.quick.encode(self.separator.strip(" "), add_special_tokens=False).ids[0]
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _ids(self, pieces: list[str]) -> Iterator[bytes]:
-        """Ids of pieces, many in one call.
-
-        Where white space is dropped, a mark between the pieces tells their ids
-        apart; else ``word_ids`` tells whose each id is.
-        """
+        """Ids of pieces, many in one call: a mark between them tells their ids apart."""
         for i in range(0, len(pieces), CALL_PIECES):
-            group = pieces[i : i + CALL_PIECES]
-            if self.mark is not None:
-                ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(group)], add_special_tokens=False)[0].ids, "<u4")
-                at = np.nonzero(ids == self.mark)[0]
-                starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(ids)]
-            else:
-                e = self.tokenizer.encode(group, is_pretokenized=True, add_special_tokens=False)
-                ids = np.array(e.ids, "<u4")
-                ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(group)))).tolist()
-                starts = [0, *ends]
+            text = self.separator.join(pieces[i : i + CALL_PIECES])
+            ids = np.array(self.quick.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = 4 * np.nonzero(ids == self.mark)[0]
             flat = ids.tobytes()
-            yield from [flat[a:b] for a, b in zip(starts, ends)]
+            yield from [flat[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(flat)])]
 
     def _learn(self, new: list[str]) -> None:
         """Remember new pieces. Both vocabularies part letters from the marks after
@@ -94,10 +86,11 @@ class Encoder:
             else:
                 need.add(p)
         fresh = list(need.difference(known))
-        plain = [p for p in fresh if MARK not in p] if self.mark is not None else fresh
+        plain = [p for p in fresh if self.joins(p)]
         known.update(zip(plain, self._ids(plain)))
         if len(plain) < len(fresh):
-            known.update((p, self._whole(p)) for p in fresh if MARK in p)
+            rest = [p for p in fresh if p not in known]
+            known.update(zip(rest, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]))
         known.update([(p, known[word] + known[tail]) for p, (word, tail) in cut.items()])
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
