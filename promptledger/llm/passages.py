@@ -10,7 +10,9 @@ runs (the leftmost of equals), so equal windows have equal seeds.
 3. Units are dealt by seed. Each task confirms its recurring passages word by
    word, compiles them into an automaton of word numbers for a bounded shard of
    seeds, and streams the shard's units through it; an occurrence that is not the
-   first marks its words.
+   first marks its words. Units of a seed with very many different ones are cut
+   into windows and dealt by seed and hash of the window, so that equal windows
+   still meet and no task holds all of the seed's windows.
 4. Every document drops its marked words.
 
 No automaton sees text that cannot hold one of its passages, so work grows with
@@ -38,7 +40,8 @@ SPAN = WINDOW - SEED_WORDS + 1  # seed places of one window
 MAX_REMEMBERED = 500_000
 #: Words of the passages that one automaton holds about.
 SHARD_WORDS = 200_000
-#: Units of one seed beyond which it is no longer held but streamed.
+#: Units of one seed (and shard) beyond which it is no longer held but streamed, and
+#: different units of one seed beyond which it is dealt in shards.
 HELD_UNITS = 2_000
 #: What a step has found for each document is broadcast up to this size, else joined by shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -134,10 +137,10 @@ class Shard:
     """Units of some seeds in order of place, their recurring passages and automaton."""
 
     def __init__(self) -> None:
-        self.units: list[tuple[int, int, int, list[str]]] = []  # seed, row, at, words
+        self.units: list[tuple[tuple[int, int], int, int, list[str]]] = []  # seed and its shard, row, at, words
         self.words = 0
 
-    def add(self, seed: int, row: int, at: int, words: list[str]) -> None:
+    def add(self, seed: tuple[int, int], row: int, at: int, words: list[str]) -> None:
         self.units.append((seed, row, at, words))
         self.words += len(words)
 
@@ -145,7 +148,7 @@ class Shard:
         """(row, window) of every window that is not its sequence's first."""
         number: dict[str, int] = {}
         coded = [tuple([number.setdefault(w, len(number)) for w in words]) for _, _, _, words in self.units]
-        by_seed: dict[int, list[int]] = {}
+        by_seed: dict[tuple[int, int], list[int]] = {}
         for k, u in enumerate(self.units):
             by_seed.setdefault(u[0], []).append(k)
         passages: dict[tuple[int, ...], None] = {}
@@ -183,10 +186,46 @@ class Shard:
         return out
 
 
+def sharded(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """Units ``found`` with their ``shard``: 0, but for seeds of ``hot(seed)`` with more than HELD_UNITS different units.
+
+    Those are cut into runs of windows of one shard, by a hash of the window; a
+    shard has half of HELD_UNITS different windows about.
+    """
+    whole = found.withColumn("shard", F.lit(0))
+    kinds = found.join(F.broadcast(hot.select("seed")), "seed").groupBy("seed").agg(F.approx_count_distinct("words").alias("kinds"))
+    wide = written(kinds.where(F.col("kinds") > HELD_UNITS).select("seed", F.ceil(F.col("kinds") * (2 * SPAN / HELD_UNITS)).cast("int").alias("shards")), "wide-seeds")
+    if wide.isEmpty():
+        return whole
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            part, at, words, shard = [], [], [], []
+            for k, (begin, text, shards) in enumerate(zip(pdf["at"].tolist(), pdf["words"].tolist(), pdf["shards"].tolist())):
+                w = text.split(" ")
+                n = len(w) - WINDOW + 1
+                own = [xxhash.xxh64_intdigest(" ".join(w[i : i + WINDOW]).encode("utf-8", "surrogatepass")) % shards for i in range(n)]
+                a = 0
+                for b in range(1, n + 1):
+                    if b == n or own[b] != own[a]:
+                        part.append(k)
+                        at.append(begin + a)
+                        words.append(" ".join(w[a : b + WINDOW - 1]))
+                        shard.append(own[a])
+                        a = b
+            out = pdf[["seed", "row"]].iloc[part].reset_index(drop=True)
+            out["doc_id"] = pdf["doc_id"].astype("Int64").iloc[part].reset_index(drop=True)
+            yield out.assign(at=np.array(at, np.int32), words=words, shard=np.array(shard, np.int32))
+
+    pieces = found.join(F.broadcast(wide), "seed").mapInPandas(cut, UNIT + ", shard int")
+    return whole.join(F.broadcast(wide), "seed", "left_anti").unionByName(pieces)
+
+
 def repeated_windows(dealt: DataFrame) -> DataFrame:
-    """``row, at, n``: runs of n windows from window ``at`` on that earlier ones equal, from units dealt and sorted by seed and place.
+    """``row, at, n``: runs of n windows from window ``at`` on that earlier ones equal, from units dealt and sorted by seed, shard and place.
 
-    A seed with very many units is streamed: only its distinct windows are held.
+    A seed's shard with very many units is streamed: only its distinct units and
+    windows are held, and ``sharded`` bounds these.
     """
 
     def frame(found: list[tuple[int, int]]) -> pd.DataFrame:
@@ -197,10 +236,12 @@ def repeated_windows(dealt: DataFrame) -> DataFrame:
 
     def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, seed, held, last = Shard(), None, 0, None
-        streamed: set[tuple[str, ...]] | None = None
+        streamed: set[str] | None = None
+        whole: set[str] = set()  # streamed units
         for pdf in batches:
             late: list[tuple[int, int]] = []
-            for s, row, at, words in zip(pdf["seed"].tolist(), pdf["row"].tolist(), pdf["at"].tolist(), pdf["words"].tolist()):
+            keys = zip(pdf["seed"].tolist(), pdf["shard"].tolist())
+            for s, row, at, words in zip(keys, pdf["row"].tolist(), pdf["at"].tolist(), pdf["words"].tolist()):
                 if (s, row, at) == last:  # a row that the table has twice
                     continue
                 last = s, row, at
@@ -213,13 +254,18 @@ def repeated_windows(dealt: DataFrame) -> DataFrame:
                 held += 1
                 if streamed is None and held > HELD_UNITS:
                     late += shard.repeats()
-                    streamed = {tuple(u[3][i : i + WINDOW]) for u in shard.units if u[0] == s for i in range(len(u[3]) - WINDOW + 1)}
+                    streamed = {" ".join(u[3][i : i + WINDOW]) for u in shard.units if u[0] == s for i in range(len(u[3]) - WINDOW + 1)}
+                    whole = set()
                     shard = Shard()
                 if streamed is None:
                     shard.add(s, row, at, w)
                     continue
+                if words in whole:
+                    late += [(row, at + i) for i in range(len(w) - WINDOW + 1)]
+                    continue
+                whole.add(words)
                 for i in range(len(w) - WINDOW + 1):
-                    window = tuple(w[i : i + WINDOW])
+                    window = " ".join(w[i : i + WINDOW])
                     if window in streamed:
                         late.append((row, at + i))
                     else:
@@ -260,11 +306,14 @@ def small(found: DataFrame, numbers: str) -> DataFrame:
 def removals(rows: DataFrame, seeded: DataFrame) -> DataFrame:
     """``row, spans`` of the words to remove in every row of ``rows(row, doc_id, text)`` that has some; ``seeded`` is its ``seeds``, written."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = seeded.select("row", F.explode("seeds").alias("seed")).repartition(n, "seed")
-    often = dealt.groupBy("seed").agg(F.count("*").alias("times")).where("times > 1").select("seed")
-    recurring = written(dealt.join(often, "seed").groupBy("row").agg(F.collect_set("seed").alias("seeds")), "recurring-seeds")
+    places = seeded.select("row", F.explode("seeds").alias("seed"))
+    often = written(places.groupBy("seed").agg(F.count("*").alias("times")).where("times > 1"), "seed-counts")
+    # the commonest seeds stay where their documents are; their number is below that of all places / HELD_UNITS
+    hot = often.where(F.col("times") > HELD_UNITS).select("seed")
+    known = places.join(F.broadcast(hot), "seed", "left_anti").join(often.select("seed"), "seed").unionByName(places.join(F.broadcast(hot), "seed").select("seed", "row"))
+    recurring = written(known.groupBy("row").agg(F.collect_set("seed").alias("seeds")), "recurring-seeds")
     found = written(units(rows.join(small(recurring, "seeds"), "row")), "units")
-    ordered = found.repartition(n, "seed").sortWithinPartitions("seed", F.col("doc_id").asc_nulls_first(), "row", "at")
+    ordered = sharded(found, hot).repartition(n, "seed", "shard").sortWithinPartitions("seed", "shard", F.col("doc_id").asc_nulls_first(), "row", "at")
     return written(merged_runs(written(repeated_windows(ordered), "repeated-windows")), "removals")
 
 

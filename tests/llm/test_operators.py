@@ -96,6 +96,26 @@ def test_op1_hot_seed(spark, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in passages.passage_digests(frame).collect()} == windows_loop(docs), rows
 
 
+def test_op1_hot_seed_in_shards(spark, monkeypatch):
+    """A phrase in many surroundings: no shard holds all windows of its seed, and copies are still found across shards."""
+    monkeypatch.setattr(passages, "HELD_UNITS", 20)
+    hashes = passages.WordHashes()
+    phrase = min((f"phrase{k} of six very common words" for k in range(2000)), key=lambda p: passages.mixed((hashes.of(p.encode().split()) * passages._MIX).sum()))
+    docs = [(k, " ".join(f"b{k % 90}q{i}" for i in range(25)) + f" {phrase} " + " ".join(f"c{k % 90}q{i}" for i in range(25))) for k in range(120)] + [(None, f"{phrase} " * 9)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = passages.with_rows(frame)
+    every = passages.seeds(rows).select("row", F.explode("seeds").alias("seed")).groupBy("row").agg(F.collect_set("seed").alias("seeds"))
+    found = passages.units(rows.join(every, "row"))
+    shares = passages.sharded(found, found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 20")).toPandas()
+    shares["windows"] = [{" ".join(w[i : i + 20]) for i in range(len(w) - 19)} for w in shares["words"].str.split(" ")]
+    held = shares.groupby(["seed", "shard"])["windows"].agg(lambda s: len(set().union(*s)))
+    assert held.groupby("seed").sum().max() > 200 and held.max() <= 40
+    lines = [(-1 if i is None else i, t) for i, t in docs]
+    want = windows_loop(lines)
+    assert {-1 if r[0] is None else r[0]: tuple(r[1:]) for r in passages.passage_digests(frame).collect()} == want
+    assert sum(v[1] > 0 for v in want.values()) > 20
+
+
 def test_op2_held_out(spark):
     got = queries.QUERIES["op2_quality"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out")
     assert got.where("predicted = quality").count() >= 0.95 * got.count()
