@@ -23,7 +23,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import joined_roots
@@ -149,6 +149,11 @@ def word_key(words: list[str]) -> bytes:
     return blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def text_row(doc_id: Column, text: Column) -> Column:
+    """A number for a row's id and text; rows of one id are told apart by it."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
 def band_hashes(signature: np.ndarray) -> np.ndarray:
     rows = signature.reshape(-1, BAND_ROWS)
     h = np.arange(1, len(rows) + 1, dtype=np.uint64) * _MIX[20]
@@ -164,34 +169,35 @@ def sketch(signature: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n, bands, sketch of ``docs(doc_id, text)``; no bands for texts without words."""
+    """doc_id, row, key, n, bands, sketch of ``docs(doc_id, text)``; texts without words have no bands and a key of the text."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Shingler()
 
-        def frame(ids: list, keys: list[bytes], elements: list[np.ndarray]) -> pd.DataFrame:
+        def frame(ids: list, numbers: list, keys: list[bytes], elements: list[np.ndarray]) -> pd.DataFrame:
             none = np.zeros(0, np.int64)
             some = [e for e in elements if len(e)]
             found = iter(dart_signatures(some) if some else ())
             rows = [(band_hashes(x), sketch(x)) if len(e) and (x := next(found)) is not None else (none, none) for e in elements]
-            return pd.DataFrame({"doc_id": ids, "key": keys, "n": [len(e) for e in elements], "bands": [a for a, _ in rows], "sketch": [b for _, b in rows]})
+            return pd.DataFrame({"doc_id": ids, "row": numbers, "key": keys, "n": [len(e) for e in elements], "bands": [a for a, _ in rows], "sketch": [b for _, b in rows]})
 
         for pdf in batches:
-            ids, keys, elements, held = [], [], [], 0
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
+            ids, numbers, keys, elements, held = [], [], [], [], 0
+            for doc_id, number, text in zip(pdf["doc_id"].tolist(), pdf["row"].tolist(), pdf["text"]):
                 words = s.words(text)
                 ids.append(doc_id)
-                keys.append(word_key(words))
+                numbers.append(number)
+                keys.append(word_key(words or ["", text or ""]))
                 elements.append(s.elements(words))
                 held += len(elements[-1])
                 if held > BATCH_ELEMENTS:
-                    yield frame(ids, keys, elements)
-                    ids, keys, elements, held = [], [], [], 0
+                    yield frame(ids, numbers, keys, elements)
+                    ids, numbers, keys, elements, held = [], [], [], [], 0
             if ids:
-                yield frame(ids, keys, elements)
+                yield frame(ids, numbers, keys, elements)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInPandas(signed, "doc_id long, key binary, n long, bands array<long>, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_row(F.col("doc_id"), F.col("text")).alias("row")).where("doc_id is not null")
+    return rows.mapInPandas(signed, "doc_id long, row long, key binary, n long, bands array<long>, sketch array<long>")
 
 
 def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -232,10 +238,10 @@ def _long_enough(n: str, m: str):
     return (F.col(n) >= SIMILARITY * F.col(m)) & (F.col(m) >= SIMILARITY * F.col(n))
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id (the least doc_id of its class) of every row of ``docs(doc_id, text)`` that has an id.
+def classed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, key and root (a number of its class) of every row of ``docs(doc_id, text)`` that has an id.
 
-    Texts without words are one class. First every bucket's members are compared
+    Equal texts without words are one class. First every bucket's members are compared
     with a centre, the member that shares most buckets with most others (a text that
     many copies were made from); it has met all of its bucket then and leaves it.
     Buckets whose members are in one class by then are done, the others go ``across``.
@@ -259,7 +265,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     if not members.isEmpty():
         rest = compared(docs, nodes, across(members, nodes, star)).where("close").select("a", "b")
         roots = joined_roots(roots, rest, "near-roots")
-    classed = signed.select("doc_id", "key").join(nodes.select("key", "node"), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classed = signed.select("doc_id", "row", "key").join(nodes.select("key", "node"), "key").join(roots, "node", "left")
+    return classed.select("doc_id", "row", "key", F.coalesce("root", "node").alias("root"))
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id and class_id (the least doc_id of its class) of every row of ``docs(doc_id, text)`` that has an id."""
+    classed = classed_rows(docs)
     names = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return classed.join(names, "root").select("doc_id", "class_id")
 
@@ -293,9 +305,11 @@ def across(members: DataFrame, nodes: DataFrame, star: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: that of the least id; rows without an id stay."""
-    classes = near_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one document of each class: that of the least id, and of the least key and number
+    where the id has several texts; rows without an id stay."""
+    first = classed_rows(docs).groupBy("root").agg(F.min(F.struct("doc_id", "key", "row")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.row").alias("_row"))
+    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_row": text_row(F.col("doc_id"), F.col("text"))})
+    kept = named.join(first, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"])
     return kept.select(docs.columns).union(docs.where("doc_id is null"))
 
 

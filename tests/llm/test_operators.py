@@ -255,6 +255,14 @@ def test_op7_hub(spark):
     assert got == classes_loop(docs)
 
 
+def test_one_of_each_repeated_id(spark):
+    """Texts of one id are judged apart, and texts without words are copies only if equal."""
+    near = PASSAGE + " end"
+    docs = [(1, PASSAGE), (3, near), (3, OTHER), (4, OTHER), (5, "☺ ☺"), (6, "→"), (7, "→"), (8, OTHER + " tail"), (8, OTHER + " tail")]
+    got = sorted(tuple(r) for r in near_dups.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(1, PASSAGE), (3, OTHER), (5, "☺ ☺"), (6, "→")]
+
+
 def test_dart_weights():
     rng = np.random.default_rng(3)
     e = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
