@@ -6,9 +6,9 @@ their shingles; multi-index Hamming blocks find every item whose fingerprint is
 within RADIUS; weighted Jaccard similarity (a shingle's weight is its count) of
 SIMILARITY or more decides.
 
-Windows are made only where they can pass: a window as similar as that shares
-with its item 8 of 9 shingles at least, so a document must hold as many of an
-item's shingles, and a window starts where one of them puts the item's start.
+Windows are made only where they can pass: a window as similar as that holds 8 of
+9 of its item's shingles at least, so every window of an item's size is made that
+has as many places of such shingles. None that can pass is left out.
 """
 
 from __future__ import annotations
@@ -21,13 +21,12 @@ from .shared import table, written
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BITS = 64
-BLOCKS = 8
-#: Every block is looked up with up to BLOCK_FLIPS bits changed, so some block of
-#: any fingerprint within RADIUS = 8 * 3 - 1 is found. At similarity 0.8 SimHashes
-#: differ in 9.7 of 64 bits on average (deviation 2.9).
-BLOCK_FLIPS = 2
-RADIUS = BLOCKS * (BLOCK_FLIPS + 1) - 1
-WIDTH = BITS // BLOCKS
+#: Every block is looked up with up to BLOCK_FLIPS bits changed, so some block of any
+#: fingerprint within RADIUS is found. At similarity 0.8 SimHashes differ in 9.7 of
+#: 64 bits on average (deviation 2.9).
+BLOCK_WIDTHS = (13, 13, 13, 13, 12)
+BLOCK_FLIPS = 3
+RADIUS = len(BLOCK_WIDTHS) * (BLOCK_FLIPS + 1) - 1
 #: The benchmark's shingles are broadcast up to this many, else joined by shuffle.
 BROADCAST_SHINGLES = 1_000_000
 #: So are up to this many keys of documents; beyond, texts are joined by shuffle.
@@ -60,26 +59,32 @@ def simhash(shingles: Column) -> Column:
 
 
 def block(fingerprint: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, WIDTH * k).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))
+    return F.shiftrightunsigned(fingerprint, sum(BLOCK_WIDTHS[:k])).bitwiseAND(F.lit((1 << BLOCK_WIDTHS[k]) - 1).cast("long"))
 
 
-def flips() -> list[int]:
+def flips(width: int) -> list[int]:
     """All changes of up to BLOCK_FLIPS bits of a block."""
     masks = {0}
     for _ in range(BLOCK_FLIPS):
-        masks |= {m ^ (1 << b) for m in masks for b in range(WIDTH)}
+        masks |= {m ^ (1 << b) for m in masks for b in range(width)}
     return sorted(masks)
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two multisets."""
+    """Size of the intersection of two multisets; repeated members are counted only where one has some."""
     times = lambda rows, x: F.size(F.filter(rows, lambda y: y == x))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
+    both = F.array_intersect(a, b)
+    single = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    return F.when(single, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x))))
+
+
+def _key() -> Column:
+    """128 bits that stand for a row's id and text: null and repeated ids do no harm."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("text").cast("string"), F.lit("")))))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """A row's key stands for its id and text: null and repeated ids do no harm."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    return docs.select("doc_id", "text", _key().alias("key"))
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -100,26 +105,34 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if places.count() <= BROADCAST_SHINGLES:
         few = F.broadcast(few)
     hits = written(found.join(few, "h").select("key", "n", "pos", F.explode("places").alias("p")).select("key", "n", "pos", "p.*"), "benchmark-hits")
-    # similar sets of a and m shingles share 4 in 9 of a + m; a window has m at most
-    enough = hits.groupBy("key", "item_id").agg(F.count("*").alias("shared"), F.first("m").alias("m"), F.first("n").alias("n"), F.first("size").alias("size"))
+    places = hits.groupBy("key", "item_id").agg(*[F.first(c).alias(c) for c in ("n", "size", "m")], F.sort_array(F.collect_set("pos")).alias("places"))
+    # similar sets of a and m shingles share 4 in 9 of a + m; a window has m, in a shorter document fewer
     held = F.least("m", F.greatest(F.col("n") - SHINGLE_WORDS + 1, F.lit(1)))
-    enough = enough.where(F.col("shared") >= SIMILARITY / (1 + SIMILARITY) * (F.col("m") + held)).select("key", "item_id")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("size")))
-    starts = hits.join(enough, ["key", "item_id"], "left_semi").select("key", "size", start.alias("start")).distinct()
-    starts = written(starts, "benchmark-starts")
+    places = places.withColumn("need", F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("m") + held) - 1e-9).cast("int")).where(F.size("places") >= F.col("need"))
+    # a window has that many places if it begins at or before one and ends at or after the one that many further on
+    last = F.greatest(F.lit(0), F.col("n") - F.col("size"))
+    runs = places.select("key", "size", "m", "places", "need", last.alias("last"), F.explode(F.sequence(F.lit(0), F.size("places") - F.col("need"))).alias("j"))
+    lo, hi = F.greatest(F.lit(0), F.get("places", F.col("j") + F.col("need") - 1) - F.col("m") + 1), F.least(F.get("places", F.col("j")), F.col("last"))
+    runs = runs.select("key", "size", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    starts = written(runs.select("key", "size", F.explode(F.sequence("lo", "hi")).alias("start")).distinct(), "benchmark-starts")
     texts = with_shingles(keyed.join(_small(starts.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])).select("key", "doc_id", "shingles")
     length = F.greatest(F.lit(1), F.col("size") - SHINGLE_WORDS + 1)
     windows = starts.join(texts, "key").select("key", "doc_id", "size", "start", F.slice("shingles", F.col("start") + 1, length).alias("window"))
-    windows = windows.withColumn("fingerprint", simhash(F.col("window")))
-    windows = written(windows, "benchmark-windows")
-    blocked = windows.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), block(F.col("fingerprint"), k).alias("value")) for k in range(BLOCKS)])).alias("b")).select("*", "b.*").drop("b")
-    fp = items.withColumn("print", simhash(F.col("own")))
-    changed = F.array(*[F.lit(m).cast("long") for m in flips()])
-    index = fp.select("size", "item_id", "own", "print", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), block(F.col("print"), k).alias("whole")) for k in range(BLOCKS)])).alias("b"))
-    index = index.select("size", "item_id", "own", "print", F.col("b.block").alias("block"), F.explode(F.transform(changed, lambda m: F.col("b.whole").bitwiseXOR(m))).alias("value"))
-    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("print")))
+    windows = written(windows.withColumn("fingerprint", simhash(F.col("window"))), "benchmark-windows")
+    numbered = lambda print_: F.array(*[F.struct(F.lit(k).alias("block"), block(F.col(print_), k).alias("value")) for k in range(len(BLOCK_WIDTHS))])
+    blocked = windows.select("key", "size", "start", "fingerprint", F.inline(numbered("fingerprint")))
+    prints = items.withColumn("print", simhash(F.col("own")))
+    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in flips(w)]) for w in BLOCK_WIDTHS])
+    index = prints.select("size", "item_id", "print", F.inline(numbered("print")))
+    index = index.select("size", "item_id", "print", "block", F.explode(F.transform(F.get(masks, F.col("block")), lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+    other = F.col("fingerprint").bitwiseXOR(F.col("print"))
+    # a pair may meet in several blocks: only the first counts
+    first = F.lit(True)
+    for k in range(len(BLOCK_WIDTHS) - 1):
+        first = first & ((blocked["block"] <= k) | (F.bit_count(block(other, k)) > BLOCK_FLIPS))
     same = (blocked["size"] == index["size"]) & (blocked["block"] == index["block"]) & (blocked["value"] == index["value"])
-    near = blocked.join(index, same & (distance <= RADIUS)).select("key", "doc_id", blocked["size"], "start", "window", "item_id", "own", distance.alias("distance"))
+    near = blocked.join(index, same & (F.bit_count(other) <= RADIUS) & first).select("key", blocked["size"], "start", "item_id", F.bit_count(other).alias("distance"))
+    near = near.join(windows.select("key", "doc_id", "size", "start", "window"), ["key", "size", "start"]).join(items.select("item_id", "own"), "item_id")
     both = overlap(F.col("window"), F.col("own"))
     judged = near.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("window") + F.size("own") - F.col("both")))
     good = judged.where(F.col("similarity") >= SIMILARITY)
@@ -130,7 +143,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark."""
     keys = written(contaminations(docs, benchmark).select("key").distinct(), "contaminated")
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(_small(keys.select(F.col("key").alias("_key"))), "_key", "left_anti").select(docs.columns)
+    return docs.withColumn("_key", _key()).join(_small(keys.select(F.col("key").alias("_key"))), "_key", "left_anti").select(docs.columns)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -150,19 +163,15 @@ ds as (
 bs as (
   select item_id, len(w) as size, j, array_to_string(w[j + 1:j + 5], ' ') as s
   from (select item_id, w, unnest(range(0, greatest(len(w) - 4, 1))) as j from b where len(w) > 0)),
-starts as (
-  select distinct doc_id, item_id, size, greatest(0, least(i - j, n - size)) as start from ds join bs using (s)),
-inside as (
-  select doc_id, item_id, size, start, s, count(*) as c
-  from starts join ds using (doc_id) where i >= start and i < start + greatest(size - 4, 1) group by all),
-sizes as (select doc_id, item_id, size, start, sum(c) as a from inside group by all),
-own as (select item_id, s, count(*) as c from bs group by all),
-own_sizes as (select item_id, sum(c) as m from own group by all),
-shared as (
-  select doc_id, item_id, size, start, sum(least(inside.c, own.c)) as hit from inside join own using (item_id, s) group by all),
+own as (select item_id, size, s, count(*) as c from bs group by all),
+items as (select item_id, size, sum(c) as m from own group by all),
+hits as (select doc_id, n, i, item_id, size, s, c from ds join own using (s)),
+inside as (  -- every window of the item's size that holds some place of its shingles
+  select doc_id, item_id, n, size, start, s, least(count(*), any_value(c)) as c
+  from (select *, unnest(range(greatest(0, i - greatest(size - 4, 1) + 1), least(i, greatest(n - size, 0)) + 1)) as start from hits) group by doc_id, item_id, n, size, start, s),
+shared as (select doc_id, item_id, n, size, start, sum(c) as hit from inside group by all),
 scored as (
-  select doc_id, item_id, size, start, hit / (a + m - hit) as sim
-  from shared join sizes using (doc_id, item_id, size, start) join own_sizes using (item_id))
+  select doc_id, item_id, shared.size, start, hit / (greatest(least(shared.size, n) - 4, 1) + m - hit) as sim from shared join items using (item_id))
 select doc_id, item_id, cast(start as bigint) as start, cast(size as bigint) as n_words, round(sim, 6) as similarity
 from (select *, row_number() over (partition by doc_id, item_id order by sim desc, start) as rn from scored where sim >= 0.8)
 where rn = 1

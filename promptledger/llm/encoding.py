@@ -1,120 +1,146 @@
 """Token ids of whole texts with a public tokenizer, remembered word by word.
 
 Both vocabularies split a text at white space before they merge, so a text's ids
-are its pieces' ids in order. A worker keeps the ids of the pieces it has met in
-a bounded dictionary and asks the tokenizer only for new ones.
+are its words' ids in order. A worker keeps the ids of the words it has met in a
+bounded dictionary and asks the tokenizer only for new ones. Ids are those that
+the library gives for the whole text without further settings: a special token's
+string in a text (``<|endoftext|>``) is that token.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
-import numpy as np
-
-#: Pieces that a worker remembers; when full, those met again move to a new dictionary and the rest go.
+#: Words that a worker remembers; when full, those met again move to a new dictionary and the rest go.
 MAX_REMEMBERED = 600_000
-#: Longer pieces are encoded each time.
-MAX_PIECE = 48
-#: Texts whose new pieces are looked up together, and pieces of one call.
-CALL_TEXTS = 64
-CALL_PIECES = 1000
+#: Longer words are encoded each time.
+MAX_WORD = 48
 #: Marks that may end a word.
 TAIL = ".,;:!?%$#&*"
+#: Letters below this code point and but for one have one lower-case letter each and no combining forms.
+LATIN_END, DOTTED_I = "ɐ", "İ"
 
 
-def spaced_pieces(text: str) -> list[str] | None:
-    """Pieces for a byte-level vocabulary whose words take one space before them.
-
-    None if a text has white space other than single spaces and line feeds
-    between words: such a text is encoded as a whole.
-    """
-    if "\x01" in text or text.replace("\n", " ").split(" ") != text.split():
-        return None
-    return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
+def plain_letters(word: str) -> bool:
+    """True for Latin letters alone: either vocabulary takes such a run as one word, letter by letter."""
+    return word.isascii() and word.isalpha() or word.isalpha() and max(word) < LATIN_END and DOTTED_I not in word
 
 
-def bare_pieces(text: str) -> list[str] | None:
-    """Pieces for a vocabulary that drops white space."""
-    return text.replace("\n", " ").split(" ")
+def byte_letters() -> dict[int, int]:
+    """The letter that a byte-level vocabulary writes for every byte: printable ones stand for themselves, the rest from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
 
 
 class Encoder:
-    """Texts to ids (little-endian unsigned 32-bit), as the whole text gives."""
+    """Texts to ids (little-endian unsigned 32-bit), as the whole text gives.
 
-    def __init__(self, path: str, pieces: Callable[[str], list[str] | None]):
+    ``spaced`` vocabularies take the space before a word into its first token and
+    keep line feeds; there a text's first word has the key `` word`` and a line's
+    first ``\\nword``. Others drop white space.
+    """
+
+    def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = pieces
-        self.known: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
-        if pieces is bare_pieces:  # white space parts the pieces
-            self.quick, self.separator, self.joins = self.tokenizer, " ^ ", lambda p: "^" not in p
-        else:  # a run of letters is one word whole, so its own pattern need not run
-            self.quick, self.separator, self.joins = Tokenizer.from_file(path), "\n", lambda p: p.removeprefix(" ").isalpha()
-            self.quick.pre_tokenizer = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.mark = self.quick.encode(self.separator.strip(" "), add_special_tokens=False).ids[0]
+        self.model = self.tokenizer.model
+        self.spaced = spaced
+        self.letters = byte_letters()
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+        self.before: dict[str, bytes | bool] = {}
+        self.feed = self._whole("\n") if spaced else b""
+
+    def clear(self) -> None:
+        self.known: dict[str, bytes | bool] = {} if self.spaced else {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _ids(self, pieces: list[str]) -> Iterator[bytes]:
-        """Ids of pieces, many in one call: a mark between them tells their ids apart."""
-        for i in range(0, len(pieces), CALL_PIECES):
-            text = self.separator.join(pieces[i : i + CALL_PIECES])
-            ids = np.array(self.quick.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            at = 4 * np.nonzero(ids == self.mark)[0]
-            flat = ids.tobytes()
-            yield from [flat[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(flat)])]
-
-    def _learn(self, new: list[str]) -> None:
-        """Remember new pieces. Both vocabularies part letters from the marks after
-        them, so ``word.`` has the ids of ``word`` and of ``.``."""
-        known, cut, need = self.known, {}, set()
-        for p in new:
-            word = p.rstrip(TAIL)
-            if len(word) < len(p) and word and word[-1].isalpha():
-                cut[p] = word, p[len(word) :]
-                need.update(cut[p])
-            else:
-                need.add(p)
-        fresh = list(need.difference(known))
-        plain = [p for p in fresh if self.joins(p)]
-        known.update(zip(plain, self._ids(plain)))
-        if len(plain) < len(fresh):
-            rest = [p for p in fresh if p not in known]
-            known.update(zip(rest, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]))
-        known.update([(p, known[word] + known[tail]) for p, (word, tail) in cut.items()])
+    def _keys(self, text: str) -> list[str]:
+        if not self.spaced:
+            return text.replace("\n", " ").split(" ")
+        lines = text.split("\n")
+        keys = lines[0].split(" ")
+        keys[0] = " " + keys[0]
+        for line in lines[1:]:
+            own = line.split(" ")
+            own[0] = "\n" + own[0]
+            keys += own
+        return keys
+
+    def _atom(self, key: str) -> bytes:
+        """Ids of one word; a leading space in the key tells that none is before it."""
+        word, open_ = (key[1:], "") if key[0] == " " else (key, " " if self.spaced else "")
+        if plain_letters(word):
+            if not self.spaced:
+                word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.model.tokenize(("Ġ" if open_ else "") + word)]).tobytes()
+        return self._whole(open_ + word)
+
+    def _ids(self, key: str) -> bytes | bool:
+        """Ids of a key; False if other white space is next to or in it, so that the whole text must be encoded."""
+        known, body, feed = self.known, key, b""
+        start = ""
+        if self.spaced:
+            if key[:1] in (" ", "\n"):
+                start, body = " ", key[1:]
+                feed = self.feed if key[0] == "\n" else b""
+            if body.split() != [body]:
+                return False
+        word = body.rstrip(TAIL)
+        if word and len(word) < len(body) and plain_letters(word[-1]):  # both vocabularies part letters from the marks after them
+            parts = (start + word, " " + body[len(word) :])
+        else:
+            parts = (start + body,)
+        out = feed
+        for p in parts:
+            if (ids := known.get(p)) is None:
+                ids = self._atom(p)
+                if len(p) <= MAX_WORD:
+                    known[p] = ids
+            out += ids
+        return out
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        texts = iter(texts)
-        while some := list(islice(texts, CALL_TEXTS)):
-            cut = [self.pieces(t) if t else [] for t in some]
-            if len(self.known) > MAX_REMEMBERED:
-                self.before, self.known = self.known, {"": b""}
-            new = list(set().union(*[p for p in cut if p]).difference(self.known))
-            if self.before:
-                self.known.update([(p, self.before[p]) for p in new if p in self.before])
-                new = [p for p in new if p not in self.known]
-            self._learn([p for p in new if len(p) <= MAX_PIECE])
-            here = {p: self._whole(p) for p in new if len(p) > MAX_PIECE}
-            for text, pieces in zip(some, cut):
-                if pieces is None:
-                    yield self._whole(text)
-                elif here and not here.keys().isdisjoint(pieces):
-                    yield b"".join([here[p] if p in here else self.known[p] for p in pieces])
-                else:
-                    yield b"".join(map(self.known.__getitem__, pieces))
+        known, before = self.known, self.before
+        for text in texts:
+            if not text:
+                yield b""
+                continue
+            if "<|" in text and any(s in text for s in self.specials):
+                yield self._whole(text)
+                continue
+            if len(known) > MAX_REMEMBERED:
+                self.before = before = known
+                self.clear()
+                known = self.known
+            keys = self._keys(text)
+            ids = list(map(known.get, keys))
+            if None in ids:
+                for k in [k for k, b in enumerate(ids) if b is None]:
+                    key = keys[k]
+                    if (b := known.get(key)) is None:
+                        if (b := before.get(key)) is None:
+                            b = self._ids(key)
+                        if len(key) <= MAX_WORD:
+                            known[key] = b
+                    ids[k] = b
+            try:
+                yield b"".join(ids)
+            except TypeError:  # a False
+                yield self._whole(text)
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, spaced: bool) -> Encoder:
     """One encoder for each vocabulary and worker."""
-    return Encoder(path, spaced_pieces if spaced else bare_pieces)
+    return Encoder(path, spaced)

@@ -8,9 +8,11 @@ words are one node. Nodes that share a band are compared exactly: weighted
 Jaccard similarity of 0.8 or more makes a link, linked nodes a class.
 
 No pairs are listed within a bucket of copies: every bucket's members are compared
-with one centre (a star); only members that are then still in different classes
-are joined within their bucket, where bounds on lengths, on differing 4-bit
-sketches and on what they share beside the centre hold inside the join.
+with one centre (a star). Members that are then in another class than their centre
+meet the centre's other members inside a join whose condition is an upper bound of
+their overlap: from what each shares with the centre, and from bitmaps of what it
+has beside the centre and lacks of it. The bound is never under the overlap, so no
+pair that shares a band is lost to it; what passes is compared exactly.
 """
 
 from __future__ import annotations
@@ -33,11 +35,10 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 COORDINATES = 96
 BAND_ROWS = 4  # 24 bands: a pair at 0.8 shares none with probability 3e-6
-SKETCH_BITS = 4
-#: Pairs at 0.8 differ in 18 of 96 sketch cells on average (deviation 3.8).
-MOST_DIFFERENT = 37
-#: 64-bit words of the bitmap of elements that a member does not share with its centre.
-REST_WORDS = 16
+#: 64-bit words of the bitmaps of elements that only a member, and only its centre, has.
+BITMAP_WORDS = 16
+#: Members of a centre's other classes that one salt of the join takes about.
+SALT_MEMBERS = 1_000
 #: Elements whose darts are thrown at once.
 BATCH_ELEMENTS = 40_000
 MAX_REMEMBERED = 500_000
@@ -162,14 +163,8 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS of each coordinate, 16 coordinates to a 64-bit number."""
-    cells = (mixed(signature + _MIX[30]) & np.uint64((1 << SKETCH_BITS) - 1)).reshape(-1, 64 // SKETCH_BITS)
-    return (cells << np.arange(0, 64, SKETCH_BITS, dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64)
-
-
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, row, key, n, bands, sketch of ``docs(doc_id, text)``; texts without words have no bands and a key of the text."""
+    """doc_id, row, key, n, bands of ``docs(doc_id, text)``; texts without words have no bands and a key of the text."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Shingler()
@@ -178,8 +173,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             none = np.zeros(0, np.int64)
             some = [e for e in elements if len(e)]
             found = iter(dart_signatures(some) if some else ())
-            rows = [(band_hashes(x), sketch(x)) if len(e) and (x := next(found)) is not None else (none, none) for e in elements]
-            return pd.DataFrame({"doc_id": ids, "row": numbers, "key": keys, "n": [len(e) for e in elements], "bands": [a for a, _ in rows], "sketch": [b for _, b in rows]})
+            bands = [band_hashes(next(found)) if len(e) else none for e in elements]
+            return pd.DataFrame({"doc_id": ids, "row": numbers, "key": keys, "n": [len(e) for e in elements], "bands": bands})
 
         for pdf in batches:
             ids, numbers, keys, elements, held = [], [], [], [], 0
@@ -197,7 +192,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield frame(ids, numbers, keys, elements)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_row(F.col("doc_id"), F.col("text")).alias("row")).where("doc_id is not null")
-    return rows.mapInPandas(signed, "doc_id long, row long, key binary, n long, bands array<long>, sketch array<long>")
+    return rows.mapInPandas(signed, "doc_id long, row long, key binary, n long, bands array<long>")
 
 
 def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -214,11 +209,21 @@ def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInPandas(listed, "node long, elements array<long>").dropDuplicates(["node"])
 
 
+def bitmap(elements: Column) -> Column:
+    """BITMAP_WORDS 64-bit words; every element sets one bit."""
+    one = F.lit(1).cast("long")
+    own = lambda w: F.filter(elements, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)) == w)
+    word = lambda w: F.aggregate(own(w), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+    return F.transform(F.sequence(F.lit(0), F.lit(BITMAP_WORDS - 1)), word)
+
+
 def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with ``both``, the size of the multisets' overlap, ``close`` (a link) and
-    ``rest``, a bitmap of the elements that only ``a`` has.
+    """``pairs(a, b)`` with the sizes ``na, nb``, ``both`` (the size of the multisets' overlap),
+    ``close`` (a link) and bitmaps of the elements that only ``a`` (``rest``) and only ``b`` (``miss``) has.
 
-    Elements are unique within a document, so the overlap is the size of an array intersection.
+    Elements are unique within a document, so the overlap is the size of an array
+    intersection. ``b`` may be the same for very many pairs: its elements are joined
+    to bare numbers first, then the pairs are dealt by ``a``.
     """
     pairs = written(pairs, "near-pairs")
     ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
@@ -226,12 +231,10 @@ def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     shingles = written(elements_of(docs, wanted), "near-elements")
     a = shingles.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     b = shingles.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-    met = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("ea", "eb")))
-    close = F.col("both") >= SIMILARITY * (F.size("ea") + F.size("eb") - F.col("both"))
-    one = F.lit(1).cast("long")
-    own = lambda w: F.filter(F.array_except("ea", "eb"), lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(REST_WORDS - 1)) == w)
-    bits = F.transform(F.sequence(F.lit(0), F.lit(REST_WORDS - 1)), lambda w: F.aggregate(own(w), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))))
-    return written(met.select("a", "b", "both", close.alias("close"), bits.alias("rest")), "near-met")
+    met = pairs.join(b, "b").join(a, "a").select("a", "b", F.size("ea").alias("na"), F.size("eb").alias("nb"), F.array_except("ea", "eb").alias("oa"), F.array_except("eb", "ea").alias("ob"))
+    met = met.withColumn("both", F.col("na") - F.size("oa"))
+    close = F.col("both") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("both"))
+    return written(met.select("a", "b", "na", "nb", "both", close.alias("close"), bitmap(F.col("oa")).alias("rest"), bitmap(F.col("ob")).alias("miss")), "near-met")
 
 
 def _long_enough(n: str, m: str):
@@ -243,28 +246,23 @@ def classed_rows(docs: DataFrame) -> DataFrame:
 
     Equal texts without words are one class. First every bucket's members are compared
     with a centre, the member that shares most buckets with most others (a text that
-    many copies were made from); it has met all of its bucket then and leaves it.
-    Buckets whose members are in one class by then are done, the others go ``across``.
+    many copies were made from); those left in another class than it go ``across``.
     """
     signed = written(signatures(docs), "near-signatures")
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    sizes = nodes.select("node", "n")
     members = nodes.select("node", F.explode("bands").alias("h"))
     busy = members.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     members = written(members.join(busy, "h"), "near-members")
     met = members.join(members.groupBy("node").agg(F.sum("size").alias("met")), "node")
     centres = met.groupBy("h").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
-    members = written(members.join(centres, "h").where("node <> centre").select("h", "node", "centre"), "near-members")
-    pairs = members.select("node", "centre").distinct().join(sizes, "node").join(sizes.select(F.col("node").alias("centre"), F.col("n").alias("m")), "centre")
-    star = compared(docs, nodes, pairs.where(_long_enough("n", "m")).select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    pairs = members.join(centres, "h").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    star = compared(docs, nodes, pairs)
     roots = joined_roots(None, star.where("close").select("a", "b"), "near-roots")
-    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = members.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    members = written(members.join(apart, "h"), "near-members")
-    if not members.isEmpty():
-        rest = compared(docs, nodes, across(members, nodes, star)).where("close").select("a", "b")
-        roots = joined_roots(roots, rest, "near-roots")
+    rest = across(star, roots)
+    if not rest.isEmpty():
+        links = compared(docs, nodes, rest).where("close").select("a", "b")
+        roots = joined_roots(roots, links, "near-roots")
     classed = signed.select("doc_id", "row", "key").join(nodes.select("key", "node"), "key").join(roots, "node", "left")
     return classed.select("doc_id", "row", "key", F.coalesce("root", "node").alias("root"))
 
@@ -276,32 +274,36 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return classed.join(names, "root").select("doc_id", "class_id")
 
 
-def across(members: DataFrame, nodes: DataFrame, star: DataFrame) -> DataFrame:
-    """Pairs of one bucket and two classes that may be links; ``star`` is how members met the centre.
+def across(star: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of members of one centre and of two classes, one of them not the centre's, that may be links.
 
-    Beside length and sketch there is a bound from the centre c: x and y share at most
-    min(|x and c|, |y and c|) elements of c, so a link needs the missing ones among those
-    that neither shares with c. Copies with edits of their own have none such in
-    common, so their pairs end inside the join. Bitmaps stand for these elements;
-    the wanted count allows for elements that share a bit.
+    ``star`` is how members met the centre c. x and y share |c| less what x lacks,
+    less what y lacks, plus what both lack, of c, and beside c what both have; bitmaps
+    bound the latter two from above. Any two members of a centre are tried, whether
+    they share a bucket or not, and the condition holds inside the join.
     """
-    met = star.select(F.col("a").alias("node"), F.col("b").alias("centre"), "both", "rest")
-    cells = members.select("h", "node", "root", "centre").join(nodes.select("node", "n", "sketch"), "node").join(met, ["node", "centre"], "left")
-    a, b = (cells.select("h", *[F.col(c).alias(c + x) for c in ("node", "root", "n", "sketch", "both", "rest")]) for x in "ab")
-    lanes = 0x1111111111111111
-    different = F.lit(0)
-    for k in range(COORDINATES * SKETCH_BITS // 64):
-        x = F.col("sketcha")[k].bitwiseXOR(F.col("sketchb")[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        different = different + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(lanes)))
-    need = SIMILARITY / (1 + SIMILARITY) * (F.col("na") + F.col("nb")) - F.least("botha", "bothb")
-    bits = 64 * REST_WORDS
-    common = F.lit(0)
-    for k in range(REST_WORDS):
-        common = common + F.bit_count(F.col("resta")[k].bitwiseAND(F.col("restb")[k]))
-    enough = F.col("resta").isNull() | F.col("restb").isNull() | (need <= 0) | (common >= bits * (1 - F.exp(-need / bits)) - 2 - 0.09 * need)
-    near = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _long_enough("na", "nb") & (different <= MOST_DIFFERENT) & enough
-    return a.join(b, (a["h"] == b["h"]) & near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    cells = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.col("a").alias("node"), F.col("b").alias("centre"), F.coalesce("ra", "a").alias("root"), (F.coalesce("ra", "a") != F.coalesce("rb", "b")).alias("apart"),
+        F.col("na").alias("n"), "both", (F.col("na") - F.col("both")).alias("own"), (F.col("nb") - F.col("both")).alias("lacks"), "rest", "miss",
+    )
+    cells = written(cells, "near-cells")
+    salts = cells.groupBy("centre").agg(F.count_if("apart").alias("aparts"), F.count("*").alias("size")).where("aparts > 0 and size > 1")
+    ones = lambda bits: F.aggregate(bits, F.lit(0), lambda s, x: s + F.bit_count(x))
+    cells = cells.join(salts.select("centre", F.ceil(F.col("aparts") / SALT_MEMBERS).cast("int").alias("salts")), "centre")
+    cells = cells.withColumns({"bits": F.concat("rest", "miss"), "xown": F.col("own") - ones("rest"), "xlacks": F.col("lacks") - ones("miss")}).drop("rest", "miss")
+    left = cells.where("apart").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    right = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    named = ("node", "root", "apart", "n", "both", "own", "lacks", "bits", "xown", "xlacks")
+    a, b = (side.select("centre", "salt", *[F.col(c).alias(c + x) for c in named]) for side, x in ((left, "a"), (right, "b")))
+    less = lambda c: F.least(F.col(f"{c}a"), F.col(f"{c}b"))
+    enough = lambda shared: (F.col("botha") - F.col("lacksb") + shared) * (1 + SIMILARITY) >= SIMILARITY * (F.col("na") + F.col("nb")) - 1e-6
+    # common bits, and the elements that share a bit with others of their set
+    bits = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, k: s + k)
+    once = ~F.col("apartb") | (F.col("nodea") < F.col("nodeb"))
+    near = once & (F.col("roota") != F.col("rootb")) & _long_enough("na", "nb") & enough(less("own") + less("lacks")) & enough(bits + less("xown") + less("xlacks"))
+    met = a.join(b, (a["centre"] == b["centre"]) & (a["salt"] == b["salt"]) & near)
+    return written(met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct(), "near-rest")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -34,8 +34,10 @@ END = b"\0\0\0\0"
 
 
 def pack(ids: np.ndarray, bits: int, block_ids: int = BLOCK_IDS) -> bytes:
-    """A segment's payload; ``block_ids`` is a multiple of 32."""
+    """A segment's payload; ``block_ids`` is a multiple of 32. An id that needs more bits is refused."""
     n = len(ids)
+    if n and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
     rows = -(-n // 32)
     lanes = np.zeros((rows * 32,), np.uint64)
     lanes[:n] = ids
@@ -79,13 +81,22 @@ def unpack(payload: bytes, lo: int = 0, hi: int | None = None) -> np.ndarray:
     return out.reshape(-1)[lo - first * block_ids : hi - first * block_ids]
 
 
-def write_packed(docs: DataFrame, vocabulary: str, vocabulary_size: int, spaced: bool = True, partitions: int | None = None) -> DataFrame:
+def vocabulary_bits(vocabulary: str) -> int:
+    """The least bits that hold every id of a vocabulary, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(1, max(Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values()).bit_length())
+
+
+def write_packed(docs: DataFrame, vocabulary: str, spaced: bool = True, partitions: int | None = None) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write its segments in ascending doc_id order.
 
     A null or empty text has the end id only. Null doc_ids come first, repeated
     ones are kept, in the order of their texts. Other columns are not read.
+    ``partitions`` (by default the session's shuffle partitions) bounds no memory:
+    a task holds one segment and one batch at a time, whatever its share.
     """
-    bits = max(1, int(vocabulary_size - 1).bit_length())
+    bits = vocabulary_bits(vocabulary)
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seg = TaskContext.get().partitionId(), 0
@@ -167,4 +178,4 @@ def op8_token_files(spark, sf_dir: str) -> DataFrame:
     """Whole ``documents`` through write and read; see ``write_packed`` for null and repeated rows."""
     import public_tokenizers
 
-    return read_documents(write_packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50_257))
+    return read_documents(write_packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))

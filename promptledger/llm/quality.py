@@ -15,17 +15,20 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table
 
 BUCKETS = 1 << 16
-AGAIN = BUCKETS  # the feature of a word equal to the one before
+#: The feature of a word equal to the one before: the word pair "same again" under one hash, whatever the word.
+AGAIN = BUCKETS
 DIM = 12
 GRAMS = (2, 3, 4)
 #: Labelled documents of each class that the fit takes at most (by a hash of the id).
 SAMPLE_PER_CLASS = 1200
+#: Bytes of features of each class that the driver holds at most; rows beyond, by the same hash, are not fitted.
+SAMPLE_BYTES = 96 << 20
 EPOCHS = 12
 RATE = 0.6
 #: Words that a scoring worker remembers; when full, it starts again.
@@ -100,11 +103,12 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int, float]], seed: int =
     return QualityModel(e, w, b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> QualityModel:
     """Learn from labelled documents whose crc32(doc_id) mod 3 is not 1.
 
-    At most ``per_class`` rows of each label, those of smallest id hash; row
-    weights restore the labels' shares. Without labels every score is 0.5.
+    At most ``per_class`` rows of each label and ``most_bytes`` of their features,
+    those of smallest id hash; row weights restore the labels' shares. Without
+    labels every score is 0.5. Null ids and labels are not learned from.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("quality in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1")
@@ -115,11 +119,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             both = [document_features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "ids": [a for a, _ in both], "weights": [b for _, b in both]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "ids": [a.tobytes() for a, _ in both], "weights": [b.tobytes() for _, b in both]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    got = texts.mapInPandas(features, "doc_id long, quality int, ids array<int>, weights array<float>").toPandas().sort_values("doc_id")
-    rows = [(np.asarray(i), np.asarray(x, np.float32), int(q)) for i, x, q in zip(got["ids"], got["weights"], got["quality"]) if len(i)]
+    found = texts.mapInPandas(features, "doc_id long, quality int, ids binary, weights binary")
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", "ids", "weights").rowsBetween(Window.unboundedPreceding, 0)
+    held = found.withColumn("held", F.sum(F.length("ids") + F.length("weights")).over(order)).where(F.col("held") <= most_bytes)
+    rows = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), q) for _, q, i, x in sorted(held.select("doc_id", "quality", "ids", "weights").collect()) if i]
     total = sum(counts.values()) or 1
     n = {c: sum(q == c for _, _, q in rows) or 1 for c in (0, 1)}
     share = {c: counts.get(c, 0) / total * len(rows) / n[c] for c in (0, 1)}

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests on one machine), a temporary folder is
-    made once and set on the session, so later calls agree.
+    Where a session on one machine (master ``local``) names none, a temporary folder
+    is made once and set on the session, so later calls agree; a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="promptledger-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -49,7 +49,7 @@ def operators(labels, benchmark):
         "passages": lambda d: passages.dedup_passages(d), "digests": lambda d: passages.passage_digests(d), "quality": lambda d: quality.score(d, quality.fit(d, labels)),
         "packing": lambda d: packing.pack_documents(d, p.path("word_bpe_49k.json")), "language": lambda d: language.label(d, language.fit(d)), "decontaminate": lambda d: decontaminate.decontaminate(d, benchmark),
         "contaminations": lambda d: decontaminate.contaminations(d, benchmark), "rules": lambda d: rules.apply_rules(d), "clean": lambda d: rules.clean(d), "classes": lambda d: near_dups.near_classes(d),
-        "one_of_each": lambda d: near_dups.one_of_each(d), "token files": lambda d: packed_ids.read_documents(packed_ids.write_packed(d, p.path("byte_bpe_50k.json"), 50_257)), "scan": lambda d: secrets.scan(d), "redact": lambda d: secrets.redact(d),
+        "one_of_each": lambda d: near_dups.one_of_each(d), "token files": lambda d: packed_ids.read_documents(packed_ids.write_packed(d, p.path("byte_bpe_50k.json"))), "scan": lambda d: secrets.scan(d), "redact": lambda d: secrets.redact(d),
     }
 
 
@@ -166,6 +166,9 @@ def test_packed_round_trip(bits):
     for lo, hi in ((0, 1), (255, 257), (5000, 9000), (9990, 20_000), (7, 7)):
         assert (packed_ids.unpack(payload, lo, hi) == ids[lo:hi]).all()
     assert len(packed_ids.unpack(packed_ids.pack(ids[:0], bits))) == 0
+    if bits < 32:
+        with pytest.raises(ValueError):
+            packed_ids.pack(ids | np.uint32(1 << bits), bits)
 
 
 def test_op8_files(spark, small):
@@ -173,10 +176,9 @@ def test_op8_files(spark, small):
     from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    files = packed_ids.write_packed(docs, public_tokenizers.path("byte_bpe_50k.json"), 50_257, partitions=3)
+    files = packed_ids.write_packed(docs, public_tokenizers.path("byte_bpe_50k.json"), partitions=3)
     got = packed_ids.read_documents(files).orderBy("doc_id").collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     flat = []
     for r, d in zip(got, docs.orderBy("doc_id").collect()):
         ids = t.encode(d.text, add_special_tokens=False).ids + [0]
@@ -186,20 +188,36 @@ def test_op8_files(spark, small):
     assert [r.id for r in some] == flat[1000:6000]
 
 
-TEXTS = ["It's  two\tspaces\n\nand lines ", "a^b ^ c 7 x1y2 don't", "…„“ naïve CAFÉ", "<|endoftext|> tail", "\x01 odd", "x" * 300, "word. Word, (word) w.w ..,,", ""]
+TEXTS = ["It's  two\tspaces\n\nand lines ", "a^b ^ c 7 x1y2 don't", "…„“ naïve CAFÉ", "<|endoftext|> tail", "a <|startoftext|> b", "İ. Σας ς, ǅ!", "\x01 odd", "x" * 300, "word. Word, (word) w.w ..,,", ""]
+PARTS = [*"abcXYZéßİıŁ.,;:!?%$#&*'\"()-_<|>^", *[" "] * 14, *["\n"] * 3, *"\t\r\0\x01\xa0\x85\x1c\u3000\u2028", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "日本", "ǅ", "ﬁ", "Σ", "ς", "é", "\u0308", "🙂", "½", "7", "42", "word", " The", "İ.", "\u212b", "한", "\u1100", "\u1161"]
 
 
 @pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder_equals_library(name, spaced):
+    import random
+
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from promptledger.llm.encoding import encoder
+    from promptledger.llm.encoding import Encoder
 
+    rng = random.Random(50)
+    texts = TEXTS * 2 + ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 40))) for _ in range(10_000)]
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    got = [np.frombuffer(b, "<u4").tolist() for b in encoder(public_tokenizers.path(name), spaced).encode(TEXTS * 2)]
-    assert got == [t.encode(x, add_special_tokens=False).ids for x in TEXTS * 2]
+    got = [np.frombuffer(b, "<u4").tolist() for b in Encoder(public_tokenizers.path(name), spaced).encode(texts)]
+    assert got == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_forgets(monkeypatch):
+    """Ids stay right while the worker's dictionary fills, is swapped and emptied."""
+    import public_tokenizers
+
+    from promptledger.llm import encoding
+
+    texts = [f"w{k % 7} word{k % 50}, x\ny{k}" for k in range(400)]
+    want = list(encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True).encode(texts))
+    monkeypatch.setattr(encoding, "MAX_REMEMBERED", 40)
+    assert list(encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True).encode(texts)) == want
 
 
 @pytest.mark.parametrize("name", ["op5_decontaminate", "op6_rules", "op9_urls"])
@@ -216,6 +234,48 @@ def test_op5_edited_passage(spark, benchmark):
     assert 4 in got and 3 not in got and 2 not in got
 
 
+def windows_of_items(docs, items):
+    """The best of all item-sized windows, by plain counting."""
+    def shingles(text):
+        w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+        return len(w), [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+    out = {}
+    for item_id, text in items:
+        size, own = shingles(text)
+        for doc_id, t in docs:
+            n, every = shingles(t)
+            if not size or not n:
+                continue
+            best = (0.0, 0)
+            for start in range(max(0, n - size) + 1):
+                window = Counter(every[start : start + len(own)])
+                both = sum((window & Counter(own)).values())
+                best = max(best, (both / (window.total() + len(own) - both), -start))
+            if best[0] >= 0.8:
+                out[doc_id, item_id] = (-best[1], best[0])
+    return out
+
+
+def test_op5_all_windows(spark):
+    """Against every window: swapped halves, cut and edited passages, repeats, short texts."""
+    rng = np.random.default_rng(17)
+    word = lambda k: [f"q{x}" for x in rng.integers(0, 900, k)]
+    items = [(k, word(n)) for k, n in enumerate((60, 59, 25, 15, 40, 200, 5, 3))] + [(8, ["la", "li"] * 15), (9, ["la"] * 12)]
+    docs = []
+    for _, w in items:
+        half = len(w) // 2
+        docs += [w, word(30) + w[half:] + w[:half] + word(30), word(9) + w[1:half] + word(2) + w[half:-1] + word(9), word(4) + w[: -max(1, len(w) // 12)] + word(40), w[max(1, len(w) // 12) :], w * 3]
+        for _ in range(8):
+            docs.append(word(int(rng.integers(0, 50))) + [x if rng.random() > 0.03 else "zz" for x in w] + word(int(rng.integers(0, 50))))
+    docs = [(k, " ".join(w)) for k, w in enumerate(docs)]
+    items = [(k, " ".join(w)) for k, w in items]
+    found = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in found.collect()}
+    want = windows_of_items(docs, items)
+    assert len(want) > 80 and got == want
+
+
 def classes_loop(docs):
     sets, links = {}, defaultdict(set)
     for d, t in docs:
