@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,18 +10,23 @@ def asof_canonical(prompts: DataFrame) -> DataFrame:
     """Injected prompts with the latest typed prompt of their session at or before them.
 
     One shuffle by session. Prompts without a ts come first, so they are the last
-    resort; an injected one without a ts finds only those. No session, no match.
+    resort; an injected one without a ts finds only those. No session, no match:
+    such prompts are partitions of one row each, whatever their number.
     """
-    w = Window.partitionBy("session_id").orderBy(F.col("ts").asc_nulls_first(), "injected", "prompt_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("session_id").isNull(), F.monotonically_increasing_id())
+    w = Window.partitionBy("session_id", "_own").orderBy(F.col("ts").asc_nulls_first(), "injected", "prompt_id").rowsBetween(Window.unboundedPreceding, 0)
     typed = F.last(F.when(F.col("injected") == 0, F.col("prompt_id")), ignorenulls=True).over(w)
-    known = prompts.where("session_id is not null").withColumn("canonical_id", F.when(F.col("injected") == 1, typed))
-    return known.unionByName(prompts.where("session_id is null").withColumn("canonical_id", F.lit(None).cast("string")))
+    return prompts.withColumn("_own", own).withColumn("canonical_id", F.when((F.col("injected") == 1) & F.col("session_id").isNotNull(), typed)).drop("_own")
+
+
+def folds() -> Column:
+    """True for an injected prompt that a typed one stands for."""
+    return F.coalesce((F.col("injected") == 1) & F.col("canonical_id").isNotNull(), F.lit(False))
 
 
 def targets(prompts: DataFrame) -> DataFrame:
     """``prompt_id, target``: one hop from injected prompts to their canonical ones."""
-    folds = (F.col("injected") == 1) & F.col("canonical_id").isNotNull()
-    return prompts.where("prompt_id is not null").select("prompt_id", F.when(folds, F.col("canonical_id")).otherwise(F.col("prompt_id")).alias("target"))
+    return prompts.where("prompt_id is not null").select("prompt_id", F.when(folds(), F.col("canonical_id")).otherwise(F.col("prompt_id")).alias("target"))
 
 
 def fold(facts: DataFrame, target: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIVE = "otel"
+OWN = "_own_row"
 
 
 def _first(column: str, keep: Column | None = None) -> Column:
@@ -18,53 +19,44 @@ def _first(column: str, keep: Column | None = None) -> Column:
     return F.min(F.when(keep, F.struct("arrival_seq", column)))[column].alias(column)
 
 
-def _whole(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """The row of least ``order`` for every key."""
-    rest = [c for c in rows.columns if c != key]
-    best = rows.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("kept_row"))
-    return best.select(key, "kept_row.*").select(rows.columns)
+def _keyed(rows: DataFrame, key: str):
+    """Rows grouped by ``key``; each row without one is a group of its own, so they neither meet nor gather in one task."""
+    return rows.withColumn(OWN, F.when(F.col(key).isNull(), F.monotonically_increasing_id())).groupBy(key, OWN)
 
 
-def _keyed(rows: DataFrame, key: str, fold) -> DataFrame:
-    return fold(rows.where(F.col(key).isNotNull())).unionByName(rows.where(F.col(key).isNull()))
+def _rest(rows: DataFrame, *keys: str) -> Column:
+    return F.struct(*[c for c in rows.columns if c not in keys])
 
 
 def merge_prompts(rows: DataFrame) -> DataFrame:
     """First non-null session, project, ts and canonical id; first non-empty text; greatest injected; first source."""
     fill = [_first(c) for c in ("session_id", "project", "ts", "canonical_id") if c in rows.columns]
     text = F.coalesce(_first("text", F.col("text") != ""), _first("text")).alias("text")
-    source = _first("source", F.lit(True))
-
-    def fold(known: DataFrame) -> DataFrame:
-        return known.groupBy("prompt_id").agg(*fill, text, source, F.max("injected").alias("injected"), F.min("arrival_seq").alias("arrival_seq")).select(rows.columns)
-
-    return _keyed(rows, "prompt_id", fold)
+    folded = _keyed(rows, "prompt_id").agg(*fill, text, _first("source", F.lit(True)), F.max("injected").alias("injected"), F.min("arrival_seq").alias("arrival_seq"))
+    return folded.select(rows.columns)
 
 
 def merge_requests(rows: DataFrame) -> DataFrame:
     """The last live row whole, nulls included; without one, the first row."""
-    live = F.col("source") == LIVE
-    order = F.struct(F.when(live, 0).otherwise(1), F.when(live, -F.col("arrival_seq")).otherwise(F.col("arrival_seq")))
-    return _keyed(rows, "request_id", lambda known: _whole(known, "request_id", order))
+    whole, at = _rest(rows, "request_id"), F.struct("arrival_seq")
+    live = F.max(F.when(F.col("source") == LIVE, F.struct(at.alias("at"), whole.alias("kept_row"))))["kept_row"]
+    best = _keyed(rows, "request_id").agg(F.coalesce(live, F.min_by(whole, at)).alias("kept_row"))
+    return best.select("request_id", "kept_row.*").select(rows.columns)
 
 
 def merge_tool_calls(rows: DataFrame) -> DataFrame:
     """First row, but a generic name gives way to the first specific one; detail: first non-null."""
     specific = F.col("tool_name").ilike("mcp__%") & (F.col("tool_name") != "mcp_tool")
     rest = [c for c in rows.columns if c not in ("tool_use_id", "tool_name", "detail")]
-
-    def fold(known: DataFrame) -> DataFrame:
-        folded = known.groupBy("tool_use_id").agg(
-            F.min_by(F.struct(*rest, "tool_name"), "arrival_seq").alias("kept_row"), _first("tool_name", specific).alias("specific"), _first("detail")
-        )
-        name = F.when(F.col("kept_row.tool_name") == "mcp_tool", F.coalesce("specific", "kept_row.tool_name")).otherwise(F.col("kept_row.tool_name"))
-        return folded.select("tool_use_id", name.alias("tool_name"), "detail", *[f"kept_row.{c}" for c in rest]).select(rows.columns)
-
-    return _keyed(rows, "tool_use_id", fold)
+    folded = _keyed(rows, "tool_use_id").agg(F.min_by(F.struct(*rest, "tool_name"), F.struct("arrival_seq")).alias("kept_row"), _first("tool_name", specific).alias("specific"), _first("detail"))
+    name = F.when(F.col("kept_row.tool_name") == "mcp_tool", F.coalesce("specific", "kept_row.tool_name")).otherwise(F.col("kept_row.tool_name"))
+    return folded.select("tool_use_id", name.alias("tool_name"), "detail", *[f"kept_row.{c}" for c in rest]).select(rows.columns)
 
 
 def merge_edits(rows: DataFrame) -> DataFrame:
-    return _keyed(rows, "tool_use_id", lambda known: _whole(known, "tool_use_id", F.col("arrival_seq")))
+    """The first row whole."""
+    best = _keyed(rows, "tool_use_id").agg(F.min_by(_rest(rows, "tool_use_id"), F.struct("arrival_seq")).alias("kept_row"))
+    return best.select("tool_use_id", "kept_row.*").select(rows.columns)
 
 
 def merge_sessions(rows: DataFrame) -> DataFrame:

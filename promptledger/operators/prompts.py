@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
@@ -17,7 +18,7 @@ COMPONENTS = ("c_read", "c_write", "c_out", "c_in")
 NO_TEXT = "(prompt text unavailable)"
 
 
-@dataclass(frozen=True)
+@dataclass
 class Ledger:
     """The merged tables and what follows from them; every fact is grouped by target before any join."""
 
@@ -29,6 +30,21 @@ class Ledger:
     rates: DataFrame
     promos: DataFrame
 
+    def stored(self, written: Callable[[DataFrame, str], DataFrame]) -> Ledger:
+        """The same ledger over tables that ``written`` has made of the merged ones and of the folded facts:
+        whatever is asked of it then reads these and merges nothing again."""
+        out = replace(self, prompts=written(self.prompts, "prompts"), requests=written(self.requests, "requests"), sessions=written(self.sessions, "sessions"))
+        for name in ("costed", "tools", "changes"):
+            out.__dict__[name] = written(getattr(out, name), name)  # in place of the cached property's own
+        return out
+
+    def only(self, targets: DataFrame) -> Ledger:
+        """The ledger of the prompts ``targets(target)`` alone: their facts are picked before anything is grouped."""
+        out = replace(self, prompts=self.prompts.join(targets.select(F.col("target").alias("prompt_id")), "prompt_id", "left_semi"))
+        for name in ("costed", "tools", "changes"):
+            out.__dict__[name] = getattr(self, name).join(targets, "target", "left_semi")
+        return out
+
     @cached_property
     def targets(self) -> DataFrame:
         return attribution.targets(self.prompts)
@@ -117,7 +133,7 @@ class Ledger:
 
     def usage(self) -> DataFrame:
         """The wide rows without their lists: prompts with a request or a call, and placeholders for unknown ones."""
-        own = self.prompts.join(self.targets.where("target = prompt_id").select("prompt_id"), "prompt_id", "left_semi")
+        own = self.prompts.where(F.col("prompt_id").isNotNull() & (~attribution.folds() | (F.col("canonical_id") == F.col("prompt_id"))))
         tools = self.tool_histogram().groupBy("target").agg(F.sum("n").alias("tool_calls"))
         facts = self.prompt_totals().join(tools, "target", "full_outer").join(self.file_stats(), "target", "full_outer")
         rows = own.select(F.col("prompt_id").alias("target"), "session_id", "project", F.col("ts").alias("prompt_ts"), "text", F.lit(True).alias("known")).join(facts, "target", "full_outer")

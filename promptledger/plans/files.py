@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as fn
 from ..operators import blocks, report
 from ..sources import fixtures, otlp, sinks, storage, transcripts
 from ..streaming import live
+from . import ingest
 from .oracle import NOW, sql
 
 
@@ -30,13 +32,12 @@ def write_transcripts(spark: SparkSession, sf_dir: str) -> str:
 
 def transcript_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests found in the files, with the prompt above them."""
-    rows = transcripts.attributed(transcripts.scan(spark, write_transcripts(spark, sf_dir), "*.txt"))
-    return transcripts.requests(rows).select("request_id", "prompt_id", "model", "input_tokens", "output_tokens")
+    entries = transcripts.scan(spark, write_transcripts(spark, sf_dir), "*.txt")
+    return transcripts.requests(entries, transcripts.attributed(entries)).select("request_id", "prompt_id", "model", "input_tokens", "output_tokens")
 
 
 def transcript_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transcripts.attributed(transcripts.scan(spark, write_transcripts(spark, sf_dir), "*.txt"))
-    return transcripts.prompts(rows).select("prompt_id", "text")
+    return transcripts.prompts(transcripts.scan(spark, write_transcripts(spark, sf_dir), "*.txt")).select("prompt_id", "text")
 
 
 def _attribute(key: str, value, kind: str = "stringValue"):
@@ -47,7 +48,7 @@ def _attribute(key: str, value, kind: str = "stringValue"):
 def write_payloads(spark: SparkSession, sf_dir: str) -> str:
     """Events as log payloads, one record each."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    body = F.concat(F.lit("x."), F.when(F.col("event_type") == "signup", "user_prompt").when(F.col("event_type").isin("view", "click"), "api_request").when(F.col("event_type") == "purchase", "tool_result").otherwise("other"))
+    body = F.concat(F.lit("claude_code."), F.when(F.col("event_type") == "signup", "user_prompt").when(F.col("event_type").isin("view", "click"), "api_request").when(F.col("event_type") == "purchase", "tool_result").otherwise("other"))
     eid, k = F.col("event_id").cast("string"), F.regexp_extract("props", "([0-9]+)", 1)
     attrs = F.array(
         _attribute("event.timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), _attribute("session.id", F.concat(F.lit("s"), "user_id")), _attribute("prompt.id", F.concat(F.lit("p"), eid)),
@@ -87,29 +88,146 @@ def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, path = fixtures.ledger(spark, sf_dir), storage.fresh_path(spark, "payload")
+    x, path = fixtures.ledger(spark, sf_dir, stored=True), storage.fresh_path(spark, "payload")
     sinks.write_payload(x.usage(), blocks.current_block(x.costed, F.lit(NOW).cast("timestamp_ntz")), path, NOW)
     return spark.read.json(f"{path}/rows").select("id", "project", "cost", "api_calls")
 
 
 def digest_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two digests of one week: the second is suffixed."""
-    x, root = fixtures.ledger(spark, sf_dir), storage.fresh_path(spark, "digests")
+    """Two digests of one week, the second suffixed, read back as the index names them."""
+    x, root = fixtures.ledger(spark, sf_dir, stored=True), storage.fresh_path(spark, "digests")
     week = report.by_day(report.trailing_days(x.usage(), F.lit(NOW).cast("timestamp_ntz")))
     first = sinks.write_digest(week, root, "2024-W05", "235900")
     sinks.write_digest(spark.read.parquet(first), root, "2024-W05", "235901")
-    return sinks.digest_index(spark, root)
+    return spark.read.parquet(root).join(sinks.digest_index(spark, root), "digest").select("digest", "day", "prompts", "out_tokens", "cost")
 
 
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.fresh_path(spark, "csv")
-    sinks.write_csv(fixtures.ledger(spark, sf_dir).usage(), path)
+    sinks.write_csv(fixtures.ledger(spark, sf_dir, stored=True).usage(), path)
     return spark.read.option("header", "true").csv(path).select("id", F.col("cost").cast("double").alias("cost"), F.col("c_read").cast("double").alias("c_read"))
 
 
-QUERIES = {f.__name__: f for f in (transcript_scan, transcript_prompts, otlp_scan, stream_ingest, stream_asof, payload_sink, digest_sink, csv_export)}
+def _turn(kind: str = "c") -> Column:
+    return F.concat(F.lit(kind), "conv_id", F.lit("-"), "turn")
+
+
+def _second() -> Column:
+    return F.concat(F.lit("2024-01-01T00:00:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit("Z"))
+
+
+def write_sessions(spark: SparkSession, sf_dir: str) -> str:
+    """Conversations as transcripts with tool calls, edits and a working directory, and of every eleventh a subagent's transcript."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("project", F.concat(F.lit("a+b "), F.col("conv_id") % 7))
+    text = F.struct(F.lit("text").alias("type"), F.col("text"))
+    human = F.to_json(F.struct(
+        F.lit("user").alias("type"), F.struct(F.lit("human").alias("kind")).alias("origin"), _turn().alias("promptId"), _second().alias("timestamp"),
+        F.concat(F.lit("/home/u/w"), F.col("conv_id") % 7).alias("cwd"), F.struct(F.array(text).alias("content")).alias("message"),
+    ))
+    skill = F.col("turn") % 4 == 3
+    tool = F.struct(F.lit("tool_use").alias("type"), _turn("t").alias("id"), F.when(skill, "Skill").otherwise("Edit").alias("name"), F.struct(F.when(skill, "shape").alias("skill")).alias("input"))
+    usage = F.struct(F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens"))
+    said = lambda content: F.struct(F.array(content).alias("content"), usage.alias("usage"), F.lit("claude-opus-4-5").alias("model"))
+    answer = F.to_json(F.struct(F.lit("assistant").alias("type"), _second().alias("timestamp"), _turn().alias("requestId"), said(tool).alias("message")))
+    patch = F.array(F.struct(F.array(F.lit("+one"), F.lit("-two"), F.lit(" three"), F.lit("+")).alias("lines")))
+    edit = F.struct(F.concat(F.lit("/src/f"), F.col("conv_id") % 5, F.lit(".py")).alias("filePath"), F.when(~skill, patch).alias("structuredPatch"))
+    result = F.to_json(F.struct(
+        F.lit("user").alias("type"), _second().alias("timestamp"), F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), _turn("t").alias("tool_use_id"))).alias("content")).alias("message"),
+        F.when(~skill, edit).alias("toolUseResult"),
+    ))
+    lines = F.when(F.col("role") == "user", F.array(human)).otherwise(F.array(answer, result))
+    root = storage.fresh_path(spark, "sessions")
+    rows = c.select("project", "conv_id", "turn", F.posexplode(lines).alias("k", "value"))
+    rows.repartition("project").sortWithinPartitions("project", "conv_id", "turn", "k").select("project", "value").write.partitionBy("project").text(root)
+    inner = F.to_json(F.struct(F.lit("assistant").alias("type"), _second().alias("timestamp"), _turn("q").alias("requestId"), F.concat(F.lit("c"), "conv_id", F.lit("-0")).alias("promptId"), said(text).alias("message")))
+    c.where("conv_id % 11 = 0 and role <> 'user'").select(inner.alias("value")).write.text(f"{root}/project=a+b 0/s0/subagents")
+    return root
+
+
+def write_answers(spark: SparkSession, sf_dir: str) -> str:
+    """Every third answer of the conversations as a live record with a reported cost, and the tool calls of those under a generic name."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role <> 'user' and turn % 3 = 0")
+    common = [_attribute("event.timestamp", _second()), _attribute("prompt.id", _turn("live"))]
+    request = F.array(*common, _attribute("request_id", _turn()), _attribute("model", F.lit("claude-haiku-4-5")), _attribute("output_tokens", F.lit("7"), "intValue"), _attribute("cost_usd", F.col("turn") / 8, "doubleValue"))
+    call = F.array(*common, _attribute("tool_use_id", _turn("t")), _attribute("tool_name", F.lit("mcp_tool")))
+    record = lambda event, attrs: F.struct(F.struct(F.lit(f"claude_code.{event}").alias("stringValue")).alias("body"), attrs.alias("attributes"))
+    records = F.array(record("api_request", request), record("tool_result", call))
+    payload = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(records.alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
+    path = storage.fresh_path(spark, "answers")
+    c.select(payload.alias("value")).write.text(path)
+    return path
+
+
+def transcript_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = transcripts.scan(spark, write_sessions(spark, sf_dir), "*.txt")
+    return transcripts.tool_calls(entries, transcripts.attributed(entries)).select("tool_use_id", "prompt_id", "tool_name", "detail")
+
+
+def transcript_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = transcripts.scan(spark, write_sessions(spark, sf_dir), "*.txt")
+    return transcripts.edits(entries, transcripts.attributed(entries)).select("tool_use_id", "prompt_id", "file_path", "kind", "lines_added", "lines_removed", "chars_added")
+
+
+def transcript_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.sessions(transcripts.scan(spark, write_sessions(spark, sf_dir), "*.txt")).select("project", "cwd")
+
+
+def _both_feeds(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
+    """A store of live records, then of transcripts, read twice; and the counts of both readings."""
+    root = storage.fresh_path(spark, "store")
+    stream = live.ingest(live.payload_stream(spark, write_answers(spark, sf_dir), 2), f"{root}/live", f"{root}-checkpoint", clock=lambda: 1, availableNow=True)
+    stream.awaitTermination()
+    files = write_sessions(spark, sf_dir)
+    counts = [storage.written(ingest.reconcile(spark, files, root, k, 2 + k, "*.txt"), "counts") for k in range(2)]
+    return root, *counts
+
+
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the merged tables after each of two readings; the second finds no file changed."""
+    _, first, second = _both_feeds(spark, sf_dir)
+    rows = first.withColumn("run", F.lit(1)).union(second.withColumn("run", F.lit(2)))
+    return rows.where("measure in ('prompts', 'api_requests', 'tool_calls', 'edits') or (measure = 'ingested' and run = 2)").select("run", "measure", "n")
+
+
+def silver_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of both feeds and of subagents, merged and priced with the built-in card."""
+    x = ingest.silver(spark, _both_feeds(spark, sf_dir)[0])
+    return x.costed.select("request_id", "prompt_id", "source", "model", "query_source", "input_tokens", "output_tokens", fn.usd(F.col("micro_usd"), 6).alias("cost"))
+
+
+def silver_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls of both feeds: the live record came first, the transcript tells the name's detail."""
+    return ingest.silver(spark, _both_feeds(spark, sf_dir)[0]).tool_calls.select("tool_use_id", "prompt_id", "tool_name", "detail", "source")
+
+
+def live_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide rows that are recomputed batch after batch, from both feeds as they come."""
+    root, files = storage.fresh_path(spark, "store"), write_sessions(spark, sf_dir)
+    again = lambda feed: lambda first, last: ingest.refresh(spark, root, feed, first, last, "2024-01-01 04:59:59")
+    stream = live.ingest(live.payload_stream(spark, write_answers(spark, sf_dir)), f"{root}/live", f"{root}-checkpoint", after=lambda k: again("live")(k, k), clock=lambda: 1, availableNow=True)
+    stream.awaitTermination()
+    ingest.reconcile(spark, files, root, 0, 2, "*.txt")
+    again("transcripts")(0, 999_999)
+    return ingest.usage(spark, root).select("id", "api_calls", "tool_calls", "out_tokens", "cost")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        transcript_scan, transcript_prompts, transcript_tools, transcript_edits, transcript_sessions, otlp_scan, stream_ingest, stream_asof,
+        payload_sink, digest_sink, csv_export, reconcile, silver_union, silver_tools, live_refresh,
+    )
+}
 
 _LAST = "last_value(case when role = 'user' then concat('c', conv_id, '-', turn) end ignore nulls) over (partition by conv_id % 7 order by conv_id, turn rows between unbounded preceding and current row)"
+#: Answers with a prompt above them in their file.
+_SEEN = f"(select * from (select *, {_LAST} as prompt_id from conversations) where role <> 'user' and prompt_id is not null)"
+_LIVE = "role <> 'user' and turn % 3 = 0"
+#: Requests of both feeds: a live record wins.
+_MERGED = f"""select concat('c', conv_id, '-', turn) as request_id, concat('live', conv_id, '-', turn) as prompt_id, 'otel' as source, 'claude-haiku-4-5' as model, null as query_source,
+  cast(0 as bigint) as input_tokens, cast(7 as bigint) as output_tokens, turn / 8 as cost_usd from conversations where {_LIVE}
+union all select concat('c', conv_id, '-', turn), prompt_id, 'jsonl', 'claude-opus-4-5', 'main', cast(length(text) as bigint), cast(turn as bigint), null from {_SEEN} where turn % 3 <> 0
+union all select concat('q', conv_id, '-', turn), concat('c', conv_id, '-0'), 'jsonl', 'claude-opus-4-5', 'subagent', cast(length(text) as bigint), cast(turn as bigint), null from conversations where conv_id % 11 = 0 and role <> 'user'"""
 ORACLE_SQL = {
     "transcript_scan": f"""select concat('c', conv_id, '-', turn) as request_id, prompt_id, 'm-opus-4-5' as model, cast(length(text) as bigint) as input_tokens, turn as output_tokens
 from (select *, {_LAST} as prompt_id from conversations) where role <> 'user' and prompt_id is not null""",
@@ -120,6 +238,26 @@ from (select *, {_LAST} as prompt_id from conversations) where role <> 'user' an
   concat('s', user_id) as session_id, count(*) as n from events where event_type <> 'error' group by all""",
     "stream_asof": sql("select prompt_id, session_id, canonical_id from prompts where injected = 1 and session_id is not null"),
     "payload_sink": sql("select id, project, cost, api_calls from usage"),
-    "digest_sink": "select unnest(['2024-W05', '2024-W05-235901']) as digest",
+    "digest_sink": sql("select digest, strftime(ts, '%Y-%m-%d') as day, count(*) as prompts, cast(sum(out_tokens) as bigint) as out_tokens, cast(sum(cast(cost as decimal(20,4))) as double) as cost from week, unnest(['2024-W05', '2024-W05-235901']) as t(digest) group by all"),
     "csv_export": sql("select id, cost, c_read from usage"),
+    "transcript_tools": f"""select concat('t', conv_id, '-', turn) as tool_use_id, prompt_id, case when turn % 4 = 3 then 'Skill' else 'Edit' end as tool_name,
+  case when turn % 4 = 3 then 'shape' end as detail from {_SEEN}""",
+    "transcript_edits": f"""select concat('t', conv_id, '-', turn) as tool_use_id, prompt_id, concat('/src/f', conv_id % 5, '.py') as file_path, 'update' as kind,
+  cast(2 as bigint) as lines_added, cast(1 as bigint) as lines_removed, cast(3 as bigint) as chars_added from {_SEEN} where turn % 4 <> 3""",
+    "transcript_sessions": "select distinct concat('project=a+b ', conv_id % 7) as project, concat('/home/u/w', conv_id % 7) as cwd from conversations",
+    "reconcile": f"""with r as (select distinct request_id from ({_MERGED})), t as (select 1 from {_SEEN} union all select 1 from conversations where {_LIVE} and (conv_id, turn) not in (select (conv_id, turn) from {_SEEN}))
+select run, measure, case when measure = 'ingested' then 0 when measure = 'prompts' then (select count(*) from conversations where role = 'user')
+  when measure = 'api_requests' then (select count(*) from r) when measure = 'tool_calls' then (select count(*) from t) else (select count(*) from {_SEEN} where turn % 4 <> 3) end as n
+from unnest([1, 2]) as a(run), unnest(['prompts', 'api_requests', 'tool_calls', 'edits', 'ingested']) as b(measure) where measure <> 'ingested' or run = 2""",
+    "silver_union": f"""select request_id, prompt_id, source, model, query_source, input_tokens, output_tokens,
+  round(coalesce(cast(cost_usd as decimal(20,9)), cast(input_tokens * 5 + output_tokens * 25 as decimal(24,6)) * cast(0.000001 as decimal(7,6))), 6)::double as cost from ({_MERGED})""",
+    "silver_tools": f"""select concat('t', conv_id, '-', turn) as tool_use_id, case when l then concat('live', conv_id, '-', turn) else prompt_id end as prompt_id,
+  case when l then 'mcp_tool' when turn % 4 = 3 then 'Skill' else 'Edit' end as tool_name, case when prompt_id is not null and turn % 4 = 3 then 'shape' end as detail, case when l then 'otel' else 'jsonl' end as source
+from (select *, turn % 3 = 0 as l from (select *, {_LAST} as prompt_id from conversations) where role <> 'user') where l or prompt_id is not null""",
+    "live_refresh": f"""with c as (select prompt_id as id, count(*) as api_calls, cast(sum(output_tokens) as bigint) as out_tokens,
+    sum(coalesce(cast(cost_usd * 1000000 as decimal(24,6)), cast(input_tokens * 5 + output_tokens * 25 as decimal(24,6)))) as micro from ({_MERGED}) group by prompt_id),
+t as (select case when l then concat('live', conv_id, '-', turn) else prompt_id end as id, count(*) as n
+  from (select *, turn % 3 = 0 as l from (select *, {_LAST} as prompt_id from conversations) where role <> 'user') where l or prompt_id is not null group by 1)
+select id, coalesce(api_calls, 0) as api_calls, coalesce(n, 0) as tool_calls, coalesce(out_tokens, 0) as out_tokens, cast(round(cast(coalesce(micro, 0) as decimal(24,6)) * cast(0.000001 as decimal(7,6)), 4) as double) as cost
+from c full join t using (id)""",
 }

@@ -235,6 +235,17 @@ from week left join (select target, count(*) as n from agents group by target) a
   {_ratio.format('cost * 1000', 'ladd')} as cost_per_kloc, {_ratio.format('agent_out', 'out_tokens')} as agent_share from usage"""),
     "live_audit": sql("""select event_id, substr(prompt_id, 1, 8) as prompt, model, input_tokens, output_tokens, cache_read_tokens,
   cast(round(cast(cost_usd as decimal(20,9)), 5) as double) as cost_usd, query_source, agent_name from requests where source = 'otel'"""),
+    "live_counts": sql("select 'prompts' as table_name, count(*) as n from p0 where source = 'otel' union all select 'api_requests', count(*) from requests where source = 'otel'"),
+    "live_prompts": sql("select substr(prompt_id, 1, 8) as prompt, injected, substr(canonical_id, 1, 8) as canonical, substr(text, 1, 60) as text from prompts where source = 'otel'"),
+    "live_tools": sql("select tool_use_id, tool_name, source from tools where source = 'otel'"),
+    "usage_lists": sql("""select u.id, u.api_calls, m.models, t.tools, a.agents, f.file_list from usage u
+left join (select target, string_agg(concat(coalesce(model || ':', ''), out_tokens, ':', calls), ',' order by out_tokens desc, model nulls first) as models from models group by target) m on u.id = m.target
+left join (select target, string_agg(concat(label, ':', n), ',' order by n desc, label) as tools from histogram group by target) t on u.id = t.target
+left join (select target, string_agg(agent, ',' order by agent) as agents from agents group by target) a on u.id = a.target
+left join (select target, string_agg(concat(path, ':', added, ':', removed), ',' order by rank) as file_list
+  from (select *, row_number() over (partition by target order by added + removed desc, path) as rank from files) where rank <= 40 group by target) f on u.id = f.target"""),
+    "cost_labels": sql("""select id, concat(case when est then '~$' else '$' end, case when c >= 100 then cast(cast(round(d, 0) as decimal(20,0)) as varchar) else cast(cast(round(d, 2) as decimal(20,2)) as varchar) end) as label
+from (select id, est, cost * 400 as c, cast(cost * 400 as decimal(20,4)) as d from usage)"""),
     "table_counts": sql("""select 'prompts' as table_name, count(*) as n from p0 union all select 'api_requests', count(*) from requests union all select 'tool_calls', count(*) from tools
 union all select 'edits', count(*) from edits union all select 'sessions', count(*) from sessions"""),
     "manifest_latest": """

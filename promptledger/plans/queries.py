@@ -24,6 +24,11 @@ def _ledger(f: Callable[[Ledger], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(fixtures.ledger(spark, sf_dir))
 
 
+def _stored(f: Callable[[Ledger], DataFrame]) -> Query:
+    """For results that need several of the ledger's tables, or one several times."""
+    return lambda spark, sf_dir: f(fixtures.ledger(spark, sf_dir, stored=True))
+
+
 def _table(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
@@ -33,11 +38,11 @@ def _source(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _usage(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return _ledger(lambda x: f(x.usage()))
+    return _stored(lambda x: f(x.usage()))
 
 
 def _week(f: Callable[[DataFrame, Ledger], DataFrame]) -> Query:
-    return _ledger(lambda x: f(report.trailing_days(x.usage(), _now()), x))
+    return _stored(lambda x: f(report.trailing_days(x.usage(), _now()), x))
 
 
 def _double(*names: str):
@@ -57,6 +62,20 @@ def _counts(x: Ledger) -> DataFrame:
     return out
 
 
+def _live(rows: DataFrame, name: str) -> DataFrame:
+    return rows.where("source = 'otel'").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+
+
+def _start(column: str, most: int):
+    return F.substring(column, 1, most)
+
+
+def _lists(x: Ledger) -> DataFrame:
+    """The rows of the payload, each list as one text in its order."""
+    told = lambda column, *names: F.array_join(F.transform(column, lambda r: F.concat_ws(":", *[r[n].cast("string") for n in names])), ",").alias(column)
+    return x.usage_with_lists().select("id", "api_calls", told("models", "model", "out_tokens", "calls"), told("tools", "name", "n"), F.array_join("agents", ",").alias("agents"), told("file_list", "path", "added", "removed"))
+
+
 def _week_families(rows: DataFrame, x: Ledger) -> DataFrame:
     return report.by_family(x.prompt_models().join(rows.select(F.col("id").alias("target")), "target", "left_semi"))
 
@@ -105,7 +124,8 @@ def _manifest_latest(p: DataFrame) -> DataFrame:
 
 
 def _routes(e: DataFrame) -> DataFrame:
-    body = F.when(F.col("event_type") == "signup", "x.user_prompt").when(F.col("event_type").isin("view", "click"), "x.api_request").when(F.col("event_type") == "purchase", "x.tool_result").otherwise("x.other")
+    c = "claude_code."
+    body = F.when(F.col("event_type") == "signup", f"{c}user_prompt").when(F.col("event_type").isin("view", "click"), f"{c}api_request").when(F.col("event_type") == "purchase", f"{c}tool_result").otherwise("other.user_prompt")
     return e.select("user_id", otlp.route(body).alias("route")).where("route is not null").groupBy("route", "user_id").agg(F.count("*").alias("n"))
 
 
@@ -146,9 +166,9 @@ QUERIES: dict[str, Query] = {
     "unpriced_models": _ledger(lambda x: x.unpriced()),
     "active_prompts": _usage(lambda u: u.select("id", "api_calls", "tool_calls")),
     "prompt_usage": _usage(lambda u: u.withColumn("wall_s", F.col("wall_s").cast("double"))),
-    "blocks_5h": _ledger(lambda x: blocks.blocks(x.costed)),
-    "blocks_5h_by_user": _ledger(lambda x: blocks.blocks(x.costed, ["session_id"])),
-    "current_block": _ledger(lambda x: blocks.current_block(x.costed, _now())),
+    "blocks_5h": _stored(lambda x: blocks.blocks(x.costed)),
+    "blocks_5h_by_user": _stored(lambda x: blocks.blocks(x.costed, ["session_id"])),
+    "current_block": _stored(lambda x: blocks.current_block(x.costed, _now())),
     "digest_totals": _week(lambda w, x: report.digest_totals(w, x.agents())),
     "digest_by_project": _week(lambda w, x: report.by_project(w)),
     "digest_by_family": _week(_week_families),
@@ -162,7 +182,7 @@ QUERIES: dict[str, Query] = {
     "daily_composition": _usage(report.daily_composition),
     "daily_cache_hit": _usage(report.daily_cache_hit),
     "daily_cost_per_kloc": _usage(report.daily_cost_per_kloc),
-    "daily_model_mix": _ledger(lambda x: report.daily_model_mix(x.usage(), x.prompt_models())),
+    "daily_model_mix": _stored(lambda x: report.daily_model_mix(x.usage(), x.prompt_models())),
     "daily_subagent_share": _usage(report.daily_subagent_share),
     "prompt_rates": _usage(report.prompt_rates),
     "live_audit": _ledger(
@@ -171,6 +191,11 @@ QUERIES: dict[str, Query] = {
             F.round(F.col("cost_usd").cast("decimal(20,9)"), 5).cast("double").alias("cost_usd"), "query_source", "agent_name",
         )
     ),
+    "live_counts": _ledger(lambda x: _live(x.prompts, "prompts").unionByName(_live(x.requests, "api_requests"))),
+    "live_prompts": _ledger(lambda x: x.prompts.where("source = 'otel'").select(_start("prompt_id", 8).alias("prompt"), "injected", _start("canonical_id", 8).alias("canonical"), _start("text", 60).alias("text"))),
+    "live_tools": _ledger(lambda x: x.tool_calls.where("source = 'otel'").select("tool_use_id", "tool_name", "source")),
+    "usage_lists": _stored(_lists),
+    "cost_labels": _usage(lambda u: u.select("id", fn.cost_label(F.col("cost") * 400, F.col("est")).alias("label"))),
     "table_counts": _ledger(_counts),
     "manifest_latest": _table("pages", _manifest_latest),
     "manifest_changed": _table("pages", _manifest_changed),
@@ -181,5 +206,5 @@ QUERIES: dict[str, Query] = {
     "iso_week": _table("events", lambda e: e.select(F.to_date("ts").alias("d")).distinct().select(F.date_format("d", "yyyy-MM-dd").alias("day"), fn.iso_week(F.col("d")).alias("week"))),
     "wall_clock": _usage(lambda u: u.select("id", F.col("wall_s").cast("double").alias("wall_s"))),
     "model_family": _source("fx_requests_src", lambda d: d.select("model").distinct().select("model", fn.model_family(F.col("model")).alias("family"))),
-    "filtered_view": _ledger(_filtered),
+    "filtered_view": _stored(_filtered),
 }

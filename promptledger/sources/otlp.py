@@ -9,7 +9,8 @@ from ..functions.scalars import is_injected, parse_ts
 
 _VALUE = "struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean>"
 PAYLOAD = f"struct<resourceLogs: array<struct<scopeLogs: array<struct<logRecords: array<struct<body: struct<stringValue: string>, attributes: array<struct<key: string, value: {_VALUE}>>>>>>>>>"
-ROUTES = {"user_prompt": "prompts", "api_request": "api_requests", "tool_result": "tool_calls"}
+#: The log bodies that are read and the table of each.
+EVENTS = {"claude_code.user_prompt": "prompts", "claude_code.api_request": "api_requests", "claude_code.tool_result": "tool_calls"}
 
 
 def log_records(payloads: DataFrame, column: str = "value") -> DataFrame:
@@ -24,8 +25,11 @@ def log_records(payloads: DataFrame, column: str = "value") -> DataFrame:
 def attributes(entries: Column) -> Column:
     """Map of key to value; of the kinds string, integer, double, boolean the first present counts, other kinds are dropped, the last of equal keys wins."""
     known = F.filter(entries, lambda a: F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string"), a["value"]["boolValue"].cast("string")).isNotNull() & a["key"].isNotNull())
-    last = F.filter(known, lambda a, i: ~F.exists(F.slice(known, i + 2, F.size(known)), lambda b: b["key"] == a["key"]))
-    return F.map_from_entries(F.transform(last, lambda a: F.struct(a["key"], a["value"])))
+    pairs = F.transform(known, lambda a: F.struct(a["key"], a["value"]))
+    # only a record that repeats a key, which is rare, is searched for the last of each
+    last = F.filter(pairs, lambda a, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda b: b["key"] == a["key"]))
+    keys = F.transform(known, lambda a: a["key"])
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(last))
 
 
 def text(attrs: Column, key: str) -> Column:
@@ -37,12 +41,11 @@ def number(attrs: Column, key: str, kind: str = "bigint") -> Column:
     return text(attrs, key).try_cast(kind)
 
 
-def route(body: Column) -> Column:
-    """The table that an event belongs to, null for other events."""
-    name = F.element_at(F.split(body, r"\."), -1)
+def route(body: Column, events: dict[str, str] = EVENTS) -> Column:
+    """The table that an event belongs to, by its whole body; null for other events."""
     found = F.lit(None).cast("string")
-    for event, table in ROUTES.items():
-        found = F.when(name == event, F.lit(table)).otherwise(found)
+    for event, table in events.items():
+        found = F.when(body == event, F.lit(table)).otherwise(found)
     return found
 
 

@@ -1,17 +1,27 @@
-"""The folder that driver and executors share, and fresh paths in it."""
+"""The folder that driver and executors share, fresh paths in it, and tables written there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where the session names none (one machine), a temporary folder is set."""
+    """A new path below ``spark.checkpoint.dir``. Where a session on one machine (master
+    ``local``) names none, a temporary folder is set; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="promptledger-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a Parquet table of the shared folder: what follows reads it, however often, and does not derive it anew."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

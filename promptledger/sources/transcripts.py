@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import created_stats, or_default, parse_ts, patch_stats
 from ..operators.attribution import file_first, forward_fill
+from . import storage
+
+
+#: Numbers of file blocks are broadcast up to this many, else joined by shuffle.
+BROADCAST_BLOCKS = 1_000_000
+_GLOB = r"([\[\]{}*?\\])"
+
 
+def file_path() -> Column:
+    """The path of a row's file, as it is named in its folder."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
-def scan(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """path, line_no, entry (VARIANT) of every JSON object line below ``root``.
 
-    Blank, malformed and non-object lines are skipped. Lines are numbered in file
-    order also where a file is split over tasks.
+def scan(spark: SparkSession, root: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """path, line_no, entry (VARIANT) of every JSON object line of the files below ``root`` (or of a list of files).
+
+    Blank, malformed and non-object lines are skipped but counted. Lines are numbered in
+    file order also where a file is split over tasks: from the counts of its blocks, so
+    no line is shuffled and a large file is many tasks.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
-    place = raw.select(
-        F.url_decode("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("within"), F.try_parse_json("value").alias("entry")
-    )
-    w = Window.partitionBy("path").orderBy("block", "within")
-    numbered = place.withColumn("line_no", F.row_number().over(w))
-    return numbered.where(F.schema_of_variant("entry").startswith("OBJECT")).select("path", "line_no", "entry")
+    named = [re.sub(_GLOB, r"\\\1", x) for x in root] if isinstance(root, list) else root
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(named)
+    lines = raw.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("within"), "value")
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("within").alias("first"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = storage.written(blocks.select("path", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift")), "blocks")
+    if blocks.count() <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    numbered = lines.join(blocks, ["path", "block"]).select("path", (F.col("within") + F.col("shift") + 1).alias("line_no"), F.try_parse_json("value").alias("entry"))
+    return numbered.where(F.schema_of_variant("entry").startswith("OBJECT"))
 
 
 def path_identity(path: Column) -> dict[str, Column]:
@@ -59,53 +76,60 @@ def prompt_text() -> Column:
 
 
 def attributed(entries: DataFrame) -> DataFrame:
-    """Entries with their file's identity, ts, is_prompt and prompt_id; entries that belong to no prompt are dropped.
+    """path, line_no and prompt_id of every entry that belongs to a prompt.
 
-    Main files: the last human prompt above. Subagent files: an entry's own id, else the file's first.
+    Main files: the last human prompt at or above. Subagent files: an entry's own id,
+    else the file's first. Only these few columns are sorted by file, never entries.
     """
-    ids = path_identity(F.col("path"))
-    rows = entries.withColumns({**ids, "ts": parse_ts(_get("$.timestamp")), "own_prompt": _get("$.promptId"), "is_prompt": is_human_prompt() & ~ids["is_subagent"]})
-    keys = rows.select("path", "line_no", "is_subagent", "is_prompt", "own_prompt")  # the entry itself stays out of window and group
+    sub = path_identity(F.col("path"))["is_subagent"]
+    keys = entries.select("path", "line_no", sub.alias("is_subagent"), (is_human_prompt() & ~sub).alias("is_prompt"), _get("$.promptId").alias("own_prompt"))
     main = forward_fill(keys.where(~F.col("is_subagent")), "path", "line_no", "is_prompt", "own_prompt").select("path", "line_no", "prompt_id")
-    sub = file_first(keys.where("is_subagent"), "path", "line_no", "own_prompt").select("path", "line_no", "prompt_id")
-    found = main.where("prompt_id is not null").unionByName(sub)
-    return rows.join(found, ["path", "line_no"])
+    return main.where("prompt_id is not null").unionByName(file_first(keys.where("is_subagent"), "path", "line_no", "own_prompt").select("path", "line_no", "prompt_id"))
 
 
-def prompts(rows: DataFrame) -> DataFrame:
-    return rows.where("is_prompt").select(
-        "prompt_id", "session_id", "project", "ts", prompt_text().alias("text"), F.lit("jsonl").alias("source"), F.lit(0).alias("injected"), "path", "line_no"
-    )
+def _with_prompt(facts: DataFrame, owned: DataFrame) -> DataFrame:
+    """Facts of entries that belong to a prompt, with the identity of their file; entries themselves are not shuffled."""
+    ids = path_identity(F.col("path"))
+    return facts.join(owned, ["path", "line_no"]).withColumns({c: ids[c] for c in ("session_id", "project", "agent_name", "is_subagent")})
+
 
+def _time() -> Column:
+    return parse_ts(_get("$.timestamp")).alias("ts")
 
-def _assistant(rows: DataFrame) -> DataFrame:
-    return rows.where(_get("$.type") == "assistant")
+
+def prompts(entries: DataFrame) -> DataFrame:
+    """Human prompts of main files that have an id."""
+    ids = path_identity(F.col("path"))
+    rows = entries.where(is_human_prompt() & ~ids["is_subagent"]).select(_get("$.promptId").alias("prompt_id"), ids["session_id"].alias("session_id"), ids["project"].alias("project"), _time(), prompt_text().alias("text"), "path", "line_no")
+    return rows.where("coalesce(prompt_id, '') <> ''").select("prompt_id", "session_id", "project", "ts", "text", F.lit("jsonl").alias("source"), F.lit(0).alias("injected"), "path", "line_no")
 
 
-def requests(rows: DataFrame) -> DataFrame:
+def requests(entries: DataFrame, owned: DataFrame) -> DataFrame:
     """Assistant entries with usage and a request id; missing token counts are 0, cost is unknown."""
     usage = _get("$.message.usage", "map<string, variant>")
     n = lambda path, name: F.coalesce(_get(f"$.message.usage.{path}", "bigint"), F.lit(0).cast("bigint")).alias(name)
-    known = _assistant(rows).where((F.coalesce(_get("$.requestId"), F.lit("")) != "") & (F.size(usage) > 0))
-    return known.select(
-        _get("$.requestId").alias("request_id"), "prompt_id", "session_id", "ts", or_default(_get("$.message.model"), "?").alias("model"),
+    known = entries.where((_get("$.type") == "assistant") & (F.coalesce(_get("$.requestId"), F.lit("")) != "") & (F.size(usage) > 0)).select(
+        _get("$.requestId").alias("request_id"), _time(), or_default(_get("$.message.model"), "?").alias("model"),
         n("input_tokens", "input_tokens"), n("output_tokens", "output_tokens"), n("cache_read_input_tokens", "cache_read_tokens"), n("cache_creation_input_tokens", "cache_create_tokens"),
-        n("cache_creation.ephemeral_5m_input_tokens", "cache_5m_tokens"), n("cache_creation.ephemeral_1h_input_tokens", "cache_1h_tokens"),
+        n("cache_creation.ephemeral_5m_input_tokens", "cache_5m_tokens"), n("cache_creation.ephemeral_1h_input_tokens", "cache_1h_tokens"), "path", "line_no",
+    )
+    return _with_prompt(known, owned).select(
+        "request_id", "prompt_id", "session_id", "ts", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_create_tokens", "cache_5m_tokens", "cache_1h_tokens",
         F.lit(None).cast("double").alias("cost_usd"), F.lit(None).cast("bigint").alias("duration_ms"), F.when(F.col("is_subagent"), "subagent").otherwise("main").alias("query_source"),
         "agent_name", F.lit("jsonl").alias("source"), "path", "line_no",
     )
 
 
-def tool_calls(rows: DataFrame) -> DataFrame:
-    each = _assistant(rows).select("prompt_id", "session_id", "ts", "agent_name", "path", "line_no", F.explode_outer(blocks()).alias("b"))
+def tool_calls(entries: DataFrame, owned: DataFrame) -> DataFrame:
+    each = entries.where(_get("$.type") == "assistant").select(_time(), "path", "line_no", F.explode(blocks()).alias("b"))
     b = lambda path: _get(path, entry="b")
     name = or_default(b("$.name"), "?")
-    return each.where((b("$.type") == "tool_use") & (F.coalesce(b("$.id"), F.lit("")) != "")).select(
-        b("$.id").alias("tool_use_id"), "prompt_id", "session_id", "ts", name.alias("tool_name"), "agent_name", F.lit("jsonl").alias("source"), F.when(name == "Skill", b("$.input.skill")).alias("detail"), "path", "line_no"
-    )
+    calls = each.where((b("$.type") == "tool_use") & (F.coalesce(b("$.id"), F.lit("")) != ""))
+    calls = calls.select(b("$.id").alias("tool_use_id"), "ts", name.alias("tool_name"), F.when(name == "Skill", b("$.input.skill")).alias("detail"), "path", "line_no")
+    return _with_prompt(calls, owned).select("tool_use_id", "prompt_id", "session_id", "ts", "tool_name", "agent_name", F.lit("jsonl").alias("source"), "detail", "path", "line_no")
 
 
-def edits(rows: DataFrame) -> DataFrame:
+def edits(entries: DataFrame, owned: DataFrame) -> DataFrame:
     """File changes that tool results report: a path, and a type or the key of a patch (its value may be null)."""
     result = _get("$.toolUseResult", "map<string, variant>")
     kind = _get("$.toolUseResult.type")
@@ -115,16 +139,20 @@ def edits(rows: DataFrame) -> DataFrame:
     lines = F.flatten(F.transform(hunks, lambda h: F.coalesce(F.try_variant_get(h, F.lit("$.lines"), "array<string>"), F.array().cast("array<string>"))))
     content = F.coalesce(_get("$.toolUseResult.content"), F.lit(""))
     stats = F.when((F.col("kind") == "create") & (F.size(hunks) == 0), created_stats(content)).otherwise(patch_stats(lines))
-    users = rows.where((_get("$.type") == "user") & ~F.col("is_prompt"))
+    sub = path_identity(F.col("path"))["is_subagent"]
+    users = entries.where((_get("$.type") == "user") & (~is_human_prompt() | sub))
     named = users.withColumns({"kind": kind, "file_path": _get("$.toolUseResult.filePath"), "tool_use_id": F.try_variant_get(first, F.lit("$.tool_use_id"), "string")})
     kept = named.where("kind is not null and coalesce(file_path, '') <> '' and coalesce(tool_use_id, '') <> ''").withColumn("s", stats)
-    return kept.select(
-        "tool_use_id", "prompt_id", "session_id", "ts", "file_path", "kind", F.col("s.added").alias("lines_added"), F.col("s.removed").alias("lines_removed"), F.col("s.chars").alias("chars_added"), "agent_name", F.lit("jsonl").alias("source"), "path", "line_no"
+    kept = kept.select("tool_use_id", _time(), "file_path", "kind", F.col("s.added").alias("lines_added"), F.col("s.removed").alias("lines_removed"), F.col("s.chars").alias("chars_added"), "path", "line_no")
+    return _with_prompt(kept, owned).select(
+        "tool_use_id", "prompt_id", "session_id", "ts", "file_path", "kind", "lines_added", "lines_removed", "chars_added", "agent_name", F.lit("jsonl").alias("source"), "path", "line_no"
     )
 
 
 def sessions(entries: DataFrame) -> DataFrame:
-    """A row for each main file, with its first working directory."""
+    """A row for each main file, with its first working directory and the place of that or of its first entry."""
     rows = entries.withColumns(path_identity(F.col("path"))).where(~F.col("is_subagent"))
     cwd = F.nullif(_get("$.cwd"), F.lit(""))
-    return rows.select("session_id", "project", cwd.alias("cwd"), "line_no").groupBy("session_id", "project").agg(F.min(F.when(F.col("cwd").isNotNull(), F.struct("line_no", "cwd")))["cwd"].alias("cwd"))
+    return rows.select("session_id", "project", cwd.alias("cwd"), "path", "line_no").groupBy("session_id", "project", "path").agg(
+        F.min(F.when(F.col("cwd").isNotNull(), F.struct("line_no", "cwd")))["cwd"].alias("cwd"), F.min("line_no").alias("line_no")
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,10 +21,12 @@ def payload_stream(spark: SparkSession, path: str, files_per_batch: int = 1000)
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
 
 
-def ingest(payloads: DataFrame, root: str, checkpoint: str, after: Callable[[int], None] | None = None, **trigger):
-    """Append each batch to the tables below ``root``, once for each batch id; then call ``after`` (a rebuild).
+def ingest(payloads: DataFrame, root: str, checkpoint: str, after: Callable[[int], None] | None = None, clock: Callable[[], int] = lambda: time.time_ns() // 1000, **trigger):
+    """Append each batch to the tables below ``root``, once for each batch id; then call ``after`` with it.
 
-    Late records are only appended: the next rebuild merges them. Empty batches do nothing.
+    ``after`` is where ``plans.ingest.refresh`` recomputes what the batch touches, late
+    records included, and the current block. ``clock`` orders batches of both feeds.
+    Empty batches do nothing.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
@@ -31,8 +34,10 @@ def ingest(payloads: DataFrame, root: str, checkpoint: str, after: Callable[[int
         try:
             if records.isEmpty():
                 return
+            came = clock()
             for name, table in TABLES.items():
-                sinks.append_batch(table(records).withColumn("ordinal", F.monotonically_increasing_id()), f"{root}/{name}", batch_id)
+                rows = table(records).withColumns({"ordinal": F.monotonically_increasing_id(), "place": F.lit(""), "arrived": F.lit(came).cast("bigint")})
+                sinks.append_batch(rows, f"{root}/{name}", batch_id)
         finally:
             records.unpersist()
         if after:
@@ -44,7 +49,7 @@ def ingest(payloads: DataFrame, root: str, checkpoint: str, after: Callable[[int
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """An ingested table with its ``arrival_seq``."""
     rows = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-    return rows.withColumn("arrival_seq", F.struct("batch_id", "ordinal"))
+    return rows.withColumn("arrival_seq", F.struct("arrived", "batch_id", "place", "ordinal"))
 
 
 STATE = "ts timestamp, prompt_id string"

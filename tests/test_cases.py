@@ -57,23 +57,23 @@ def attributed(entries):
     return transcripts.attributed(entries)
 
 
-def test_prompts(attributed):
-    got = {r.prompt_id: (r.text, r.session_id, r.project) for r in transcripts.prompts(attributed).collect()}
+def test_prompts(entries):
+    got = {r.prompt_id: (r.text, r.session_id, r.project) for r in transcripts.prompts(entries).collect()}
     assert got == {"p1": ("fix it", "s1", "my proj"), "p2": ("plain", "s1", "my proj"), "p3": ("", "s1", "my proj")}
 
 
-def test_requests(attributed):
-    got = sorted((r.request_id, r.prompt_id, r.query_source, r.input_tokens, r.cache_5m_tokens) for r in transcripts.requests(attributed).collect())
+def test_requests(entries, attributed):
+    got = sorted((r.request_id, r.prompt_id, r.query_source, r.input_tokens, r.cache_5m_tokens) for r in transcripts.requests(entries, attributed).collect())
     assert got == [
         ("q1", "p7", "subagent", 10, 100), ("q2", "p7", "subagent", 10, 100), ("q3", "p6", "subagent", 10, 100),
         ("r1", "p1", "main", 10, 100), ("r1", "p1", "main", 10, 100), ("r3", "p1", "main", 0, 0), ("r5", "p3", "main", 10, 100),
     ]
 
 
-def test_tool_calls_and_edits(attributed):
-    calls = {(r.tool_use_id, r.tool_name, r.detail) for r in transcripts.tool_calls(attributed).collect()}
+def test_tool_calls_and_edits(entries, attributed):
+    calls = {(r.tool_use_id, r.tool_name, r.detail) for r in transcripts.tool_calls(entries, attributed).collect()}
     assert calls == {("t1", "Edit", None), ("t2", "Skill", "s")}
-    edits = {(r.tool_use_id, r.kind, r.lines_added, r.lines_removed, r.chars_added) for r in transcripts.edits(attributed).collect()}
+    edits = {(r.tool_use_id, r.kind, r.lines_added, r.lines_removed, r.chars_added) for r in transcripts.edits(entries, attributed).collect()}
     assert edits == {("t1", "update", 2, 1, 7), ("t4", "update", 0, 0, 0), ("t5", "create", 3, 0, 4), ("t6", "create", 0, 0, 0)}
 
 
@@ -230,12 +230,63 @@ def test_listing(spark, tmp_path):
     assert row["path"].endswith("a.jsonl") and row["size"] == 3 and row["mtime"] > 1.6e9
 
 
+def test_names_of_files(spark, tmp_path):
+    """Odd letters in paths are read as they are, and the manifest's names are the scan's."""
+    for name in ("a+b", "a b", "50%20", "x[1]{y}*?"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "s.jsonl").write_text(human(name))
+    listed = sorted(r.path for r in manifest.listing(spark, str(tmp_path)).collect())
+    entries = transcripts.scan(spark, listed)
+    assert sorted(r.path for r in entries.collect()) == listed
+    assert {r.project: r.prompt_id for r in transcripts.prompts(entries).collect()} == {n: n for n in ("a+b", "a b", "50%20", "x[1]{y}*?")}
+
+
+def test_store(spark, tmp_path):
+    """Files that change are read again, those that do not are not; a late prompt moves what was folded."""
+    from promptledger.plans import ingest
+
+    files, root = tmp_path / "files" / "proj", f"{tmp_path}/store"
+    files.mkdir(parents=True)
+    (files / "s1.jsonl").write_text("\n".join([human("p1"), answer("r1", USAGE)]))
+    counts = lambda *x, **y: {r.measure: r.n for r in ingest.reconcile(spark, str(tmp_path / "files"), root, *x, **y).collect()}
+    assert counts(0, 10) == {"scanned": 1, "ingested": 1, "prompts": 1, "api_requests": 1, "tool_calls": 0, "edits": 0, "sessions": 1}
+    ingest.refresh(spark, root, "transcripts", 0, 999_999, "2026-01-05 11:00:00")
+    assert counts(1, 11)["ingested"] == 0
+    # a live record of an injected prompt, folded into p1, and its request
+    live_rows = spark.createDataFrame([("i1", "s1", datetime(2026, 1, 5, 12), "<system-reminder>", "otel", 1, 12, "", 1)], "prompt_id string, session_id string, ts timestamp_ntz, text string, source string, injected int, arrived long, place string, ordinal long")
+    sinks.append_batch(live_rows, f"{root}/live/prompts", 0)
+    calls = spark.createDataFrame([("r9", "i1", "s1", datetime(2026, 1, 5, 12), "claude-opus-4-5", 5, 1.0, "otel", 12, "", 2)], "request_id string, prompt_id string, session_id string, ts timestamp_ntz, model string, output_tokens long, cost_usd double, source string, arrived long, place string, ordinal long")
+    sinks.append_batch(calls, f"{root}/live/api_requests", 0)
+    ingest.refresh(spark, root, "live", 0, 0, "2026-01-05 14:00:00")
+    assert {r.id: (r.api_calls, r.out_tokens) for r in ingest.usage(spark, root).collect()} == {"p1": (2, 25)}
+    assert [(r.block_start.hour, r.requests) for r in ingest.current_block(spark, root).collect()] == [(10, 2)]
+    # a typed prompt that comes late takes the injected one over
+    with open(files / "s1.jsonl", "a") as f:
+        f.write("\n" + human("p2", ts="2026-01-05T11:30:00.000Z"))
+    assert counts(2, 13)["ingested"] == 1
+    ingest.refresh(spark, root, "transcripts", 2_000_000, 2_999_999, "2026-01-06 14:00:00")
+    got = {r.id: (r.api_calls, r.out_tokens) for r in ingest.usage(spark, root).collect()}
+    assert got == {"p1": (1, 20), "p2": (1, 5)} == {r.id: (r.api_calls, r.out_tokens) for r in ingest.silver(spark, root).usage().collect()}
+    assert ingest.current_block(spark, root).count() == 0
+    assert counts(3, 14, force=True)["ingested"] == 1 and counts(4, 15)["prompts"] == 3
+    # an older store is read anew, a newer one refused
+    sinks_version = sinks.SCHEMA_VERSION
+    try:
+        sinks.SCHEMA_VERSION = sinks_version + 1
+        assert counts(5, 16)["ingested"] == 1
+        sinks.SCHEMA_VERSION = sinks_version
+        with pytest.raises(ValueError):
+            counts(6, 17)
+    finally:
+        sinks.SCHEMA_VERSION = sinks_version
+
+
 def test_payload_attributes(spark):
     attrs = [{"key": "a", "value": {"stringValue": "x"}}, {"key": "a", "value": {"stringValue": "y"}}, {"key": "n", "value": {"intValue": "7"}}, {"key": "list", "value": {"arrayValue": {}}}]
-    payload = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"body": {"stringValue": "x.api_request"}, "attributes": attrs}, {"body": {}}]}]}]})
+    payload = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"body": {"stringValue": "claude_code.api_request"}, "attributes": attrs}, {"body": {}}, {"body": {"stringValue": "x.api_request"}, "attributes": attrs}]}]}]})
     rows = otlp.log_records(spark.createDataFrame([(payload,), ("{bad",)], "value string"))
     got = rows.select("body", otlp.text(F.col("attrs"), "a").alias("a"), otlp.number(F.col("attrs"), "n").alias("n"), F.map_contains_key("attrs", "list").alias("l")).orderBy("ordinal").collect()
-    assert [tuple(r) for r in got] == [("x.api_request", "y", 7, False), ("", None, None, None)]
+    assert [tuple(r) for r in got] == [("claude_code.api_request", "y", 7, False), ("", None, None, None), ("x.api_request", "y", 7, False)]
     assert otlp.requests(rows).count() == 1
 
 
