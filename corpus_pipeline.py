@@ -19,26 +19,27 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go: those that score under 0.5. A null or empty text has the score of no words; null ids are scored alike."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that of the least id."""
+    """One document of each class stays, that of the least id (then of the least key, of equal rows one). Rows without an id stay."""
     return near_dups.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go. Null and empty texts, and rows without an id, that hold none stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced; every document stays."""
+    """Secrets are replaced; every document stays, null texts as they are."""
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places; see ``pack_documents`` for null, empty and repeated rows."""
     return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), CAPACITY)
 
 
