@@ -7,29 +7,30 @@ runs (the leftmost of equals), so equal windows have equal seeds.
    cannot be in a recurring window.
 2. Documents with recurring seeds give units: the windows of one seed place, in
    their text. Each window is in one unit, equal windows have units of one seed.
-3. Units are dealt by seed. Each task confirms its recurring passages word by
-   word, compiles them into an automaton of word numbers for a bounded shard of
-   seeds, and streams the shard's units through it; an occurrence that is not the
-   first marks its words. Units of a seed with very many different ones are cut
-   into windows and dealt by seed and hash of the window, so that equal windows
-   still meet and no task holds all of the seed's windows.
-4. Every document drops its marked words.
-
-No automaton sees text that cannot hold one of its passages, so work grows with
-the corpus, not with shards times corpus. Rows of equal id and text are judged as
-one; those of equal id and different texts by a hash of both.
+3. Passages are confirmed on different units only (equal ones are counted before
+   any shuffle): a unit that occurs again, and the windows that different units of
+   one seed share. Each passage carries its first place in all documents.
+4. Passages are compiled into automata of a bounded size, one for each shard, and
+   the units of all documents stream through the automaton of their shard; a
+   passage found anywhere but in its first place marks its words. A seed in very
+   many documents has its units dealt over several tasks, its passages to each.
+5. Every document drops its marked words.
+
+A unit streams through the one automaton that can hold its windows, so work grows
+with the corpus, not with shards times corpus. Rows of equal id and text are judged
+as one; those of equal id and different texts by a hash of both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ascii_words, table, written
@@ -37,15 +38,24 @@ from .shared import ascii_words, table, written
 WINDOW = 20
 SEED_WORDS = 6
 SPAN = WINDOW - SEED_WORDS + 1  # seed places of one window
-MAX_REMEMBERED = 500_000
-#: Words of the passages that one automaton holds about.
-SHARD_WORDS = 200_000
-#: Units of one seed (and shard) beyond which it is no longer held but streamed, and
-#: different units of one seed beyond which it is dealt in shards.
+#: Bytes of text that are hashed at once about (a longer text is hashed whole).
+CHUNK_BYTES = 1 << 20
+#: Bytes of the passages of one automaton about.
+SHARD_BYTES = 1 << 20
+#: A seed with more places is dealt over several tasks, and with more different units in shards.
 HELD_UNITS = 2_000
+#: Such seeds have also more than a share of 1 / MOST_HOT of all places, so they are fewer than this.
+MOST_HOT = 100_000
 #: What a step has found for each document is broadcast up to this size, else joined by shuffle.
 BROADCAST_BYTES = 64 << 20
-_MIX = (np.random.default_rng(20).integers(1, 1 << 63, SEED_WORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_RANDOM = np.random.default_rng(20)
+_MIX = (_RANDOM.integers(1, 1 << 63, SEED_WORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_LETTER = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = (int(_RANDOM.integers(1, 1 << 61)) << 2) | 3
+_SPACES = b" \t\n\x0b\x0c\r"
+_IS_SPACE = np.isin(np.arange(256), list(_SPACES))
+_TO_SPACE = bytes.maketrans(_SPACES, b" " * len(_SPACES))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,136 +64,134 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered."""
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the hash's base, and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, CHUNK_BYTES), base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > MAX_REMEMBERED:
-            self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class Chunk:
+    """Words, seeds and units of some texts (bytes), by few operations over all of them.
 
-
-def seeds_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every seed place that some window chooses, and the first window that does.
-
-    Windows choose in runs, so place k serves windows first[k] up to first[k + 1].
+    ``starts, ends`` are byte places of words, ``owner`` their text. Seed place k is chosen
+    by ``windows[k]`` windows from word ``first[k]`` on.
     """
-    n = len(codes) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    m = len(codes) - SEED_WORDS + 1
-    h = np.zeros(m, np.uint64)
-    for k in range(SEED_WORDS):
-        h += codes[k : k + m] * _MIX[k]
-    h = mixed(h)
-    best, at, width = h, np.arange(m), 1
-    while width < SPAN:  # least of runs of 1, 2, 4, 8 and SPAN places, leftmost of equals
-        step = min(width, SPAN - width)
-        left, right = best[:-step], best[step:]
-        take = right < left
-        best, at, width = np.where(take, right, left), np.where(take, at[step:], at[:-step]), width + step
-    first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
-    return best[first].astype(np.int64), first
+
+    def __init__(self, texts: list[bytes]):
+        self.text = b"\n".join(texts).translate(_TO_SPACE)
+        data = np.frombuffer(self.text, np.uint8)
+        inside = np.concatenate([[False], ~_IS_SPACE[data], [False]])
+        edges = np.nonzero(inside[1:] != inside[:-1])[0]
+        self.starts, self.ends = edges[::2], edges[1::2]
+        begins = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+        self.owner = np.searchsorted(begins, self.starts, "right") - 1
+        self.n_words = np.bincount(self.owner, minlength=len(texts))
+        self.base = np.cumsum(self.n_words) - self.n_words
+        self._choose(self._hashes(data))
+        #: number of the first seed place of each text, and of all
+        self.places = np.searchsorted(self.owner[self.first], np.arange(len(texts) + 1))
+
+    def _hashes(self, data: np.ndarray) -> np.ndarray:
+        """A hash of each word: a polynomial of its letters' random numbers, from one running sum."""
+        up, down = powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_LETTER[data] * up[: len(data)], out=total[1:])
+        return mixed((total[self.ends] - total[self.starts]) * down[self.starts])
+
+    def _choose(self, codes: np.ndarray) -> None:
+        n = len(codes) - WINDOW + 1
+        if n <= 0:
+            self.seeds, self.first, self.windows = (np.zeros(0, np.int64) for _ in range(3))
+            return
+        m = len(codes) - SEED_WORDS + 1
+        h = np.zeros(m, np.uint64)
+        for k in range(SEED_WORDS):
+            h += codes[k : k + m] * _MIX[k]
+        h = mixed(h)
+        best, at, width = h, np.arange(m), 1
+        while width < SPAN:  # least of runs of 1, 2, 4, 8 and SPAN places, leftmost of equals
+            step = min(width, SPAN - width)
+            left, right = best[:-step], best[step:]
+            take = right < left
+            best, at, width = np.where(take, right, left), np.where(take, at[step:], at[:-step]), width + step
+        valid = self.owner[:n] == self.owner[WINDOW - 1 :]  # a window is in one text
+        new = valid.copy()
+        new[1:] &= ~valid[:-1] | (at[1:] != at[:-1])
+        self.first = np.nonzero(new)[0]
+        self.seeds = best[self.first].astype(np.int64)
+        self.windows = np.add.reduceat(valid.astype(np.int64), self.first) if len(self.first) else self.first
+
+    def units(self, k: np.ndarray) -> list[bytes]:
+        """The text of seed places ``k``: their windows' words, joined by one space."""
+        lo, hi = self.starts[self.first[k]], self.ends[self.first[k] + self.windows[k] + WINDOW - 2]
+        text = self.text
+        out = [text[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
+        return [b" ".join(u.split()) if b"  " in u else u for u in out] if b"  " in text else out
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, int, Chunk]]:
+    """Texts a to b, CHUNK_BYTES about, and their chunk."""
+    a = size = 0
+    for b, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= CHUNK_BYTES or b == len(texts):
+            yield a, b, Chunk(texts[a:b])
+            a, size = b, 0
+
+
+def _bytes(column: pd.Series) -> list[bytes]:
+    return [t if t is not None else b"" for t in column]
 
 
 def seeds(docs: DataFrame) -> DataFrame:
     """``row, doc_id, n_words, sha256, seeds`` of every row of ``docs(row, doc_id, text)``: its digest as it is, its seeds."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for pdf in batches:
-            words = [ascii_words(t) for t in pdf["text"]]
-            yield pd.DataFrame({
-                "row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "n_words": [len(w) for w in words],
-                "sha256": [sha256(b" ".join(w)).hexdigest() for w in words], "seeds": [seeds_of(hashes.of(w))[0] for w in words],
-            })
+            texts, n_words, own = _bytes(pdf["text"]), [], []
+            for _, _, c in chunks(texts):
+                n_words += c.n_words.tolist()
+                own += np.split(c.seeds, c.places[1:-1])
+            digests = []
+            for t in texts:
+                plain = t.translate(_TO_SPACE)
+                if b"  " in plain or plain[:1] == b" " or plain[-1:] == b" ":
+                    plain = b" ".join(plain.split())
+                digests.append(sha256(plain).hexdigest())
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "n_words": n_words, "sha256": digests, "seeds": own})
 
-    return docs.mapInPandas(found, "row long, doc_id long, n_words long, sha256 string, seeds array<long>")
+    return docs.withColumn("text", F.col("text").cast("binary")).mapInPandas(found, "row long, doc_id long, n_words long, sha256 string, seeds array<long>")
 
 
-UNIT = "seed long, doc_id long, row long, at int, words string"
+#: ``doc`` is the doc_id, the least number for a null one.
+UNIT = "seed long, doc long, row long, at int, words binary"
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Units at the recurring seeds ``seeds`` of ``docs(row, doc_id, text, seeds)``."""
+    """Units at the seed places ``places`` (numbers within its text) of ``docs(row, doc_id, text, places)``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for pdf in batches:
-            seed, doc, row, at, words = [], [], [], [], []
-            for doc_id, r, text, often in zip(pdf["doc_id"].astype("Int64"), pdf["row"], pdf["text"], pdf["seeds"]):
-                w = ascii_words(text)
-                h, first = seeds_of(hashes.of(w))
-                edge = np.append(first, len(w) - WINDOW + 1)
-                for k in np.nonzero(np.isin(h, often))[0].tolist():
-                    a, b = int(edge[k]), int(edge[k + 1])
-                    seed.append(int(h[k]))
-                    doc.append(doc_id)
-                    row.append(r)
-                    at.append(a)
-                    words.append(b" ".join(w[a : b + WINDOW - 1]).decode("utf-8", "surrogatepass"))
-            yield pd.DataFrame({"seed": np.array(seed, np.int64), "doc_id": pd.array(doc, "Int64"), "row": np.array(row, np.int64), "at": np.array(at, np.int32), "words": words})
-
-    return docs.mapInPandas(cut, UNIT)
-
-
-class Shard:
-    """Units of some seeds in order of place, their recurring passages and automaton."""
-
-    def __init__(self) -> None:
-        self.units: list[tuple[tuple[int, int], int, int, list[str]]] = []  # seed and its shard, row, at, words
-        self.words = 0
-
-    def add(self, seed: tuple[int, int], row: int, at: int, words: list[str]) -> None:
-        self.units.append((seed, row, at, words))
-        self.words += len(words)
-
-    def repeats(self) -> list[tuple[int, int]]:
-        """(row, window) of every window that is not its sequence's first."""
-        number: dict[str, int] = {}
-        coded = [tuple([number.setdefault(w, len(number)) for w in words]) for _, _, _, words in self.units]
-        by_seed: dict[tuple[int, int], list[int]] = {}
-        for k, u in enumerate(self.units):
-            by_seed.setdefault(u[0], []).append(k)
-        passages: dict[tuple[int, ...], None] = {}
-        for own in by_seed.values():
-            distinct = {coded[k] for k in own}
-            if len(distinct) == 1:
-                if len(own) > 1 or len(coded[own[0]]) > WINDOW:
-                    passages[coded[own[0]]] = None
-                continue
-            seen: dict[tuple[int, ...], int] = {}
-            for k in own:
-                c = coded[k]
-                for i in range(len(c) - WINDOW + 1):
-                    w = c[i : i + WINDOW]
-                    seen[w] = seen.get(w, 0) + 1
-            passages.update((w, None) for w, n in seen.items() if n > 1)
-        if not passages:
-            return []
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for p in passages:
-            automaton.add_word(p, len(p))
-        automaton.make_automaton()
-        out: list[tuple[int, int]] = []
-        first: set[tuple[int, ...]] = set()
-        for (_, row, at, _), c in zip(self.units, coded):
-            starts: set[int] = set()
-            for end, size in automaton.iter(c):
-                starts.update(range(end - size + 1, end - WINDOW + 2))
-            for i in sorted(starts):
-                w = c[i : i + WINDOW]
-                if w in first:
-                    out.append((row, at + i))
-                else:
-                    first.add(w)
-        return out
+            doc, row, wanted = pdf["doc"].to_numpy(), pdf["row"].to_numpy(), pdf["places"].tolist()
+            for a, b, c in chunks(_bytes(pdf["text"])):
+                own = np.repeat(np.arange(a, b), [len(p) for p in wanted[a:b]])
+                if not len(own):
+                    continue
+                k = np.concatenate(wanted[a:b]).astype(np.int64) + c.places[own - a]
+                yield pd.DataFrame({"seed": c.seeds[k], "doc": doc[own], "row": row[own], "at": (c.first[k] - c.base[own - a]).astype(np.int32), "words": c.units(k)})
+
+    least = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc")
+    return docs.select("row", least, F.col("text").cast("binary").alias("text"), "places").mapInPandas(cut, UNIT)
+
+
+def _windows(words: bytes) -> list[bytes]:
+    """The windows of a unit."""
+    ends = list(accumulate(len(w) + 1 for w in words.split(b" ")))
+    return [words[a : b - 1] for a, b in zip([0, *ends], ends[WINDOW - 1 :])]
 
 
 def sharded(found: DataFrame, hot: DataFrame) -> DataFrame:
@@ -201,80 +209,131 @@ def sharded(found: DataFrame, hot: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             part, at, words, shard = [], [], [], []
-            for k, (begin, text, shards) in enumerate(zip(pdf["at"].tolist(), pdf["words"].tolist(), pdf["shards"].tolist())):
-                w = text.split(" ")
-                n = len(w) - WINDOW + 1
-                own = [xxhash.xxh64_intdigest(" ".join(w[i : i + WINDOW]).encode("utf-8", "surrogatepass")) % shards for i in range(n)]
+            for k, (begin, unit, shards) in enumerate(zip(pdf["at"].tolist(), pdf["words"].tolist(), pdf["shards"].tolist())):
+                w = unit.split(b" ")
+                own = [xxhash.xxh64_intdigest(x) % shards for x in _windows(unit)]
                 a = 0
-                for b in range(1, n + 1):
-                    if b == n or own[b] != own[a]:
+                for b in range(1, len(own) + 1):
+                    if b == len(own) or own[b] != own[a]:
                         part.append(k)
                         at.append(begin + a)
-                        words.append(" ".join(w[a : b + WINDOW - 1]))
+                        words.append(b" ".join(w[a : b + WINDOW - 1]))
                         shard.append(own[a])
                         a = b
-            out = pdf[["seed", "row"]].iloc[part].reset_index(drop=True)
-            out["doc_id"] = pdf["doc_id"].astype("Int64").iloc[part].reset_index(drop=True)
+            out = pdf[["seed", "doc", "row"]].iloc[part].reset_index(drop=True)
             yield out.assign(at=np.array(at, np.int32), words=words, shard=np.array(shard, np.int32))
 
     pieces = found.join(F.broadcast(wide), "seed").mapInPandas(cut, UNIT + ", shard int")
     return whole.join(F.broadcast(wide), "seed", "left_anti").unionByName(pieces)
 
 
-def repeated_windows(dealt: DataFrame) -> DataFrame:
-    """``row, at, n``: runs of n windows from window ``at`` on that earlier ones equal, from units dealt and sorted by seed, shard and place.
+PASSAGE = "seed long, shard int, words binary, doc long, row long, at int"
+
+
+def passages(found: DataFrame) -> DataFrame:
+    """``seed, shard, words, doc, row, at``: the recurring passages of units ``found`` and their first places.
 
-    A seed's shard with very many units is streamed: only its distinct units and
-    windows are held, and ``sharded`` bounds these.
+    A unit that occurs again is one; so is a run of windows of a unit's first place
+    that are, in the same order, at an earlier first place in another unit.
     """
+    place = F.struct("doc", "row", "at")
+    kinds = written(found.groupBy("seed", "shard", "words").agg(F.count("*").alias("n"), F.min(place).alias("p")).select("seed", "shard", "words", "n", "p.*"), "different-units")
+    again = kinds.where("n > 1").drop("n")
+    several = kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("seed", "shard"))).where("kinds > 1")
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+
+        def runs() -> list[tuple]:
+            """Of the units held (all different ones of one seed and shard)."""
+            own = [_windows(words) for words, *_ in held]
+            first: dict[bytes, tuple[int, int, int]] = {}
+            for windows, (_, doc, row, at) in zip(own, held):
+                for i, w in enumerate(windows):
+                    here = (doc, row, at + i)
+                    if w not in first or here < first[w]:
+                        first[w] = here
+            out = []
+            for windows, (words, doc, row, at) in zip(own, held):
+                apart = None
+                for i, w in enumerate(windows):
+                    d, r, k = first[w]
+                    if (d, r, k) == (doc, row, at + i):
+                        apart = None
+                    elif apart == (d, r, k - i):
+                        out[-1][1] = i
+                    else:
+                        apart = d, r, k - i
+                        out.append([i, i, words, d, r, k])
+            return out
+
+        for pdf in batches:
+            found_here = []
+            for seed, shard, *unit in pdf[["seed", "shard", "words", "doc", "row", "at"]].itertuples(index=False, name=None):
+                if (seed, shard) != key:
+                    found_here += [(key, x) for x in runs()]
+                    key, held = (seed, shard), []
+                held.append(unit)
+            yield table_of(found_here)
+        yield table_of([(key, x) for x in runs()])
+
+    def table_of(found_here: list[tuple]) -> pd.DataFrame:
+        rows = [(*key, b" ".join(words.split(b" ")[a : b + WINDOW]), d, r, k) for key, (a, b, words, d, r, k) in found_here]
+        return pd.DataFrame(rows, columns=["seed", "shard", "words", "doc", "row", "at"]).astype({"seed": "int64", "shard": "int32", "doc": "int64", "row": "int64", "at": "int32"})
+
+    parted = several.sortWithinPartitions("seed", "shard").mapInPandas(shared, PASSAGE)
+    return again.select("seed", "shard", "words", "doc", "row", "at").unionByName(parted)
+
+
+def automaton_of(shard: list[tuple[bytes, int, int, int]]):
+    """The automaton of passages (words, doc, row, at); words have a space on either side, so only whole words match."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for words, *first in shard:
+        a.add_word(f" {words.decode('latin-1')} ", (len(words) + 2, words.count(b" ") + 2 - WINDOW, *first))
+    a.make_automaton()
+    return a
 
-    def frame(found: list[tuple[int, int]]) -> pd.DataFrame:
-        rows = np.array(sorted(found), np.int64).reshape(-1, 2)
-        new = np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1] + 1)])
-        begin = np.nonzero(new)[0]
-        return pd.DataFrame({"row": rows[begin, 0], "at": rows[begin, 1].astype(np.int32), "n": np.diff(np.append(begin, len(rows))).astype(np.int32)})
+
+def repeated_windows(found: DataFrame, confirmed: DataFrame, hot: DataFrame) -> DataFrame:
+    """``row, at, n``: runs of n windows from window ``at`` on that earlier ones equal.
+
+    Units ``found`` and passages ``confirmed`` of a shard meet in a task: the passages
+    come first and are compiled, then the units stream through. ``hot(seed, salts)``
+    are the seeds whose units are dealt over several tasks.
+    """
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(n, -(-(confirmed.agg(F.sum(F.length("words"))).first()[0] or 0) // SHARD_BYTES))
+    bucket = F.pmod(F.xxhash64("seed", "shard"), F.lit(shards)).alias("bucket")
+    salted = lambda rows: rows.join(F.broadcast(hot), "seed", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    keys = salted(confirmed).select(bucket, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc", "row", "at", "words")
+    texts = salted(found).select(bucket, F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc", "row", "at", "words")
 
     def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, seed, held, last = Shard(), None, 0, None
-        streamed: set[str] | None = None
-        whole: set[str] = set()  # streamed units
+        key, shard, automaton = None, [], None
         for pdf in batches:
-            late: list[tuple[int, int]] = []
-            keys = zip(pdf["seed"].tolist(), pdf["shard"].tolist())
-            for s, row, at, words in zip(keys, pdf["row"].tolist(), pdf["at"].tolist(), pdf["words"].tolist()):
-                if (s, row, at) == last:  # a row that the table has twice
+            rows, ats, counts = [], [], []
+            for bucket, salt, kind, doc, row, at, words in pdf.itertuples(index=False, name=None):
+                if (bucket, salt) != key:
+                    key, shard, automaton = (bucket, salt), [], None
+                if not kind:
+                    shard.append((words, doc, row, at))
                     continue
-                last = s, row, at
-                if s != seed:
-                    if shard.words >= SHARD_WORDS:
-                        late += shard.repeats()
-                        shard = Shard()
-                    seed, held, streamed = s, 0, None
-                w = words.split(" ")
-                held += 1
-                if streamed is None and held > HELD_UNITS:
-                    late += shard.repeats()
-                    streamed = {" ".join(u[3][i : i + WINDOW]) for u in shard.units if u[0] == s for i in range(len(u[3]) - WINDOW + 1)}
-                    whole = set()
-                    shard = Shard()
-                if streamed is None:
-                    shard.add(s, row, at, w)
+                if shard:
+                    automaton, shard = automaton_of(shard), []
+                if automaton is None:
                     continue
-                if words in whole:
-                    late += [(row, at + i) for i in range(len(w) - WINDOW + 1)]
-                    continue
-                whole.add(words)
-                for i in range(len(w) - WINDOW + 1):
-                    window = " ".join(w[i : i + WINDOW])
-                    if window in streamed:
-                        late.append((row, at + i))
-                    else:
-                        streamed.add(window)
-            if late:
-                yield frame(late)
-        if rest := shard.repeats():
-            yield frame(rest)
-
+                text = f" {words.decode('latin-1')} "
+                for end, (size, windows, d, r, k) in automaton.iter(text):
+                    here = at + text.count(" ", 0, end - size + 1)
+                    if (d, r, k) != (doc, row, here):
+                        rows.append(row)
+                        ats.append(here)
+                        counts.append(windows)
+            yield pd.DataFrame({"row": np.array(rows, np.int64), "at": np.array(ats, np.int32), "n": np.array(counts, np.int32)})
+
+    dealt = keys.unionByName(texts).repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
     return dealt.mapInPandas(located, "row long, at int, n int")
 
 
@@ -305,16 +364,18 @@ def small(found: DataFrame, numbers: str) -> DataFrame:
 
 def removals(rows: DataFrame, seeded: DataFrame) -> DataFrame:
     """``row, spans`` of the words to remove in every row of ``rows(row, doc_id, text)`` that has some; ``seeded`` is its ``seeds``, written."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = seeded.select("row", F.explode("seeds").alias("seed"))
+    places = seeded.select("row", F.posexplode("seeds").alias("place", "seed"))
     often = written(places.groupBy("seed").agg(F.count("*").alias("times")).where("times > 1"), "seed-counts")
-    # the commonest seeds stay where their documents are; their number is below that of all places / HELD_UNITS
-    hot = often.where(F.col("times") > HELD_UNITS).select("seed")
-    known = places.join(F.broadcast(hot), "seed", "left_anti").join(often.select("seed"), "seed").unionByName(places.join(F.broadcast(hot), "seed").select("seed", "row"))
-    recurring = written(known.groupBy("row").agg(F.collect_set("seed").alias("seeds")), "recurring-seeds")
-    found = written(units(rows.join(small(recurring, "seeds"), "row")), "units")
-    ordered = sharded(found, hot).repartition(n, "seed", "shard").sortWithinPartitions("seed", "shard", F.col("doc_id").asc_nulls_first(), "row", "at")
-    return written(merged_runs(written(repeated_windows(ordered), "repeated-windows")), "removals")
+    total = often.agg(F.sum("times")).first()[0] or 0
+    share = max(HELD_UNITS, total // MOST_HOT)
+    # fewer than MOST_HOT seeds; their places stay where their documents are
+    hot = written(often.where(F.col("times") > share).select("seed", F.ceil(F.col("times") / share).cast("int").alias("salts")), "hot-seeds")
+    cool = places.join(F.broadcast(hot), "seed", "left_anti").join(often.select("seed"), "seed").select("row", "place")
+    known = cool.unionByName(places.join(F.broadcast(hot), "seed", "left_semi").select("row", "place"))
+    recurring = written(known.groupBy("row").agg(F.collect_set("place").alias("places")), "recurring-seeds")
+    found = sharded(written(units(rows.join(small(recurring, "places"), "row")), "units"), hot)
+    confirmed = written(passages(found), "passages")
+    return written(merged_runs(written(repeated_windows(found, confirmed, hot), "repeated-windows")), "removals")
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
@@ -364,4 +425,5 @@ def passage_digests(docs: DataFrame) -> DataFrame:
 
 
 def op1_passages(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: null texts have no words, null ids come first, equal rows are judged as one."""
     return passage_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
