@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import free_name, table, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -141,9 +141,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a passage of the benchmark."""
-    keys = written(contaminations(docs, benchmark).select("key").distinct(), "contaminated")
-    return docs.withColumn("_key", _key()).join(_small(keys.select(F.col("key").alias("_key"))), "_key", "left_anti").select(docs.columns)
+    """``docs`` without the documents that hold a passage of the benchmark; null and empty texts stay."""
+    own = free_name("_key", docs)
+    keys = written(contaminations(docs, benchmark).select(F.col("key").alias(own)).distinct(), "contaminated")
+    return docs.withColumn(own, _key()).join(_small(keys), own, "left_anti").select(docs.columns)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

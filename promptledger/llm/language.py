@@ -25,33 +25,35 @@ from .shared import table
 BUCKETS = 1 << 15
 #: Words of one chain; longer texts are several chains.
 CHAIN = 64
-#: Chains of each language that the fit takes at most (by a hash), from
-#: documents of which it takes at most DOCS_PER_LANGUAGE.
+#: Chains of each language that the fit takes at most (by a hash), from documents of
+#: which it takes at most DOCS_PER_LANGUAGE; of very many languages each has fewer
+#: chains, so that all have MAX_CHAINS about, and one at least.
 CHAINS_PER_LANGUAGE = 500
 DOCS_PER_LANGUAGE = 1000
-MAX_LANGUAGES = 64
+MAX_CHAINS = 32_000
 LEXICON_LEAST = 3
 EPOCHS = 6
 RATE = 0.4
 DECAY = 1e-4
-MAX_REMEMBERED = 300_000
+#: Numbers of word scores (words times languages) that a worker remembers and that it works on at once.
+MAX_REMEMBERED = 1_200_000
+BATCH_SCORES = 600_000
+#: Numbers of pair marginals (chains times languages squared) of one step of the fit.
+BATCH_PAIRS = 4_000_000
+#: A longer run of letters is several words.
 MAX_WORD = 40
-#: Words that a worker labels at once.
-BATCH_WORDS = 150_000
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]{1,%d}" % MAX_WORD)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of letters."""
+    """Lower-case runs of letters, those over MAX_WORD letters in parts: no letter is left out."""
     if not text:
         return []
     return WORD.findall(text.lower())
 
 
 def word_features(word: str, lexicon: frozenset[str]) -> list[int]:
-    if len(word) > MAX_WORD:
-        word = word[: MAX_WORD // 2] + word[-MAX_WORD // 2 :]
     mask = BUCKETS - 1
     b = f"<{word}>".encode("utf-32-le", "surrogatepass")
     out = [crc32(b[: 4 * n], 1) & mask for n in (2, 3, 4)] + [crc32(b[-4 * n :], 2) & mask for n in (2, 3, 4)]
@@ -135,7 +137,7 @@ def fit_chains(chains: list[tuple[list[str], str]], seed: int = 11) -> LanguageM
     seen: Counter[str] = Counter()
     for words, _ in chains:
         seen.update(set(words))
-    lexicon = frozenset(w for w, n in seen.items() if n >= LEXICON_LEAST and len(w) <= MAX_WORD)
+    lexicon = frozenset(w for w, n in seen.items() if n >= LEXICON_LEAST)
     distinct = {w: k for k, w in enumerate(seen)}
     of_word = [word_features(w, lexicon) for w in distinct]
     sizes = np.array([len(x) for x in of_word], np.int64)
@@ -156,8 +158,9 @@ def fit_chains(chains: list[tuple[list[str], str]], seed: int = 11) -> LanguageM
                 w, y = np.concatenate([w[:cut], v[cut2:]])[:CHAIN], np.concatenate([y[:cut], z[cut2:]])[:CHAIN]
             if len(w):
                 rows.append((w, y))
-        for at in range(0, len(rows), 250):
-            part = rows[at : at + 250]
+        size = max(1, min(250, BATCH_PAIRS // states**2))
+        for at in range(0, len(rows), size):
+            part = rows[at : at + size]
             lengths = np.array([len(w) for w, _ in part])
             steps = int(lengths.max())
             words = np.zeros((len(part), steps), int)
@@ -189,28 +192,27 @@ def fit_chains(chains: list[tuple[list[str], str]], seed: int = 11) -> LanguageM
 def fit(docs: DataFrame) -> LanguageModel:
     """Learn from text and non-null lang of documents whose crc32(doc_id) mod 4 is not 2.
 
-    At most DOCS_PER_LANGUAGE documents of each of the MAX_LANGUAGES commonest
-    languages and CHAINS_PER_LANGUAGE of their chains, both by smallest hash.
+    At most DOCS_PER_LANGUAGE documents of each language and CHAINS_PER_LANGUAGE of
+    their chains, both by smallest hash (see MAX_CHAINS). Null ids are not learned from.
     """
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 4 <> 2")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count()
+    most = max(1, min(CHAINS_PER_LANGUAGE, MAX_CHAINS // max(1, counts.count())))
 
     def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc_id, text, lang in pdf[["doc_id", "text", "lang"]].itertuples(index=False):
-                words = [w if len(w) <= MAX_WORD else w[: MAX_WORD // 2] + w[-MAX_WORD // 2 :] for w in words_of(text)]
+                words = words_of(text)
                 parts = [words[i : i + CHAIN] for i in range(0, len(words), CHAIN)]
                 if parts:
                     yield pd.DataFrame({"lang": lang, "h": [crc32(f"{doc_id}:{i}".encode()) for i in range(len(parts))], "words": [" ".join(p) for p in parts]})
 
     # a hash bound keeps about twice the wanted documents of each language; limit and order make the rest exact
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * DOCS_PER_LANGUAGE / n))) for lang, n in counts]) if counts else F.lit(0.0)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= share * 1_000_003)
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * DOCS_PER_LANGUAGE) / F.col("count")).alias("share"))
+    picked = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= F.col("share") * 1_000_003)
     found = picked.mapInPandas(chains, "lang string, h long, words string")
-    got: list[tuple[list[str], str]] = []
     cut = found.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(64)))
-    for lang, words in [(r["lang"], r["words"]) for r in _smallest(cut, CHAINS_PER_LANGUAGE).collect()]:
-        got.append((words.split(" "), lang))
+    got = [(r["words"].split(" "), r["lang"]) for r in _smallest(cut, most).collect()]
     return fit_chains(sorted(got, key=lambda x: (x[1], x[0])))
 
 
@@ -227,6 +229,7 @@ def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         states = len(m.languages)
+        most_known, most_words = max(1, MAX_REMEMBERED // max(1, states)), max(CHAIN, BATCH_SCORES // max(1, states))
         known: dict[str, int] = {}
         scores = np.zeros((0, states))
 
@@ -277,7 +280,7 @@ def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
             held = 0
             for text in texts:
                 words = words_of(text)
-                if len(known) > MAX_REMEMBERED:
+                if len(known) > most_known:
                     got += flush(waiting)
                     waiting, held = [], 0
                     known.clear()
@@ -286,7 +289,7 @@ def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 c = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 waiting.append(c[c >= 0])
                 held += len(words)
-                if held > BATCH_WORDS:
+                if held > most_words:
                     got += flush(waiting)
                     waiting, held = [], 0
             got += flush(waiting)

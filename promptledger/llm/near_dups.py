@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import joined_roots
-from .shared import table, written
+from .shared import free_name, table, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -309,13 +309,19 @@ def across(star: DataFrame, roots: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class: that of the least id, and of the least key and number
     where the id has several texts; rows without an id stay."""
-    first = classed_rows(docs).groupBy("root").agg(F.min(F.struct("doc_id", "key", "row")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.row").alias("_row"))
-    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_row": text_row(F.col("doc_id"), F.col("text"))})
-    kept = named.join(first, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"])
+    own = [free_name("_id", docs), free_name("_row", docs)]
+    first = classed_rows(docs).groupBy("root").agg(F.min(F.struct("doc_id", "key", "row")).alias("f")).select(F.col("f.doc_id").alias(own[0]), F.col("f.row").alias(own[1]))
+    named = docs.withColumns({own[0]: F.col("doc_id").cast("long"), own[1]: text_row(F.col("doc_id"), F.col("text"))})
+    kept = named.join(first, own, "left_semi").dropDuplicates(own)
     return kept.select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and whether it is kept, of every row of ``documents``.
+
+    Texts without words (null and empty ones too) are one class each with their equals;
+    rows without an id have no class and are kept.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     classes = near_classes(docs)
     unnamed = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))

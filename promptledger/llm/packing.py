@@ -114,6 +114,12 @@ def best_fit(pieces: DataFrame, capacity: int, open_bins: int = OPEN_BINS, task_
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:
+    """The pieces of ``docs(doc_id, text)`` and their places in sequences of at most ``capacity`` ids.
+
+    Null and empty texts are one piece of the end id; rows of null and repeated ids are
+    packed like others. Pieces of equal length take bins in the order of a hash, so the
+    same input gives the same places. No rows, no pieces. Other columns are not read.
+    """
     return best_fit(cut_pieces(docs, vocabulary, capacity), capacity)
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import free_name, table
 
 BUCKETS = 1 << 16
 #: The feature of a word equal to the one before: the word pair "same again" under one hash, whatever the word.
@@ -175,7 +175,8 @@ def score(docs: DataFrame, model: QualityModel, into: str = "score") -> DataFram
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score 0.5 or more, with their own columns; the model learns from the labelled ones."""
-    return score(docs, fit(docs, labels), "_quality").where("_quality >= 0.5").select(docs.columns)
+    own = free_name("_quality", docs)
+    return score(docs, fit(docs, labels), own).where(F.col(own) >= 0.5).select(docs.columns)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

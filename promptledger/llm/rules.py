@@ -12,13 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_words, table, utf8
+from .shared import ascii_words, free_name, table, utf8
 
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|>"
 #: Ends that a sentence line may have.
-TERMINALS = ".!?:;\"')]"
+TERMINALS = ".!?:;\"')]…。！？”’»」』）"
 #: Phrases of boilerplate lines.
 BOILERPLATE = (
     "all rights reserved", "click here", "cookie policy", "enable javascript", "log in to", "lorem ipsum", "privacy policy",
@@ -49,7 +49,7 @@ def failed_rule(line: str, words: list[bytes]) -> str | None:
         return "repetition"
     if n <= BOILERPLATE_WORDS and _BOILERPLATE.search(line.lower()):
         return "boilerplate"
-    if n >= SENTENCE_WORDS and words[-1][-1:].decode("latin-1") not in TERMINALS:
+    if n >= SENTENCE_WORDS and line.rstrip(SPACES)[-1:] not in TERMINALS:
         return "punctuation"
     return None
 
@@ -120,8 +120,11 @@ def judge(text: str | None) -> dict:
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lost_words long, failed_lines long"
 
 
-def apply_rules(docs: DataFrame, clean_text: bool = True) -> DataFrame:
-    """``docs`` with a struct ``rules`` of what ``judge`` finds; ``clean_text`` on demand."""
+def apply_rules(docs: DataFrame, clean_text: bool = True, into: str = "rules") -> DataFrame:
+    """``docs`` with a struct ``into`` (in place of a column of that name) of what ``judge`` finds; ``clean_text`` on demand.
+
+    A null text counts as empty; every row stays.
+    """
     schema = COLUMNS + (", clean_text string" if clean_text else "")
 
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -133,13 +136,14 @@ def apply_rules(docs: DataFrame, clean_text: bool = True) -> DataFrame:
             names = [c.split(" ")[0] for c in schema.split(", ")]
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.withColumn("rules", F.pandas_udf(judged, schema)(F.col("text").cast("string")))
+    return docs.withColumn(into, F.pandas_udf(judged, schema)(F.col("text").cast("string")))
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The kept documents with failed lines removed; ``docs``' own columns."""
-    kept = apply_rules(docs).where("rules.kept")
-    return kept.withColumn("text", F.col("rules.clean_text")).drop("rules")
+    """The kept documents with failed lines removed; ``docs``' own columns. Null and empty texts fail the base rules and go."""
+    own = free_name("_rules", docs)
+    kept = apply_rules(docs, into=own).where(F.col(own)["kept"])
+    return kept.withColumn("text", F.col(own)["clean_text"]).select(docs.columns)
 
 
 def op6_rules(spark, sf_dir: str) -> DataFrame:
@@ -164,7 +168,7 @@ judged as (
   select *, row_number() over (partition by rid, line order by pos) > 1 as dup,
     (seps >= 3 and 4 * seps >= n) or 2 * syms >= n or (n >= 4 and 2 * bangs >= n) or (n >= 10 and 5 * u < n)
     or (n <= {BOILERPLATE_WORDS} and regexp_matches(lower(line), '{_BOILERPLATE_SQL}'))
-    or (n >= {SENTENCE_WORDS} and not regexp_matches(line, '[.!?:;"'')\]][\x20\x09-\x0D]*$')) as failed
+    or (n >= {SENTENCE_WORDS} and not regexp_matches(line, '[.!?:;"'')\]…。！？”’»」』）][\x20\x09-\x0D]*$')) as failed
   from lines where n > 0),
 per_line as (
   select rid, count(*) filter (where dup) as n_dup, sum(n) filter (where failed) as lost, count(*) filter (where failed) as bad

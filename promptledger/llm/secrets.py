@@ -95,14 +95,17 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``secrets``, an array of (start, end, kind) in code points."""
+def scan(docs: DataFrame, into: str = "secrets") -> DataFrame:
+    """``docs`` with ``into`` (in place of a column of that name), an array of (start, end, kind) in code points.
+
+    Null and empty texts have none; every row stays.
+    """
 
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in find_secrets(t)] for t in texts])
 
-    return docs.withColumn("secrets", F.pandas_udf(scanned, "array<struct<start: long, end: long, kind: string>>")(F.col("text").cast("string")))
+    return docs.withColumn(into, F.pandas_udf(scanned, "array<struct<start: long, end: long, kind: string>>")(F.col("text").cast("string")))
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -48,3 +48,11 @@ def ascii_words(text: str | None) -> list[bytes]:
 
 def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
+
+
+def free_name(wanted: str, *frames: DataFrame) -> str:
+    """``wanted``, with underscores before it until no frame has a column of that name."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import free_name, table
 
 #: Fixed values: (verdict, rule) as "host/path".
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -18,6 +18,8 @@ BLOCK_WORDS = 8
 BITS_PER_URL = 12
 #: The filter is broadcast up to this size, else joined by block.
 BROADCAST_BYTES = 8 << 20
+#: The list itself is broadcast up to this many URLs; beyond, possible hits are shuffled to it and the rest are not.
+BROADCAST_URLS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
@@ -71,24 +73,33 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
 def mark_listed(urls: DataFrame, listed: DataFrame) -> DataFrame:
     """``urls(…, canonical)`` with ``listed`` true where the canonical URL is in ``listed(canonical)``.
 
-    Rows that the filter rules out never reach the exact join; its false
-    positives end there. Null canonical URLs are not listed.
+    Only rows that the filter lets through are joined with the list, where its false
+    positives end. Null canonical URLs are not listed; a ``listed`` column of ``urls``
+    is replaced, all others stay.
     """
-    listed = listed.where("canonical is not null").select("canonical").distinct()
-    blocks = max(1, -(-listed.count() * BITS_PER_URL // (32 * BLOCK_WORDS)))
-    bloom = bloom_filter(listed, blocks)
+    rest = [c for c in urls.columns if c.lower() != "listed"]
+    listed = listed.where("canonical is not null").select(F.col("canonical").alias(free_name("_url", urls))).distinct()
+    (key,), block, maybe = listed.columns, free_name("_block", urls), free_name("_maybe", urls)
+    words = [free_name(f"_word{k}", urls) for k in range(BLOCK_WORDS)]
+    n = listed.count()
+    blocks = max(1, -(-n * BITS_PER_URL // (32 * BLOCK_WORDS)))
+    bloom = bloom_filter(listed.withColumnRenamed(key, "canonical"), blocks).toDF(block, *words)
     if blocks * (8 + 4 * BLOCK_WORDS) <= BROADCAST_BYTES:
         bloom = F.broadcast(bloom)
     hit = F.lit(True)
-    for k in range(BLOCK_WORDS):
-        hit = hit & (F.col(f"w{k}").bitwiseAND(_bit(F.col("canonical"), k)) == _bit(F.col("canonical"), k))
+    for k, word in enumerate(words):
+        hit = hit & (F.col(word).bitwiseAND(_bit(F.col("canonical"), k)) == _bit(F.col("canonical"), k))
     # a url without a canonical form gets a block of its own hash, so nulls do not gather
     at = F.when(F.col("canonical").isNull(), F.lit(-1) - F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(_block(F.col("canonical"), blocks))
-    probed = urls.withColumn("block", at).join(bloom, "block", "left").withColumn("maybe", F.coalesce(hit, F.lit(False)))
-    probed = probed.select(*urls.columns, "maybe")
-    key = F.when(F.col("maybe"), F.col("canonical")).otherwise(F.concat(F.lit("\0"), F.xxhash64("canonical").cast("string")))
-    exact = probed.withColumn("key", key).join(listed.select(F.col("canonical").alias("key"), F.lit(True).alias("listed")), "key", "left")
-    return exact.select(*urls.columns, F.coalesce(F.col("listed"), F.lit(False)).alias("listed"))
+    probed = urls.select(*rest, at.alias(block)).join(bloom, block, "left").select(*rest, F.coalesce(hit, F.lit(False)).alias(maybe))
+    told = lambda rows, value: rows.select(*rest, value.alias("listed"))
+    exact = lambda rows, own: rows.join(own, rows["canonical"] == own[key], "left")
+    if n <= BROADCAST_URLS:  # no shuffle: one pass looks all rows up, but only possible hits in the list
+        own = F.broadcast(listed)
+        found = probed.join(own, probed[maybe] & (probed["canonical"] == own[key]), "left")
+        return told(found, F.col(key).isNotNull())
+    hits = told(exact(probed.where(F.col(maybe)), listed), F.col(key).isNotNull())
+    return hits.unionByName(told(probed.where(~F.col(maybe)), F.lit(False)))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
