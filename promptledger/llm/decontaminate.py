@@ -122,7 +122,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     numbered = lambda print_: F.array(*[F.struct(F.lit(k).alias("block"), block(F.col(print_), k).alias("value")) for k in range(len(BLOCK_WIDTHS))])
     blocked = windows.select("key", "size", "start", "fingerprint", F.inline(numbered("fingerprint")))
     prints = items.withColumn("print", simhash(F.col("own")))
-    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in flips(w)]) for w in BLOCK_WIDTHS])
+    masks = F.expr("array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in flips(w)) + ")" for w in BLOCK_WIDTHS) + ")")
     index = prints.select("size", "item_id", "print", F.inline(numbered("print")))
     index = index.select("size", "item_id", "print", "block", F.explode(F.transform(F.get(masks, F.col("block")), lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
     other = F.col("fingerprint").bitwiseXOR(F.col("print"))

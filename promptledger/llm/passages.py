@@ -7,13 +7,13 @@ runs (the leftmost of equals), so equal windows have equal seeds.
    cannot be in a recurring window.
 2. Documents with recurring seeds give units: the windows of one seed place, in
    their text. Each window is in one unit, equal windows have units of one seed.
-3. Passages are confirmed on different units only (equal ones are counted before
-   any shuffle): a unit that occurs again, and the windows that different units of
-   one seed share. Each passage carries its first place in all documents.
-4. Passages are compiled into automata of a bounded size, one for each shard, and
-   the units of all documents stream through the automaton of their shard; a
-   passage found anywhere but in its first place marks its words. A seed in very
-   many documents has its units dealt over several tasks, its passages to each.
+3. Units meet in shards by their seed. There passages are confirmed: a unit that
+   occurs again, and the windows that different units of one seed share, each with
+   its first place in all documents. A seed with very many units is confirmed before,
+   on its different units (equal ones are counted before any shuffle).
+4. Each shard's passages are compiled into an automaton and the shard's units stream
+   through it; a passage found after its first place marks its words. The
+   units of a seed with very many are dealt over several tasks, its passages to each.
 5. Every document drops its marked words.
 
 A unit streams through the one automaton that can hold its windows, so work grows
@@ -30,7 +30,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ascii_words, table, written
@@ -39,12 +39,12 @@ WINDOW = 20
 SEED_WORDS = 6
 SPAN = WINDOW - SEED_WORDS + 1  # seed places of one window
 #: Bytes of text that are hashed at once about (a longer text is hashed whole).
-CHUNK_BYTES = 1 << 20
-#: Bytes of the passages of one automaton about.
+CHUNK_BYTES = 1 << 18
+#: Bytes of the units of one shard about.
 SHARD_BYTES = 1 << 20
-#: A seed with more places is dealt over several tasks, and with more different units in shards.
+#: A seed with more units is hot: it is dealt over several tasks, and with more different units in shards.
 HELD_UNITS = 2_000
-#: Such seeds have also more than a share of 1 / MOST_HOT of all places, so they are fewer than this.
+#: Seeds with more than a share of 1 / MOST_HOT of all places are fewer than this: their list is broadcast.
 MOST_HOT = 100_000
 #: What a step has found for each document is broadcast up to this size, else joined by shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -167,25 +167,26 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.col("text").cast("binary")).mapInPandas(found, "row long, doc_id long, n_words long, sha256 string, seeds array<long>")
 
 
-#: ``doc`` is the doc_id, the least number for a null one.
-UNIT = "seed long, doc long, row long, at int, words binary"
+#: ``doc`` is the doc_id, the least number for a null one; ``salts`` the number of tasks for units of this seed.
+UNIT = "seed long, doc long, row long, at int, salts int, words binary"
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Units at the seed places ``places`` (numbers within its text) of ``docs(row, doc_id, text, places)``."""
+    """Units at the seed places ``places`` (structs of the place's number within its text and ``salts``) of ``docs(row, doc_id, text, places)``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            doc, row, wanted = pdf["doc"].to_numpy(), pdf["row"].to_numpy(), pdf["places"].tolist()
+            doc, row, wanted, salts = pdf["doc"].to_numpy(), pdf["row"].to_numpy(), pdf["place"].tolist(), pdf["salts"].tolist()
             for a, b, c in chunks(_bytes(pdf["text"])):
                 own = np.repeat(np.arange(a, b), [len(p) for p in wanted[a:b]])
                 if not len(own):
                     continue
                 k = np.concatenate(wanted[a:b]).astype(np.int64) + c.places[own - a]
-                yield pd.DataFrame({"seed": c.seeds[k], "doc": doc[own], "row": row[own], "at": (c.first[k] - c.base[own - a]).astype(np.int32), "words": c.units(k)})
+                at = (c.first[k] - c.base[own - a]).astype(np.int32)
+                yield pd.DataFrame({"seed": c.seeds[k], "doc": doc[own], "row": row[own], "at": at, "salts": np.concatenate(salts[a:b]).astype(np.int32), "words": c.units(k)})
 
     least = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc")
-    return docs.select("row", least, F.col("text").cast("binary").alias("text"), "places").mapInPandas(cut, UNIT)
+    return docs.select("row", least, F.col("text").cast("binary").alias("text"), F.col("places.place").alias("place"), F.col("places.salts").alias("salts")).mapInPandas(cut, UNIT)
 
 
 def _windows(words: bytes) -> list[bytes]:
@@ -194,14 +195,14 @@ def _windows(words: bytes) -> list[bytes]:
     return [words[a : b - 1] for a, b in zip([0, *ends], ends[WINDOW - 1 :])]
 
 
-def sharded(found: DataFrame, hot: DataFrame) -> DataFrame:
-    """Units ``found`` with their ``shard``: 0, but for seeds of ``hot(seed)`` with more than HELD_UNITS different units.
+def sharded(hot: DataFrame) -> DataFrame:
+    """Units ``hot`` with their ``shard``: 0, but for seeds with more than HELD_UNITS different units.
 
     Those are cut into runs of windows of one shard, by a hash of the window; a
     shard has half of HELD_UNITS different windows about.
     """
-    whole = found.withColumn("shard", F.lit(0))
-    kinds = found.join(F.broadcast(hot.select("seed")), "seed").groupBy("seed").agg(F.approx_count_distinct("words").alias("kinds"))
+    whole = hot.withColumn("shard", F.lit(0))
+    kinds = hot.groupBy("seed").agg(F.approx_count_distinct("words").alias("kinds"))
     wide = written(kinds.where(F.col("kinds") > HELD_UNITS).select("seed", F.ceil(F.col("kinds") * (2 * SPAN / HELD_UNITS)).cast("int").alias("shards")), "wide-seeds")
     if wide.isEmpty():
         return whole
@@ -220,120 +221,158 @@ def sharded(found: DataFrame, hot: DataFrame) -> DataFrame:
                         words.append(b" ".join(w[a : b + WINDOW - 1]))
                         shard.append(own[a])
                         a = b
-            out = pdf[["seed", "doc", "row"]].iloc[part].reset_index(drop=True)
+            out = pdf[["seed", "doc", "row", "salts"]].iloc[part].reset_index(drop=True)
             yield out.assign(at=np.array(at, np.int32), words=words, shard=np.array(shard, np.int32))
 
-    pieces = found.join(F.broadcast(wide), "seed").mapInPandas(cut, UNIT + ", shard int")
-    return whole.join(F.broadcast(wide), "seed", "left_anti").unionByName(pieces)
+    pieces = hot.join(wide, "seed").mapInPandas(cut, UNIT + ", shard int")
+    return whole.join(wide, "seed", "left_anti").unionByName(pieces)
 
 
-PASSAGE = "seed long, shard int, words binary, doc long, row long, at int"
-
-
-def passages(found: DataFrame) -> DataFrame:
-    """``seed, shard, words, doc, row, at``: the recurring passages of units ``found`` and their first places.
+def confirmed(kinds: list[tuple[bytes, tuple[int, int, int], int]]) -> list[tuple[bytes, int, int, int]]:
+    """The passages (words, doc, row, at of their first place) of the different units of one seed and
+    shard, given with their first place (doc, row, at) and how often they occur.
 
     A unit that occurs again is one; so is a run of windows of a unit's first place
     that are, in the same order, at an earlier first place in another unit.
     """
-    place = F.struct("doc", "row", "at")
-    kinds = written(found.groupBy("seed", "shard", "words").agg(F.count("*").alias("n"), F.min(place).alias("p")).select("seed", "shard", "words", "n", "p.*"), "different-units")
-    again = kinds.where("n > 1").drop("n")
-    several = kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("seed", "shard"))).where("kinds > 1")
-
-    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-
-        def runs() -> list[tuple]:
-            """Of the units held (all different ones of one seed and shard)."""
-            own = [_windows(words) for words, *_ in held]
-            first: dict[bytes, tuple[int, int, int]] = {}
-            for windows, (_, doc, row, at) in zip(own, held):
-                for i, w in enumerate(windows):
-                    here = (doc, row, at + i)
-                    if w not in first or here < first[w]:
-                        first[w] = here
-            out = []
-            for windows, (words, doc, row, at) in zip(own, held):
+    out = [(words, *place) for words, place, n in kinds if n > 1]
+    if len(kinds) == 1:
+        return out
+    own = [_windows(words) for words, *_ in kinds]
+    first: dict[bytes, tuple[int, int, int]] = {}
+    for windows, (_, (doc, row, at), _) in zip(own, kinds):
+        for i, w in enumerate(windows):
+            here = (doc, row, at + i)
+            if w not in first or here < first[w]:
+                first[w] = here
+    for windows, (words, (doc, row, at), _) in zip(own, kinds):
+        runs, apart = [], None
+        for i, w in enumerate(windows):
+            d, r, k = first[w]
+            if (d, r, k) == (doc, row, at + i):
                 apart = None
-                for i, w in enumerate(windows):
-                    d, r, k = first[w]
-                    if (d, r, k) == (doc, row, at + i):
-                        apart = None
-                    elif apart == (d, r, k - i):
-                        out[-1][1] = i
-                    else:
-                        apart = d, r, k - i
-                        out.append([i, i, words, d, r, k])
-            return out
+            elif apart == (d, r, k - i):
+                runs[-1][1] = i
+            else:
+                apart = d, r, k - i
+                runs.append([i, i, d, r, k])
+        w = words.split(b" ") if runs else ()
+        out += [(b" ".join(w[a : b + WINDOW]), *place) for a, b, *place in runs]
+    return out
 
-        for pdf in batches:
-            found_here = []
-            for seed, shard, *unit in pdf[["seed", "shard", "words", "doc", "row", "at"]].itertuples(index=False, name=None):
-                if (seed, shard) != key:
-                    found_here += [(key, x) for x in runs()]
-                    key, held = (seed, shard), []
-                held.append(unit)
-            yield table_of(found_here)
-        yield table_of([(key, x) for x in runs()])
 
-    def table_of(found_here: list[tuple]) -> pd.DataFrame:
-        rows = [(*key, b" ".join(words.split(b" ")[a : b + WINDOW]), d, r, k) for key, (a, b, words, d, r, k) in found_here]
-        return pd.DataFrame(rows, columns=["seed", "shard", "words", "doc", "row", "at"]).astype({"seed": "int64", "shard": "int32", "doc": "int64", "row": "int64", "at": "int32"})
+PASSAGE = "seed long, shard int, salts int, words binary, doc long, row long, at int"
 
-    parted = several.sortWithinPartitions("seed", "shard").mapInPandas(shared, PASSAGE)
-    return again.select("seed", "shard", "words", "doc", "row", "at").unionByName(parted)
+
+def passages(hot: DataFrame) -> DataFrame:
+    """The confirmed passages of the units ``hot`` (of hot seeds), from their different units."""
+    kinds = hot.groupBy("seed", "shard", "words").agg(F.count("*").alias("n"), F.first("salts").alias("salts"), F.min(F.struct("doc", "row", "at")).alias("p"))
+    kinds = kinds.select("seed", "shard", "salts", "words", "p.*", "n").repartition("seed", "shard").sortWithinPartitions("seed", "shard")
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = (0, 0, 1), []
+
+        def rows() -> pd.DataFrame:
+            frame = pd.DataFrame([(*key, *p) for p in confirmed(held)] if held else [], columns=["seed", "shard", "salts", "words", "doc", "row", "at"])
+            return frame.astype({"seed": "int64", "shard": "int32", "salts": "int32", "doc": "int64", "row": "int64", "at": "int32"})
+
+        for pdf in batches:
+            for seed, shard, salts, words, doc, row, at, n in pdf.itertuples(index=False, name=None):
+                if (seed, shard, salts) != key:
+                    yield rows()
+                    key, held = (seed, shard, salts), []
+                held.append((words, (doc, row, at), n))
+        yield rows()
+
+    return kinds.mapInPandas(found, PASSAGE)
 
 
 def automaton_of(shard: list[tuple[bytes, int, int, int]]):
-    """The automaton of passages (words, doc, row, at); words have a space on either side, so only whole words match."""
+    """The automaton of passages (words, doc, row, at of the first place, the least of equal words);
+    words have a space on either side, so only whole words match."""
     import ahocorasick
 
+    first: dict[bytes, tuple[int, int, int]] = {}
+    for words, *place in shard:
+        first[words] = min(first.get(words, tuple(place)), tuple(place))
     a = ahocorasick.Automaton()
-    for words, *first in shard:
-        a.add_word(f" {words.decode('latin-1')} ", (len(words) + 2, words.count(b" ") + 2 - WINDOW, *first))
+    for words, place in first.items():
+        a.add_word(f" {words.decode('latin-1')} ", (len(words) + 2, words.count(b" ") + 2 - WINDOW, place))
     a.make_automaton()
     return a
 
 
-def repeated_windows(found: DataFrame, confirmed: DataFrame, hot: DataFrame) -> DataFrame:
+def repeated_windows(cool: DataFrame, hot: DataFrame, known: DataFrame) -> DataFrame:
     """``row, at, n``: runs of n windows from window ``at`` on that earlier ones equal.
 
-    Units ``found`` and passages ``confirmed`` of a shard meet in a task: the passages
-    come first and are compiled, then the units stream through. ``hot(seed, salts)``
-    are the seeds whose units are dealt over several tasks.
+    In a task come, shard by shard: the passages ``known`` of hot seeds; the units
+    ``cool``, which are held, HELD_UNITS of a seed at most, and confirmed; then the
+    units ``hot``. All are in one automaton, and all units stream through it.
     """
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(n, -(-(confirmed.agg(F.sum(F.length("words"))).first()[0] or 0) // SHARD_BYTES))
+    n = int(cool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(x.agg(F.sum(F.length("words"))).first()[0] or 0 for x in (cool, known))
+    shards = max(n, -(-size // SHARD_BYTES))
     bucket = F.pmod(F.xxhash64("seed", "shard"), F.lit(shards)).alias("bucket")
-    salted = lambda rows: rows.join(F.broadcast(hot), "seed", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    keys = salted(confirmed).select(bucket, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc", "row", "at", "words")
-    texts = salted(found).select(bucket, F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc", "row", "at", "words")
+    columns = ("seed", "doc", "row", "at", "words")
+    keys = known.select(bucket, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *columns)
+    held = cool.select(bucket, F.lit(0).alias("salt"), F.lit(1).alias("kind"), *columns)
+    rest = hot.select(bucket, F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), F.lit(2).alias("kind"), *columns)
 
     def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, shard, automaton = None, [], None
+        key, compiled = None, False
+        keys, units, automaton = [], [], None
+        rows, ats, counts = [], [], []
+
+        def stream(words: bytes, doc: int, row: int, at: int) -> None:
+            text = f" {words.decode('latin-1')} "
+            for end, (size, windows, first) in automaton.iter(text):
+                here = at + text.count(" ", 0, end - size + 1)
+                if first < (doc, row, here):
+                    rows.append(row)
+                    ats.append(here)
+                    counts.append(windows)
+
+        def close() -> None:
+            """Compile the shard's passages, those of the held units too, and stream the latter."""
+            nonlocal automaton, compiled
+            compiled = True
+            by_seed: dict[int, dict[bytes, list]] = {}
+            for seed, words, *place in units:
+                kinds, place = by_seed.setdefault(seed, {}), tuple(place)
+                if (kind := kinds.get(words)) is None:
+                    kinds[words] = [place, 1]
+                else:
+                    kind[:] = min(kind[0], place), kind[1] + 1
+            for kinds in by_seed.values():
+                keys.extend(confirmed([(words, *x) for words, x in kinds.items()]))
+            automaton = automaton_of(keys) if keys else None
+            if automaton:
+                for _, *unit in units:
+                    stream(*unit)
+
         for pdf in batches:
-            rows, ats, counts = [], [], []
-            for bucket, salt, kind, doc, row, at, words in pdf.itertuples(index=False, name=None):
+            for bucket, salt, kind, seed, doc, row, at, words in pdf.itertuples(index=False, name=None):
                 if (bucket, salt) != key:
-                    key, shard, automaton = (bucket, salt), [], None
-                if not kind:
-                    shard.append((words, doc, row, at))
-                    continue
-                if shard:
-                    automaton, shard = automaton_of(shard), []
-                if automaton is None:
-                    continue
-                text = f" {words.decode('latin-1')} "
-                for end, (size, windows, d, r, k) in automaton.iter(text):
-                    here = at + text.count(" ", 0, end - size + 1)
-                    if (d, r, k) != (doc, row, here):
-                        rows.append(row)
-                        ats.append(here)
-                        counts.append(windows)
+                    if key is not None and not compiled:
+                        close()
+                    key, compiled = (bucket, salt), False
+                    keys, units, automaton = [], [], None
+                if kind == 0:
+                    keys.append((words, doc, row, at))
+                elif kind == 1:
+                    units.append((seed, words, doc, row, at))
+                else:
+                    if not compiled:
+                        close()
+                    if automaton:
+                        stream(words, doc, row, at)
             yield pd.DataFrame({"row": np.array(rows, np.int64), "at": np.array(ats, np.int32), "n": np.array(counts, np.int32)})
+            rows, ats, counts = [], [], []
+        if key is not None and not compiled:
+            close()
+        yield pd.DataFrame({"row": np.array(rows, np.int64), "at": np.array(ats, np.int32), "n": np.array(counts, np.int32)})
 
-    dealt = keys.unionByName(texts).repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
+    dealt = keys.unionByName(held).unionByName(rest).repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
     return dealt.mapInPandas(located, "row long, at int, n int")
 
 
@@ -365,17 +404,15 @@ def small(found: DataFrame, numbers: str) -> DataFrame:
 def removals(rows: DataFrame, seeded: DataFrame) -> DataFrame:
     """``row, spans`` of the words to remove in every row of ``rows(row, doc_id, text)`` that has some; ``seeded`` is its ``seeds``, written."""
     places = seeded.select("row", F.posexplode("seeds").alias("place", "seed"))
-    often = written(places.groupBy("seed").agg(F.count("*").alias("times")).where("times > 1"), "seed-counts")
+    often = written(places.groupBy("seed").agg(F.count("*").alias("times")).where("times > 1").select("seed", "times", F.ceil(F.col("times") / HELD_UNITS).cast("int").alias("salts")), "seed-counts")
     total = often.agg(F.sum("times")).first()[0] or 0
-    share = max(HELD_UNITS, total // MOST_HOT)
     # fewer than MOST_HOT seeds; their places stay where their documents are
-    hot = written(often.where(F.col("times") > share).select("seed", F.ceil(F.col("times") / share).cast("int").alias("salts")), "hot-seeds")
-    cool = places.join(F.broadcast(hot), "seed", "left_anti").join(often.select("seed"), "seed").select("row", "place")
-    known = cool.unionByName(places.join(F.broadcast(hot), "seed", "left_semi").select("row", "place"))
-    recurring = written(known.groupBy("row").agg(F.collect_set("place").alias("places")), "recurring-seeds")
-    found = sharded(written(units(rows.join(small(recurring, "places"), "row")), "units"), hot)
-    confirmed = written(passages(found), "passages")
-    return written(merged_runs(written(repeated_windows(found, confirmed, hot), "repeated-windows")), "removals")
+    most = F.broadcast(often.where(F.col("times") > max(HELD_UNITS, total // MOST_HOT)).select("seed", "salts"))
+    known = places.join(most, "seed", "left_anti").join(often.select("seed", "salts"), "seed").unionByName(places.join(most, "seed"))
+    recurring = written(known.groupBy("row").agg(F.collect_set(F.struct("place", "salts")).alias("places")), "recurring-seeds")
+    found = written(units(rows.join(small(recurring, "places"), "row")), "units")
+    cool, hot = found.where("salts = 1").withColumn("shard", F.lit(0)), sharded(found.where("salts > 1"))
+    return written(merged_runs(written(repeated_windows(cool, hot, written(passages(hot), "passages")), "repeated-windows")), "removals")
 
 
 def with_rows(docs: DataFrame) -> DataFrame:

@@ -104,6 +104,21 @@ def test_op1_hot_seed(spark, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in passages.passage_digests(frame).collect()} == windows_loop(docs)
 
 
+def test_op1_slices(spark, monkeypatch):
+    """Documents of slices of few texts: units within longer units, windows of several units, repeats in a document."""
+    rng = np.random.default_rng(4)
+    base = [[f"{chr(97 + k)}{x}" for x in rng.integers(0, 60 if k else 3, 70)] for k in range(5)]
+    docs = []
+    for k in range(260):
+        cuts = [(int(rng.integers(0, 5)), *sorted(rng.integers(0, 71, 2))) for _ in range(int(rng.integers(1, 5)))]
+        docs.append((int(k), " ".join(w for b, x, y in cuts for w in base[b][x:y])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = windows_loop(docs)
+    for held in (2000, 30):
+        monkeypatch.setattr(passages, "HELD_UNITS", held)
+        assert {r[0]: tuple(r[1:]) for r in passages.passage_digests(frame).collect()} == want
+
+
 def test_op1_places():
     """Seed places and units of many texts at once are those of each text's windows, one by one."""
     rng = np.random.default_rng(1)
@@ -133,10 +148,9 @@ def test_op1_hot_seed_in_shards(spark, monkeypatch):
     docs = [(k, " ".join(f"b{k % 90}q{i}" for i in range(25)) + f" {phrase} " + " ".join(f"c{k % 90}q{i}" for i in range(25))) for k in range(120)] + [(None, f"{phrase} " * 9)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     rows = passages.with_rows(frame)
-    every = passages.seeds(rows).select("row", F.posexplode("seeds").alias("place", "seed")).groupBy("row").agg(F.collect_set("place").alias("places"))
+    every = passages.seeds(rows).select("row", F.posexplode("seeds").alias("place", "seed")).groupBy("row").agg(F.collect_set(F.struct("place", F.lit(2).alias("salts"))).alias("places"))
     found = passages.units(rows.join(every, "row"))
-    hot = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 20")
-    shares = passages.sharded(found, hot).toPandas()
+    shares = passages.sharded(found.join(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 20"), "seed", "left_semi")).toPandas()
     shares["windows"] = shares["words"].map(lambda u: set(passages._windows(u)))
     held = shares.groupby(["seed", "shard"])["windows"].agg(lambda s: len(set().union(*s)))
     assert held.groupby("seed").sum().max() > 200 and held.max() <= 40
