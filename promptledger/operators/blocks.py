@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hour_number, hour_start, usd
@@ -29,11 +29,16 @@ def blocks(requests: DataFrame, keys: list[str] | None = None, span: int = BLOCK
     """Blocks of each key: block_start, block_end, out_tokens, cost, requests.
 
     A block starts at the floored hour of the first request at or after the end
-    of the one before, so only the hours are chained, never requests.
+    of the one before, so only the hours are chained, never requests. An hour that
+    comes a span after the one before it starts a block whatever was before, so each
+    stretch without such a gap is chained alone.
     """
     keys = keys or []
     per_hour = hourly(requests, keys)
-    chained = per_hour.groupBy(*keys).agg(F.array_sort(F.collect_list("hour")).alias("hours"))
+    w = Window.partitionBy(*keys).orderBy("hour")
+    gap = (F.col("hour") - F.lag("hour").over(w) >= span).cast("int")
+    stretches = per_hour.select(*keys, "hour", gap.alias("gap")).withColumn("stretch", F.coalesce(F.sum("gap").over(w), F.lit(0)))
+    chained = stretches.groupBy(*keys, "stretch").agg(F.array_sort(F.collect_list("hour")).alias("hours"))
     start_of = chained.select(*keys, F.explode(F.arrays_zip("hours", _starts(F.col("hours"), span).alias("starts"))).alias("z")).select(*keys, F.col("z.hours").alias("hour"), F.col("z.starts").alias("start"))
     both = per_hour.join(start_of, [*keys, "hour"])
     folded = both.groupBy(*keys, "start").agg(F.sum("out_tokens").alias("out_tokens"), usd(F.sum("micro_usd")).alias("cost"), F.sum("requests").alias("requests"))

@@ -45,7 +45,10 @@ def longest_prefix(models: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def price(requests: DataFrame, rates: DataFrame, promos: DataFrame) -> DataFrame:
-    """Add ``price_in, price_out`` (null if unpriced): the promotion before its end, else the rate."""
+    """Add ``price_in, price_out`` (null if unpriced): the promotion before its end, else the rate.
+
+    ``promos`` is a configured table like ``rates``, of a row for each prefix at most.
+    """
     promo = promos.select("prefix", "end_ts", F.col("price_in").alias("promo_in"), F.col("price_out").alias("promo_out"))
     card = longest_prefix(requests, rates).join(F.broadcast(promo), "prefix", "left")
     now = F.col("ts") < F.col("end_ts")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
@@ -10,7 +10,7 @@ from ..operators import blocks, report
 from ..sources import fixtures, otlp, sinks, storage, transcripts
 from ..streaming import live
 from . import ingest
-from .oracle import NOW, sql
+from .oracle import NOW, current_block_sql, sql
 
 
 def write_transcripts(spark: SparkSession, sf_dir: str) -> str:
@@ -77,20 +77,34 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Injected prompts folded as they arrive, all in one batch: equal to the batch form."""
+    """Injected prompts folded as they arrive, in three batches by time: equal to the batch form."""
     path = storage.fresh_path(spark, "prompts")
-    fx = fixtures.ledger(spark, sf_dir).prompts.select("session_id", "ts", "injected", "prompt_id")
-    fx.write.parquet(path)
+    fx = storage.written(fixtures.ledger(spark, sf_dir).prompts.select("session_id", "ts", "injected", "prompt_id"), "all-prompts")
+    for days in ("ts is null or ts < '2024-01-11'", "ts >= '2024-01-11' and ts < '2024-01-21'", "ts >= '2024-01-21'"):
+        fx.where(days).coalesce(1).write.mode("append").parquet(path)
     out = storage.fresh_path(spark, "folded")
-    stream = live.asof_stream(spark.readStream.schema(fx.schema).parquet(path))
+    stream = live.asof_stream(spark.readStream.schema(fx.schema).option("maxFilesPerTrigger", 1).parquet(path))
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("prompt_id", "session_id", "canonical_id")
 
 
-def payload_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _payload(spark: SparkSession, sf_dir: str) -> str:
     x, path = fixtures.ledger(spark, sf_dir, stored=True), storage.fresh_path(spark, "payload")
     sinks.write_payload(x.usage(), blocks.current_block(x.costed, F.lit(NOW).cast("timestamp_ntz")), path, NOW)
-    return spark.read.json(f"{path}/rows").select("id", "project", "cost", "api_calls")
+    return path
+
+
+def payload_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload's rows as they are read back; ``place`` is their place by ts, latest first."""
+    rows = spark.read.json(f"{_payload(spark, sf_dir)}/rows")
+    place = F.dense_rank().over(Window.orderBy(F.desc("ts"), "id"))
+    return rows.select("id", "project", "cost", "api_calls", place.cast("long").alias("place"))
+
+
+def payload_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload's current block as it is read back."""
+    rows = spark.read.schema("block_start timestamp_ntz, out_tokens bigint, cost double, requests bigint, generated_at string").json(f"{_payload(spark, sf_dir)}/window")
+    return rows.select(F.date_format("block_start", "yyyy-MM-dd HH:mm:ss").alias("block_start"), "out_tokens", "cost", "requests", "generated_at")
 
 
 def digest_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +229,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         transcript_scan, transcript_prompts, transcript_tools, transcript_edits, transcript_sessions, otlp_scan, stream_ingest, stream_asof,
-        payload_sink, digest_sink, csv_export, reconcile, silver_union, silver_tools, live_refresh,
+        payload_sink, payload_window, digest_sink, csv_export, reconcile, silver_union, silver_tools, live_refresh,
     )
 }
 
@@ -237,7 +251,8 @@ from (select *, {_LAST} as prompt_id from conversations) where role <> 'user' an
     "stream_ingest": """select case when event_type = 'signup' then 'prompts' when event_type = 'purchase' then 'tool_calls' else 'api_requests' end as table_name,
   concat('s', user_id) as session_id, count(*) as n from events where event_type <> 'error' group by all""",
     "stream_asof": sql("select prompt_id, session_id, canonical_id from prompts where injected = 1 and session_id is not null"),
-    "payload_sink": sql("select id, project, cost, api_calls from usage"),
+    "payload_sink": sql("select id, project, cost, api_calls, dense_rank() over (order by ts desc, id) as place from usage"),
+    "payload_window": current_block_sql(f"select strftime(block_start, '%Y-%m-%d %H:%M:%S') as block_start, out_tokens, cost, requests, '{NOW}' as generated_at from ({{}})"),
     "digest_sink": sql("select digest, strftime(ts, '%Y-%m-%d') as day, count(*) as prompts, cast(sum(out_tokens) as bigint) as out_tokens, cast(sum(cast(cost as decimal(20,4))) as double) as cost from week, unnest(['2024-W05', '2024-W05-235901']) as t(digest) group by all"),
     "csv_export": sql("select id, cost, c_read from usage"),
     "transcript_tools": f"""select concat('t', conv_id, '-', turn) as tool_use_id, prompt_id, case when turn % 4 = 3 then 'Skill' else 'Edit' end as tool_name,

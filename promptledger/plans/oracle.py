@@ -160,6 +160,12 @@ from b join {rows} h on {f'h.{on}' if key else ''}h.hour >= b.start and h.hour <
     return select, recursive
 
 
+def current_block_sql(around: str = "{}") -> str:
+    select, recursive = _blocks("", f"(select * from hours where ts >= timestamp '{NOW}' - interval 36 hour)")
+    last = f" having max(b.start) = (select max(start) from b) and timestamp '{NOW}' < timestamp '1970-01-01' + to_hours(cast(max(b.start) + 5 as int))"
+    return sql(around.format(select + last), recursive)
+
+
 _ratio = "round(cast({} as double) / nullif(cast({} as double), 0), 6)"
 _day = "strftime(ts, '%Y-%m-%d') as day"
 _daily = "select " + _day + ", {} from usage where ts is not null group by 1"
@@ -211,7 +217,7 @@ where first_own is not null""",
     "prompt_usage": sql("select * replace (cast(wall_s as double) as wall_s) from usage"),
     "blocks_5h": sql(*_blocks("")),
     "blocks_5h_by_user": sql(*_blocks("session_id")),
-    "current_block": sql(*[x if k else x + f" having max(b.start) = (select max(start) from b) and timestamp '{NOW}' < timestamp '1970-01-01' + to_hours(cast(max(b.start) + 5 as int))" for k, x in enumerate(_blocks("", f"(select * from hours where ts >= timestamp '{NOW}' - interval 36 hour)"))]),
+    "current_block": current_block_sql(),
     "digest_totals": sql(f"""select count(*) as prompts, cast(coalesce(sum(out_tokens), 0) as bigint) as out_tokens, cast(coalesce(sum(inp), 0) as bigint) as inp,
   coalesce({_DOLLARS.format('cost')}, 0.0) as cost, coalesce(bool_or(est), false) as est, cast(coalesce(sum(ladd), 0) as bigint) as ladd, cast(coalesce(sum(lrem), 0) as bigint) as lrem,
   cast(coalesce(sum(files), 0) as bigint) as files, cast(coalesce(sum(n), 0) as bigint) as agents
