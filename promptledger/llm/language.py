@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 
 BUCKETS = 1 << 15
 #: Words of one chain; longer texts are several chains.
@@ -43,14 +43,17 @@ BATCH_PAIRS = 4_000_000
 #: A longer run of letters is several words.
 MAX_WORD = 40
 
-WORD = re.compile(r"[^\W\d_]{1,%d}" % MAX_WORD)
+WORD = re.compile(r"[^\W\d_]+")
+#: Shares of the languages are broadcast up to so many.
+BROADCAST_LANGUAGES = 10_000
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case runs of letters, those over MAX_WORD letters in parts: no letter is left out."""
-    if not text:
-        return []
-    return WORD.findall(text.lower())
+    words = WORD.findall(text.lower()) if text else []
+    if words and max(map(len, words)) > MAX_WORD:
+        return [w[k : k + MAX_WORD] for w in words for k in range(0, len(w), MAX_WORD)]
+    return words
 
 
 def word_features(word: str, lexicon: frozenset[str]) -> list[int]:
@@ -196,8 +199,9 @@ def fit(docs: DataFrame) -> LanguageModel:
     their chains, both by smallest hash (see MAX_CHAINS). Null ids are not learned from.
     """
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 4 <> 2")
-    counts = rows.groupBy("lang").count()
-    most = max(1, min(CHAINS_PER_LANGUAGE, MAX_CHAINS // max(1, counts.count())))
+    counts = written(rows.groupBy("lang").count(), "languages")
+    languages = counts.count()
+    most = max(1, min(CHAINS_PER_LANGUAGE, MAX_CHAINS // max(1, languages)))
 
     def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -209,7 +213,7 @@ def fit(docs: DataFrame) -> LanguageModel:
 
     # a hash bound keeps about twice the wanted documents of each language; limit and order make the rest exact
     share = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * DOCS_PER_LANGUAGE) / F.col("count")).alias("share"))
-    picked = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= F.col("share") * 1_000_003)
+    picked = rows.join(F.broadcast(share) if languages <= BROADCAST_LANGUAGES else share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= F.col("share") * 1_000_003)
     found = picked.mapInPandas(chains, "lang string, h long, words string")
     cut = found.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(64)))
     got = [(r["words"].split(" "), r["lang"]) for r in _smallest(cut, most).collect()]

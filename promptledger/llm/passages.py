@@ -167,26 +167,27 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.col("text").cast("binary")).mapInPandas(found, "row long, doc_id long, n_words long, sha256 string, seeds array<long>")
 
 
-#: ``doc`` is the doc_id, the least number for a null one; ``salts`` the number of tasks for units of this seed.
-UNIT = "seed long, doc long, row long, at int, salts int, words binary"
+#: ``doc`` is the doc_id, the least number for a null one; ``hot`` tells that the seed has very many units.
+UNIT = "seed long, doc long, row long, at int, hot boolean, words binary"
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Units at the seed places ``places`` (structs of the place's number within its text and ``salts``) of ``docs(row, doc_id, text, places)``."""
+    """Units at the seed places ``places`` (their numbers p within their text, -1 - p for hot seeds) of ``docs(row, doc_id, text, places)``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            doc, row, wanted, salts = pdf["doc"].to_numpy(), pdf["row"].to_numpy(), pdf["place"].tolist(), pdf["salts"].tolist()
+            doc, row, wanted = pdf["doc"].to_numpy(), pdf["row"].to_numpy(), pdf["places"].tolist()
             for a, b, c in chunks(_bytes(pdf["text"])):
                 own = np.repeat(np.arange(a, b), [len(p) for p in wanted[a:b]])
                 if not len(own):
                     continue
-                k = np.concatenate(wanted[a:b]).astype(np.int64) + c.places[own - a]
+                p = np.concatenate(wanted[a:b]).astype(np.int64)
+                k = np.where(p < 0, -1 - p, p) + c.places[own - a]
                 at = (c.first[k] - c.base[own - a]).astype(np.int32)
-                yield pd.DataFrame({"seed": c.seeds[k], "doc": doc[own], "row": row[own], "at": at, "salts": np.concatenate(salts[a:b]).astype(np.int32), "words": c.units(k)})
+                yield pd.DataFrame({"seed": c.seeds[k], "doc": doc[own], "row": row[own], "at": at, "hot": p < 0, "words": c.units(k)})
 
     least = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc")
-    return docs.select("row", least, F.col("text").cast("binary").alias("text"), F.col("places.place").alias("place"), F.col("places.salts").alias("salts")).mapInPandas(cut, UNIT)
+    return docs.select("row", least, F.col("text").cast("binary").alias("text"), "places").mapInPandas(cut, UNIT)
 
 
 def _windows(words: bytes) -> list[bytes]:
@@ -196,7 +197,7 @@ def _windows(words: bytes) -> list[bytes]:
 
 
 def sharded(hot: DataFrame) -> DataFrame:
-    """Units ``hot`` with their ``shard``: 0, but for seeds with more than HELD_UNITS different units.
+    """Units ``hot`` (with ``salts``, their number of tasks) with their ``shard``: 0, but for seeds with more than HELD_UNITS different units.
 
     Those are cut into runs of windows of one shard, by a hash of the window; a
     shard has half of HELD_UNITS different windows about.
@@ -224,7 +225,7 @@ def sharded(hot: DataFrame) -> DataFrame:
             out = pdf[["seed", "doc", "row", "salts"]].iloc[part].reset_index(drop=True)
             yield out.assign(at=np.array(at, np.int32), words=words, shard=np.array(shard, np.int32))
 
-    pieces = hot.join(wide, "seed").mapInPandas(cut, UNIT + ", shard int")
+    pieces = hot.join(wide, "seed").mapInPandas(cut, "seed long, doc long, row long, at int, salts int, words binary, shard int")
     return whole.join(wide, "seed", "left_anti").unionByName(pieces)
 
 
@@ -396,9 +397,9 @@ def merged_runs(runs: DataFrame) -> DataFrame:
 
 
 def small(found: DataFrame, numbers: str) -> DataFrame:
-    """``found`` (a read table of ``row`` and an array column), to be broadcast if it is measured to be small."""
+    """``found`` (a read table of ``row`` and a column of int arrays), to be broadcast if it is measured to be small."""
     rows, cells = found.agg(F.count("*"), F.coalesce(F.sum(F.size(numbers)), F.lit(0))).first()
-    return F.broadcast(found) if 48 * rows + 8 * cells <= BROADCAST_BYTES else found
+    return F.broadcast(found) if 48 * rows + 5 * cells <= BROADCAST_BYTES else found
 
 
 def removals(rows: DataFrame, seeded: DataFrame) -> DataFrame:
@@ -409,9 +410,12 @@ def removals(rows: DataFrame, seeded: DataFrame) -> DataFrame:
     # fewer than MOST_HOT seeds; their places stay where their documents are
     most = F.broadcast(often.where(F.col("times") > max(HELD_UNITS, total // MOST_HOT)).select("seed", "salts"))
     known = places.join(most, "seed", "left_anti").join(often.select("seed", "salts"), "seed").unionByName(places.join(most, "seed"))
-    recurring = written(known.groupBy("row").agg(F.collect_set(F.struct("place", "salts")).alias("places")), "recurring-seeds")
+    place = F.when(F.col("salts") > 1, -1 - F.col("place")).otherwise(F.col("place"))
+    recurring = written(known.groupBy("row").agg(F.collect_set(place).alias("places")), "recurring-seeds")
     found = written(units(rows.join(small(recurring, "places"), "row")), "units")
-    cool, hot = found.where("salts = 1").withColumn("shard", F.lit(0)), sharded(found.where("salts > 1"))
+    salts = often.where("salts > 1").select("seed", "salts")
+    salts = F.broadcast(salts) if salts.count() <= MOST_HOT else salts
+    cool, hot = found.where("not hot").withColumn("shard", F.lit(0)), sharded(found.where("hot").drop("hot").join(salts, "seed"))
     return written(merged_runs(written(repeated_windows(cool, hot, written(passages(hot), "passages")), "repeated-windows")), "removals")
 
 

@@ -148,8 +148,8 @@ def test_op1_hot_seed_in_shards(spark, monkeypatch):
     docs = [(k, " ".join(f"b{k % 90}q{i}" for i in range(25)) + f" {phrase} " + " ".join(f"c{k % 90}q{i}" for i in range(25))) for k in range(120)] + [(None, f"{phrase} " * 9)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     rows = passages.with_rows(frame)
-    every = passages.seeds(rows).select("row", F.posexplode("seeds").alias("place", "seed")).groupBy("row").agg(F.collect_set(F.struct("place", F.lit(2).alias("salts"))).alias("places"))
-    found = passages.units(rows.join(every, "row"))
+    every = passages.seeds(rows).select("row", F.posexplode("seeds").alias("place", "seed")).groupBy("row").agg(F.collect_set(-1 - F.col("place")).alias("places"))
+    found = passages.units(rows.join(every, "row")).withColumn("salts", F.lit(2)).drop("hot")
     shares = passages.sharded(found.join(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 20"), "seed", "left_semi")).toPandas()
     shares["windows"] = shares["words"].map(lambda u: set(passages._windows(u)))
     held = shares.groupby(["seed", "shard"])["windows"].agg(lambda s: len(set().union(*s)))
