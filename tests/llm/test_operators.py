@@ -344,7 +344,7 @@ def windows_of_items(docs, items):
         size, own = shingles(text)
         for doc_id, t in docs:
             n, every = shingles(t)
-            if not size or not n:
+            if not size or not n or set(every).isdisjoint(own):
                 continue
             best = (0.0, 0)
             for start in range(max(0, n - size) + 1):
