@@ -517,12 +517,10 @@ def test_pipeline(spark, small):
 
 def test_pipeline_edges(spark, edges, empty, small):
     for frame in (edges, empty):
-        docs = frame
         for _, stage in corpus_pipeline.STAGES[:-1]:
             kept = stage(spark, frame, small)
             assert kept.columns == frame.columns
             rows = kept.collect()
             assert all(r[c] == "clash" for r in rows for c in CLASHING) and len(rows) <= len(EDGES)
-            docs = stage(spark, docs, small)
-        rows = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
-        assert len({r.doc_id for r in rows}) == docs.select("doc_id").distinct().count()
+        rows = corpus_pipeline.STAGES[-1][1](spark, frame, small).collect()
+        assert len({r.doc_id for r in rows}) == frame.select("doc_id").distinct().count()
