@@ -339,11 +339,10 @@ def windows_of_items(docs, items):
         w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
         return len(w), [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
 
-    out = {}
+    out, docs = {}, [(doc_id, *shingles(t)) for doc_id, t in docs]
     for item_id, text in items:
         size, own = shingles(text)
-        for doc_id, t in docs:
-            n, every = shingles(t)
+        for doc_id, n, every in docs:
             if not size or not n or set(every).isdisjoint(own):
                 continue
             best = (0.0, 0)
@@ -501,7 +500,7 @@ def test_pipeline(spark, small):
     plain = [
         lambda d: d,
         lambda d: {k: d[k] for k in set(classes_loop(list(d.items())).values())},
-        lambda d: {k: t for k, t in d.items() if k not in {x for x, _ in windows_of_items(list(d.items()), [(r.item_id, r.text) for r in items.collect()])}},
+        lambda d: (lambda found: {k: t for k, t in d.items() if k not in found})({x for x, _ in windows_of_items(list(d.items()), [(r.item_id, r.text) for r in items.collect()])}),
         lambda d: {k: secrets.redacted(t, secrets.find_secrets(t)) for k, t in d.items()},
     ]
     for (_, stage), loop in zip(corpus_pipeline.STAGES, plain):
