@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, near_dups, packed_ids, packing, passages, quality, rules, secrets, urls
+from . import decontaminate, html_text, language, near_dups, packed_ids, packing, passages, periodic, quality, resampling, rules, secrets, urls
 
 QUERIES = {
     "op1_passages": passages.op1_passages,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_files": packed_ids.op8_token_files,
     "op9_urls": urls.op9_urls,
     "op10_secrets": secrets.op10_secrets,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_html_text": html_text.op13_html_text,
 }
 
 ORACLE_SQL = {
