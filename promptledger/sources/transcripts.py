@@ -25,20 +25,23 @@ def file_path() -> Column:
 def scan(spark: SparkSession, root: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
     """path, line_no, entry (VARIANT) of every JSON object line of the files below ``root`` (or of a list of files).
 
-    Blank, malformed and non-object lines are skipped but counted. Lines are numbered in
-    file order also where a file is split over tasks: from the counts of its blocks, so
-    no line is shuffled and a large file is many tasks.
+    Blank, malformed and non-object lines are skipped but counted. How files are cut into
+    tasks depends on the executors of the moment, so one job alone reads them: it writes
+    each line with its block's start and its place within the task. Numbers follow from
+    what was written (the counts of a file's earlier blocks, and the place), whatever the
+    executors are when it is read; no line is shuffled and a large file is many tasks.
     """
     named = [re.sub(_GLOB, r"\\\1", x) for x in root] if isinstance(root, list) else root
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(named)
-    lines = raw.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("within"), "value")
+    parsed = F.try_parse_json("value")
+    entry = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed).alias("entry")
+    lines = storage.written(raw.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("within"), entry), "lines")
     blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("within").alias("first"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = storage.written(blocks.select("path", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift")), "blocks")
     if blocks.count() <= BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
-    numbered = lines.join(blocks, ["path", "block"]).select("path", (F.col("within") + F.col("shift") + 1).alias("line_no"), F.try_parse_json("value").alias("entry"))
-    return numbered.where(F.schema_of_variant("entry").startswith("OBJECT"))
+    return lines.where("entry is not null").join(blocks, ["path", "block"]).select("path", (F.col("within") + F.col("shift") + 1).alias("line_no"), "entry")
 
 
 def path_identity(path: Column) -> dict[str, Column]:

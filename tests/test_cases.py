@@ -91,6 +91,24 @@ def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_line_numbers_outlive_a_change_of_executors(spark, tmp_path):
+    """Another parallelism and split size at every read of one scan: no line is lost or numbered anew."""
+    for f in range(3):
+        (tmp_path / f"s{f}.jsonl").write_text("\n".join("" if n % 7 == 0 else "{bad" if n % 11 == 0 else line(n=n, pad="x" * (n % 50)) for n in range(20_000)))
+    conf = {"spark.sql.leafNodeDefaultParallelism": ("4", "16", "5", "1"), "spark.sql.files.maxPartitionBytes": ("200000", "50000", "1000000", "30000")}
+    use = lambda k: [spark.conf.set(c, v[k]) for c, v in conf.items()]
+    try:
+        use(0)
+        rows = transcripts.scan(spark, str(tmp_path)).select("path", "line_no", F.try_variant_get("entry", F.lit("$.n"), "int").alias("n"))
+        for k in (1, 2, 3):
+            use(k)
+            got = rows.agg(F.count("*").alias("all"), F.count_if(F.col("line_no") != F.col("n") + 1).alias("wrong"), F.countDistinct("path", "line_no").alias("places")).first()
+            assert tuple(got) == (3 * sum(n % 7 != 0 and n % 11 != 0 for n in range(20_000)), 0, got["all"])
+    finally:
+        for c in conf:
+            spark.conf.unset(c)
+
+
 PROMPT = "prompt_id string, session_id string, project string, ts timestamp_ntz, text string, source string, injected int, arrival_seq int"
 REQUEST = "request_id string, prompt_id string, session_id string, ts timestamp_ntz, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_create_tokens long, cache_5m_tokens long, cache_1h_tokens long, cost_usd double, source string, agent_name string, arrival_seq int"
 AT = datetime(2026, 1, 5, 10)
