@@ -61,3 +61,28 @@ def merge_edits(rows: DataFrame) -> DataFrame:
 
 def merge_sessions(rows: DataFrame) -> DataFrame:
     return rows.where("session_id is not null").groupBy("session_id").agg(_first("project"), _first("cwd"), F.min("arrival_seq").alias("arrival_seq"))
+
+
+#: For each table its key, and the rows that decide its merged row: the first and the last that meet a condition.
+DECIDING: dict[str, tuple[str, list[str], list[str]]] = {
+    "prompts": ("prompt_id", ["true", "session_id is not null", "project is not null", "ts is not null", "text <> ''", "text is not null", "injected = 1"], []),
+    "api_requests": ("request_id", ["true"], [f"source = '{LIVE}'"]),
+    "tool_calls": ("tool_use_id", ["true", "detail is not null", "tool_name ilike 'mcp__%' and tool_name <> 'mcp_tool'"], []),
+    "edits": ("tool_use_id", ["true"], []),
+    "sessions": ("session_id", ["true", "project is not null", "cwd is not null"], []),
+}
+MERGES = {"prompts": merge_prompts, "api_requests": merge_requests, "tool_calls": merge_tool_calls, "edits": merge_edits, "sessions": merge_sessions}
+
+
+def deciding(rows: DataFrame, table: str) -> DataFrame:
+    """The few of ``rows`` (with ``arrival_seq``) that decide each key's merged row; rows without a key all stay, once each.
+
+    They are rows as they came, so merging them equals merging all, whatever is added
+    later, earlier or again. A key keeps one row for each condition at most.
+    """
+    key, first, last = DECIDING[table]
+    whole = F.struct("arrival_seq", *[c for c in rows.columns if c != "arrival_seq"])
+    picks = [F.min(F.when(F.expr(c), whole)) for c in first] + [F.max(F.when(F.expr(c), whole)) for c in last]
+    own = F.when(F.col(key).isNull(), F.xxhash64(F.to_json(whole)))
+    kept = rows.withColumn(OWN, own).groupBy(key, OWN).agg(F.array_distinct(F.array_compact(F.array(*picks))).alias("rows_kept"))
+    return kept.select(F.inline("rows_kept")).select(rows.columns)

@@ -1,72 +1,48 @@
 """From files and log payloads to the ledger and its wide rows.
 
-Both feeds append keyed batches (bronze); ``silver`` merges them on read, so a batch
-that is read or written again changes nothing. ``refresh`` recomputes the wide rows
-that a batch touches (gold), late records included.
+Both feeds append keyed batches (bronze). ``refresh`` folds a batch into the store's
+deciding rows and recomputes the wide rows that it touches (gold), late records
+included; it reads and rewrites only the touched buckets. ``silver`` merges all of a
+store on read: what is folded, and the batches that are not. One process refreshes a
+store at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import islice
 
-from pyspark.errors import AnalysisException
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution, blocks, merge, pricing
 from ..operators.prompts import Ledger
 from ..sources import manifest, sinks, storage, transcripts
+from . import store
+from .store import FACTS, FEEDS, TABLES
 
-#: Columns of the bronze tables; a batch without one of them (of an older version) has nulls there.
-TABLES = {
-    "prompts": "prompt_id string, session_id string, project string, ts timestamp_ntz, text string, source string, injected int",
-    "api_requests": """request_id string, prompt_id string, session_id string, ts timestamp_ntz, model string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint,
-        cache_create_tokens bigint, cache_5m_tokens bigint, cache_1h_tokens bigint, cost_usd double, duration_ms bigint, query_source string, agent_name string, source string""",
-    "tool_calls": "tool_use_id string, prompt_id string, session_id string, ts timestamp_ntz, tool_name string, agent_name string, source string, detail string",
-    "edits": """tool_use_id string, prompt_id string, session_id string, ts timestamp_ntz, file_path string, kind string, lines_added bigint, lines_removed bigint, chars_added bigint,
-        agent_name string, source string""",
-    "sessions": "session_id string, project string, cwd string",
-}
-FEEDS = ("transcripts", "live")
 #: Files whose names the driver hands to one scan at most.
 FILES_PER_SCAN = 10_000
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table below the store, empty where nothing was written yet."""
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def bronze(spark: SparkSession, root: str, name: str, feed: str) -> DataFrame:
-    """The batches of a feed's table with ``arrival_seq``: when its batch came, then file and line or the record's number."""
-    rows = _read(spark, f"{root}/{feed}/{name}", f"{TABLES[name]}, arrived bigint, place string, ordinal bigint, batch_id bigint")
-    return rows.withColumn("arrival_seq", F.struct("arrived", "batch_id", "place", "ordinal")).drop("arrived", "place", "ordinal")
-
-
 def silver(spark: SparkSession, root: str, rates: DataFrame | None = None, promos: DataFrame | None = None) -> Ledger:
     """The ledger of both feeds; without ``rates`` and ``promos``, the built-in rate card."""
-    both = {name: bronze(spark, root, name, FEEDS[0]).unionByName(bronze(spark, root, name, FEEDS[1])).drop("batch_id") for name in TABLES}
+    return _ledger(spark, {name: merge.MERGES[name](store.rows_of(spark, root, name)) for name in TABLES}, rates, promos)
+
+
+def _ledger(spark: SparkSession, merged: dict[str, DataFrame], rates: DataFrame | None, promos: DataFrame | None) -> Ledger:
     return Ledger(
-        prompts=attribution.asof_canonical(merge.merge_prompts(both["prompts"])),
-        requests=merge.merge_requests(both["api_requests"]),
-        tool_calls=merge.merge_tool_calls(both["tool_calls"]),
-        edits=merge.merge_edits(both["edits"]),
-        sessions=merge.merge_sessions(both["sessions"]),
-        rates=pricing.default_rates(spark) if rates is None else rates,
-        promos=pricing.default_promos(spark) if promos is None else promos,
-    )
+        prompts=attribution.asof_canonical(merged["prompts"]), requests=merged["api_requests"], tool_calls=merged["tool_calls"], edits=merged["edits"], sessions=merged["sessions"],
+        rates=pricing.default_rates(spark) if rates is None else rates, promos=pricing.default_promos(spark) if promos is None else promos,
+    )
 
 
 def opened(spark: SparkSession, root: str) -> str:
     """The manifest's folder of this version. A store of a newer version is refused; one of an older
     version gets a new, empty manifest, so every file is read once more."""
-    versions = _read(spark, f"{root}/version", "version int")
+    versions = store.read(spark, f"{root}/version", "version int")
     found = versions.agg(F.max("version")).first()[0]
     if found is not None and found > sinks.SCHEMA_VERSION:
         raise ValueError(f"table version {found} is newer than {sinks.SCHEMA_VERSION}")
@@ -75,70 +51,166 @@ def opened(spark: SparkSession, root: str) -> str:
     return f"{root}/manifest-v{sinks.SCHEMA_VERSION}"
 
 
+def _part_number(spark: SparkSession, root: str, batch_id: int, digest: str) -> int:
+    """The bronze number of a part of a batch, by what the part holds: the same for a part that is
+    written again, a new one for any other, so no part ever replaces another's facts."""
+    known = store.read(spark, f"{root}/parts", "batch bigint, number bigint, digest string").where(F.col("batch") == batch_id).collect()  # parts of one batch
+    for r in known:
+        if r["digest"] == digest:
+            return r["number"]
+    number = max([r["number"] + 1 for r in known], default=batch_id * 1_000_000)
+    spark.createDataFrame([(batch_id, number, digest)], "batch bigint, number bigint, digest string").write.mode("append").parquet(f"{root}/parts")
+    return number
+
+
 def reconcile(spark: SparkSession, files: str, root: str, batch_id: int, arrived: int, pattern: str = "*.jsonl", force: bool = False) -> DataFrame:
     """Read the transcripts below ``files`` that changed, append their facts to the store ``root``, record them.
 
     Returns ``measure, n``: files scanned and ingested, rows of each merged table. ``arrived``
-    orders batches of both feeds. Files are recorded after their facts: a run that dies
-    reads them again, which merges to the same.
+    orders batches of both feeds. A part of the files is numbered by its names, sizes and
+    times, and recorded after all of its facts: a run that dies leaves the parts that are
+    recorded as they are, and reads the others again, into the same places if nothing
+    changed and into new ones if something did; a forced run always takes new ones.
     """
     known = opened(spark, root)
     there = storage.written(manifest.listing(spark, files, pattern), "listing")
-    todo = storage.written(manifest.changed(there, manifest.latest(_read(spark, known, manifest.SCHEMA)), force), "changed")
-    names, part = (r["path"] for r in todo.select("path").orderBy("path").toLocalIterator()), 0
-    while some := list(islice(names, FILES_PER_SCAN)):
-        entries = transcripts.scan(spark, some, pattern)
+    todo = storage.written(manifest.changed(there, manifest.latest(store.read(spark, known, manifest.SCHEMA)), force), "changed")
+    salt, rows = uuid.uuid4().hex if force else "", todo.orderBy("path").toLocalIterator()
+    while some := list(islice(rows, FILES_PER_SCAN)):
+        digest = xxhash.xxh3_128_hexdigest(repr([salt, arrived, *map(tuple, some)]))
+        number = _part_number(spark, root, batch_id, digest)
+        entries = transcripts.scan(spark, [r["path"] for r in some], pattern)
         owned = transcripts.attributed(entries)
         facts = {
             "prompts": transcripts.prompts(entries), "api_requests": transcripts.requests(entries, owned), "tool_calls": transcripts.tool_calls(entries, owned),
             "edits": transcripts.edits(entries, owned), "sessions": transcripts.sessions(entries),
         }
-        for name, rows in facts.items():
-            placed = rows.withColumnsRenamed({"path": "place", "line_no": "ordinal"}).withColumn("arrived", F.lit(arrived).cast("bigint"))
-            sinks.append_batch(placed, f"{root}/{FEEDS[0]}/{name}", batch_id * 1_000_000 + part)
-        manifest.record(known, todo.where((F.col("path") >= some[0]) & (F.col("path") <= some[-1])), arrived)
-        part += 1
+        for name, found in facts.items():
+            placed = found.withColumnsRenamed({"path": "place", "line_no": "ordinal"}).withColumn("arrived", F.lit(arrived).cast("bigint"))
+            sinks.append_batch(placed, f"{root}/{FEEDS[0]}/{name}", number)
+        manifest.record(known, todo.where((F.col("path") >= some[0]["path"]) & (F.col("path") <= some[-1]["path"])), arrived)
     x = silver(spark, root)
     counts = {"scanned": there, "ingested": todo, "prompts": x.prompts, "api_requests": x.requests, "tool_calls": x.tool_calls, "edits": x.edits, "sessions": x.sessions}
     parts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n") for name, rows in counts.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-def refresh(spark: SparkSession, root: str, feed: str, first: int, last: int, now: str, rates: DataFrame | None = None, promos: DataFrame | None = None) -> None:
-    """After batches ``first`` to ``last`` of a feed: write the wide rows that they touch, and the current block.
+def _sum_hours(batch: store.Batch, rates: DataFrame, promos: DataFrame, tag: str) -> None:
+    """Add to the store's hours what the batch changes in them: its requests as they are merged with it, less as they were without.
 
-    Touched are the prompts of the batches' facts, and all of the sessions in which a
-    prompt came or was late (others may now fold into it). Rows that are no longer
-    there are written as absent; ``usage`` reads the last of each.
+    Written before the batch is folded, and once: a refresh that is done again finds its ``tag``.
     """
-    x = silver(spark, root, rates, promos)
-    came = {name: bronze(spark, root, name, feed).where(F.col("batch_id").between(first, last)) for name in ("prompts", "api_requests", "tool_calls", "edits")}
-    ids = came["prompts"].select("prompt_id")
-    for name in ("api_requests", "tool_calls", "edits"):
-        ids = ids.union(came[name].select("prompt_id"))
-    x.prompts = storage.written(x.prompts, "prompts")
-    near = x.prompts.join(came["prompts"].select("session_id").distinct(), "session_id", "left_semi")
-    direct = ids.union(near.select("prompt_id")).where("prompt_id is not null").distinct()
-    touched = direct.join(x.targets, "prompt_id", "left").select(F.explode(F.array_distinct(F.array_compact(F.array("prompt_id", "target")))).alias("id")).distinct()
-    touched = storage.written(touched, "touched")
-    rows = touched.join(x.only(touched.withColumnRenamed("id", "target")).usage().withColumn("present", F.lit(True)), "id", "left")
-    sinks.append_batch(rows.withColumn("present", F.coalesce("present", F.lit(False))), f"{root}/gold/usage", _turn(spark, root))
-    at = F.lit(now).cast("timestamp_ntz")
-    blocks.current_block(x.costed, at).write.mode("overwrite").parquet(f"{root}/gold/block")
+    spark, root = batch.spark, batch.root
+    if not store.read(spark, f"{root}/hours-done", "tag string").where(F.col("tag") == tag).isEmpty():
+        return
+    hours = lambda rows: blocks.hourly(pricing.costed(merge.merge_requests(rows), rates, promos), [])
+    sums = ("out_tokens", "micro_usd", "requests")
+    less = hours(batch.before("api_requests")).withColumns({c: -F.col(c) for c in sums}).withColumn("last_ts", F.lit(None).cast("timestamp_ntz"))
+    change = hours(batch.after("api_requests")).unionByName(less).groupBy("hour").agg(*[F.sum(c).alias(c) for c in sums], F.max("last_ts").alias("last_ts"))
+    change = change.withColumns({"tag": F.lit(tag), "day": F.floor(F.col("hour") / 24).cast("int"), "micro_usd": F.col("micro_usd").cast("decimal(24,6)")})
+    change = storage.written(change, "hours")
+    days = store.numbers(change, "day")
+    held = store.read(spark, f"{root}/hours", HOURS).where((F.col("day").isin(days) if days else F.lit(False)) & (F.col("tag") != tag))
+    store.replace_parts(storage.written(held.unionByName(change), "hours"), f"{root}/hours", "day")
+    spark.createDataFrame([(tag,)], "tag string").write.mode("append").parquet(f"{root}/hours-done")
+
+
+HOURS = "hour bigint, out_tokens bigint, micro_usd decimal(24,6), requests bigint, last_ts timestamp_ntz, tag string, day int"
+NAMES = "project string, session_id string, display string, arrival_seq struct<arrived: bigint, batch_id: bigint, place: string, ordinal: bigint>, bucket int"
+
+
+def _name_projects(batch: store.Batch) -> None:
+    """Keep for each project the session that arrived last, with its display as it is now."""
+    spark, root = batch.spark, batch.root
+    x = Ledger(None, None, None, None, merge.merge_sessions(batch.after("sessions")), None, None)
+    now = x.session_projects.where("coalesce(project, '') <> '' and coalesce(display, '') <> ''").withColumn("bucket", store.bucket_of(F.col("project"), batch.n))
+    now = storage.written(now.select("project", "session_id", "display", "arrival_seq", "bucket"), "names")
+    touched = store.numbers(now, "bucket")
+    held = store.read(spark, f"{root}/names", NAMES).where(F.col("bucket").isin(touched) if touched else F.lit(False))
+    both = held.withColumn("new", F.lit(0)).unionByName(now.withColumn("new", F.lit(1)))
+    order = F.struct("arrival_seq", "session_id", "new")
+    best = both.groupBy("project", "bucket").agg(F.max_by(F.struct("session_id", "display", "arrival_seq"), order).alias("s")).select("project", "s.*", "bucket")
+    store.replace_parts(storage.written(best, "names"), f"{root}/names", "bucket")
+
+
+def _touched_ledger(batch: store.Batch, rates: DataFrame, promos: DataFrame) -> tuple[Ledger, DataFrame]:
+    """The ledger of the prompts that a folded batch touches, and ``touched(id)``.
+
+    Touched are the prompts of the batch's facts, and of the same facts as they were
+    before; and all of the sessions in which a prompt came or was late (others may now
+    fold into it). The index tells which buckets hold their sessions' prompts and their facts.
+    """
+    spark, root, n = batch.spark, batch.root, batch.n
+    one = lambda rows, column, name="id": rows.select(F.col(column).alias(name)).where(f"{name} is not null").distinct()
+    came = storage.written(one(batch.after("prompts"), "session_id"), "came-sessions")
+    ids = storage.written(reduce(DataFrame.union, [one(batch.after(name), "prompt_id") for name in ("prompts", *FACTS)]).distinct(), "touched-ids")
+    at_ids = store.numbers(ids.select(store.bucket_of(F.col("id"), n).alias("b")), "b")
+    own = store.deciding(spark, root, "prompts", at_ids).join(ids.withColumnRenamed("id", "prompt_id"), "prompt_id", "left_semi")
+    sessions = storage.written(came.union(one(own, "session_id")).distinct(), "near-sessions")
+    near = store.deciding(spark, root, "prompts", sorted({*at_ids, *store.numbers(store.indexed(spark, root, "session", sessions), "bucket")}))
+    keys = one(near.join(sessions.withColumnRenamed("id", "session_id"), "session_id", "left_semi"), "prompt_id", "prompt_id").union(ids).distinct()
+    prompts = storage.written(attribution.asof_canonical(merge.merge_prompts(near.drop("bucket").join(keys, "prompt_id", "left_semi"))), "near-prompts")
+    targets = attribution.targets(prompts)
+    direct = ids.union(one(prompts.join(came.withColumnRenamed("id", "session_id"), "session_id", "left_semi"), "prompt_id")).distinct()
+    both = direct.withColumnRenamed("id", "prompt_id").join(targets, "prompt_id", "left")
+    touched = storage.written(both.select(F.explode(F.array_distinct(F.array_compact(F.array("prompt_id", "target")))).alias("id")).distinct(), "touched")
+    members = touched.union(one(targets.join(touched.withColumnRenamed("id", "target"), "target", "left_semi"), "prompt_id")).distinct()
+    where = storage.written(store.indexed(spark, root, "prompt", storage.written(members, "members")), "fact-buckets")
+    merged = {"prompts": prompts}
+    for name in FACTS:
+        rows, key = store.deciding(spark, root, name, store.numbers(where.where(F.col("name") == name), "bucket")).drop("bucket"), merge.DECIDING[name][0]
+        rows = rows.withColumn("own_key", F.coalesce(F.col(key), F.to_json("arrival_seq")))
+        wanted = one(rows.join(members.withColumnRenamed("id", "prompt_id"), "prompt_id", "left_semi"), "own_key", "own_key")
+        merged[name] = storage.written(merge.MERGES[name](rows.join(wanted, "own_key", "left_semi").drop("own_key")), f"near-{name}")
+    shown = storage.written(one(prompts, "session_id").union(one(merged["api_requests"], "session_id")).distinct(), "shown-sessions")
+    held = store.deciding(spark, root, "sessions", store.numbers(shown.select(store.bucket_of(F.col("id"), n).alias("b")), "b")).drop("bucket")
+    merged["sessions"] = merge.merge_sessions(held.join(shown.withColumnRenamed("id", "session_id"), "session_id", "left_semi"))
+    x = Ledger(prompts=prompts, requests=merged["api_requests"], tool_calls=merged["tool_calls"], edits=merged["edits"], sessions=merged["sessions"], rates=rates, promos=promos)
+    x.__dict__["project_names"] = store.read(spark, f"{root}/names", NAMES).select("project", F.col("display").alias("name"))
+    return x, touched
 
 
-def _turn(spark: SparkSession, root: str) -> int:
-    """The number of the next refresh."""
-    done = _read(spark, f"{root}/gold/usage", "id string, batch_id bigint").agg(F.max("batch_id")).first()[0]
-    return 0 if done is None else done + 1
+def refresh(spark: SparkSession, root: str, feed: str, first: int, last: int, now: str, rates: DataFrame | None = None, promos: DataFrame | None = None) -> None:
+    """After batches ``first`` to ``last`` of a feed: fold them, write the wide rows that they touch, and the current block.
+
+    What is read and rewritten are the buckets of the batches' keys and of the touched
+    prompts' facts, never the whole store. Rows that are no longer there are written as
+    absent. A refresh that died can be done again.
+    """
+    rates = pricing.default_rates(spark) if rates is None else rates
+    promos = pricing.default_promos(spark) if promos is None else promos
+    batch = store.Batch(spark, root, feed, first, last)
+    if any(not rows.isEmpty() for rows in batch.new.values()):
+        _sum_hours(batch, rates, promos, f"{feed}:{first}-{last}")
+        batch.fold()
+        _name_projects(batch)
+        x, touched = _touched_ledger(batch, rates, promos)
+        rows = touched.join(x.only(touched.withColumnRenamed("id", "target")).usage().withColumn("present", F.lit(True)), "id", "left")
+        rows = rows.withColumns({"present": F.coalesce("present", F.lit(False)), "bucket": store.bucket_of(F.col("id"), batch.n)})
+        rows = storage.written(rows, "wide-rows")
+        held = store.read(spark, f"{root}/gold/rows", _ddl(rows)).where(F.col("bucket").isin(at) if (at := store.numbers(rows, "bucket")) else F.lit(False))
+        store.replace_parts(storage.written(held.join(touched, "id", "left_anti").unionByName(rows), "wide-rows"), f"{root}/gold/rows", "bucket")
+    write_block(spark, root, now)
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
+
+
+def write_block(spark: SparkSession, root: str, now: str) -> None:
+    """The block that ``now`` is in, from the hours of the last days alone; a clock may call it without a batch."""
+    at = F.lit(now).cast("timestamp_ntz")
+    first = F.timestamp_add("HOUR", F.lit(-blocks.LOOKBACK_HOURS), at)
+    recent = store.read(spark, f"{root}/hours", HOURS).where(F.col("day") >= F.floor(blocks.hour_number(first) / 24))
+    sums = recent.groupBy("hour").agg(*[F.sum(c).alias(c) for c in ("out_tokens", "micro_usd", "requests")], F.max("last_ts").alias("last_ts"))
+    seen = sums.where((F.col("requests") > 0) & (F.col("last_ts") >= first))
+    rows = blocks.current(blocks.chained(seen, []), at)
+    storage.written(rows, "block").write.mode("overwrite").parquet(f"{root}/gold/block")
 
 
 def usage(spark: SparkSession, root: str) -> DataFrame:
     """The wide rows as they were last refreshed."""
-    rows = spark.read.option("basePath", f"{root}/gold/usage").parquet(f"{root}/gold/usage")
-    rest = [c for c in rows.columns if c not in ("id", "batch_id")]
-    newest = rows.groupBy("id").agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select("id", "r.*")
-    return newest.where("present").drop("present")
+    return spark.read.parquet(f"{root}/gold/rows").where("present").drop("present", "bucket")
 
 
 def current_block(spark: SparkSession, root: str) -> DataFrame:

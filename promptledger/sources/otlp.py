@@ -49,6 +49,11 @@ def route(body: Column, events: dict[str, str] = EVENTS) -> Column:
     return found
 
 
+def _place(records: DataFrame) -> list[str]:
+    """Where a record came from, if the records tell."""
+    return ["place", "ordinal"] if "place" in records.columns else []
+
+
 def _common(a: Column) -> list[Column]:
     return [text(a, "prompt.id").alias("prompt_id"), text(a, "session.id").alias("session_id"), parse_ts(text(a, "event.timestamp")).alias("ts")]
 
@@ -56,7 +61,7 @@ def _common(a: Column) -> list[Column]:
 def prompts(records: DataFrame) -> DataFrame:
     a, said = F.col("attrs"), F.coalesce(text(F.col("attrs"), "prompt"), F.lit(""))
     rows = records.where(route(F.col("body")) == "prompts")
-    return rows.select(*_common(a), F.lit(None).cast("string").alias("project"), said.alias("text"), F.lit("otel").alias("source"), is_injected(said).cast("int").alias("injected"))
+    return rows.select(*_common(a), F.lit(None).cast("string").alias("project"), said.alias("text"), F.lit("otel").alias("source"), is_injected(said).cast("int").alias("injected"), *_place(records))
 
 
 def requests(records: DataFrame) -> DataFrame:
@@ -66,7 +71,7 @@ def requests(records: DataFrame) -> DataFrame:
     return records.where(route(F.col("body")) == "api_requests").select(
         text(a, "request_id").alias("request_id"), *_common(a), F.coalesce(text(a, "model"), F.lit("?")).alias("model"), n("input_tokens", "input_tokens"), n("output_tokens", "output_tokens"),
         n("cache_read_tokens", "cache_read_tokens"), n("cache_creation_tokens", "cache_create_tokens"), F.lit(0).cast("bigint").alias("cache_5m_tokens"), F.lit(0).cast("bigint").alias("cache_1h_tokens"),
-        number(a, "cost_usd", "double").alias("cost_usd"), number(a, "duration_ms").alias("duration_ms"), text(a, "query_source").alias("query_source"), text(a, "agent.name").alias("agent_name"), F.lit("otel").alias("source"),
+        number(a, "cost_usd", "double").alias("cost_usd"), number(a, "duration_ms").alias("duration_ms"), text(a, "query_source").alias("query_source"), text(a, "agent.name").alias("agent_name"), F.lit("otel").alias("source"), *_place(records),
     )
 
 
@@ -74,4 +79,4 @@ def tool_calls(records: DataFrame) -> DataFrame:
     a = F.col("attrs")
     key = text(a, "tool_use_id")
     rows = records.where((route(F.col("body")) == "tool_calls") & (F.coalesce(key, F.lit("")) != ""))
-    return rows.select(key.alias("tool_use_id"), *_common(a), F.coalesce(text(a, "tool_name"), F.lit("?")).alias("tool_name"), text(a, "agent.name").alias("agent_name"), F.lit("otel").alias("source"), F.lit(None).cast("string").alias("detail"))
+    return rows.select(key.alias("tool_use_id"), *_common(a), F.coalesce(text(a, "tool_name"), F.lit("?")).alias("tool_name"), text(a, "agent.name").alias("agent_name"), F.lit("otel").alias("source"), F.lit(None).cast("string").alias("detail"), *_place(records))

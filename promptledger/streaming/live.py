@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,27 +18,46 @@ REFRESH = "60 seconds"
 
 
 def payload_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Payload lines as they arrive; gzip is read as such."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    """Payload lines as they arrive, with the place (file and block) of each; gzip is read as such."""
+    place = F.concat_ws(":", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).select("value", place.alias("place"))
+
+
+def arrival(spark: SparkSession, root: str, batch_id: int, clock: Callable[[], int]) -> int:
+    """When a batch came first: a replay is told the same."""
+    path, schema = f"{root}/arrived/batch_id={batch_id}", "arrived bigint"
+    try:
+        known = spark.read.schema(schema).parquet(path).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = None
+    if known is None:
+        came = clock()
+        spark.createDataFrame([(came,)], schema).write.mode("overwrite").parquet(path)
+        return came
+    return known[0]
 
 
 def ingest(payloads: DataFrame, root: str, checkpoint: str, after: Callable[[int], None] | None = None, clock: Callable[[], int] = lambda: time.time_ns() // 1000, **trigger):
     """Append each batch to the tables below ``root``, once for each batch id; then call ``after`` with it.
 
     ``after`` is where ``plans.ingest.refresh`` recomputes what the batch touches, late
-    records included, and the current block. ``clock`` orders batches of both feeds.
-    Empty batches do nothing.
+    records included, and the current block. ``clock`` orders batches of both feeds; within
+    a batch, records are ordered by file, block and place in it. A replayed batch is written
+    as it was, with the same order. Empty batches do nothing.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        records = otlp.log_records(batch).persist()
+        spark = batch.sparkSession
+        placed = batch if "place" in batch.columns else batch.withColumn("place", F.lit(""))
+        records = otlp.log_records(placed).withColumn("ordinal", F.monotonically_increasing_id()).persist()
         try:
             if records.isEmpty():
                 return
-            came = clock()
+            came = arrival(spark, root, batch_id, clock)
             for name, table in TABLES.items():
-                rows = table(records).withColumns({"ordinal": F.monotonically_increasing_id(), "place": F.lit(""), "arrived": F.lit(came).cast("bigint")})
-                sinks.append_batch(rows, f"{root}/{name}", batch_id)
+                sinks.append_batch(table(records).withColumn("arrived", F.lit(came).cast("bigint")), f"{root}/{name}", batch_id)
         finally:
             records.unpersist()
         if after:
