@@ -20,9 +20,12 @@ NO_TEXT = "(prompt text unavailable)"
 
 @dataclass
 class Ledger:
-    """The merged tables and what follows from them; every fact is grouped by target before any join."""
+    """The merged tables and what follows from them; every fact is grouped by target before any join.
 
-    prompts: DataFrame
+    ``prompts`` may be a function that makes them, called when they are first needed.
+    """
+
+    prompts: DataFrame | Callable[[], DataFrame]
     requests: DataFrame
     tool_calls: DataFrame
     edits: DataFrame
@@ -30,12 +33,16 @@ class Ledger:
     rates: DataFrame
     promos: DataFrame
 
-    def stored(self, written: Callable[[DataFrame, str], DataFrame]) -> Ledger:
-        """The same ledger over tables that ``written`` has made of the merged ones and of the folded facts:
-        whatever is asked of it then reads these and merges nothing again."""
-        out = replace(self, prompts=written(self.prompts, "prompts"), requests=written(self.requests, "requests"), sessions=written(self.sessions, "sessions"))
-        for name in ("costed", "tools", "changes"):
-            out.__dict__[name] = written(getattr(out, name), name)  # in place of the cached property's own
+    def stored(self, written: Callable[[DataFrame, str], DataFrame], *names: str) -> Ledger:
+        """The same ledger over tables that ``written`` has made of the merged ones and of the folded facts
+        (all, or those of ``names``): whatever is asked of it then reads these and merges nothing again."""
+        out = replace(self, prompts=self.__dict__["_prompts"])  # not made unless it is asked for
+        for name in names or ("prompts", "requests", "sessions", "costed", "tools", "changes"):
+            rows = written(getattr(out, name), name)
+            if name in ("prompts", "requests", "sessions"):
+                setattr(out, name, rows)
+            else:
+                out.__dict__[name] = rows  # in place of the cached property's own
         return out
 
     def only(self, targets: DataFrame) -> Ledger:
@@ -166,3 +173,13 @@ class Ledger:
         for side in (models, tools, agents, files):
             rows = rows.join(side, "target", "left")
         return rows.withColumnRenamed("target", "id")
+
+
+def _prompts(ledger: Ledger) -> DataFrame:
+    made = ledger.__dict__["_prompts"]
+    if callable(made):
+        made = ledger.__dict__["_prompts"] = made()
+    return made
+
+
+Ledger.prompts = property(_prompts, lambda ledger, made: ledger.__dict__.__setitem__("_prompts", made))

@@ -9,7 +9,7 @@ from ..functions import scalars as fn
 from ..operators import blocks, report
 from ..sources import fixtures, otlp, sinks, storage, transcripts
 from ..streaming import live
-from . import ingest
+from . import ingest, store
 from .oracle import NOW, current_block_sql, sql
 
 
@@ -88,6 +88,18 @@ def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("prompt_id", "session_id", "canonical_id")
 
 
+def stream_asof_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Injected prompts as they are folded where prompts come out of order, in four batches: by what had arrived."""
+    path = storage.fresh_path(spark, "prompts")
+    fx = storage.written(fixtures.ledger(spark, sf_dir).prompts.select("session_id", "ts", "injected", "prompt_id"), "all-prompts")
+    for batch in (2, 0, 3, 1):
+        fx.where(F.substring("prompt_id", 2, 20).cast("long") % 4 == batch).coalesce(1).write.mode("append").parquet(path)
+    out = storage.fresh_path(spark, "folded")
+    stream = live.asof_stream(spark.readStream.schema(fx.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("prompt_id", "session_id", "canonical_id")
+
+
 def _payload(spark: SparkSession, sf_dir: str) -> str:
     x, path = fixtures.ledger(spark, sf_dir, stored=True), storage.fresh_path(spark, "payload")
     sinks.write_payload(x.usage(), blocks.current_block(x.costed, F.lit(NOW).cast("timestamp_ntz")), path, NOW)
@@ -214,9 +226,16 @@ def silver_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.silver(spark, _both_feeds(spark, sf_dir)[0]).tool_calls.select("tool_use_id", "prompt_id", "tool_name", "detail", "source")
 
 
+def _new_store(spark: SparkSession) -> str:
+    """A store of few buckets, as each batch of these queries touches most keys."""
+    root = storage.fresh_path(spark, "store")
+    store.buckets(spark, root, 8)
+    return root
+
+
 def live_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide rows that are recomputed batch after batch, from both feeds as they come."""
-    root, files = storage.fresh_path(spark, "store"), write_sessions(spark, sf_dir)
+    root, files = _new_store(spark), write_sessions(spark, sf_dir)
     again = lambda feed: lambda first, last: ingest.refresh(spark, root, feed, first, last, "2024-01-01 04:59:59")
     stream = live.ingest(live.payload_stream(spark, write_answers(spark, sf_dir)), f"{root}/live", f"{root}-checkpoint", after=lambda k: again("live")(k, k), clock=lambda: 1, availableNow=True)
     stream.awaitTermination()
@@ -228,7 +247,7 @@ def live_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        transcript_scan, transcript_prompts, transcript_tools, transcript_edits, transcript_sessions, otlp_scan, stream_ingest, stream_asof,
+        transcript_scan, transcript_prompts, transcript_tools, transcript_edits, transcript_sessions, otlp_scan, stream_ingest, stream_asof, stream_asof_late,
         payload_sink, payload_window, digest_sink, csv_export, reconcile, silver_union, silver_tools, live_refresh,
     )
 }
@@ -251,6 +270,10 @@ from (select *, {_LAST} as prompt_id from conversations) where role <> 'user' an
     "stream_ingest": """select case when event_type = 'signup' then 'prompts' when event_type = 'purchase' then 'tool_calls' else 'api_requests' end as table_name,
   concat('s', user_id) as session_id, count(*) as n from events where event_type <> 'error' group by all""",
     "stream_asof": sql("select prompt_id, session_id, canonical_id from prompts where injected = 1 and session_id is not null"),
+    "stream_asof_late": sql("""select i.prompt_id, i.session_id, max_by(t.prompt_id, (coalesce(t.ts, timestamp '0001-01-01'), t.prompt_id)) as canonical_id
+from (select *, case cast(substr(prompt_id, 2) as bigint) % 4 when 2 then 0 when 0 then 1 when 3 then 2 else 3 end as batch from prompts) i
+left join (select *, case cast(substr(prompt_id, 2) as bigint) % 4 when 2 then 0 when 0 then 1 when 3 then 2 else 3 end as batch from prompts where injected = 0) t
+  on t.session_id = i.session_id and t.batch <= i.batch and (t.ts is null or t.ts <= i.ts) where i.injected = 1 and i.session_id is not null group by all"""),
     "payload_sink": sql("select id, project, cost, api_calls, dense_rank() over (order by ts desc, id) as place from usage"),
     "payload_window": current_block_sql(f"select strftime(block_start, '%Y-%m-%d %H:%M:%S') as block_start, out_tokens, cost, requests, '{NOW}' as generated_at from ({{}})"),
     "digest_sink": sql("select digest, strftime(ts, '%Y-%m-%d') as day, count(*) as prompts, cast(sum(out_tokens) as bigint) as out_tokens, cast(sum(cast(cost as decimal(20,4))) as double) as cost from week, unnest(['2024-W05', '2024-W05-235901']) as t(digest) group by all"),

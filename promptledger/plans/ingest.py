@@ -34,7 +34,7 @@ def silver(spark: SparkSession, root: str, rates: DataFrame | None = None, promo
 
 def _ledger(spark: SparkSession, merged: dict[str, DataFrame], rates: DataFrame | None, promos: DataFrame | None) -> Ledger:
     return Ledger(
-        prompts=attribution.asof_canonical(merged["prompts"]), requests=merged["api_requests"], tool_calls=merged["tool_calls"], edits=merged["edits"], sessions=merged["sessions"],
+        prompts=lambda: attribution.asof_canonical(merged["prompts"]), requests=merged["api_requests"], tool_calls=merged["tool_calls"], edits=merged["edits"], sessions=merged["sessions"],
         rates=pricing.default_rates(spark) if rates is None else rates, promos=pricing.default_promos(spark) if promos is None else promos,
     )
 
@@ -89,8 +89,8 @@ def reconcile(spark: SparkSession, files: str, root: str, batch_id: int, arrived
             placed = found.withColumnsRenamed({"path": "place", "line_no": "ordinal"}).withColumn("arrived", F.lit(arrived).cast("bigint"))
             sinks.append_batch(placed, f"{root}/{FEEDS[0]}/{name}", number)
         manifest.record(known, todo.where((F.col("path") >= some[0]["path"]) & (F.col("path") <= some[-1]["path"])), arrived)
-    x = silver(spark, root)
-    counts = {"scanned": there, "ingested": todo, "prompts": x.prompts, "api_requests": x.requests, "tool_calls": x.tool_calls, "edits": x.edits, "sessions": x.sessions}
+    x, merged_prompts = silver(spark, root), merge.merge_prompts(store.rows_of(spark, root, "prompts"))
+    counts = {"scanned": there, "ingested": todo, "prompts": merged_prompts, "api_requests": x.requests, "tool_calls": x.tool_calls, "edits": x.edits, "sessions": x.sessions}
     parts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n") for name, rows in counts.items()]
     return reduce(DataFrame.unionByName, parts)
 
@@ -157,11 +157,14 @@ def _touched_ledger(batch: store.Batch, rates: DataFrame, promos: DataFrame) ->
     members = touched.union(one(targets.join(touched.withColumnRenamed("id", "target"), "target", "left_semi"), "prompt_id")).distinct()
     where = storage.written(store.indexed(spark, root, "prompt", storage.written(members, "members")), "fact-buckets")
     merged = {"prompts": prompts}
-    for name in FACTS:
+
+    def load(name: str) -> None:
         rows, key = store.deciding(spark, root, name, store.numbers(where.where(F.col("name") == name), "bucket")).drop("bucket"), merge.DECIDING[name][0]
         rows = rows.withColumn("own_key", F.coalesce(F.col(key), F.to_json("arrival_seq")))
         wanted = one(rows.join(members.withColumnRenamed("id", "prompt_id"), "prompt_id", "left_semi"), "own_key", "own_key")
         merged[name] = storage.written(merge.MERGES[name](rows.join(wanted, "own_key", "left_semi").drop("own_key")), f"near-{name}")
+
+    store.at_once(spark, load, FACTS)
     shown = storage.written(one(prompts, "session_id").union(one(merged["api_requests"], "session_id")).distinct(), "shown-sessions")
     held = store.deciding(spark, root, "sessions", store.numbers(shown.select(store.bucket_of(F.col("id"), n).alias("b")), "b")).drop("bucket")
     merged["sessions"] = merge.merge_sessions(held.join(shown.withColumnRenamed("id", "session_id"), "session_id", "left_semi"))
@@ -180,10 +183,12 @@ def refresh(spark: SparkSession, root: str, feed: str, first: int, last: int, no
     rates = pricing.default_rates(spark) if rates is None else rates
     promos = pricing.default_promos(spark) if promos is None else promos
     batch = store.Batch(spark, root, feed, first, last)
-    if any(not rows.isEmpty() for rows in batch.new.values()):
-        _sum_hours(batch, rates, promos, f"{feed}:{first}-{last}")
+    if batch.came:
+        if "api_requests" in batch.came:
+            _sum_hours(batch, rates, promos, f"{feed}:{first}-{last}")
         batch.fold()
-        _name_projects(batch)
+        if "sessions" in batch.came:
+            _name_projects(batch)
         x, touched = _touched_ledger(batch, rates, promos)
         rows = touched.join(x.only(touched.withColumnRenamed("id", "target")).usage().withColumn("present", F.lit(True)), "id", "left")
         rows = rows.withColumns({"present": F.coalesce("present", F.lit(False)), "bucket": store.bucket_of(F.col("id"), batch.n)})

@@ -29,6 +29,11 @@ def _stored(f: Callable[[Ledger], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(fixtures.ledger(spark, sf_dir, stored=True))
 
 
+def _once(f: Callable[[Ledger], DataFrame]) -> Query:
+    """For results that read one of the ledger's tables once: only what those are derived from is stored."""
+    return lambda spark, sf_dir: f(fixtures.ledger(spark, sf_dir, stored=()))
+
+
 def _table(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
@@ -166,9 +171,9 @@ QUERIES: dict[str, Query] = {
     "unpriced_models": _ledger(lambda x: x.unpriced()),
     "active_prompts": _usage(lambda u: u.select("id", "api_calls", "tool_calls")),
     "prompt_usage": _usage(lambda u: u.withColumn("wall_s", F.col("wall_s").cast("double"))),
-    "blocks_5h": _stored(lambda x: blocks.blocks(x.costed)),
-    "blocks_5h_by_user": _stored(lambda x: blocks.blocks(x.costed, ["session_id"])),
-    "current_block": _stored(lambda x: blocks.current_block(x.costed, _now())),
+    "blocks_5h": _once(lambda x: blocks.blocks(x.costed)),
+    "blocks_5h_by_user": _once(lambda x: blocks.blocks(x.costed, ["session_id"])),
+    "current_block": _once(lambda x: blocks.current_block(x.costed, _now())),
     "digest_totals": _week(lambda w, x: report.digest_totals(w, x.agents())),
     "digest_by_project": _week(lambda w, x: report.by_project(w)),
     "digest_by_family": _week(_week_families),

@@ -13,6 +13,10 @@ again: deciding rows of rows that are there already are the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +37,7 @@ TABLES = {
 FACTS = ("api_requests", "tool_calls", "edits")
 FEEDS = ("transcripts", "live")
 #: Buckets of a new store: a bucket is what one touched key costs to read and rewrite, so choose a store's size over some 100 MB.
-BUCKETS = 256
+BUCKETS = 64
 _ARRIVED = "arrived bigint, place string, ordinal bigint"
 _SEQ = "arrival_seq struct<arrived: bigint, batch_id: bigint, place: string, ordinal: bigint>"
 
@@ -105,6 +109,13 @@ def numbers(rows: DataFrame, column: str) -> list[int]:
     return sorted(r[0] for r in rows.select(column).distinct().collect())
 
 
+def at_once(spark: SparkSession, f: Callable[[str], None], names: Iterable[str]) -> None:
+    """Call ``f`` for each table's name, the tables' jobs beside each other; the first error is raised."""
+    with ThreadPoolExecutor(len(TABLES)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(f), name) for name in names]:
+            done.result()
+
+
 def indexed(spark: SparkSession, root: str, kind: str, ids: DataFrame) -> DataFrame:
     """``name, bucket``: which buckets of which tables may hold rows of ``ids(id)``; only the ids' slots are read."""
     n = buckets(spark, root)
@@ -119,18 +130,24 @@ class Batch:
     def __init__(self, spark: SparkSession, root: str, feed: str, first: int, last: int):
         self.spark, self.root, self.feed, self.n = spark, root, feed, buckets(spark, root)
         self.new, self.old = {}, {}
-        for name in TABLES:
+        self.came: list[str] = []  # tables with new rows
+
+        def load(name: str) -> None:
             came = bronze(spark, root, name, feed).where(F.col("batch_id").between(first, last))
-            key = merge.DECIDING[name][0]
-            own = F.coalesce(F.col(key), F.to_json("arrival_seq"))
+            own = F.coalesce(F.col(merge.DECIDING[name][0]), F.to_json("arrival_seq"))
             self.new[name] = storage.written(came.withColumn("bucket", bucket_of(own, self.n)), f"new-{name}")
-            held = deciding(spark, root, name, numbers(self.new[name], "bucket"))
-            self.old[name] = storage.written(held, f"old-{name}")
+            at = numbers(self.new[name], "bucket")
+            held = deciding(spark, root, name, at)
+            self.old[name] = storage.written(held, f"old-{name}") if at else held
+            if at:
+                self.came.append(name)
+
+        at_once(spark, load, TABLES)
 
     def batch_ids(self) -> DataFrame:
         out = None
-        for rows in self.new.values():
-            ids = rows.select("batch_id")
+        for name in self.came:
+            ids = self.new[name].select("batch_id")
             out = ids if out is None else out.union(ids)
         return out.distinct()
 
@@ -144,11 +161,13 @@ class Batch:
 
     def fold(self) -> None:
         """Put the new rows into their buckets, then into the index; then the batches are folded."""
-        for name in TABLES:
-            both = self.old[name].unionByName(self.new[name].drop("batch_id"))
-            rows = merge.deciding(both.drop("bucket"), name)
+
+        def put(name: str) -> None:  # from the copies of the old rows, so a part is not read as it is replaced
+            rows = merge.deciding(self.old[name].unionByName(self.new[name].drop("batch_id")).drop("bucket"), name)
             own = F.coalesce(F.col(merge.DECIDING[name][0]), F.to_json("arrival_seq"))
-            replace_parts(storage.written(rows.withColumn("bucket", bucket_of(own, self.n)), f"fold-{name}"), f"{self.root}/deciding/{name}", "bucket")
+            replace_parts(rows.withColumn("bucket", bucket_of(own, self.n)), f"{self.root}/deciding/{name}", "bucket")
+
+        at_once(self.spark, put, self.came)
         entries = [self.new["prompts"].select(F.col("session_id").alias("id"), F.lit("prompts").alias("name"), "bucket", F.lit("session").alias("kind"))]
         entries += [self.new[name].select(F.col("prompt_id").alias("id"), F.lit(name).alias("name"), "bucket", F.lit("prompt").alias("kind")) for name in FACTS]
         rows = entries[0]

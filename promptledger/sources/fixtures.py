@@ -99,11 +99,12 @@ def sources(spark: SparkSession, sf_dir: str, stored: bool = False) -> dict[str,
     return frames
 
 
-def ledger(spark: SparkSession, sf_dir: str, stored: bool = False) -> Ledger:
-    """The merged tables; ``stored`` where much is asked of them, else they are derived where they are used."""
-    fx = sources(spark, sf_dir, stored)
+def ledger(spark: SparkSession, sf_dir: str, stored: bool | tuple[str, ...] = False) -> Ledger:
+    """The merged tables; ``stored`` where much is asked of them (True: all; names: these alone, and what
+    the sources share), else they are derived where they are used."""
+    fx = sources(spark, sf_dir, stored is not False)
     merged = Ledger(
-        prompts=attribution.asof_canonical(merge.merge_prompts(fx["fx_prompts_src"])),
+        prompts=lambda: attribution.asof_canonical(merge.merge_prompts(fx["fx_prompts_src"])),
         requests=merge.merge_requests(fx["fx_requests_src"]),
         tool_calls=merge.merge_tool_calls(fx["fx_tools_src"]),
         edits=merge.merge_edits(fx["fx_edits_src"]),
@@ -111,4 +112,4 @@ def ledger(spark: SparkSession, sf_dir: str, stored: bool = False) -> Ledger:
         rates=fx["fx_rates"],
         promos=fx["fx_promos"],
     )
-    return merged.stored(storage.written) if stored else merged
+    return merged if stored in (False, ()) else merged.stored(storage.written, *(() if stored is True else stored))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources import otlp, sinks
 
@@ -72,31 +73,77 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return rows.withColumn("arrival_seq", F.struct("arrived", "batch_id", "place", "ordinal"))
 
 
-STATE = "ts timestamp, prompt_id string"
 FOLDED = "prompt_id string, session_id string, ts timestamp, canonical_id string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Typed prompts are kept for a week after they came.
+KEEP_MS = 7 * 24 * 3_600_000
+_HOUR = 3_600_000_000
+#: The key of typed prompts without a ts, before all hours.
+_NO_HOUR = -(1 << 62)
 
 
-def asof_stream(prompts: DataFrame) -> DataFrame:
-    """Injected prompts with the latest typed prompt of their session that has arrived, at or before them.
+class TypedPrompts(StatefulProcessor):
+    """A session's typed prompts by hour, each entry dropped ``keep_ms`` after its hour was last written.
 
-    One typed prompt is kept for each session. It equals the batch form where input
-    comes in order; the batch form corrects the rest.
+    An injected prompt is looked up in its hour, then in the latest hour before it that is
+    kept, last among prompts without a ts; one without a ts finds only those. So it finds
+    the latest typed prompt that has arrived at or before it, in whatever order prompts come.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "injected", "prompt_id"], na_position="first")
-        best = state.get if state.exists else None
-        out = []
-        for ts, injected, prompt_id in zip(rows["ts"], rows["injected"], rows["prompt_id"]):
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hours = handle.getMapState("hours", "hour bigint", "us array<bigint>, ids array<string>", ttlDurationMs=self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows))
+        us = [None if pd.isna(t) else t.value // 1000 for t in came["ts"]]
+        typed: dict[int, set[tuple[int, str]]] = {}
+        for t, injected, prompt_id in zip(us, came["injected"], came["prompt_id"]):
             if not injected:
-                if best is None or pd.isna(best[0]) or (not pd.isna(ts) and ts >= best[0]):
-                    best = (ts, prompt_id)
-            else:
-                fits = best is not None and (pd.isna(best[0]) or (not pd.isna(ts) and best[0] <= ts))
-                out.append((prompt_id, key[0], ts, best[1] if fits else None))
-        if best is not None:
-            state.update(best)
-        yield pd.DataFrame(out, columns=["prompt_id", "session_id", "ts", "canonical_id"])
+                typed.setdefault(_NO_HOUR if t is None else t // _HOUR, set()).add((0 if t is None else t, prompt_id))
+        for hour, prompts in typed.items():
+            prompts |= self._at(hour)
+            self.hours.updateValue((hour,), tuple(map(list, zip(*sorted(prompts)))))
+        if came["injected"].any():
+            known = sorted(h for (h,) in self.hours.keys())
+            read: dict[int, list[tuple[int, str]]] = {}
+            out = []
+            for t, injected, prompt_id, ts in zip(us, came["injected"], came["prompt_id"], came["ts"]):
+                if injected:
+                    out.append((prompt_id, key[0], ts, self._latest(t, known, read)))
+            yield pd.DataFrame(out, columns=["prompt_id", "session_id", "ts", "canonical_id"])
+
+    def _at(self, hour: int) -> set[tuple[int, str]]:
+        held = self.hours.getValue((hour,)) if self.hours.containsKey((hour,)) else None
+        return set(zip(*held)) if held else set()
+
+    def _latest(self, us: int | None, known: list[int], read: dict[int, list[tuple[int, str]]]) -> str | None:
+        last = _NO_HOUR if us is None else us // _HOUR
+        for k in range(bisect_right(known, last) - 1, -1, -1):
+            hour = known[k]
+            if hour not in read:
+                read[hour] = sorted(self._at(hour))
+            at = len(read[hour]) if hour < last or us is None else bisect_right(read[hour], us, key=lambda p: p[0])
+            if at:
+                return read[hour][at - 1][1]
+        return None
+
+    def close(self) -> None:
+        pass
+
+
+def asof_stream(prompts: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Injected prompts with the latest typed prompt of their session that has arrived, at or before them.
 
+    Typed prompts of the same batch have arrived. It equals the batch form over what had
+    arrived within ``keep_ms``, also where prompts come out of order. The session's state
+    store becomes RocksDB, which this state needs; batches without data are turned off,
+    since state with a time to live asks for them for ever. Entries expire as others come.
+    """
+    conf = prompts.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     rows = prompts.where("session_id is not null").select("session_id", F.col("ts").cast("timestamp").alias("ts"), "injected", "prompt_id")
-    return rows.groupBy("session_id").applyInPandasWithState(step, FOLDED, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=TypedPrompts(keep_ms), outputStructType=FOLDED, outputMode="Append", timeMode="ProcessingTime")

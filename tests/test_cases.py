@@ -320,3 +320,76 @@ def test_sinks(spark, tmp_path):
     assert sinks.upgraded(rows, 1, {"detail": "string"}).columns == ["id", "n", "detail"]
     with pytest.raises(ValueError):
         sinks.upgraded(rows, 99, {})
+
+
+def test_hot_groups_are_scanned_in_pieces(spark, monkeypatch):
+    """One session with all prompts, and one file with all entries, run in many tasks and give what a loop gives."""
+    monkeypatch.setattr(attribution, "HELD_ROWS", 1000)
+    keep, spans = spark.conf.get("spark.sql.shuffle.partitions"), []
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        rows = [(f"p{k:05}", None if k % 503 == 0 else "s" if k % 50 else f"t{k % 7}", None if k % 997 == 0 else datetime(2026, 1, 1 + k % 28, k % 24, k % 60), int(k % 3 > 0)) for k in range(12_000)]
+        frame = spark.createDataFrame(rows, "prompt_id string, session_id string, ts timestamp_ntz, injected int").repartition(5)
+        found = attribution.asof_canonical(frame)
+        got = {r.prompt_id: r.canonical_id for r in found.collect()}
+        last, want = {}, {}
+        for pid, session, ts, injected in sorted(rows, key=lambda r: (r[2] is not None, r[2] or AT, r[3], r[0])):
+            want[pid] = last.get(session) if injected and session else None
+            if not injected:
+                last[session] = pid
+        assert got == want
+        spans.append(found.where("session_id = 's'").select(F.spark_partition_id().alias("k")).distinct().count())
+        lines = [("f" if k % 90 else "g", k, k % 701 == 0, "" if k % 1402 == 0 else f"p{k}") for k in range(1, 12_000)]
+        filled = attribution.forward_fill(spark.createDataFrame(lines, "path string, line int, human boolean, pid string").repartition(3), "path", "line", "human", "pid")
+        got, last = {(r.path, r.line): r.prompt_id for r in filled.collect()}, {}
+        for path, k, human, pid in lines:
+            last[path] = (pid or None) if human else last.get(path)
+            assert got.pop((path, k)) == last[path]
+        assert not got
+        spans.append(filled.where("path = 'f'").select(F.spark_partition_id().alias("k")).distinct().count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keep)
+    assert min(spans) >= 3
+
+
+def test_twenty_unbroken_years_of_hours(spark):
+    """Blocks of a key and of no key over 175,200 successive hours, and with gaps, equal a loop."""
+    hours = [("a", h) for h in range(175_200)] + [("b", h) for h in range(0, 5_000) if h % 13 not in (2, 3, 4, 7) and h % 101 > 9]
+    per_hour = spark.createDataFrame(hours, "k string, hour long").selectExpr("k", "hour", "1L as out_tokens", "cast(1 as decimal(24,6)) as micro_usd", "1L as requests")
+    for keys in (["k"], []):
+        rows = per_hour if keys else per_hour.where("k = 'a'").drop("k")
+        want, start = {}, {}
+        for k, h in hours if keys else [("", h) for k, h in hours if k == "a"]:
+            if h >= start.get(k, -9) + 5:
+                start[k] = h
+            want[k, start[k]] = want.get((k, start[k]), 0) + 1
+        got = blocks.chained(rows, keys).select(*keys, F.expr("cast(timestampdiff(HOUR, timestamp_ntz'1970-01-01', block_start) as int) as h"), "requests").collect()
+        assert {(r["k"] if keys else "", r["h"]): r["requests"] for r in got} == want
+
+
+def test_streamed_state_of_idle_sessions_expires(spark, tmp_path):
+    """Out of order prompts find what came before them; after the time to live nothing is found."""
+    import time
+
+    from promptledger.streaming import live
+
+    schema = "session_id string, ts timestamp, injected int, prompt_id string"
+    batches = [
+        [("s", datetime(2026, 1, 5, 8), 0, "p8"), ("s", datetime(2026, 1, 5, 10), 0, "p10"), ("t", None, 0, "p0")], [("s", datetime(2026, 1, 5, 9), 1, "i9"), ("s", datetime(2026, 1, 5, 10), 1, "i10"), ("t", None, 1, "j"), ("s", datetime(2026, 1, 5, 7), 1, "i7")],
+        [("s", datetime(2026, 1, 5, 8, 30), 0, "p830"), ("s", datetime(2026, 1, 5, 9), 1, "k9"), ("t", datetime(2026, 1, 5, 1), 1, "j1")], [("s", datetime(2026, 1, 5, 11), 1, "i11"), ("u", datetime(2026, 1, 5, 11), 1, "u")],
+    ]
+
+    def feed(name, keep_ms, pause):
+        found = {}
+        for k, rows in enumerate(batches):
+            if k == len(batches) - 1:
+                time.sleep(pause)
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+            stream = live.asof_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}"), keep_ms)
+            stream.writeStream.format("parquet").option("path", f"{tmp_path}/{name}-out").option("checkpointLocation", f"{tmp_path}/{name}-at").trigger(availableNow=True).start().awaitTermination()
+        found = {r.prompt_id: r.canonical_id for r in spark.read.parquet(f"{tmp_path}/{name}-out").collect()}
+        return found
+
+    want = {"i9": "p8", "i10": "p10", "j": "p0", "i7": None, "k9": "p830", "j1": "p0", "i11": "p10", "u": None}
+    assert feed("kept", live.KEEP_MS, 0) == want
+    assert feed("gone", 1, 1)["i11"] is None
