@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import free_name, table, written
 
 BUCKETS = 1 << 15
 #: Words of one chain; longer texts are several chains.
@@ -300,7 +300,8 @@ def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.DataFrame({"lang_pred": [a for a, _ in got], "score": [b for _, b in got]})
 
     judged = F.pandas_udf(labelled, "lang_pred string, score double")(F.col("text").cast("string"))
-    return docs.withColumn("_judged", judged).withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
+    own = free_name("_judged", docs)
+    return docs.withColumn(own, judged).withColumns({"lang_pred": F.col(f"{own}.lang_pred"), "score": F.col(f"{own}.score")}).drop(own)
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

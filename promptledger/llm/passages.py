@@ -200,7 +200,9 @@ def sharded(hot: DataFrame) -> DataFrame:
     """Units ``hot`` (with ``salts``, their number of tasks) with their ``shard``: 0, but for seeds with more than HELD_UNITS different units.
 
     Those are cut into runs of windows of one shard, by a hash of the window; a
-    shard has half of HELD_UNITS different windows about.
+    shard has half of HELD_UNITS different windows about, and its own ``salts``, by its
+    own pieces: a passage goes to as many tasks as its shard has, so what is sent grows
+    with the units and not with their square.
     """
     whole = hot.withColumn("shard", F.lit(0))
     kinds = hot.groupBy("seed").agg(F.approx_count_distinct("words").alias("kinds"))
@@ -222,10 +224,14 @@ def sharded(hot: DataFrame) -> DataFrame:
                         words.append(b" ".join(w[a : b + WINDOW - 1]))
                         shard.append(own[a])
                         a = b
-            out = pdf[["seed", "doc", "row", "salts"]].iloc[part].reset_index(drop=True)
+            out = pdf[["seed", "doc", "row"]].iloc[part].reset_index(drop=True)
             yield out.assign(at=np.array(at, np.int32), words=words, shard=np.array(shard, np.int32))
 
-    pieces = hot.join(wide, "seed").mapInPandas(cut, "seed long, doc long, row long, at int, salts int, words binary, shard int")
+    pieces = hot.join(wide, "seed").mapInPandas(cut, "seed long, doc long, row long, at int, words binary, shard int")
+    many = pieces.groupBy("seed", "shard").agg(F.count("*").alias("n")).where(F.col("n") > HELD_UNITS)
+    many = written(many.select("seed", "shard", F.ceil(F.col("n") / HELD_UNITS).cast("int").alias("salts")), "hot-shards")
+    many = F.broadcast(many) if many.count() <= MOST_HOT else many
+    pieces = pieces.join(many, ["seed", "shard"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     return whole.join(wide, "seed", "left_anti").unionByName(pieces)
 
 
@@ -303,6 +309,11 @@ def automaton_of(shard: list[tuple[bytes, int, int, int]]):
     return a
 
 
+def salted(known: DataFrame) -> DataFrame:
+    """Passages of hot seeds, once for each task (``salt``) of their shard."""
+    return known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+
 def repeated_windows(cool: DataFrame, hot: DataFrame, known: DataFrame) -> DataFrame:
     """``row, at, n``: runs of n windows from window ``at`` on that earlier ones equal.
 
@@ -315,7 +326,7 @@ def repeated_windows(cool: DataFrame, hot: DataFrame, known: DataFrame) -> DataF
     shards = max(n, -(-size // SHARD_BYTES))
     bucket = F.pmod(F.xxhash64("seed", "shard"), F.lit(shards)).alias("bucket")
     columns = ("seed", "doc", "row", "at", "words")
-    keys = known.select(bucket, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *columns)
+    keys = salted(known).select(bucket, "salt", F.lit(0).alias("kind"), *columns)
     held = cool.select(bucket, F.lit(0).alias("salt"), F.lit(1).alias("kind"), *columns)
     rest = hot.select(bucket, F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), F.lit(2).alias("kind"), *columns)
 

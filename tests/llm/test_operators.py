@@ -23,7 +23,7 @@ EDGES = [
 
 
 #: Names that the operators use themselves.
-CLASHING = ("rules", "secrets", "_quality", "_key", "_id", "_row", "doc", "words", "seed", "places", "node", "root", "n", "bands", "size", "start", "shingles", "piece", "length")
+CLASHING = ("_judged", "rules", "secrets", "_quality", "_key", "_id", "_row", "doc", "words", "seed", "places", "node", "root", "n", "bands", "size", "start", "shingles", "piece", "length")
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +69,8 @@ def test_edge_rows(spark, edges, empty, labels, benchmark, name):
         assert len(rows) == len(EDGES)
     if name in ("decontaminate", "clean", "one_of_each"):  # these return the columns of documents as they were
         assert rows and rows[0].asDict().keys() == set(edges.columns) and all(r[c] == "clash" for r in rows for c in CLASHING)
+    if name == "language":
+        assert all(r["_judged"] == "clash" for r in rows)
     assert f(empty).collect() == []
 
 
@@ -104,6 +106,23 @@ def test_op1_hot_seed(spark, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in passages.passage_digests(frame).collect()} == windows_loop(docs)
 
 
+def test_op1_hot_seed_is_linear(spark, monkeypatch):
+    """Twice the documents of one phrase, in surroundings that each occur twice, send twice the rows, not four times."""
+    monkeypatch.setattr(passages, "HELD_UNITS", 20)
+    phrase, sent = "one phrase of six plain words", []
+    for n in (100, 200, 400):
+        docs = [(k, " ".join(f"a{k // 2}q{i}" for i in range(25)) + f" {phrase} " + " ".join(f"b{k // 2}q{i}" for i in range(25))) for k in range(n)]
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        rows, rows_sent = passages.with_rows(frame), []
+        monkeypatch.setattr(passages, "salted", lambda known, f=passages.salted, out=rows_sent: (out.append(f(known).count()), f(known))[1])
+        got = {r[0]: tuple(r[1:]) for r in passages.passage_digests(frame).collect()}
+        monkeypatch.undo()
+        monkeypatch.setattr(passages, "HELD_UNITS", 20)
+        assert got == windows_loop(docs) and rows.count() == n
+        sent.append(rows_sent[0])
+    assert sent[2] <= 2.5 * sent[1] <= 6.25 * max(1, sent[0])
+
+
 def test_op1_slices(spark, monkeypatch):
     """Documents of slices of few texts: units within longer units, windows of several units, repeats in a document."""
     rng = np.random.default_rng(4)
