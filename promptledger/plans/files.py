@@ -45,9 +45,9 @@ def _attribute(key: str, value, kind: str = "stringValue"):
     return F.struct(F.lit(key).alias("key"), F.struct(*[(value if k == kind else x).alias(k) for k, x in v.items()]).alias("value"))
 
 
-def write_payloads(spark: SparkSession, sf_dir: str) -> str:
-    """Events as log payloads, one record each."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def write_payloads(spark: SparkSession, sf_dir: str, which: str = "true", path: str | None = None) -> str:
+    """Events (those of ``which``) as log payloads, one record each, added to ``path`` or in a new folder."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(which)
     body = F.concat(F.lit("claude_code."), F.when(F.col("event_type") == "signup", "user_prompt").when(F.col("event_type").isin("view", "click"), "api_request").when(F.col("event_type") == "purchase", "tool_result").otherwise("other"))
     eid, k = F.col("event_id").cast("string"), F.regexp_extract("props", "([0-9]+)", 1)
     attrs = F.array(
@@ -57,8 +57,8 @@ def write_payloads(spark: SparkSession, sf_dir: str) -> str:
     )
     record = F.struct(F.struct(body.alias("stringValue")).alias("body"), attrs.alias("attributes"))
     payload = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
-    path = storage.fresh_path(spark, "payloads")
-    e.select(payload.alias("value")).write.text(path, compression="gzip")
+    path = path or storage.fresh_path(spark, "payloads")
+    e.select(payload.alias("value")).write.mode("append").text(path, compression="gzip")
     return path
 
 
@@ -103,7 +103,7 @@ def stream_asof_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _payload(spark: SparkSession, sf_dir: str) -> str:
     x, path = fixtures.ledger(spark, sf_dir, stored=True), storage.fresh_path(spark, "payload")
     sinks.write_payload(x.usage(), blocks.current_block(x.costed, F.lit(NOW).cast("timestamp_ntz")), path, NOW)
-    return path
+    return sinks.payload_folder(spark, path)
 
 
 def payload_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,11 +244,42 @@ def live_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.usage(spark, root).select("id", "api_calls", "tool_calls", "out_tokens", "cost")
 
 
+def live_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current block after three batches of live records, the later ones full of late requests."""
+    root, path = _new_store(spark), None
+    refresh = lambda k: ingest.refresh(spark, root, "live", k, k, NOW)
+    for part in (1, 0, 2):
+        path = write_payloads(spark, sf_dir, f"event_id % 3 = {part}", path)
+        live.ingest(live.payload_stream(spark, path), f"{root}/live", f"{root}-checkpoint", after=refresh, clock=lambda: 1, availableNow=True).awaitTermination()
+    rows = ingest.current_block(spark, root)
+    return rows.select(F.date_format("block_start", "yyyy-MM-dd HH:mm:ss").alias("block_start"), "out_tokens", "cost", "requests")
+
+
+def folded_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``silver_union``, where the live feed was folded (twice) and the transcripts were not."""
+    root, _, _ = _both_feeds(spark, sf_dir)
+    store.buckets(spark, root, 8)
+    for _ in range(2):
+        store.Batch(spark, root, "live", 0, 999_999).fold()
+    x = ingest.silver(spark, root)
+    return x.costed.select("request_id", "prompt_id", "source", "model", "query_source", "input_tokens", "output_tokens", fn.usd(F.col("micro_usd"), 6).alias("cost"))
+
+
+def forced_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is scanned, ingested and held after a reading, a forced one and one without changes."""
+    files, root, out = write_transcripts(spark, sf_dir), storage.fresh_path(spark, "store"), None
+    for run, force in ((1, False), (2, True), (3, False)):
+        counts = ingest.reconcile(spark, files, root, run, run, "*.txt", force).withColumn("run", F.lit(run))
+        counts = storage.written(counts.where("measure in ('scanned', 'ingested', 'prompts', 'api_requests')"), "counts")
+        out = counts if out is None else out.unionByName(counts)
+    return out.select("run", "measure", "n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         transcript_scan, transcript_prompts, transcript_tools, transcript_edits, transcript_sessions, otlp_scan, stream_ingest, stream_asof, stream_asof_late,
-        payload_sink, payload_window, digest_sink, csv_export, reconcile, silver_union, silver_tools, live_refresh,
+        payload_sink, payload_window, digest_sink, csv_export, reconcile, silver_union, silver_tools, live_refresh, live_block, folded_union, forced_reconcile,
     )
 }
 
@@ -298,4 +329,15 @@ t as (select case when l then concat('live', conv_id, '-', turn) else prompt_id
   from (select *, turn % 3 = 0 as l from (select *, {_LAST} as prompt_id from conversations) where role <> 'user') where l or prompt_id is not null group by 1)
 select id, coalesce(api_calls, 0) as api_calls, coalesce(n, 0) as tool_calls, coalesce(out_tokens, 0) as out_tokens, cast(round(cast(coalesce(micro, 0) as decimal(24,6)) * cast(0.000001 as decimal(7,6)), 4) as double) as cost
 from c full join t using (id)""",
+    "live_block": f"""with recursive r as (select ts, cast(cast(value as decimal(20,9)) * 1000000 as decimal(24,6)) as micro from events
+    where event_type in ('view', 'click') and ts >= timestamp '{NOW}' - interval 36 hour),
+  h as (select distinct date_trunc('hour', ts) as hour from r),
+  c(start) as (select min(hour) from h union all select (select min(hour) from h where hour >= start + interval 5 hour) from c where start is not null),
+  b as (select max(start) as start from c)
+select strftime(start, '%Y-%m-%d %H:%M:%S') as block_start, cast(0 as bigint) as out_tokens, cast(round(cast(sum(micro) as decimal(24,6)) * cast(0.000001 as decimal(7,6)), 4) as double) as cost, count(*) as requests
+from b join r on r.ts >= b.start where timestamp '{NOW}' < start + interval 5 hour group by start""",
+    "forced_reconcile": f"""select run, measure, case measure when 'prompts' then (select count(*) from conversations where role = 'user') when 'api_requests' then (select count(*) from {_SEEN})
+  when 'ingested' then (select count(distinct conv_id % 7) from conversations) * cast(run < 3 as int) else (select count(distinct conv_id % 7) from conversations) end as n
+from unnest([1, 2, 3]) as a(run), unnest(['scanned', 'ingested', 'prompts', 'api_requests']) as b(measure)""",
 }
+ORACLE_SQL["folded_union"] = ORACLE_SQL["silver_union"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -10,9 +12,30 @@ SCHEMA_VERSION = 2
 
 
 def write_payload(rows: DataFrame, window: DataFrame, path: str, generated_at: str) -> None:
-    """Rows and current window as JSON lines, each replaced as a whole."""
-    rows.orderBy(F.desc("ts"), "id").withColumn("generated_at", F.lit(generated_at)).write.mode("overwrite").json(f"{path}/rows")
-    window.withColumn("generated_at", F.lit(generated_at)).write.mode("overwrite").json(f"{path}/window")
+    """Rows and current window as JSON lines, replaced as one: both are written into a folder of their own,
+    then a line in ``versions``, a single file's commit, makes them the payload. Rows are in order of ts, latest first."""
+    spark, own = rows.sparkSession, f"v-{uuid.uuid4().hex}"
+    rows.orderBy(F.desc("ts"), "id").withColumn("generated_at", F.lit(generated_at)).write.json(f"{path}/{own}/rows")
+    window.withColumn("generated_at", F.lit(generated_at)).write.json(f"{path}/{own}/window")
+    last = max((r["n"] for r in _versions(spark, path)), default=0)
+    spark.createDataFrame([(last + 1, own)], "n bigint, folder string").coalesce(1).write.mode("append").json(f"{path}/versions")
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    try:
+        return spark.read.schema("n bigint, folder string").json(f"{path}/versions").orderBy(F.desc("n")).limit(1).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+
+
+def payload_folder(spark: SparkSession, path: str) -> str:
+    """The folder (``rows``, ``window``) of the payload that was written last as a whole."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no payload in {path}")
+    return f"{path}/{found[0]['folder']}"
 
 
 def write_digest(digest: DataFrame, root: str, week: str, suffix: str) -> str:

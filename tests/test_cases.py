@@ -393,3 +393,75 @@ def test_streamed_state_of_idle_sessions_expires(spark, tmp_path):
     want = {"i9": "p8", "i10": "p10", "j": "p0", "i7": None, "k9": "p830", "j1": "p0", "i11": "p10", "u": None}
     assert feed("kept", live.KEEP_MS, 0) == want
     assert feed("gone", 1, 1)["i11"] is None
+
+
+def test_reconcile_is_safe_to_retry(spark, tmp_path, monkeypatch):
+    """A run that dies after its first part, retried with the same batch and with another, and a changed file under a used batch: no fact is lost."""
+    from promptledger.plans import ingest
+
+    files, root = tmp_path / "files" / "proj", f"{tmp_path}/store"
+    files.mkdir(parents=True)
+    for k in (1, 2, 3):
+        (files / f"s{k}.jsonl").write_text(human(f"p{k}"))
+    monkeypatch.setattr(ingest, "FILES_PER_SCAN", 1)
+    record, done = manifest.record, []
+
+    def dies(*x):
+        if len(done) == 1:
+            raise RuntimeError("lost")
+        record(*x)
+        done.append(x)
+
+    held = lambda: sorted(r.prompt_id for r in ingest.silver(spark, root).prompts.collect())
+    monkeypatch.setattr(manifest, "record", dies)
+    with pytest.raises(RuntimeError):
+        ingest.reconcile(spark, str(tmp_path / "files"), root, 0, 10)
+    assert held() == ["p1", "p2"]
+    monkeypatch.setattr(manifest, "record", record)
+    ingest.reconcile(spark, str(tmp_path / "files"), root, 0, 10)
+    assert held() == ["p1", "p2", "p3"]
+    (files / "s2.jsonl").write_text(human("p4"))
+    ingest.reconcile(spark, str(tmp_path / "files"), root, 0, 10)
+    assert held() == ["p1", "p2", "p3", "p4"]
+    numbers = {r.number for r in spark.read.parquet(f"{root}/parts").collect()}
+    assert numbers == {0, 1, 2, 3} == {r.batch_id for r in spark.read.parquet(f"{root}/transcripts/prompts").collect()}
+
+
+@pytest.mark.parametrize("table", list(merge.MERGES))
+def test_deciding_rows_decide(spark, table):
+    """Merging the deciding rows of batches, in any order and again, equals merging all rows."""
+    import random
+
+    from promptledger.plans import store
+
+    rng, key = random.Random(table), merge.DECIDING[table][0]
+    pick = lambda name, kind: rng.choice([None, 0.0, 1.0] if kind == "double" else [None, 0, 1] if kind in ("int", "bigint") else [AT, AT.replace(hour=3), None] if kind == "timestamp_ntz" else ["otel", "jsonl"] if name == "source" else ["mcp_tool", "mcp__a__b", "Edit"] if name == "tool_name" else [None, "", "x", "y"])
+    columns = [c.split() for c in store.TABLES[table].replace("\n", " ").split(",")]
+    rows = [tuple(rng.choice([None, *"abcdefg"]) if n == key else (rng.randint(0, 1) if n == "injected" else pick(n, k)) for n, k in columns) + ((k // 40, 0, "", k),) for k in range(160)]
+    frame = spark.createDataFrame(rows, store.TABLES[table] + ", arrival_seq struct<arrived: bigint, batch_id: bigint, place: string, ordinal: bigint>")
+    part = lambda k: frame.where(f"arrival_seq.arrived = {k}")
+    held = merge.deciding(part(2), table)
+    for k in (0, 3, 2, 1, 0):
+        held = merge.deciding(held.unionByName(part(k)), table)
+    told = lambda x: sorted(map(repr, merge.MERGES[table](x).collect()))
+    held = spark.createDataFrame(held.collect(), held.schema)
+    assert told(held) == told(frame) and held.where(f"{key} is not null").count() < 60
+
+
+def test_payload_is_replaced_as_one(spark, tmp_path):
+    """Rows are written latest first; a reader sees a whole version, also where the next one fails."""
+    path, block = str(tmp_path / "payload"), spark.createDataFrame([(1,)], "n int")
+    rows = spark.range(500).select(F.col("id").cast("string").alias("id"), F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(10_000))).alias("ts"), F.lit("old").alias("v")).repartition(7)
+    with pytest.raises(FileNotFoundError):
+        sinks.payload_folder(spark, path)
+    sinks.write_payload(rows, block, path, "t1")
+    first = sinks.payload_folder(spark, path)
+    lines = [json.loads(x) for f in sorted(os.listdir(f"{first}/rows")) if f.startswith("part-") for x in open(f"{first}/rows/{f}")]
+    assert [(x["ts"], x["id"]) for x in lines] == sorted(((x["ts"], x["id"]) for x in lines), key=lambda p: (-datetime.fromisoformat(p[0]).timestamp(), p[1])) and len(lines) == 500
+    bad = block.select(F.raise_error(F.lit("lost")).alias("n"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_payload(rows.withColumn("v", F.lit("half")), bad, path, "t2")
+    assert sinks.payload_folder(spark, path) == first
+    sinks.write_payload(rows.withColumn("v", F.lit("new")), block, path, "t3")
+    now = sinks.payload_folder(spark, path)
+    assert spark.read.json(f"{now}/rows").select("v", "generated_at").distinct().collect() == [("new", "t3")] and spark.read.json(f"{now}/window").first().generated_at == "t3"

@@ -11,7 +11,7 @@ CHECKED = (
     "attribution_ffill attribution_file_first promo_rate cost_components tool_histogram prompt_agents top_files unpriced_models prompt_usage blocks_5h blocks_5h_by_user current_block "
     "digest_totals digest_by_family digest_top10 project_subtotals daily_cost_per_kloc daily_model_mix live_audit manifest_latest manifest_changed patch_stats injected_flag "
     "event_routing human_numbers iso_week filtered_view transcript_scan transcript_prompts otlp_scan stream_ingest stream_asof stream_asof_late digest_sink "
-    "transcript_tools transcript_edits transcript_sessions reconcile silver_union silver_tools live_refresh live_counts live_prompts live_tools usage_lists cost_labels payload_sink payload_window csv_export"
+    "transcript_tools transcript_edits transcript_sessions reconcile silver_union silver_tools live_refresh live_block folded_union forced_reconcile live_counts live_prompts live_tools usage_lists cost_labels payload_sink payload_window csv_export"
 ).split()
 
 
