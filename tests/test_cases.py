@@ -465,3 +465,27 @@ def test_payload_is_replaced_as_one(spark, tmp_path):
     sinks.write_payload(rows.withColumn("v", F.lit("new")), block, path, "t3")
     now = sinks.payload_folder(spark, path)
     assert spark.read.json(f"{now}/rows").select("v", "generated_at").distinct().collect() == [("new", "t3")] and spark.read.json(f"{now}/window").first().generated_at == "t3"
+
+
+def test_refresh_reads_what_a_batch_touches(spark, tmp_path):
+    """Four times the store, in four times the buckets: a small batch's refresh reads about as much, far under the store."""
+    from promptledger.plans import ingest, store
+
+    executors = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    read = lambda: sum(x.apply(k).totalInputBytes() for x in [executors()] for k in range(x.size()))
+    where = ["timestamp_ntz'2026-01-05 10:00:00' as ts", "'otel' as source", "1L as arrived", "'' as place", "id as ordinal"]
+    took, held = [], []
+    for size in (1, 4):
+        root = f"{tmp_path}/store{size}"
+        store.buckets(spark, root, 16 * size)
+        for batch, ids in ((0, spark.range(20_000 * size)), (1, spark.range(5, 7))):
+            pad = "concat_ws(' ', sha2(cast(id as string), 512), sha2(cast(-id as string), 512), sha2(cast(id + 7 as string), 512))"
+            sinks.append_batch(ids.selectExpr("concat('p', id) as prompt_id", "concat('s', id div 10) as session_id", f"{pad} as text", "0 as injected", *where), f"{root}/live/prompts", batch)
+            sinks.append_batch(ids.selectExpr(f"concat('r', id + {batch * 10**9}) as request_id", "concat('p', id) as prompt_id", f"{pad} as model", "1L as output_tokens", "1.0D as cost_usd", *where), f"{root}/live/api_requests", batch)
+        store.Batch(spark, root, "live", 0, 0).fold()
+        held.append(sum(f.stat().st_size for f in (tmp_path / f"store{size}" / "deciding").rglob("*.parquet")))
+        before = read()
+        ingest.refresh(spark, root, "live", 1, 1, "2026-01-05 11:00:00")
+        took.append(read() - before)
+        assert {r.id: (r.api_calls, r.cost) for r in ingest.usage(spark, root).collect()}.items() >= {"p5": (2, 2.0), "p6": (2, 2.0)}.items()
+    assert held[1] > 3 * held[0] and took[1] < 1.5 * took[0] and took[1] < held[1], (took, held)
