@@ -8,11 +8,13 @@ words are one node. Nodes that share a band are compared exactly: weighted
 Jaccard similarity of 0.8 or more makes a link, linked nodes a class.
 
 No pairs are listed within a bucket of copies: every bucket's members are compared
-with one centre (a star). Members that are then in another class than their centre
-meet the centre's other members inside a join whose condition is an upper bound of
-their overlap: from what each shares with the centre, and from bitmaps of what it
-has beside the centre and lacks of it. The bound is never under the overlap, so no
-pair that shares a band is lost to it; what passes is compared exactly.
+with one centre (a star). A member x that is then in another class than its centre c
+is told apart by x ^ c, what it has beside c and lacks of it: two members differ in
+(x ^ c) ^ (y ^ c), so a pair that is near shares one of the first elements of both
+(beside c before lacking, then by hash) and meets in that element's bucket. Pages of
+one template with texts of their own meet nowhere. A bucket that many share is a
+star with a new centre at the next level; bounds from above drop pairs of the others
+before the exact comparison. No pair that shares a band is lost to any of this.
 """
 
 from __future__ import annotations
@@ -37,8 +39,12 @@ COORDINATES = 96
 BAND_ROWS = 4  # 24 bands: a pair at 0.8 shares none with probability 3e-6
 #: 64-bit words of the bitmaps of elements that only a member, and only its centre, has.
 BITMAP_WORDS = 16
-#: Members of a centre's other classes that one salt of the join takes about.
-SALT_MEMBERS = 1_000
+#: Members of a bucket beyond which they are compared with a new centre, and that one salt takes at the last level.
+HOT_MEMBERS = 256
+#: Stars upon stars; what is still hot at the last level is joined within its bucket.
+LEVELS = 3
+#: A pair at SIMILARITY or more differs in at most this share of its sizes' sum.
+UNLIKE = (1 - SIMILARITY) / (1 + SIMILARITY)
 #: Elements whose darts are thrown at once.
 BATCH_ELEMENTS = 40_000
 MAX_REMEMBERED = 500_000
@@ -219,7 +225,8 @@ def bitmap(elements: Column) -> Column:
 
 def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs(a, b)`` with the sizes ``na, nb``, ``both`` (the size of the multisets' overlap),
-    ``close`` (a link) and bitmaps of the elements that only ``a`` (``rest``) and only ``b`` (``miss``) has.
+    ``close`` (a link), bitmaps of the elements that only ``a`` (``rest``) and only ``b`` (``miss``) has, and
+    the ``first`` of both, in 32 bits: as many as ``a`` can differ in from a near text, and one.
 
     Elements are unique within a document, so the overlap is the size of an array
     intersection. ``b`` may be the same for very many pairs: its elements are joined
@@ -234,7 +241,9 @@ def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     met = pairs.join(b, "b").join(a, "a").select("a", "b", F.size("ea").alias("na"), F.size("eb").alias("nb"), F.array_except("ea", "eb").alias("oa"), F.array_except("eb", "ea").alias("ob"))
     met = met.withColumn("both", F.col("na") - F.size("oa"))
     close = F.col("both") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("both"))
-    return written(met.select("a", "b", "na", "nb", "both", close.alias("close"), bitmap(F.col("oa")).alias("rest"), bitmap(F.col("ob")).alias("miss")), "near-met")
+    most = (F.floor(F.col("na") * (1 - SIMILARITY) / SIMILARITY + 1e-6) + 1).cast("int")
+    first = F.transform(F.slice(F.concat(F.array_sort("oa"), F.array_sort("ob")), F.lit(1), most), lambda e: F.shiftright(e, 32).cast("int"))
+    return written(met.select("a", "b", "na", "nb", "both", close.alias("close"), bitmap(F.col("oa")).alias("rest"), bitmap(F.col("ob")).alias("miss"), first.alias("first")), "near-met")
 
 
 def _long_enough(n: str, m: str):
@@ -246,7 +255,8 @@ def classed_rows(docs: DataFrame) -> DataFrame:
 
     Equal texts without words are one class. First every bucket's members are compared
     with a centre, the member that shares most buckets with most others (a text that
-    many copies were made from); those left in another class than it go ``across``.
+    many copies were made from); those left in another class than it go ``across``,
+    which names centres for a next level where many still meet.
     """
     signed = written(signatures(docs), "near-signatures")
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
@@ -257,12 +267,16 @@ def classed_rows(docs: DataFrame) -> DataFrame:
     met = members.join(members.groupBy("node").agg(F.sum("size").alias("met")), "node")
     centres = met.groupBy("h").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
     pairs = members.join(centres, "h").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    star = compared(docs, nodes, pairs)
-    roots = joined_roots(None, star.where("close").select("a", "b"), "near-roots")
-    rest = across(star, roots)
-    if not rest.isEmpty():
-        links = compared(docs, nodes, rest).where("close").select("a", "b")
-        roots = joined_roots(roots, links, "near-roots")
+    roots = None
+    for level in range(LEVELS):
+        star = compared(docs, nodes, pairs)
+        roots = joined_roots(roots, star.where("close").select("a", "b"), "near-roots")
+        rest, pairs = across(star, roots, last=level == LEVELS - 1)
+        if not rest.isEmpty():
+            links = compared(docs, nodes, rest).where("close").select("a", "b")
+            roots = joined_roots(roots, links, "near-roots")
+        if pairs is None or pairs.isEmpty():
+            break
     classed = signed.select("doc_id", "row", "key").join(nodes.select("key", "node"), "key").join(roots, "node", "left")
     return classed.select("doc_id", "row", "key", F.coalesce("root", "node").alias("root"))
 
@@ -274,36 +288,67 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return classed.join(names, "root").select("doc_id", "class_id")
 
 
-def across(star: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of members of one centre and of two classes, one of them not the centre's, that may be links.
+def first_elements(star: DataFrame, roots: DataFrame) -> DataFrame:
+    """``star``'s members with their class, of centres that have one in another class and two at least.
 
-    ``star`` is how members met the centre c. x and y share |c| less what x lacks,
-    less what y lacks, plus what both lack, of c, and beside c what both have; bitmaps
-    bound the latter two from above. Any two members of a centre are tried, whether
-    they share a bucket or not, and the condition holds inside the join.
+    ``short`` is how many of ``first`` can be without the other's element if that differs
+    from the centre in no less: half of what the two differ in. Where the member is in the
+    centre's class the other is not, so it differs from the centre in more than UNLIKE allows.
     """
     of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    own, lacks = F.col("na") - F.col("both"), F.col("nb") - F.col("both")
+    apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
+    half = F.col("na") * (1 - SIMILARITY) / SIMILARITY / 2
+    inside = (own + lacks + UNLIKE * (F.col("na") - F.col("nb"))) / 2
+    short = F.floor(F.when(apart, half).otherwise(F.greatest(F.least(half, inside), F.lit(0.0))) + 1e-6) + 1
     cells = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
-        F.col("a").alias("node"), F.col("b").alias("centre"), F.coalesce("ra", "a").alias("root"), (F.coalesce("ra", "a") != F.coalesce("rb", "b")).alias("apart"),
-        F.col("na").alias("n"), "both", (F.col("na") - F.col("both")).alias("own"), (F.col("nb") - F.col("both")).alias("lacks"), "rest", "miss",
+        F.col("a").alias("node"), F.col("b").alias("centre"), F.coalesce("ra", "a").alias("root"), apart.alias("apart"),
+        F.col("na").alias("n"), "both", own.alias("own"), lacks.alias("lacks"), "rest", "miss", "first", short.alias("short"),
     )
     cells = written(cells, "near-cells")
-    salts = cells.groupBy("centre").agg(F.count_if("apart").alias("aparts"), F.count("*").alias("size")).where("aparts > 0 and size > 1")
-    ones = lambda bits: F.aggregate(bits, F.lit(0), lambda s, x: s + F.bit_count(x))
-    cells = cells.join(salts.select("centre", F.ceil(F.col("aparts") / SALT_MEMBERS).cast("int").alias("salts")), "centre")
-    cells = cells.withColumns({"bits": F.concat("rest", "miss"), "xown": F.col("own") - ones("rest"), "xlacks": F.col("lacks") - ones("miss")}).drop("rest", "miss")
-    left = cells.where("apart").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    right = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    named = ("node", "root", "apart", "n", "both", "own", "lacks", "bits", "xown", "xlacks")
-    a, b = (side.select("centre", "salt", *[F.col(c).alias(c + x) for c in named]) for side, x in ((left, "a"), (right, "b")))
+    open_ = cells.groupBy("centre").agg(F.count_if("apart").alias("aparts"), F.count("*").alias("size")).where("aparts > 0 and size > 1")
+    return cells.join(open_.select("centre"), "centre", "left_semi")
+
+
+def across(star: DataFrame, roots: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs ``a, b`` of members of one centre and of two classes, one of them not the centre's, that may be
+    links; and, but at the ``last`` level, pairs of a member and a new centre for the buckets that many share.
+
+    ``star`` is how members met the centre c. x and y share |c| less what x lacks,
+    less what y lacks, plus what both lack, of c, and beside c what both have; bitmaps
+    bound the latter two from above. A near pair has one element of x ^ c and y ^ c in
+    common at least (if none, they differ in all of both, more than UNLIKE allows), and
+    the least such is among the ``short`` ones of that which differs less from c, and
+    the ``first`` ones of the other.
+    """
+    cells = first_elements(star, roots)
+    named = ("node", "root", "apart", "n", "both", "own", "lacks")
+    keys = cells.select("centre", *named, "short", F.posexplode("first").alias("at", "e")).withColumn("short", F.col("at") < F.col("short")).drop("at")
+    busy = keys.groupBy("centre", "e").agg(F.count_if("short").alias("shorts"), F.count_if("apart").alias("aparts"), F.count("*").alias("size")).where("shorts > 0 and aparts > 0 and size > 1")
+    keys = written(keys.join(busy.select("centre", "e", "shorts"), ["centre", "e"]), "near-keys")
+    further = None
+    if not last:
+        hot = keys.where(F.col("shorts") > HOT_MEMBERS)
+        heads = hot.groupBy("centre", "e").agg(F.max(F.struct(F.xxhash64("node"), "node"))["node"].alias("head"))  # one for buckets of the same members
+        further = written(hot.join(heads, ["centre", "e"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "near-pairs")
+        keys = keys.where(F.col("shorts") <= HOT_MEMBERS)
+    salts = F.ceil(F.col("shorts") / HOT_MEMBERS).cast("int")
+    left = keys.where("short").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    right = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    a, b = (side.select("centre", "e", "salt", *[F.col(c).alias(c + x) for c in named]) for side, x in ((left, "a"), (right, "b")))
     less = lambda c: F.least(F.col(f"{c}a"), F.col(f"{c}b"))
     enough = lambda shared: (F.col("botha") - F.col("lacksb") + shared) * (1 + SIMILARITY) >= SIMILARITY * (F.col("na") + F.col("nb")) - 1e-6
+    fewer = F.col("owna") + F.col("lacksa") <= F.col("ownb") + F.col("lacksb")
+    near = fewer & (F.col("nodea") != F.col("nodeb")) & (F.col("aparta") | F.col("apartb")) & (F.col("roota") != F.col("rootb")) & _long_enough("na", "nb")
+    met = a.join(b, ["centre", "e", "salt"]).where(near & enough(less("own") + less("lacks")))
+    met = met.select("centre", F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
     # common bits, and the elements that share a bit with others of their set
+    ones = lambda bits: F.aggregate(bits, F.lit(0), lambda s, x: s + F.bit_count(x))
+    known = cells.select("centre", "node", "n", "both", "lacks", F.concat("rest", "miss").alias("bits"), (F.col("own") - ones("rest")).alias("xown"), (F.col("lacks") - ones("miss")).alias("xlacks"))
+    of = lambda x: known.select("centre", F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("n", "both", "lacks", "bits", "xown", "xlacks")])
     bits = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, k: s + k)
-    once = ~F.col("apartb") | (F.col("nodea") < F.col("nodeb"))
-    near = once & (F.col("roota") != F.col("rootb")) & _long_enough("na", "nb") & enough(less("own") + less("lacks")) & enough(bits + less("xown") + less("xlacks"))
-    met = a.join(b, (a["centre"] == b["centre"]) & (a["salt"] == b["salt"]) & near)
-    return written(met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct(), "near-rest")
+    rest = met.join(of("a"), ["centre", "a"]).join(of("b"), ["centre", "b"]).where(enough(bits + less("xown") + less("xlacks")))
+    return written(rest.select("a", "b").distinct(), "near-rest"), further
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -432,6 +432,52 @@ def test_op7_hub(spark):
     assert got == classes_loop(docs)
 
 
+def edited(words, rng, share, tag):
+    """``words`` with about this share replaced, dropped or doubled."""
+    out = []
+    for w in words:
+        x = rng.random()
+        out += [w] if x > share else [f"{tag}r{rng.integers(1 << 30)}"] if x > share / 2 else [] if x > share / 4 else [w, w]
+    return out
+
+
+@pytest.mark.parametrize("hot", (3, 256))
+def test_op7_far_from_the_centre(spark, monkeypatch, hot):
+    """Pages of a template in a template, edited copies of them, excerpts and copies about the limit: classes as of all pairs."""
+    monkeypatch.setattr(near_dups, "HOT_MEMBERS", hot)
+    rng, docs = np.random.default_rng(11), []
+    site = [f"t{k}" for k in range(90)]
+    for section in range(3):
+        inner = [f"s{section}x{k}" for k in range(60)]
+        for page in range(12):
+            words = site + inner + [f"u{section}p{page}x{k}" for k in range(40 + 5 * (page % 3))]
+            docs += [words] + [edited(words, rng, 0.03, f"e{page}") for _ in range(page % 3)]
+    source = [f"v{k}" for k in range(160)]
+    docs += [source] + [edited(source, rng, 0.02 + 0.002 * k, f"c{k}") for k in range(30)]
+    docs += [source[k : k + 110] for k in range(0, 50, 7)] + [source + [f"z{k}x{j}" for j in range(3 * k)] for k in range(12)]
+    docs = [(k, " ".join(w)) for k, w in enumerate(docs)]
+    got = {r.doc_id: r.class_id for r in near_dups.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == classes_loop(docs)
+
+
+def test_op7_template_pages_do_not_meet(spark, monkeypatch):
+    """Different pages of one template: what is exchanged after the stars does not grow with the square of the pages."""
+    sizes, plain = {}, near_dups.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "written", counted)
+    for n in (150, 300):
+        docs = [(k, " ".join([f"t{j}" for j in range(130)] + [f"u{k}x{j}" for j in range(90)])) for k in range(n)]
+        got = near_dups.near_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert got.where("doc_id <> class_id").isEmpty()
+    assert sizes["near-cells"][1] < 3 * sizes["near-cells"][0]
+    assert max(sizes["near-keys"]) == max(sizes["near-rest"]) == 0
+
+
 def test_one_of_each_repeated_id(spark):
     """Texts of one id are judged apart, and texts without words are copies only if equal."""
     near = PASSAGE + " end"
