@@ -332,23 +332,23 @@ def across(star: DataFrame, roots: DataFrame, last: bool) -> tuple[DataFrame, Da
         heads = hot.groupBy("centre", "e").agg(F.max(F.struct(F.xxhash64("node"), "node"))["node"].alias("head"))  # one for buckets of the same members
         further = written(hot.join(heads, ["centre", "e"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "near-pairs")
         keys = keys.where(F.col("shorts") <= HOT_MEMBERS)
+    ones = lambda bits: F.aggregate(bits, F.lit(0), lambda s, x: s + F.bit_count(x))
+    known = cells.select("centre", "node", F.concat("rest", "miss").alias("bits"), (F.col("own") - ones("rest")).alias("xown"), (F.col("lacks") - ones("miss")).alias("xlacks"))
+    keys = keys.join(known, ["centre", "node"])
+    named += ("bits", "xown", "xlacks")
     salts = F.ceil(F.col("shorts") / HOT_MEMBERS).cast("int")
     left = keys.where("short").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
     right = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    a, b = (side.select("centre", "e", "salt", *[F.col(c).alias(c + x) for c in named]) for side, x in ((left, "a"), (right, "b")))
+    a, b = (side.select(*[F.col(c).alias(c + x) for c in ("centre", "e", "salt", *named)]) for side, x in ((left, "a"), (right, "b")))
     less = lambda c: F.least(F.col(f"{c}a"), F.col(f"{c}b"))
     enough = lambda shared: (F.col("botha") - F.col("lacksb") + shared) * (1 + SIMILARITY) >= SIMILARITY * (F.col("na") + F.col("nb")) - 1e-6
-    fewer = F.col("owna") + F.col("lacksa") <= F.col("ownb") + F.col("lacksb")
-    near = fewer & (F.col("nodea") != F.col("nodeb")) & (F.col("aparta") | F.col("apartb")) & (F.col("roota") != F.col("rootb")) & _long_enough("na", "nb")
-    met = a.join(b, ["centre", "e", "salt"]).where(near & enough(less("own") + less("lacks")))
-    met = met.select("centre", F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
     # common bits, and the elements that share a bit with others of their set
-    ones = lambda bits: F.aggregate(bits, F.lit(0), lambda s, x: s + F.bit_count(x))
-    known = cells.select("centre", "node", "n", "both", "lacks", F.concat("rest", "miss").alias("bits"), (F.col("own") - ones("rest")).alias("xown"), (F.col("lacks") - ones("miss")).alias("xlacks"))
-    of = lambda x: known.select("centre", F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("n", "both", "lacks", "bits", "xown", "xlacks")])
     bits = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, k: s + k)
-    rest = met.join(of("a"), ["centre", "a"]).join(of("b"), ["centre", "b"]).where(enough(bits + less("xown") + less("xlacks")))
-    return written(rest.select("a", "b").distinct(), "near-rest"), further
+    fewer = F.col("owna") + F.col("lacksa") <= F.col("ownb") + F.col("lacksb")
+    near = fewer & (F.col("nodea") != F.col("nodeb")) & (F.col("aparta") | F.col("apartb")) & (F.col("roota") != F.col("rootb")) & _long_enough("na", "nb")
+    near = near & enough(less("own") + less("lacks")) & enough(bits + less("xown") + less("xlacks"))
+    met = a.join(b, (F.col("centrea") == F.col("centreb")) & (F.col("ea") == F.col("eb")) & (F.col("salta") == F.col("saltb")) & near)
+    return written(met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct(), "near-rest"), further
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
