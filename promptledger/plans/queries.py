@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import attribution, blocks, merge, pricing, report
+from ..operators import attribution, blocks, merge, pricing, report, text_index
 from ..operators.prompts import COMPONENTS, NO_TEXT, Ledger
-from ..sources import fixtures, manifest, otlp
+from ..sources import fixtures, manifest, otlp, storage
 from .oracle import NOW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,7 +87,11 @@ def _week_families(rows: DataFrame, x: Ledger) -> DataFrame:
 
 def _filtered(x: Ledger) -> DataFrame:
     opus = x.prompt_models().where(fn.model_family(F.col("model")) == "opus").select(F.col("target").alias("id"))
-    return report.filtered(x.usage(), project="proj3-dir", text="task 1", first="2024-01-05", before="2024-01-25", families=opus).select("id", "ts", "project", "text", "cost")
+    rows = x.usage().select("id", "ts", "project", "text", "cost")
+    path = storage.fresh_path(rows.sparkSession, "texts")
+    text_index.write_index(rows, path)
+    found = text_index.containing(rows.sparkSession, path, "task 1")
+    return report.filtered(found, project="proj3-dir", first="2024-01-05", before="2024-01-25", families=opus)
 
 
 def _turn_id():
