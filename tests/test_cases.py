@@ -489,3 +489,22 @@ def test_refresh_reads_what_a_batch_touches(spark, tmp_path):
         took.append(read() - before)
         assert {r.id: (r.api_calls, r.cost) for r in ingest.usage(spark, root).collect()}.items() >= {"p5": (2, 2.0), "p6": (2, 2.0)}.items()
     assert held[1] > 3 * held[0] and took[1] < 1.5 * took[0] and took[1] < held[1], (took, held)
+
+
+def test_payload_is_written_in_order(spark, tmp_path):
+    """Rows by ts, latest first, then by id, nulls last: as the files' names and lines go, over several files."""
+    n = 400
+    ts = F.when(F.col("n") % 50 == 7, None).otherwise(F.timestamp_seconds(1_700_000_000 + (F.col("n") * 7919) % 101 * 60))
+    rows = spark.range(n).withColumnRenamed("id", "n").select(F.concat(F.lit("p"), "n").alias("id"), ts.cast("timestamp_ntz").alias("ts")).repartition(6)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        sinks.write_payload(rows, spark.range(1), str(tmp_path / "payload"), "now")
+    finally:
+        spark.conf.set(coalesce, before)
+    folder = os.path.join(sinks.payload_folder(spark, str(tmp_path / "payload")), "rows")
+    files = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+    got = [json.loads(x)["id"] for f in files for x in open(os.path.join(folder, f))]
+    want = sorted(rows.collect(), key=lambda r: (r.ts is None, -(r.ts.timestamp() if r.ts else 0), r.id))
+    assert len(files) > 1 and got == [r.id for r in want]
