@@ -108,22 +108,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, m
 
     At most ``per_class`` rows of each label and ``most_bytes`` of their features,
     those of smallest id hash; row weights restore the labels' shares. Without
-    labels every score is 0.5. Null ids and labels are not learned from.
+    labels every score is 0.5. Null ids and labels are not learned from, nor ids with
+    both labels; of an id with several texts the one of least hash is.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("quality in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     counts = dict(known.groupBy("quality").count().collect())
     taken = [known.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    sample = taken[0].union(taken[1]).dropDuplicates(["doc_id"])  # 2 * per_class rows at most
+    sample = taken[0].union(taken[1])  # 2 * per_class rows at most
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             both = [document_features(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "ids": [a.tobytes() for a, _ in both], "weights": [b.tobytes() for _, b in both]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     found = texts.mapInPandas(features, "doc_id long, quality int, ids binary, weights binary")
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", "ids", "weights").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     held = found.withColumn("held", F.sum(F.length("ids") + F.length("weights")).over(order)).where(F.col("held") <= most_bytes)
     rows = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), q) for _, q, i, x in sorted(held.select("doc_id", "quality", "ids", "weights").collect()) if i]
     total = sum(counts.values()) or 1
