@@ -108,7 +108,7 @@ def _payload(spark: SparkSession, sf_dir: str) -> str:
 
 def payload_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payload's rows as they are read back; ``place`` is their place by ts, latest first."""
-    rows = spark.read.json(f"{_payload(spark, sf_dir)}/rows")
+    rows = spark.read.schema("id string, project string, ts timestamp_ntz, cost double, api_calls bigint").json(f"{_payload(spark, sf_dir)}/rows")
     place = F.dense_rank().over(Window.orderBy(F.desc("ts"), "id"))
     return rows.select("id", "project", "cost", "api_calls", place.cast("long").alias("place"))
 

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 SCHEMA_VERSION = 2
+#: JSON times as a whole; Spark's own formats cut them to milliseconds.
+MICROSECONDS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"}
 
 
 def write_payload(rows: DataFrame, window: DataFrame, path: str, generated_at: str) -> None:
     """Rows and current window as JSON lines, replaced as one: both are written into a folder of their own,
-    then a line in ``versions``, a single file's commit, makes them the payload. Rows are in order of ts, latest first."""
+    then a line in ``versions``, a single file's commit, makes them the payload. Rows are in order of ts, latest first;
+    times keep their microseconds, so readers find the same order."""
     spark, own = rows.sparkSession, f"v-{uuid.uuid4().hex}"
-    rows.orderBy(F.desc("ts"), "id").withColumn("generated_at", F.lit(generated_at)).write.json(f"{path}/{own}/rows")
-    window.withColumn("generated_at", F.lit(generated_at)).write.json(f"{path}/{own}/window")
+    rows.orderBy(F.desc("ts"), "id").withColumn("generated_at", F.lit(generated_at)).write.options(**MICROSECONDS).json(f"{path}/{own}/rows")
+    window.withColumn("generated_at", F.lit(generated_at)).write.options(**MICROSECONDS).json(f"{path}/{own}/window")
     last = max((r["n"] for r in _versions(spark, path)), default=0)
     spark.createDataFrame([(last + 1, own)], "n bigint, folder string").coalesce(1).write.mode("append").json(f"{path}/versions")
 

@@ -508,3 +508,11 @@ def test_payload_is_written_in_order(spark, tmp_path):
     got = [json.loads(x)["id"] for f in files for x in open(os.path.join(folder, f))]
     want = sorted(rows.collect(), key=lambda r: (r.ts is None, -(r.ts.timestamp() if r.ts else 0), r.id))
     assert len(files) > 1 and got == [r.id for r in want]
+
+
+def test_payload_keeps_microseconds(spark, tmp_path):
+    """Rows within one millisecond are read back in the order in which they were written."""
+    rows = spark.sql("select concat('p', id) as id, timestamp_micros(1700000000000000 + id * 7) as at, cast(timestamp_micros(1700000000000000 + id * 7) as timestamp_ntz) as ts from range(5)")
+    sinks.write_payload(rows, spark.range(1), str(tmp_path / "payload"), "now")
+    back = spark.read.schema("id string, at timestamp, ts timestamp_ntz").json(f"{sinks.payload_folder(spark, str(tmp_path / 'payload'))}/rows")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect())) and rows.select("ts").distinct().count() == 5
