@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import blocks, report
+from ..operators import blocks, merge, report
 from ..sources import fixtures, otlp, sinks, storage, transcripts
 from ..streaming import live
 from . import ingest, store
@@ -76,28 +76,26 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _folded_prompts(spark: SparkSession, sf_dir: str, batches: tuple[str, ...]) -> DataFrame:
+    """Injected prompts as the stream folds them, where the prompts of each of ``batches`` (conditions) arrive after those before."""
+    path, out = storage.fresh_path(spark, "prompts"), storage.fresh_path(spark, "folded")
+    merged = merge.merge_prompts(fixtures.sources(spark, sf_dir)["fx_prompts_src"])
+    fx = storage.written(merged.select("session_id", "ts", "injected", "prompt_id"), "all-prompts")
+    for batch in batches:  # a batch is what arrived since the last one, in as many files as it is tasks
+        fx.where(batch).write.mode("append").parquet(path)
+        stream = live.asof_stream(spark.readStream.schema(fx.schema).parquet(path))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(live.FOLDED).parquet(out).select("prompt_id", "session_id", "canonical_id")
+
+
 def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Injected prompts folded as they arrive, in three batches by time: equal to the batch form."""
-    path = storage.fresh_path(spark, "prompts")
-    fx = storage.written(fixtures.ledger(spark, sf_dir).prompts.select("session_id", "ts", "injected", "prompt_id"), "all-prompts")
-    for days in ("ts is null or ts < '2024-01-11'", "ts >= '2024-01-11' and ts < '2024-01-21'", "ts >= '2024-01-21'"):
-        fx.where(days).coalesce(1).write.mode("append").parquet(path)
-    out = storage.fresh_path(spark, "folded")
-    stream = live.asof_stream(spark.readStream.schema(fx.schema).option("maxFilesPerTrigger", 1).parquet(path))
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("prompt_id", "session_id", "canonical_id")
+    return _folded_prompts(spark, sf_dir, ("ts is null or ts < '2024-01-11'", "ts >= '2024-01-11' and ts < '2024-01-21'", "ts >= '2024-01-21'"))
 
 
 def stream_asof_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Injected prompts as they are folded where prompts come out of order, in four batches: by what had arrived."""
-    path = storage.fresh_path(spark, "prompts")
-    fx = storage.written(fixtures.ledger(spark, sf_dir).prompts.select("session_id", "ts", "injected", "prompt_id"), "all-prompts")
-    for batch in (2, 0, 3, 1):
-        fx.where(F.substring("prompt_id", 2, 20).cast("long") % 4 == batch).coalesce(1).write.mode("append").parquet(path)
-    out = storage.fresh_path(spark, "folded")
-    stream = live.asof_stream(spark.readStream.schema(fx.schema).option("maxFilesPerTrigger", 1).parquet(path))
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("prompt_id", "session_id", "canonical_id")
+    return _folded_prompts(spark, sf_dir, tuple(f"cast(substring(prompt_id, 2, 20) as bigint) % 4 = {batch}" for batch in (2, 0, 3, 1)))
 
 
 def _payload(spark: SparkSession, sf_dir: str) -> str:

@@ -6,9 +6,8 @@ import time
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -96,28 +95,27 @@ class TypedPrompts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.hours = handle.getMapState("hours", "hour bigint", "us array<bigint>, ids array<string>", ttlDurationMs=self.keep_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows))
-        us = [None if pd.isna(t) else t.value // 1000 for t in came["ts"]]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        """The kept hours are asked for once and read where they are needed: each call goes to the JVM and back."""
+        came = [(r["us"], r["injected"], r["prompt_id"]) for r in rows]
+        held = {h for (h,) in self.hours.keys()}
         typed: dict[int, set[tuple[int, str]]] = {}
-        for t, injected, prompt_id in zip(us, came["injected"], came["prompt_id"]):
+        for us, injected, prompt_id in came:
             if not injected:
-                typed.setdefault(_NO_HOUR if t is None else t // _HOUR, set()).add((0 if t is None else t, prompt_id))
+                typed.setdefault(_NO_HOUR if us is None else us // _HOUR, set()).add((0 if us is None else us, prompt_id))
+        read: dict[int, list[tuple[int, str]]] = {}
         for hour, prompts in typed.items():
-            prompts |= self._at(hour)
-            self.hours.updateValue((hour,), tuple(map(list, zip(*sorted(prompts)))))
-        if came["injected"].any():
-            known = sorted(h for (h,) in self.hours.keys())
-            read: dict[int, list[tuple[int, str]]] = {}
-            out = []
-            for t, injected, prompt_id, ts in zip(us, came["injected"], came["prompt_id"], came["ts"]):
-                if injected:
-                    out.append((prompt_id, key[0], ts, self._latest(t, known, read)))
-            yield pd.DataFrame(out, columns=["prompt_id", "session_id", "ts", "canonical_id"])
-
-    def _at(self, hour: int) -> set[tuple[int, str]]:
-        held = self.hours.getValue((hour,)) if self.hours.containsKey((hour,)) else None
-        return set(zip(*held)) if held else set()
+            read[hour] = sorted(prompts.union(self._at(hour)) if hour in held else prompts)
+            self.hours.updateValue((hour,), tuple(map(list, zip(*read[hour]))))
+        known = sorted(held.union(typed))
+        for us, injected, prompt_id in came:
+            if injected:
+                yield Row(prompt_id=prompt_id, session_id=key[0], us=us, canonical_id=self._latest(us, known, read))
+
+    def _at(self, hour: int) -> list[tuple[int, str]]:
+        """What is held of an hour; nothing if it has expired since."""
+        held = self.hours.getValue((hour,))
+        return list(zip(*held)) if held else []
 
     def _latest(self, us: int | None, known: list[int], read: dict[int, list[tuple[int, str]]]) -> str | None:
         last = _NO_HOUR if us is None else us // _HOUR
@@ -145,5 +143,6 @@ def asof_stream(prompts: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
     conf = prompts.sparkSession.conf
     conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    rows = prompts.where("session_id is not null").select("session_id", F.col("ts").cast("timestamp").alias("ts"), "injected", "prompt_id")
-    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=TypedPrompts(keep_ms), outputStructType=FOLDED, outputMode="Append", timeMode="ProcessingTime")
+    rows = prompts.where("session_id is not null").select("session_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "injected", "prompt_id")
+    found = rows.groupBy("session_id").transformWithState(statefulProcessor=TypedPrompts(keep_ms), outputStructType="prompt_id string, session_id string, us bigint, canonical_id string", outputMode="Append", timeMode="ProcessingTime")
+    return found.select("prompt_id", "session_id", F.timestamp_micros("us").alias("ts"), "canonical_id")

@@ -516,3 +516,28 @@ def test_payload_keeps_microseconds(spark, tmp_path):
     sinks.write_payload(rows, spark.range(1), str(tmp_path / "payload"), "now")
     back = spark.read.schema("id string, at timestamp, ts timestamp_ntz").json(f"{sinks.payload_folder(spark, str(tmp_path / 'payload'))}/rows")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect())) and rows.select("ts").distinct().count() == 5
+
+
+def test_streamed_state_is_asked_only_for_kept_hours(monkeypatch):
+    """A session's new hours cost one write each; what came in the same batch is not read back."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from promptledger.streaming import live
+
+    calls, kept = [], {}
+    state = SimpleNamespace(
+        keys=lambda: calls.append("keys") or iter([(h,) for (h,) in kept]), getValue=lambda k: calls.append("get") or kept.get(k),
+        containsKey=lambda k: calls.append("contains") or k in kept, updateValue=lambda k, v: calls.append("put") or kept.update({k: v}),
+    )
+    session = live.TypedPrompts(1)
+    session.init(SimpleNamespace(getMapState=lambda *x, **y: state))
+    hours = range(20)
+    rows = [Row(us=h * 3_600_000_000, injected=0, prompt_id=f"p{h}") for h in hours] + [Row(us=h * 3_600_000_000 + 9, injected=1, prompt_id=f"i{h}") for h in hours]
+    found = list(session.handleInputRows(("s",), iter(rows), None))
+    assert {r.prompt_id: r.canonical_id for r in found} == {f"i{h}": f"p{h}" for h in hours}
+    assert sorted(calls) == ["keys"] + 20 * ["put"]
+    calls.clear()
+    later = [Row(us=5 * 3_600_000_000 + 10, injected=1, prompt_id="k5"), Row(us=5 * 3_600_000_000 + 7, injected=0, prompt_id="q5")]
+    assert [r.canonical_id for r in session.handleInputRows(("s",), iter(later), None)] == ["q5"] and sorted(calls) == ["get", "keys", "put"]
