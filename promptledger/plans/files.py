@@ -13,6 +13,10 @@ from . import ingest, store
 from .oracle import NOW, current_block_sql, sql
 
 
+#: Lines of a payload file at most: files come in proportion to the lines, so that a batch of some is many tasks.
+FILE_LINES = 50_000
+
+
 def write_transcripts(spark: SparkSession, sf_dir: str) -> str:
     """Conversations as transcript lines, one folder for each project."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -58,10 +62,15 @@ def write_payloads(spark: SparkSession, sf_dir: str, which: str = "true", path:
     record = F.struct(F.struct(body.alias("stringValue")).alias("body"), attrs.alias("attributes"))
     payload = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
     path = path or storage.fresh_path(spark, "payloads")
-    e.select(payload.alias("value")).write.mode("append").text(path, compression="gzip")
+    e.select(payload.alias("value")).write.mode("append").option("maxRecordsPerFile", FILE_LINES).text(path, compression="gzip")
     return path
 
 
+def _batch_files(spark: SparkSession) -> int:
+    """Files of a batch that give every core one (a compressed file is one task), two at least."""
+    return max(2, spark.sparkContext.defaultParallelism)
+
+
 def otlp_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = otlp.log_records(spark.read.text(write_payloads(spark, sf_dir)))
     return otlp.requests(records).select("request_id", "prompt_id", "session_id", "ts", "model", "input_tokens", "output_tokens", "cost_usd")
@@ -70,7 +79,7 @@ def otlp_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payloads through the stream; the tables it leaves, counted by session."""
     root = storage.fresh_path(spark, "live")
-    query = live.ingest(live.payload_stream(spark, write_payloads(spark, sf_dir), 2), root, f"{root}-checkpoint", availableNow=True)
+    query = live.ingest(live.payload_stream(spark, write_payloads(spark, sf_dir), _batch_files(spark)), root, f"{root}-checkpoint", availableNow=True)
     query.awaitTermination()
     parts = [live.table(spark, root, t).groupBy("session_id").agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "session_id", "n") for t in live.TABLES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

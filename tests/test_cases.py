@@ -541,3 +541,13 @@ def test_streamed_state_is_asked_only_for_kept_hours(monkeypatch):
     calls.clear()
     later = [Row(us=5 * 3_600_000_000 + 10, injected=1, prompt_id="k5"), Row(us=5 * 3_600_000_000 + 7, injected=0, prompt_id="q5")]
     assert [r.canonical_id for r in session.handleInputRows(("s",), iter(later), None)] == ["q5"] and sorted(calls) == ["get", "keys", "put"]
+
+
+def test_payload_files_come_in_proportion(spark, small, monkeypatch):
+    """More lines are more files, and a batch has one for every core: no file is all of the payloads."""
+    from promptledger.plans import files
+
+    monkeypatch.setattr(files, "FILE_LINES", 100)
+    folder = files.write_payloads(spark, small).removeprefix("file://")
+    sizes = spark.read.text(folder).groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) > 2 and max(r["count"] for r in sizes) <= 100 and files._batch_files(spark) == 8
