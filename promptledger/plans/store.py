@@ -38,6 +38,8 @@ FACTS = ("api_requests", "tool_calls", "edits")
 FEEDS = ("transcripts", "live")
 #: Buckets of a new store: a bucket is what one touched key costs to read and rewrite, so choose a store's size over some 100 MB.
 BUCKETS = 64
+#: Tasks that write one part: rows of as many tasks as there are before come to that many at most.
+PART_TASKS = 8
 _ARRIVED = "arrived bigint, place string, ordinal bigint"
 _SEQ = "arrival_seq struct<arrived: bigint, batch_id: bigint, place: string, ordinal: bigint>"
 
@@ -53,8 +55,12 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def replace_parts(rows: DataFrame, path: str, by: str) -> None:
-    """Replace the parts of ``path`` that ``rows`` have (values of ``by``), each by a few files; the other parts stay."""
-    rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Replace the parts of ``path`` that ``rows`` have (values of ``by``), each by a few files; the other parts stay.
+
+    A part is written by PART_TASKS tasks at most, so few parts of many rows are many tasks.
+    """
+    salt = F.pmod(F.spark_partition_id(), F.lit(PART_TASKS))
+    rows.repartition(F.col(by), salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def buckets(spark: SparkSession, root: str, wanted: int = BUCKETS) -> int:

@@ -551,3 +551,17 @@ def test_payload_files_come_in_proportion(spark, small, monkeypatch):
     folder = files.write_payloads(spark, small).removeprefix("file://")
     sizes = spark.read.text(folder).groupBy(F.input_file_name()).count().collect()
     assert len(sizes) > 2 and max(r["count"] for r in sizes) <= 100 and files._batch_files(spark) == 8
+
+
+def test_part_of_many_rows_is_written_by_many_tasks(spark, tmp_path):
+    from promptledger.plans import store
+
+    rows = spark.range(0, 4000, 1, 6).selectExpr("id", "cast(id % 2 as int) as bucket")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        store.replace_parts(rows, str(tmp_path / "part"), "bucket")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    names = [f for f in os.listdir(tmp_path / "part" / "bucket=0") if f.endswith(".parquet")]
+    assert len(names) > 1 and spark.read.parquet(str(tmp_path / "part")).count() == 4000
