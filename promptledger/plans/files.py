@@ -187,7 +187,7 @@ def write_answers(spark: SparkSession, sf_dir: str) -> str:
     records = F.array(record("api_request", request), record("tool_result", call))
     payload = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(records.alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
     path = storage.fresh_path(spark, "answers")
-    c.select(payload.alias("value")).write.text(path)
+    c.select(payload.alias("value")).write.option("maxRecordsPerFile", FILE_LINES).text(path)
     return path
 
 
@@ -205,19 +205,23 @@ def transcript_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.sessions(transcripts.scan(spark, write_sessions(spark, sf_dir), "*.txt")).select("project", "cwd")
 
 
-def _both_feeds(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
-    """A store of live records, then of transcripts, read twice; and the counts of both readings."""
+def _both_feeds(spark: SparkSession, sf_dir: str, counted: bool = False) -> tuple[str, list[DataFrame]]:
+    """A store of live records, then of transcripts, read twice; and the counts of both readings, where they are wanted."""
     root = storage.fresh_path(spark, "store")
-    stream = live.ingest(live.payload_stream(spark, write_answers(spark, sf_dir), 2), f"{root}/live", f"{root}-checkpoint", clock=lambda: 1, availableNow=True)
+    stream = live.ingest(live.payload_stream(spark, write_answers(spark, sf_dir), _batch_files(spark)), f"{root}/live", f"{root}-checkpoint", clock=lambda: 1, availableNow=True)
     stream.awaitTermination()
     files = write_sessions(spark, sf_dir)
-    counts = [storage.written(ingest.reconcile(spark, files, root, k, 2 + k, "*.txt"), "counts") for k in range(2)]
-    return root, *counts
+    counts = []
+    for k in range(2):
+        counts.append(ingest.reconcile(spark, files, root, k, 2 + k, "*.txt"))
+        if counted:  # before the next reading; the counts merge all of the store
+            counts[k] = storage.written(counts[k], "counts")
+    return root, counts
 
 
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the merged tables after each of two readings; the second finds no file changed."""
-    _, first, second = _both_feeds(spark, sf_dir)
+    first, second = _both_feeds(spark, sf_dir, counted=True)[1]
     rows = first.withColumn("run", F.lit(1)).union(second.withColumn("run", F.lit(2)))
     return rows.where("measure in ('prompts', 'api_requests', 'tool_calls', 'edits') or (measure = 'ingested' and run = 2)").select("run", "measure", "n")
 
@@ -264,7 +268,7 @@ def live_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``silver_union``, where the live feed was folded (twice) and the transcripts were not."""
-    root, _, _ = _both_feeds(spark, sf_dir)
+    root = _both_feeds(spark, sf_dir)[0]
     store.buckets(spark, root, 8)
     for _ in range(2):
         store.Batch(spark, root, "live", 0, 999_999).fold()

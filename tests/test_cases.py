@@ -565,3 +565,14 @@ def test_part_of_many_rows_is_written_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     names = [f for f in os.listdir(tmp_path / "part" / "bucket=0") if f.endswith(".parquet")]
     assert len(names) > 1 and spark.read.parquet(str(tmp_path / "part")).count() == 4000
+
+
+def test_silver_of_both_feeds_counts_nothing(spark, small, monkeypatch):
+    """Only ``reconcile`` writes the counts, which merge the whole store, of its readings."""
+    from promptledger.plans import files
+    from promptledger.sources import storage
+
+    names, written = [], storage.written
+    monkeypatch.setattr(storage, "written", lambda rows, name: names.append(name) or written(rows, name))
+    files.silver_union(spark, small)
+    assert "counts" not in names and "listing" in names
