@@ -44,6 +44,8 @@ CHUNK_BYTES = 1 << 18
 SHARD_BYTES = 1 << 20
 #: A seed with more units is hot: it is dealt over several tasks, and with more different units in shards.
 HELD_UNITS = 2_000
+#: Units of a shard's task, at least, for each of the shard's different units, about as many as it has passages.
+UNITS_A_PASSAGE = 16
 #: Seeds with more than a share of 1 / MOST_HOT of all places are fewer than this: their list is broadcast.
 MOST_HOT = 100_000
 #: What a step has found for each document is broadcast up to this size, else joined by shuffle.
@@ -201,8 +203,8 @@ def sharded(hot: DataFrame) -> DataFrame:
 
     Those are cut into runs of windows of one shard, by a hash of the window; a
     shard has half of HELD_UNITS different windows about, and its own ``salts``, by its
-    own pieces: a passage goes to as many tasks as its shard has, so what is sent grows
-    with the units and not with their square.
+    own pieces: a passage goes to as many tasks as its shard has, and a task has
+    UNITS_A_PASSAGE pieces for each, so what is sent is a part of the units.
     """
     whole = hot.withColumn("shard", F.lit(0))
     kinds = hot.groupBy("seed").agg(F.approx_count_distinct("words").alias("kinds"))
@@ -228,8 +230,9 @@ def sharded(hot: DataFrame) -> DataFrame:
             yield out.assign(at=np.array(at, np.int32), words=words, shard=np.array(shard, np.int32))
 
     pieces = hot.join(wide, "seed").mapInPandas(cut, "seed long, doc long, row long, at int, words binary, shard int")
-    many = pieces.groupBy("seed", "shard").agg(F.count("*").alias("n")).where(F.col("n") > HELD_UNITS)
-    many = written(many.select("seed", "shard", F.ceil(F.col("n") / HELD_UNITS).cast("int").alias("salts")), "hot-shards")
+    many = pieces.groupBy("seed", "shard").agg(F.count("*").alias("n"), F.approx_count_distinct("words").alias("kinds")).where(F.col("n") > HELD_UNITS)
+    salts = F.ceil(F.col("n") / F.greatest(F.lit(HELD_UNITS), F.col("kinds") * UNITS_A_PASSAGE)).cast("int")
+    many = written(many.select("seed", "shard", salts.alias("salts")), "hot-shards")
     many = F.broadcast(many) if many.count() <= MOST_HOT else many
     pieces = pieces.join(many, ["seed", "shard"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     return whole.join(wide, "seed", "left_anti").unionByName(pieces)
@@ -424,7 +427,9 @@ def removals(rows: DataFrame, seeded: DataFrame) -> DataFrame:
     place = F.when(F.col("salts") > 1, -1 - F.col("place")).otherwise(F.col("place"))
     recurring = written(known.groupBy("row").agg(F.collect_set(place).alias("places")), "recurring-seeds")
     found = written(units(rows.join(small(recurring, "places"), "row")), "units")
-    salts = often.where("salts > 1").select("seed", "salts")
+    kinds = found.where("hot").groupBy("seed").agg(F.approx_count_distinct("words").alias("kinds"))
+    fewer = F.ceil(F.col("salts") * F.lit(HELD_UNITS) / F.greatest(F.lit(HELD_UNITS), F.coalesce("kinds", F.lit(0)) * UNITS_A_PASSAGE)).cast("int")
+    salts = written(often.where("salts > 1").join(kinds, "seed", "left").select("seed", fewer.alias("salts")), "hot-seeds")
     salts = F.broadcast(salts) if salts.count() <= MOST_HOT else salts
     cool, hot = found.where("not hot").withColumn("shard", F.lit(0)), sharded(found.where("hot").drop("hot").join(salts, "seed"))
     return written(merged_runs(written(repeated_windows(cool, hot, written(passages(hot), "passages")), "repeated-windows")), "removals")

@@ -619,3 +619,14 @@ def test_pipeline_edges(spark, edges, empty, small):
             assert chained.columns == frame.columns and chained.count() <= before.count()
         packed = corpus_pipeline.STAGES[-1][1](spark, chained, small).collect()
         assert {r.doc_id for r in packed} == {r.doc_id for r in chained.select("doc_id").distinct().collect()}
+
+
+def test_op1_sends_a_part_of_the_units(spark, monkeypatch):
+    """A hot seed of many passages has tasks of many units: fewer rows are sent than there are units."""
+    monkeypatch.setattr(passages, "HELD_UNITS", 60)
+    docs = [(k, " ".join(f"a{k % 40}q{i}" for i in range(25)) + " one phrase of six plain words " + " ".join(f"b{k % 40}q{i}" for i in range(25))) for k in range(640)]
+    frame, sent, salted = spark.createDataFrame(docs, "doc_id long, text string"), [], passages.salted
+    monkeypatch.setattr(passages, "salted", lambda known: (sent.append((salted(known).count(), known.count())), salted(known))[1])
+    assert {r[0]: tuple(r[1:]) for r in passages.passage_digests(frame).collect()} == windows_loop(docs)
+    rows, known = sent[0]
+    assert rows <= known + 640 * 2 / 16, (rows, known)
