@@ -202,7 +202,10 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, elements`` of the nodes ``wanted(node, key, doc_id)``, from their documents' texts."""
+    """``node, elements`` of the nodes ``wanted(node, key, doc_id)``, from their documents' texts.
+
+    The texts are sent to ``wanted``, whatever its size, so disk and memory grow with the input only.
+    """
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Shingler()
@@ -211,7 +214,7 @@ def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             own = [bytes(k) == word_key(w) for k, w in zip(pdf["key"], words)]  # a repeated id may have another text
             yield pd.DataFrame({"node": pdf["node"][own], "elements": [s.elements(w).astype(np.int64) for w, ok in zip(words, own) if ok]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id")
     return texts.mapInPandas(listed, "node long, elements array<long>").dropDuplicates(["node"])
 
 
@@ -223,8 +226,8 @@ def bitmap(elements: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BITMAP_WORDS - 1)), word)
 
 
-def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with the sizes ``na, nb``, ``both`` (the size of the multisets' overlap),
+def compared(shingles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b)``, of nodes of ``shingles(node, elements)``, with the sizes ``na, nb``, ``both`` (the size of the multisets' overlap),
     ``close`` (a link), bitmaps of the elements that only ``a`` (``rest``) and only ``b`` (``miss``) has, and
     the ``first`` of both, in 32 bits: as many as ``a`` can differ in from a near text, and one.
 
@@ -232,10 +235,6 @@ def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     intersection. ``b`` may be the same for very many pairs: its elements are joined
     to bare numbers first, then the pairs are dealt by ``a``.
     """
-    pairs = written(pairs, "near-pairs")
-    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    wanted = nodes.join(ends, "node").select("node", "key", "doc_id")
-    shingles = written(elements_of(docs, wanted), "near-elements")
     a = shingles.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     b = shingles.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
     met = pairs.join(b, "b").join(a, "a").select("a", "b", F.size("ea").alias("na"), F.size("eb").alias("nb"), F.array_except("ea", "eb").alias("oa"), F.array_except("eb", "ea").alias("ob"))
@@ -267,13 +266,17 @@ def classed_rows(docs: DataFrame) -> DataFrame:
     met = members.join(members.groupBy("node").agg(F.sum("size").alias("met")), "node")
     centres = met.groupBy("h").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
     pairs = members.join(centres, "h").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    pairs = written(pairs, "near-pairs")
+    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    # texts are read and sent once: the pairs of all further levels are of the same nodes
+    shingles = written(elements_of(docs, nodes.join(ends, "node").select("node", "key", "doc_id")), "near-elements")
     roots = None
     for level in range(LEVELS):
-        star = compared(docs, nodes, pairs)
+        star = compared(shingles, pairs)
         roots = joined_roots(roots, star.where("close").select("a", "b"), "near-roots")
         rest, pairs = across(star, roots, last=level == LEVELS - 1)
         if not rest.isEmpty():
-            links = compared(docs, nodes, rest).where("close").select("a", "b")
+            links = compared(shingles, rest).where("close").select("a", "b")
             roots = joined_roots(roots, links, "near-roots")
         if pairs is None or pairs.isEmpty():
             break
