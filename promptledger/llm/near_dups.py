@@ -202,20 +202,22 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def elements_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, elements`` of the nodes ``wanted(node, key, doc_id)``, from their documents' texts.
+    """``node, elements`` of the nodes ``wanted(node, key, doc_id, row)``, from their documents' texts.
 
     The texts are sent to ``wanted``, whatever its size, so disk and memory grow with the input only.
+    Equal rows meet there, and one of them is shingled.
     """
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Shingler()
         for pdf in batches:
             words = [s.words(t) for t in pdf["text"]]
-            own = [bytes(k) == word_key(w) for k, w in zip(pdf["key"], words)]  # a repeated id may have another text
+            own = [bytes(k) == word_key(w) for k, w in zip(pdf["key"], words)]  # another text may have the row's number
             yield pd.DataFrame({"node": pdf["node"][own], "elements": [s.elements(w).astype(np.int64) for w, ok in zip(words, own) if ok]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id")
-    return texts.mapInPandas(listed, "node long, elements array<long>").dropDuplicates(["node"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_row(F.col("doc_id"), F.col("text")).alias("row"))
+    texts = rows.join(wanted.hint("shuffle_hash"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    return texts.select("node", "key", "text").mapInPandas(listed, "node long, elements array<long>")
 
 
 def bitmap(elements: Column) -> Column:
@@ -245,6 +247,11 @@ def compared(shingles: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(met.select("a", "b", "na", "nb", "both", close.alias("close"), bitmap(F.col("oa")).alias("rest"), bitmap(F.col("ob")).alias("miss"), first.alias("first")), "near-met")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """Each ``node`` of ``pairs(a, b)`` once."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
 def _long_enough(n: str, m: str):
     return (F.col(n) >= SIMILARITY * F.col(m)) & (F.col(m) >= SIMILARITY * F.col(n))
 
@@ -258,8 +265,8 @@ def classed_rows(docs: DataFrame) -> DataFrame:
     which names centres for a next level where many still meet.
     """
     signed = written(signatures(docs), "near-signatures")
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    nodes = signed.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("of"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("key", "of.*", "bands").withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     members = nodes.select("node", F.explode("bands").alias("h"))
     busy = members.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     members = written(members.join(busy, "h"), "near-members")
@@ -267,14 +274,18 @@ def classed_rows(docs: DataFrame) -> DataFrame:
     centres = met.groupBy("h").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
     pairs = members.join(centres, "h").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = written(pairs, "near-pairs")
-    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     # texts are read and sent once: the pairs of all further levels are of the same nodes
-    shingles = written(elements_of(docs, nodes.join(ends, "node").select("node", "key", "doc_id")), "near-elements")
+    shingles = written(elements_of(docs, nodes.join(ends(pairs), "node").select("node", "key", "doc_id", "row")), "near-elements")
     roots = None
     for level in range(LEVELS):
         star = compared(shingles, pairs)
         roots = joined_roots(roots, star.where("close").select("a", "b"), "near-roots")
         rest, pairs = across(star, roots, last=level == LEVELS - 1)
+        left = rest if pairs is None else rest.union(pairs)
+        if left.isEmpty():
+            break
+        # all that is compared from now on is of the nodes of these pairs, so only their shingles are sent again
+        shingles = written(shingles.join(ends(left), "node", "left_semi"), "near-left")
         if not rest.isEmpty():
             links = compared(shingles, rest).where("close").select("a", "b")
             roots = joined_roots(roots, links, "near-roots")
