@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import basename, or_default, tool_label, usd, wall_seconds
@@ -52,6 +52,12 @@ class Ledger:
             out.__dict__[name] = getattr(self, name).join(targets, "target", "left_semi")
         return out
 
+    def of_prompts(self, targets: DataFrame) -> Ledger:
+        """As ``only``, for known prompts: their requests, calls and edits are picked by prompt id, before they are priced or folded."""
+        ids = self.targets.join(targets, "target", "left_semi").select("prompt_id")
+        pick = lambda rows: rows.join(ids, "prompt_id", "left_semi")
+        return replace(self, prompts=pick(self.prompts), requests=pick(self.requests), tool_calls=pick(self.tool_calls), edits=pick(self.edits))
+
     @cached_property
     def targets(self) -> DataFrame:
         return attribution.targets(self.prompts)
@@ -138,12 +144,20 @@ class Ledger:
         rows = self.costed.where("price_in is null").groupBy("model").agg(F.count("*").alias("n_rows"), F.sum(F.col("est").cast("int")).alias("uncosted"), F.sum(tokens).alias("tokens"))
         return rows.where("tokens > 0").orderBy(F.desc("tokens"), "model")
 
+    @property
+    def own(self) -> DataFrame:
+        """The prompts that no other one stands for."""
+        return self.prompts.where(F.col("prompt_id").isNotNull() & (~attribution.folds() | (F.col("canonical_id") == F.col("prompt_id"))))
+
+    def texts(self) -> DataFrame:
+        """``target, text`` of every known prompt, as its wide row would show it."""
+        return self.own.select(F.col("prompt_id").alias("target"), _shown().alias("text"))
+
     def usage(self) -> DataFrame:
         """The wide rows without their lists: prompts with a request or a call, and placeholders for unknown ones."""
-        own = self.prompts.where(F.col("prompt_id").isNotNull() & (~attribution.folds() | (F.col("canonical_id") == F.col("prompt_id"))))
         tools = self.tool_histogram().groupBy("target").agg(F.sum("n").alias("tool_calls"))
         facts = self.prompt_totals().join(tools, "target", "full_outer").join(self.file_stats(), "target", "full_outer")
-        rows = own.select(F.col("prompt_id").alias("target"), "session_id", "project", F.col("ts").alias("prompt_ts"), "text", F.lit(True).alias("known")).join(facts, "target", "full_outer")
+        rows = self.own.select(F.col("prompt_id").alias("target"), "session_id", "project", F.col("ts").alias("prompt_ts"), "text", F.lit(True).alias("known")).join(facts, "target", "full_outer")
         rows = rows.where("coalesce(api_calls, 0) > 0 or coalesce(tool_calls, 0) > 0")
         shown = self.session_projects.select("session_id", F.col("display").alias("session_display"))
         rows = rows.join(shown, "session_id", "left").join(self.request_projects(), "target", "left")
@@ -153,7 +167,7 @@ class Ledger:
         zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
         return rows.select(
             F.col("target").alias("id"), ts.alias("ts"), F.coalesce("name", F.when(F.col("session_display").isNotNull(), F.col("session_display")), "slug").alias("project"),
-            F.when(F.col("known"), F.substring(F.coalesce("text", F.lit("")), 1, MAX_TEXT)).otherwise(NO_TEXT).alias("text"),
+            F.when(F.col("known"), _shown()).otherwise(NO_TEXT).alias("text"),
             zero("api_calls"), zero("tool_calls"), usd(F.coalesce("micro_usd", F.lit(0))).alias("cost"), F.coalesce("est", F.lit(False)).alias("est"),
             wall_seconds(ts, F.greatest(ts, "last_request")).alias("wall_s"), zero("out_tokens"), zero("inp"), zero("cr"), zero("agent_out"),
             zero("files"), zero("ladd"), zero("lrem"), zero("chars"), *[usd(F.coalesce(c, F.lit(0))).alias(c) for c in COMPONENTS],
@@ -175,6 +189,10 @@ class Ledger:
         return rows.withColumnRenamed("target", "id")
 
 
+def _shown() -> Column:
+    return F.substring(F.coalesce("text", F.lit("")), 1, MAX_TEXT)
+
+
 def _prompts(ledger: Ledger) -> DataFrame:
     made = ledger.__dict__["_prompts"]
     if callable(made):

@@ -85,13 +85,28 @@ def _week_families(rows: DataFrame, x: Ledger) -> DataFrame:
     return report.by_family(x.prompt_models().join(rows.select(F.col("id").alias("target")), "target", "left_semi"))
 
 
+def _searched(x: Ledger, pattern: str) -> Ledger:
+    """The stored ledger of the prompts whose text contains ``pattern``.
+
+    The texts of all are indexed and searched before any request is priced, so facts are
+    folded and wide rows made of the prompts found. Prompts never seen share one text:
+    where that contains the pattern, the whole ledger is returned.
+    """
+    if pattern.lower() in NO_TEXT.lower():
+        return x.stored(storage.written, "requests", "costed", "tools", "changes")
+    texts = x.texts()
+    spark = texts.sparkSession
+    path = storage.fresh_path(spark, "texts")
+    text_index.write_index(texts, path)
+    found = storage.written(text_index.containing(spark, path, pattern).select("target"), "found")
+    return x.of_prompts(found).stored(storage.written, "prompts", "requests", "costed", "tools", "changes")
+
+
 def _filtered(x: Ledger) -> DataFrame:
+    x = _searched(x, "task 1")
     opus = x.prompt_models().where(fn.model_family(F.col("model")) == "opus").select(F.col("target").alias("id"))
     rows = x.usage().select("id", "ts", "project", "text", "cost")
-    path = storage.fresh_path(rows.sparkSession, "texts")
-    text_index.write_index(rows, path)
-    found = text_index.containing(rows.sparkSession, path, "task 1")
-    return report.filtered(found, project="proj3-dir", first="2024-01-05", before="2024-01-25", families=opus)
+    return report.filtered(rows, project="proj3-dir", text="task 1", first="2024-01-05", before="2024-01-25", families=opus)
 
 
 def _turn_id():
@@ -215,5 +230,5 @@ QUERIES: dict[str, Query] = {
     "iso_week": _table("events", lambda e: e.select(F.to_date("ts").alias("d")).distinct().select(F.date_format("d", "yyyy-MM-dd").alias("day"), fn.iso_week(F.col("d")).alias("week"))),
     "wall_clock": _usage(lambda u: u.select("id", F.col("wall_s").cast("double").alias("wall_s"))),
     "model_family": _source("fx_requests_src", lambda d: d.select("model").distinct().select("model", fn.model_family(F.col("model")).alias("family"))),
-    "filtered_view": _stored(_filtered),
+    "filtered_view": lambda spark, sf_dir: _filtered(fixtures.ledger(spark, sf_dir, stored=("prompts", "sessions"))),
 }

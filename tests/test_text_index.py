@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptledger.operators import text_index
+from promptledger.plans import queries
+from promptledger.sources import fixtures, storage
 
 ROWS = 6_000
 
@@ -51,3 +53,23 @@ def test_empty_table_and_clashing_names(spark, tmp_path):
     assert [tuple(r) for r in text_index.containing(spark, str(tmp_path / "one"), "QUARTZ").collect()] == [(1, "The quartz", "g", 5)]
     with pytest.raises(ValueError):
         text_index.write_index(clash.withColumn("INDEX_ROW", F.lit(1)), str(tmp_path / "two"))
+
+
+@pytest.mark.parametrize("pattern", ["TASK 1", "unavailable", "no such"])
+def test_searched_before_the_wide_rows(spark, small, monkeypatch, pattern):
+    """Rows as of a scan of all wide rows, those of unknown prompts too; no request of another prompt is priced for a search that the index answers."""
+    text = F.lower("text").contains(pattern.lower())
+    want = sorted(map(tuple, fixtures.ledger(spark, small, stored=True).usage().where(text).collect()))
+    priced, plain = [], storage.written
+
+    def told(rows, name):
+        out = plain(rows, name)
+        if name == "costed":
+            priced.extend(r.target for r in out.select("target").distinct().collect())
+        return out
+
+    monkeypatch.setattr(storage, "written", told)
+    found = queries._searched(fixtures.ledger(spark, small, stored=("prompts", "sessions")), pattern)
+    assert sorted(map(tuple, found.usage().where(text).collect())) == want
+    assert bool(want) == (pattern != "no such")
+    assert pattern == "unavailable" or set(priced) <= {r[0] for r in want}
