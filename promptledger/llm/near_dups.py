@@ -12,7 +12,8 @@ with one centre (a star). A member x that is then in another class than its cent
 is told apart by x ^ c, what it has beside c and lacks of it: two members differ in
 (x ^ c) ^ (y ^ c), so a pair that is near shares one of the first elements of both
 (beside c before lacking, then by hash) and meets in that element's bucket. Pages of
-one template with texts of their own meet nowhere. A bucket that many share is a
+one template with texts of their own meet nowhere. What sets c itself apart is in every
+x ^ c, so a large star takes the member nearest to what most are for centre. A bucket that many share is a
 star with a new centre at the next level; bounds from above drop pairs of the others
 before the exact comparison. No pair that shares a band is lost to any of this.
 """
@@ -280,6 +281,12 @@ def classed_rows(docs: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         star = compared(shingles, pairs)
         roots = joined_roots(roots, star.where("close").select("a", "b"), "near-roots")
+        moved = nearer_centres(star)
+        if not moved.isEmpty():
+            kept, again = recentred(star, moved)
+            again = compared(shingles, again)
+            roots = joined_roots(roots, again.where("close").select("a", "b"), "near-roots")
+            star = kept.union(again)
         rest, pairs = across(star, roots, last=level == LEVELS - 1)
         left = rest if pairs is None else rest.union(pairs)
         if left.isEmpty():
@@ -302,6 +309,28 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return classed.join(names, "root").select("doc_id", "class_id")
 
 
+def nearer_centres(star: DataFrame) -> DataFrame:
+    """``b, head`` of stars that may fill a hot bucket and whose centre is an outlier: ``head`` is the member nearest to what most are.
+
+    What more than half of the members have beside the centre ``b``, or lack of it, is the
+    centre's own difference from them: all would share it, and meet in the bucket of each
+    of its elements. A head is named where it differs in less from what most have.
+    """
+    large = star.groupBy("b").agg(F.count("*").alias("size")).where(F.col("size") > HOT_MEMBERS)
+    each = star.join(large, "b").select("b", "size", F.explode(F.array_distinct("first")).alias("e"))
+    usual = each.groupBy("b", "e").agg(F.count("*").alias("many"), F.first("size").alias("size")).where("2 * many > size").groupBy("b").agg(F.collect_list("e").alias("usual"))
+    differs = F.col("na") + F.col("nb") - 2 * F.col("both") + F.size("usual") - 2 * F.size(F.array_intersect("first", "usual"))
+    nearest = star.join(usual, "b").groupBy("b").agg(F.min(F.struct(differs.alias("differs"), F.col("a").alias("head"))).alias("least"), F.first(F.size("usual")).alias("own"))
+    return written(nearest.where("least.differs < own").select("b", "least.head"), "near-heads")
+
+
+def recentred(star: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``star`` whose centre stays, and the pairs ``a, b`` of all nodes of the other stars with their new centre, without the rows' pairs."""
+    kept = star.join(moved, "b", "left_anti").select(star.columns)
+    nodes = star.join(moved, "b").select("a", "head").union(moved.select("b", "head")).where("a <> head").select("a", F.col("head").alias("b")).distinct()
+    return kept, written(nodes.join(kept.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
+
+
 def first_elements(star: DataFrame, roots: DataFrame) -> DataFrame:
     """``star``'s members with their class, of centres that have one in another class and two at least.
 

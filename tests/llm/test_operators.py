@@ -500,6 +500,28 @@ def test_op7_template_pages_do_not_meet(spark, monkeypatch):
     assert max(sizes["near-keys"]) == max(sizes["near-rest"]) == 0
 
 
+def test_op7_outlier_as_centre(spark, monkeypatch):
+    """A copy that has its source's bands and the greater number is the centre; what sets it apart from all others fills no buckets, at any level."""
+    s, source, sizes, plain = near_dups.Shingler(), [f"v{k}" for k in range(400)], {}, near_dups.written
+    replaced = lambda at, tag: [f"{tag}x{k}" if k in at else w for k, w in enumerate(source)]
+    bands = lambda words: near_dups.band_hashes(near_dups.dart_signatures([s.elements(words)])[0]).tolist()
+    outlier = next(w for k in range(10, 390) if bands(w := replaced({k}, "c")) == bands(source))
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "written", counted)
+    monkeypatch.setattr(near_dups, "HOT_MEMBERS", 16)
+    monkeypatch.setattr(F, "monotonically_increasing_id", lambda: F.col("doc_id"))
+    docs = [source] + [replaced({7 + 6 * k}, f"n{k}") for k in range(60)] + [replaced(set(range(k, 400, 34)), f"f{k}") for k in range(12)] + [outlier]
+    docs = [(k, " ".join(w)) for k, w in enumerate(docs)]
+    got = {r.doc_id: r.class_id for r in near_dups.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == classes_loop(docs) and len(set(got.values())) > 1
+    assert len(sizes["near-keys"]) == 1 and sizes["near-keys"][0] < 20 * len(docs), sizes
+
+
 def test_op7_texts_are_sent_once(spark, monkeypatch):
     """However many levels of stars there are, and pairs across them, the texts are joined and shingled once."""
     names, plain = [], near_dups.written
